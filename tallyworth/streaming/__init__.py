@@ -1,0 +1 @@
+"""Empty on purpose: every job in this library is a batch job."""
