@@ -7,7 +7,7 @@ values the text was made from.
 from __future__ import annotations
 
 from tallyworth.checks.proxies import END_YEAR, START_YEAR
-from tallyworth.operators.clusters import BINS, MAX_ITER, TOLERANCE
+from tallyworth.operators.clusters import CUT_SEED, CUTS, MAX_ITER, TOLERANCE
 
 _PRICE = "CAST(o_totalprice AS DECIMAL(18,2))"
 _AMOUNT = f"CAST(CASE WHEN o_orderkey % 20 = 0 THEN -{_PRICE} ELSE {_PRICE} END AS DECIMAL(18,2))"
@@ -99,13 +99,13 @@ _BASE = {
 }
 
 
-def _rounds(name: str, source: str, start: str, spread: str) -> str:
+def _rounds(name: str, source: str, start: str, spread: str, tolerance: float) -> str:
     """Recursive k-means rounds over (axis, value, total, weight); a fit stops once its shift is small."""
     return f"""
         SELECT axis, k, 0 AS it, cs, FALSE AS settled FROM {start}
         UNION ALL
         SELECT m.axis, k, it + 1, ncs, list_sum(list_transform(range(1, k + 1), lambda j: (ncs[j] - cs[j]) ** 2))
-            <= {TOLERANCE!r} * variance
+            <= {tolerance!r} * variance
         FROM (
             SELECT s.axis, s.k, s.it, s.cs,
                 list(coalesce(CAST(c.total AS DOUBLE) / c.weight, s.cs[s.i + 1]) ORDER BY s.i) AS ncs
@@ -130,15 +130,12 @@ def kmeans(prefix: str, values: str, wanted: list[tuple[str, int]]) -> dict[str,
     p = prefix
     asked = ", ".join(f"('{axis}', {k})" for axis, k in wanted)
     return {
-        f"{p}_cum": (
-            [values],
-            f"""SELECT axis, value, weight, sum(weight) OVER (PARTITION BY axis ORDER BY value) AS upto,
-            sum(weight) OVER (PARTITION BY axis) AS n FROM {values}""",
-        ),
         f"{p}_cuts": (
-            [f"{p}_cum"],
-            f"""SELECT axis, list(CAST(value AS DOUBLE) ORDER BY j) AS cuts FROM {p}_cum, range(1, {BINS}) t(j)
-            WHERE (n * j) // {BINS} >= upto - weight AND (n * j) // {BINS} < upto GROUP BY axis""",
+            [values],
+            f"""SELECT axis, list(CAST(value AS DOUBLE)) AS cuts FROM (
+            SELECT axis, value, row_number() OVER (PARTITION BY axis ORDER BY
+                CAST('0x' || substr(md5('{CUT_SEED}:' || CAST(value AS VARCHAR)), 1, 8) AS BIGINT), value) AS place
+            FROM {values}) WHERE place <= {CUTS} GROUP BY axis""",
         ),
         f"{p}_bins": (
             [values, f"{p}_cuts"],
@@ -153,14 +150,23 @@ def kmeans(prefix: str, values: str, wanted: list[tuple[str, int]]) -> dict[str,
             FROM {p}_bins GROUP BY axis""",
         ),
         f"{p}_start": (
-            [f"{p}_cuts"],
-            f"""SELECT axis, k, list_transform(range(k), lambda i: cuts[((2 * i + 1) * {BINS}) // (2 * k)]) AS cs
-            FROM {p}_cuts JOIN (VALUES {asked}) w(axis, k) USING (axis)""",
+            [f"{p}_bins"],
+            f"""SELECT axis, k, list(value ORDER BY i) AS cs FROM (
+            SELECT axis, value, weight, sum(weight) OVER (PARTITION BY axis ORDER BY value) AS upto,
+                sum(weight) OVER (PARTITION BY axis) AS n FROM {p}_bins)
+            JOIN (SELECT axis, k, unnest(range(k)) AS i FROM (VALUES {asked}) w(axis, k)) USING (axis)
+            WHERE ((2 * i + 1) * n) // (2 * k) >= upto - weight AND ((2 * i + 1) * n) // (2 * k) < upto GROUP BY axis, k""",
+        ),
+        f"{p}_rough": (
+            [f"{p}_bins", f"{p}_start", f"{p}_spread"],
+            _rounds(f"{p}_rough", f"{p}_bins", f"{p}_start", f"{p}_spread", 0.0),
         ),
-        f"{p}_rough": ([f"{p}_bins", f"{p}_start", f"{p}_spread"], _rounds(f"{p}_rough", f"{p}_bins", f"{p}_start", f"{p}_spread")),
         f"{p}_begin": ([f"{p}_rough"], f"SELECT axis, k, arg_max(cs, it) AS cs FROM {p}_rough GROUP BY axis, k"),
         f"{p}_points": ([values], f"SELECT axis, value, value * weight AS total, weight FROM {values}"),
-        f"{p}_fine": ([f"{p}_points", f"{p}_begin", f"{p}_spread"], _rounds(f"{p}_fine", f"{p}_points", f"{p}_begin", f"{p}_spread")),
+        f"{p}_fine": (
+            [f"{p}_points", f"{p}_begin", f"{p}_spread"],
+            _rounds(f"{p}_fine", f"{p}_points", f"{p}_begin", f"{p}_spread", TOLERANCE),
+        ),
         f"{p}_fit": (
             [f"{p}_fine"],
             f"""SELECT axis, k, cs, {_borders('cs', 'k')} AS borders FROM (

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _STEPS = 500
 _TINY = 1e-300
@@ -77,13 +78,13 @@ def chi_square_tail_value(x: float, freedom: float) -> float:
     return gamma_tail(freedom / 2.0, x / 2.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_tail_any(f: pd.Series, between: pd.Series, within: pd.Series) -> pd.Series:
     rows = zip(f, between, within)
     return pd.Series([None if pd.isna(v) else f_tail_value(v, b, w) for v, b, w in rows], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_tail_any(x: pd.Series, freedom: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else chi_square_tail_value(v, d) for v, d in zip(x, freedom)], dtype="float64")
 

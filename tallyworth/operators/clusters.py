@@ -7,9 +7,11 @@ and centres do not depend on the order in which tasks finish.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -17,12 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
-from tallyworth.operators.quantiles import values_at_ranks
-from tallyworth.session import hold, materialise
+from tallyworth.functions.buckets import key_hash
+from tallyworth.session import hold
 
 MAX_ITER = 300
 TOLERANCE = 1e-4
-BINS = 256
+CUTS = 1023
+CUT_SEED = 42
 
 
 @dataclass(frozen=True)
@@ -60,9 +63,10 @@ def _units(column: str, scale: int | None) -> Column:
 
 
 def axis_counts(df: DataFrame, axes: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
-    """Distinct values of each axis with their number of rows, written to the shared folder.
+    """Distinct values of each axis with their number of rows, held for the rounds of a fit.
 
-    Recency and frequency repeat heavily, so every later round reads few rows for them.
+    Recency and frequency repeat heavily, so every round reads few rows for them. `df` should be a written
+    table, as `customer_base` returns: a lost executor then costs one aggregation of it.
     """
     scales = {axis: _scale(df, axis) for axis in axes}
     exact = all(s is not None for s in scales.values())
@@ -73,7 +77,7 @@ def axis_counts(df: DataFrame, axes: Sequence[str]) -> tuple[DataFrame, dict[str
         .groupBy("axis", "value")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-    return materialise(counts, "axis-counts"), {a: (s or 0) if exact else 0 for a, s in scales.items()}
+    return hold(counts), {a: (s or 0) if exact else 0 for a, s in scales.items()}
 
 
 def _cluster(value: str, borders: Sequence[float]) -> str:
@@ -112,56 +116,73 @@ def _advance(fit: Fit, sums: dict[int, tuple[float, int]], variance: float, tole
     return replace(fit, centres=moved, rounds=fit.rounds + 1, settled=shift <= tolerance * variance)
 
 
-def _cut_values(counts: DataFrame) -> dict[str, list[float]]:
-    """255 cut values per axis that split its rows into 256 bins of about equal weight, ascending."""
+def _cut_values(counts: DataFrame, axes: Sequence[str]) -> dict[str, list[float]]:
+    """At most 1,023 distinct values per axis, ascending, drawn by the smallest hash.
 
-    def ranks(total: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.lit(BINS - 1)), lambda i: F.floor(total * i / BINS).cast("bigint"))
+    They only cut the axis into bins of similar size; the bins then count every row.
+    """
+    drawn = [
+        counts.filter(F.col("axis") == axis).orderBy(key_hash("value", CUT_SEED), "value").limit(CUTS).select("axis", "value")
+        for axis in axes
+    ]
+    cuts: dict[str, list[float]] = {}
+    for row in reduce(DataFrame.unionByName, drawn).collect():
+        cuts.setdefault(row["axis"], []).append(float(row["value"]))
+    return {axis: sorted(values) for axis, values in cuts.items()}
 
-    rows = values_at_ranks(counts, ["axis"], ranks).groupBy("axis").agg(
-        F.sort_array(F.collect_list(F.struct("slot", F.col("value").cast("double").alias("value")))).alias("cuts")
-    )
-    return {r["axis"]: [c["value"] for c in r["cuts"]] for r in rows.collect()}
+
+@dataclass(frozen=True)
+class Summary:
+    """Sums over the bins of one axis: running weights and totals, starting at 0, and the bins' means."""
+
+    weights: tuple[int, ...]
+    totals: tuple[float, ...]
+    means: tuple[float, ...]
+    variance: float
+
+    def start(self, k: int) -> tuple[float, ...]:
+        """For each cluster i of k, the mean of the bin that holds rank floor((2i + 1) n / 2k)."""
+        ranks = ((2 * i + 1) * self.weights[-1] // (2 * k) for i in range(k))
+        return tuple(self.means[bisect_right(self.weights, rank) - 1] for rank in ranks)
+
+    def sums(self, borders: Sequence[float]) -> dict[int, tuple[float, int]]:
+        """Total and weight per cluster, each bin standing at its mean."""
+        edges = [0, *(bisect_right(self.means, border) for border in borders), len(self.means)]
+        spans = enumerate(zip(edges, edges[1:]))
+        return {i: (float(self.totals[b] - self.totals[a]), self.weights[b] - self.weights[a]) for i, (a, b) in spans if b > a}
 
 
-def _bin_sums(counts: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[tuple[float, int, float]]]:
-    """Sum, weight and sum of squares of each bin: at most 256 rows per axis, whatever the data's size."""
+def _summaries(counts: DataFrame, cuts: dict[str, list[float]]) -> dict[str, Summary]:
+    """Weight, total and squares of each bin: at most 1,024 rows per axis, whatever the data's size."""
     value, weight = F.col("value").cast("double"), F.col("weight")
     cases = " ".join(f"WHEN '{a}' THEN array({', '.join(f'{v!r}D' for v in values)})" for a, values in cuts.items())
     bin_number = F.expr(f"size(filter(CASE axis {cases} END, c -> c < double(value)))")
-    sums = (
+    rows = (
         counts.groupBy("axis", bin_number.alias("bin"))
         .agg(
             F.sum(F.col("value") * weight).alias("total"),
             F.sum("weight").alias("weight"),
             F.sum(value * value * weight).alias("squares"),
         )
+        .orderBy("axis", "bin")
         .collect()
     )
-    bins: dict[str, list[tuple[float, int, float]]] = {axis: [] for axis in cuts}
-    for row in sorted(sums, key=lambda r: (r["axis"], r["bin"])):
-        bins[row["axis"]].append((row["total"], row["weight"], row["squares"]))
-    return bins
-
-
-def _variance(bins: list[tuple[float, int, float]]) -> float:
-    weight = sum(w for _, w, _ in bins)
-    mean = float(sum(total for total, _, _ in bins)) / weight
-    return sum(squares for _, _, squares in bins) / weight - mean * mean
-
-
-def _start(fit: Fit, bins: list[tuple[float, int, float]], variance: float, max_iter: int, tolerance: float) -> Fit:
-    """Rounds over the bins alone, each standing at its mean, to begin the exact rounds close to their end."""
-    for _ in range(max_iter):
-        borders = fit.borders()
-        sums: dict[int, tuple[float, int]] = {}
-        for total, weight, _ in bins:
-            cluster = bisect_left(borders, float(total) / weight)
-            t, w = sums.get(cluster, (0, 0))
-            sums[cluster] = (t + total, w + weight)
-        fit = _advance(fit, {c: (float(t), w) for c, (t, w) in sums.items()}, variance, tolerance)
-        if fit.settled:
-            break
+    out = {}
+    for axis in cuts:
+        bins = [r for r in rows if r["axis"] == axis]
+        weights = tuple(accumulate((r["weight"] for r in bins), initial=0))
+        totals = tuple(accumulate((r["total"] for r in bins), initial=0))
+        mean = float(totals[-1]) / weights[-1]
+        variance = sum(r["squares"] for r in bins) / weights[-1] - mean * mean
+        out[axis] = Summary(weights, totals, tuple(float(r["total"]) / r["weight"] for r in bins), variance)
+    return out
+
+
+def _start(axis: str, k: int, scale: int, summary: Summary) -> Fit:
+    """Rounds over the bins alone until nothing moves, to begin the exact rounds close to their end."""
+    fit = Fit(axis, k, summary.start(k), scale)
+    while fit.rounds < MAX_ITER and not fit.settled:
+        fit = _advance(fit, summary.sums(fit.borders()), summary.variance, 0.0)
     return replace(fit, rounds=0, settled=False)
 
 
@@ -172,32 +193,24 @@ def fit_counts(
     max_iter: int = MAX_ITER,
     tolerance: float = TOLERANCE,
 ) -> list[Fit]:
-    """Fit each (axis, k) on a table from `axis_counts`.
+    """Fit each (axis, k) on a table from `axis_counts`; an axis without values has no fit.
 
-    Centres start at quantiles and first settle on a summary of 256 bins per axis, which fits in a few
+    Centres start at quantiles and first settle on a summary of some thousand bins, which fits in a few
     kilobytes; then come rounds over all distinct values. Rounds end for a fit once the squared shift of
     its centres is at most `tolerance` times the variance.
     """
-    held = hold(counts)
-    cuts = _cut_values(held)
-    bins = _bin_sums(held, cuts) if cuts else {}
-    variance = {axis: _variance(rows) for axis, rows in bins.items()}
-    fits = []
-    for axis, k in wanted:
-        if axis in cuts:
-            start = tuple(cuts[axis][(2 * i + 1) * BINS // (2 * k) - 1] for i in range(k))
-            fits.append(_start(Fit(axis, k, start, scales[axis]), bins[axis], variance[axis], max_iter, tolerance))
+    cuts = _cut_values(counts, list(dict.fromkeys(axis for axis, _ in wanted)))
+    summaries = _summaries(counts, cuts) if cuts else {}
+    fits = [_start(axis, k, scales[axis], summaries[axis]) for axis, k in wanted if axis in summaries]
     for _ in range(max_iter):
         moving = [n for n, fit in enumerate(fits) if not fit.settled]
         if not moving:
             break
-        sums = _sums(held, [fits[n] for n in moving])
+        sums = _sums(counts, [fits[n] for n in moving])
         for place, n in enumerate(moving):
             own = {cluster: pair for (p, cluster), pair in sums.items() if p == place}
-            fits[n] = _advance(fits[n], own, variance[fits[n].axis], tolerance)
-    fits = _with_used(held, fits)
-    held.unpersist()
-    return fits
+            fits[n] = _advance(fits[n], own, summaries[fits[n].axis].variance, tolerance)
+    return _with_used(counts, fits)
 
 
 def _with_used(counts: DataFrame, fits: Sequence[Fit]) -> list[Fit]:
@@ -208,18 +221,21 @@ def _with_used(counts: DataFrame, fits: Sequence[Fit]) -> list[Fit]:
 def fit_kmeans(df: DataFrame, axes: dict[str, int], **limits) -> dict[str, Fit]:
     """Quantile-start k-means of each column on its own; {column: k} to {column: fit}."""
     counts, scales = axis_counts(df, list(axes))
-    return {fit.axis: fit for fit in fit_counts(counts, list(axes.items()), scales, **limits)}
+    fits = fit_counts(counts, list(axes.items()), scales, **limits)
+    counts.unpersist()
+    return {fit.axis: fit for fit in fits}
 
 
 def fit_kmeans_random(df: DataFrame, column: str, k: int, seed: int = 42, max_iter: int = MAX_ITER) -> Fit:
     """MLlib's k-means|| start instead, weighted by distinct value; centres come back ascending."""
     counts, scales = axis_counts(df, [column])
     rows = counts.select(F.col("value").cast("double").alias("value"), F.col("weight").cast("double").alias("weight"))
-    points = hold(VectorAssembler(inputCols=["value"], outputCol="point").transform(rows))
+    points = VectorAssembler(inputCols=["value"], outputCol="point").transform(rows)
     model = KMeans(featuresCol="point", weightCol="weight", k=k, seed=seed, maxIter=max_iter).fit(points)
-    points.unpersist()
     centres = tuple(sorted(float(c[0]) for c in model.clusterCenters()))
-    return _with_used(counts, [Fit(column, len(centres), centres, scales[column], settled=True)])[0]
+    (fit,) = _with_used(counts, [Fit(column, len(centres), centres, scales[column], settled=True)])
+    counts.unpersist()
+    return fit
 
 
 def assign(df: DataFrame, fit: Fit, label: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -13,43 +13,48 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
+def _values(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.select(F.array(*(F.col(f"`{c}`").cast("double") for c in names)).alias("values"))
+
+
+def _name(names: Sequence[str], position: str) -> Column:
+    return F.get(F.array(*(F.lit(c) for c in names)), F.col(position))
+
+
+def _correlation(x: str, y: str) -> Column:
+    """Null where one side is constant; corr() would raise a division by zero there, or, when the rounding
+    of merged partial means leaves a trace of variance, give some number."""
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
+    r = F.try_divide(F.regr_sxy(y, x), spread)
+    return F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows (a, b, r) for all ordered pairs, each over the rows where both are present; null where one of
-    them is constant.
+    """Rows (a, b, r) for all ordered pairs of columns, each over the rows where both are present; null
+    where one of them is constant.
 
-    One pass and one shuffled row per task: the sums of all pairs are aggregated side by side.
+    One pass: each row's pairs of column values are aggregated inside the scan task, and one row per pair
+    of columns and task is shuffled.
     """
     names = list(columns if columns is not None else numeric_columns(df))
-    rows = df.select([F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = rows.agg(
-        *(
-            F.expr(f"struct(regr_sxy(c{i}, c{j}) AS xy, regr_sxx(c{i}, c{j}) AS xx, regr_syy(c{i}, c{j}) AS yy)").alias(
-                f"p{i}_{j}"
-            )
-            for i, j in pairs
-        )
+    both = (
+        _values(df, names)
+        .select("values", F.posexplode("values").alias("i", "x"))
+        .select("i", "x", F.posexplode("values").alias("j", "y"))
+        .filter((F.col("j") >= F.col("i")) & F.col("x").isNotNull() & F.col("y").isNotNull())
     )
-    quoted = {c: c.replace("'", "\\'") for c in names}
-    both = [
-        f"struct('{quoted[names[a]]}' AS a, '{quoted[names[b]]}' AS b, p{i}_{j} AS p)"
-        for i, j in pairs
-        for a, b in ({(i, j), (j, i)})
-    ]
-    long = sums.select(F.expr(f"inline(array({', '.join(both)}))"))
-    return long.select("a", "b", F.try_divide(F.col("p.xy"), F.sqrt(F.col("p.xx")) * F.sqrt(F.col("p.yy"))).alias("r"))
+    half = both.groupBy("i", "j").agg(_correlation("x", "y").alias("r"))
+    sides = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    mirrored = half.select(F.explode(F.array_distinct(sides)).alias("side"), "r")
+    return mirrored.select("side.*", "r").select(_name(names, "i").alias("a"), _name(names, "j").alias("b"), "r")
 
 
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Correlation of each column with one target, largest first."""
     names = list(columns if columns is not None else numeric_columns(df))
-    rows = df.select([F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-    t = f"c{names.index(target)}"
-    sums = rows.agg(
-        *(
-            F.expr(f"try_divide(regr_sxy({t}, c{i}), sqrt(regr_sxx({t}, c{i})) * sqrt(regr_syy({t}, c{i})))").alias(f"r{i}")
-            for i in range(len(names))
-        )
+    both = _values(df, names).select(
+        F.get("values", F.lit(names.index(target))).alias("x"), F.posexplode("values").alias("j", "y")
     )
-    both = (F.struct(F.lit(c).alias("variable"), F.col(f"r{i}").alias("r")) for i, c in enumerate(names))
-    return sums.select(F.inline(F.array(*both))).orderBy(F.col("r").desc_nulls_last(), "variable")
+    each = both.groupBy("j").agg(_correlation("x", "y").alias("r")).select(_name(names, "j").alias("variable"), "r")
+    return each.orderBy(F.col("r").desc_nulls_last(), "variable")

@@ -18,7 +18,8 @@ def standardise(df: DataFrame, columns: Sequence[str], suffix: str = "") -> Data
     parts = []
     for c in columns:
         number = F.col(c).cast("double")
-        parts += [F.avg(number).alias(f"{c}_mean"), F.stddev_pop(number).alias(f"{c}_std")]
+        spread = F.when(F.min(number) < F.max(number), F.stddev_pop(number)).otherwise(0.0)
+        parts += [F.avg(number).alias(f"{c}_mean"), spread.alias(f"{c}_std")]
     stats = df.agg(F.struct(*parts).alias("stats")).scalar()
     scaled = {}
     for c in columns:

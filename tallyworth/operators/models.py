@@ -78,8 +78,8 @@ def _tidy(df: DataFrame) -> DataFrame:
     return df.drop("measures", "scaled", "features", "rawPrediction")
 
 
-def _pipeline(classifier) -> Trainer:
-    return lambda train: Pipeline(stages=[*_preparation(), classifier]).fit(train)
+def _pipeline(classifier: type, **params) -> Trainer:
+    return lambda train: Pipeline(stages=[*_preparation(), classifier(**params)]).fit(train)
 
 
 def logistic(regularisation: float | None = None, max_iter: int = 100) -> Trainer:
@@ -87,19 +87,18 @@ def logistic(regularisation: float | None = None, max_iter: int = 100) -> Traine
 
     def fit(train: DataFrame) -> Model:
         penalty = regularisation if regularisation is not None else 1.0 / max(train.count(), 1)
-        return _pipeline(
-            LogisticRegression(family="multinomial", standardization=False, regParam=penalty, maxIter=max_iter)
-        )(train)
+        settings = {"family": "multinomial", "standardization": False, "regParam": penalty, "maxIter": max_iter}
+        return _pipeline(LogisticRegression, **settings)(train)
 
     return fit
 
 
 def tree(depth: int = 30, seed: int = 42) -> Trainer:
-    return _pipeline(DecisionTreeClassifier(impurity="gini", maxDepth=depth, seed=seed))
+    return _pipeline(DecisionTreeClassifier, impurity="gini", maxDepth=depth, seed=seed)
 
 
 def forest(trees: int = 50, depth: int = 10, seed: int = 42) -> Trainer:
-    return _pipeline(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed))
+    return _pipeline(RandomForestClassifier, numTrees=trees, maxDepth=depth, seed=seed)
 
 
 class BoostedModel:

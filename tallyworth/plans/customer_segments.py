@@ -14,8 +14,7 @@ from tallyworth.operators.clusters import (
     TOLERANCE,
     Fit,
     assign_ordered,
-    axis_counts,
-    fit_counts,
+    fit_kmeans,
     fit_kmeans_random,
 )
 from tallyworth.operators.cleaning import clean_transactions
@@ -54,18 +53,23 @@ def customer_base(raw: DataFrame, years: tuple[int, int] | None = None, valid_on
     return with_recency(activity, last_day(activity, "last_date"))
 
 
-def _fits(customers: DataFrame, wanted: dict[str, int], settings: Settings) -> list[Fit]:
+def _fits(customers: DataFrame, wanted: dict[str, int], settings: Settings) -> dict[str, Fit]:
     if settings.random_start:
-        return [fit_kmeans_random(customers, axis, k, settings.seed, settings.max_iter) for axis, k in wanted.items()]
-    counts, scales = axis_counts(customers, list(wanted))
-    return fit_counts(counts, list(wanted.items()), scales, settings.max_iter, settings.tolerance)
+        return {
+            axis: fit_kmeans_random(customers, axis, k, settings.seed, settings.max_iter) for axis, k in wanted.items()
+        }
+    return fit_kmeans(customers, wanted, max_iter=settings.max_iter, tolerance=settings.tolerance)
+
+
+def _scored(customers: DataFrame, fits: dict[str, Fit], settings: Settings) -> DataFrame:
+    for axis, larger_is_higher in AXES.items():
+        customers = assign_ordered(customers, fits[axis], f"{axis}_cluster", larger_is_higher)
+    return with_segment(overall_score(customers), settings.low_up_to, settings.mid_up_to)
 
 
 def score_customers(customers: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Cluster the three axes of one row per user, add score and segment."""
-    for fit in _fits(customers, dict.fromkeys(AXES, settings.clusters), settings):
-        customers = assign_ordered(customers, fit, f"{fit.axis}_cluster", AXES[fit.axis])
-    return with_segment(overall_score(customers), settings.low_up_to, settings.mid_up_to)
+    return _scored(customers, _fits(customers, dict.fromkeys(AXES, settings.clusters), settings), settings)
 
 
 def segment_customers(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -73,28 +77,23 @@ def segment_customers(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     return score_customers(customer_base(raw, valid_only=settings.valid_only), settings)
 
 
-def add_value_label(customers: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Lifetime-value cluster from the window revenue, 0 for the lowest.
-
-    Scaling one column does not change which centre is nearest, so the fit runs on exact cents; the scaled
-    column is made by `standardise` where it is wanted.
-    """
-    (fit,) = _fits(customers, {"window_revenue": settings.value_clusters}, settings)
-    return assign_ordered(customers, fit, "ltv_cluster")
-
-
 def label_lifetime_value(
     raw: DataFrame, start_year: int, end_year: int, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Segmented customers with the revenue of the given years and its cluster.
+    """Segmented customers with the revenue of the given years and its cluster, 0 for the lowest.
 
     One scan and one shuffle of the transactions serve both: the window revenue is a conditional sum of the
-    same aggregation. Users without a valid transaction in the window take part in scoring, then drop out.
+    same aggregation, and its clusters are fitted in the same rounds as the scores. Users without a valid
+    transaction in the window take part in scoring, then drop out.
+
+    Scaling one column does not change which centre is nearest, so the fit runs on exact cents; the scaled
+    column is made by `standardise` where it is wanted.
     """
     base = customer_base(raw, (start_year, end_year), settings.valid_only)
-    in_window = F.col("window_transactions") > 0
-    scored = score_customers(base, settings).filter(in_window).drop("window_transactions")
-    return add_value_label(scored, settings)
+    wanted = {**dict.fromkeys(AXES, settings.clusters), "window_revenue": settings.value_clusters}
+    fits = _fits(base, wanted, settings)
+    in_window = base.filter(F.col("window_transactions") > 0).drop("window_transactions")
+    return assign_ordered(_scored(in_window, fits, settings), fits["window_revenue"], "ltv_cluster")
 
 
 def label_segmented(
@@ -102,4 +101,6 @@ def label_segmented(
 ) -> DataFrame:
     """The same from segments scored earlier: window revenue joined to them, then clustered."""
     window = timeframe_revenue(clean_transactions(raw), start_year, end_year)
-    return add_value_label(materialise(with_segments(window, segments), "window-segments"), settings)
+    joined = materialise(with_segments(window, segments), "window-segments")
+    fit = _fits(joined, {"window_revenue": settings.value_clusters}, settings)["window_revenue"]
+    return assign_ordered(joined, fit, "ltv_cluster")
