@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from tallyworth import schema
 from tallyworth.checks import proxies
 from tallyworth.checks.proxies import END_YEAR, START_YEAR
 from tallyworth.checks.sql import build
-from tallyworth.functions.money import parse_money
+from tallyworth.functions import money
 from tallyworth.functions.segments import SEGMENTS
 from tallyworth.operators import (
     activity,
@@ -146,7 +145,7 @@ def scan_by_year(spark, folder):
     ORDER BY h, row_id LIMIT 1000""",
     "tx",
 )
-def sample_rows(spark, folder):
+def sample_n(spark, folder):
     return sampling.sample_rows(_clean(spark, folder), "row_id", 1000).select("row_id", _d("amount"))
 
 
@@ -154,15 +153,15 @@ def sample_rows(spark, folder):
 
 
 @query("SELECT row_id, CAST(amount AS DOUBLE) AS amount FROM tx", "tx")
-def parse_amounts(spark, folder):
-    return proxies.transactions(spark, folder).select("row_id", parse_money("amount").cast("double").alias("amount"))
+def parse_money(spark, folder):
+    return proxies.transactions(spark, folder).select("row_id", money.parse_money("amount").cast("double").alias("amount"))
 
 
 @query(
     """SELECT row_id, strftime(dt, '%Y-%m-%d') AS date, strftime(dt, '%Y-%m-%d') || ' ' || tm AS date_time FROM tx""",
     "tx",
 )
-def build_timestamps(spark, folder):
+def build_timestamp(spark, folder):
     return _clean(spark, folder).select(
         "row_id",
         F.date_format("date", "yyyy-MM-dd").alias("date"),
@@ -332,13 +331,13 @@ def customer_features(spark, folder):
 
 
 @query(
-    """SELECT r.usr AS "user", CAST(r.revenue AS DOUBLE) AS revenue, u.yearly_income, u.total_debt
-    FROM rfm r JOIN usr_rows u ON u.idx = r.usr""",
-    "rfm", "usr_rows",
+    """SELECT l.usr AS "user", l.segment, l.ltv_cluster, u.yearly_income, u.total_debt
+    FROM ltv l JOIN usr_rows u ON u.idx = l.usr""",
+    "ltv", "usr_rows",
 )
 def debt_income_merge(spark, folder):
-    users = proxies.indexed_users(spark, folder)
-    return cf.debt_income_merge(activity.revenue(_clean(spark, folder)).withColumn("revenue", _d("revenue")), users)
+    customers = _labelled(spark, folder).select("user", "segment", "ltv_cluster")
+    return cf.debt_income_merge(customers, proxies.indexed_users(spark, folder))
 
 
 # ---- clusters, scores, segments ----
@@ -476,9 +475,9 @@ _DESCRIBE = """count({x}) AS count, round(avg(CAST({x} AS DOUBLE)), 4) AS mean,
     round(quantile_cont(CAST({x} AS DOUBLE), 0.75), 4) AS q75, CAST(max({x}) AS DOUBLE) AS max"""
 
 
-def _describe(df: DataFrame, group: str, value: str) -> DataFrame:
-    out = summaries.describe_by_group(df, group, value)
-    return out.select(group, "count", *(_r(c, 4) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")))
+def _describe(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    out = summaries.describe_by_group(df, groups, value)
+    return out.select(*groups, "count", *(_r(c, 4) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")))
 
 
 @query(
@@ -488,18 +487,19 @@ def _describe(df: DataFrame, group: str, value: str) -> DataFrame:
     ),
     "scored",
 )
-def describe_clusters(spark, folder):
-    rows = hold(_scored(spark, folder))
-    parts = [
-        _describe(rows, f"{axis}_cluster", axis).withColumnRenamed(f"{axis}_cluster", "cluster").withColumn("axis", F.lit(axis))
+def describe_by_group(spark, folder):
+    """All three axes at once, with the axis as a second group key."""
+    axes = (
+        F.struct(F.lit(axis).alias("axis"), F.col(f"{axis}_cluster").alias("cluster"), F.col(axis).cast("decimal(28,2)").alias("value"))
         for axis in cs.AXES
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    )
+    rows = _scored(spark, folder).select(F.inline(F.array(*axes)))
+    return _describe(rows, ["axis", "cluster"], "value")
 
 
 @query(f"SELECT is_fraud, {_DESCRIBE.format(x='amount')} FROM tx WHERE is_fraud IS NOT NULL GROUP BY is_fraud", "tx")
 def describe_amounts(spark, folder):
-    return _describe(_clean(spark, folder), "is_fraud", "amount")
+    return _describe(_clean(spark, folder), ["is_fraud"], "amount")
 
 
 @query(

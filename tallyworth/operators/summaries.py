@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworth.operators.quantiles import quantiles, value_counts
-from tallyworth.session import hold
+from tallyworth.operators.quantiles import quantiles
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def describe_by_group(df: DataFrame, group: str, value: str, exact: bool = True) -> DataFrame:
+def describe_by_group(df: DataFrame, groups: str | Sequence[str], value: str, exact: bool = True) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum of `value` per group.
 
     Exact quartiles come from `quantiles`, which never puts a whole group into one task; with
     `exact=False` they are approximate and cost no further pass.
     """
-    rows = df.select(group, value).filter(F.col(group).isNotNull())
+    groups = [groups] if isinstance(groups, str) else list(groups)
+    rows = df.select(*groups, value).dropna(subset=groups)
     number = F.col(value).cast("double")
     moments = [
         F.count(value).alias("count"),
@@ -30,9 +30,8 @@ def describe_by_group(df: DataFrame, group: str, value: str, exact: bool = True)
     ]
     if not exact:
         near = [F.percentile_approx(number, p).alias(name) for name, p in QUARTILES.items()]
-        return rows.groupBy(group).agg(*moments, *near)
-    counts = hold(value_counts(rows, [group], value))
-    return rows.groupBy(group).agg(*moments).join(quantiles(counts, [group], QUARTILES), group, "left")
+        return rows.groupBy(*groups).agg(*moments, *near)
+    return quantiles(rows, groups, value, QUARTILES, *moments)
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence | None = None) -> DataFrame:

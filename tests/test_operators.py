@@ -170,12 +170,17 @@ def test_quantiles_by_brute_force(spark, kind):
     assert set(near.columns) == set(next(iter(out.values())))
 
 
-def test_values_at_ranks_are_those_of_the_sorted_rows(spark):
-    values = sorted(random.Random(1).choices(range(500), k=3000))
-    counts = quantiles.value_counts(spark.createDataFrame([(1, v) for v in values], "g int, v int"), ["g"], "v")
-    ranks = list(range(0, 3000, 37))
-    found = quantiles.values_at_ranks(counts, ["g"], lambda total: F.array(*(F.lit(r) for r in ranks))).collect()
-    assert {r["slot"]: r["value"] for r in found} == {i: values[r] for i, r in enumerate(ranks)}
+@pytest.mark.parametrize("kind", ["spread", "copies"])
+def test_quantiles_of_groups_too_large_to_take_whole(spark, kind):
+    draw = random.Random(8)
+    values = [5.0 if kind == "copies" and i % 3 else round(draw.lognormvariate(2, 2), 4) for i in range(60000)]
+    frame = spark.createDataFrame([("big" if i % 50 else "small", v) for i, v in enumerate(values)], "g string, v double")
+    probabilities = {"q01": 0.01, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
+    found = {r["g"]: r for r in quantiles.quantiles(frame.repartition(6), ["g"], "v", probabilities).collect()}
+    for group in ("big", "small"):
+        own = sorted(v for i, v in enumerate(values) if ("big" if i % 50 else "small") == group)
+        for name, p in probabilities.items():
+            assert found[group][name] == pytest.approx(_quantile(own, p), rel=1e-12)
 
 
 def test_crosstab_finds_values_itself(spark):
