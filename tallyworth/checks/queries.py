@@ -293,13 +293,13 @@ def row_index(spark, folder):
     return proxies.indexed_users(spark, folder).select("index", "current_age", "fico_score", "num_credit_cards")
 
 
-_CARD = """usr AS "user", total_cards, total_cards_with_chips, total_cards_issued, round(average_credit_limit, 6) AS
+_CARD = """usr AS "user", total_cards, total_cards_with_chips, total_cards_issued,
     average_credit_limit, cards_on_dark_web, amex, discover, mastercard, visa, credit, debit, debit_prepaid"""
 
 
 @query(f"SELECT {_CARD} FROM card_stats", "card_stats")
 def card_features(spark, folder):
-    return cards.card_features(proxies.cards(spark, folder)).withColumn("average_credit_limit", _r("average_credit_limit", 6))
+    return cards.card_features(proxies.cards(spark, folder))
 
 
 @query(
@@ -320,14 +320,13 @@ def card_list_values(spark, folder):
 _FEATURES = """usr AS "user", ltv_cluster, CAST(revenue AS DOUBLE) AS revenue, recency, frequency, overall_score,
     current_age, retirement_age, CAST(per_capita_income AS DOUBLE) AS per_capita_income,
     CAST(yearly_income AS DOUBLE) AS yearly_income, CAST(total_debt AS DOUBLE) AS total_debt, fico_score,
-    num_credit_cards, total_cards_with_chips, total_cards_issued, round(average_credit_limit, 6) AS
+    num_credit_cards, total_cards_with_chips, total_cards_issued,
     average_credit_limit, cards_on_dark_web, amex, discover, mastercard, visa, credit, debit, debit_prepaid"""
 
 
 @query(f"SELECT {_FEATURES} FROM features", "features")
 def customer_features(spark, folder):
-    rows = _features(spark, folder)
-    return rows.withColumns({"revenue": _d("revenue"), "average_credit_limit": _r("average_credit_limit", 6)})
+    return _features(spark, folder).withColumn("revenue", _d("revenue"))
 
 
 @query(
@@ -469,7 +468,7 @@ def ltv_from_segments(spark, folder):
 
 # ---- summaries ----
 
-_DESCRIBE = """count({x}) AS count, round(avg(CAST({x} AS DOUBLE)), 4) AS mean,
+_DESCRIBE = """count({x}) AS count, CAST(sum({x}) AS DOUBLE) / count({x}) AS mean,
     round(stddev_samp(CAST({x} AS DOUBLE)), 4) AS std, CAST(min({x}) AS DOUBLE) AS min,
     round(quantile_cont(CAST({x} AS DOUBLE), 0.25), 4) AS q25, round(quantile_cont(CAST({x} AS DOUBLE), 0.5), 4) AS q50,
     round(quantile_cont(CAST({x} AS DOUBLE), 0.75), 4) AS q75, CAST(max({x}) AS DOUBLE) AS max"""
@@ -477,7 +476,7 @@ _DESCRIBE = """count({x}) AS count, round(avg(CAST({x} AS DOUBLE)), 4) AS mean,
 
 def _describe(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     out = summaries.describe_by_group(df, groups, value)
-    return out.select(*groups, "count", *(_r(c, 4) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")))
+    return out.select(*groups, "count", "mean", *(_r(c, 4) for c in ("std", "min", "q25", "q50", "q75", "max")))
 
 
 @query(
@@ -503,14 +502,13 @@ def describe_amounts(spark, folder):
 
 
 @query(
-    """SELECT overall_score, count(*) AS customers, round(avg(recency), 4) AS mean_recency,
-    round(avg(frequency), 4) AS mean_frequency, round(avg(CAST(revenue AS DOUBLE)), 4) AS mean_revenue
+    """SELECT overall_score, count(*) AS customers, CAST(sum(recency) AS DOUBLE) / count(*) AS mean_recency,
+    CAST(sum(frequency) AS DOUBLE) / count(*) AS mean_frequency, CAST(sum(revenue) AS DOUBLE) / count(*) AS mean_revenue
     FROM scored GROUP BY overall_score""",
     "scored",
 )
 def score_profile(spark, folder):
-    out = scoring.score_profile(_scored(spark, folder))
-    return out.select("overall_score", "customers", *(_r(f"mean_{c}", 4) for c in cs.AXES))
+    return scoring.score_profile(_scored(spark, folder))
 
 
 @query(
@@ -630,7 +628,7 @@ def feature_tests(spark, folder):
 
 
 @query(
-    f"""SELECT usr AS "user", ltv_cluster, f.name, round(f.value, 6) AS value FROM (
+    f"""SELECT usr AS "user", ltv_cluster, f.name, f.value FROM (
     SELECT usr, ltv_cluster, unnest([{", ".join(f"{{'name': '{c}', 'value': CAST({c} AS DOUBLE)}}" for c in _TESTED)}]) AS f
     FROM features) WHERE f.name IN (SELECT variable FROM ({_BOTH}) WHERE significance = 'Significant')
     OR f.name IN ({", ".join(f"'{c}'" for c in cf.KEPT_CARDS)})""",
@@ -641,7 +639,7 @@ def select_features(spark, folder):
     chosen = cf.selected_features(hold(_features(spark, folder)))
     names = [c for c in chosen.columns if c not in ("user", "ltv_cluster")]
     pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in names))
-    return chosen.select("user", "ltv_cluster", F.inline(pairs)).withColumn("value", _r("value", 6))
+    return chosen.select("user", "ltv_cluster", F.inline(pairs))
 
 
 # ---- splits, metrics, models ----

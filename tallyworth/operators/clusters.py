@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 from tallyworth.functions.buckets import key_hash
+from tallyworth.functions.means import exact_mean
 from tallyworth.session import hold
 
 MAX_ITER = 300
@@ -283,7 +284,7 @@ def order_clusters(df: DataFrame, label: str, target: str, ascending: bool = Tru
 
     Rows without a label keep none, as they belong to no cluster.
     """
-    means = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.avg(F.col(target).cast("double")).alias("_mean"))
+    means = df.filter(F.col(label).isNotNull()).groupBy(label).agg(exact_mean(df, target).alias("_mean"))
     mean = F.col("_mean").asc_nulls_last() if ascending else F.col("_mean").desc_nulls_last()
     # One row per cluster: k rows, whatever the size of the table.
     ranks = means.select(label, (F.row_number().over(Window.orderBy(mean, label)) - 1).alias("_rank"))

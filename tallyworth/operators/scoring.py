@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyworth.functions.means import exact_mean
 from tallyworth.functions.segments import LOW_UP_TO, MID_UP_TO, value_segment
 
 
@@ -19,5 +20,5 @@ def with_segment(df: DataFrame, low_up_to: int = LOW_UP_TO, mid_up_to: int = MID
 
 def score_profile(df: DataFrame) -> DataFrame:
     """Mean recency, frequency and revenue per score."""
-    means = (F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in ("recency", "frequency", "revenue"))
+    means = (exact_mean(df, c).alias(f"mean_{c}") for c in ("recency", "frequency", "revenue"))
     return df.groupBy("overall_score").agg(F.count(F.lit(1)).alias("customers"), *means)

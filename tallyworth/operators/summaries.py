@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyworth.functions.means import exact_mean
 from tallyworth.operators.quantiles import quantiles
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -23,7 +24,7 @@ def describe_by_group(df: DataFrame, groups: str | Sequence[str], value: str, ex
     number = F.col(value).cast("double")
     moments = [
         F.count(value).alias("count"),
-        F.avg(number).alias("mean"),
+        exact_mean(rows, value).alias("mean"),
         F.stddev_samp(number).alias("std"),
         F.min(number).alias("min"),
         F.max(number).alias("max"),
