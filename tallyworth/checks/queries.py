@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -255,6 +256,14 @@ def rfm_raw(spark, folder):
     return activity.rfm(_clean(spark, folder)).withColumn("revenue", _d("revenue"))
 
 
+@query('SELECT usr AS "user", recency, frequency, CAST(revenue AS DOUBLE) AS revenue FROM rfm', "rfm")
+def rfm_joined(spark, folder):
+    """The same from three aggregations, joined on the columns they share."""
+    rows = _clean(spark, folder)
+    parts = (activity.recency(rows), activity.frequency(rows), activity.revenue(rows))
+    return reduce(joins.natural_join, parts).withColumn("revenue", _d("revenue"))
+
+
 @query(
     """SELECT usr AS "user", date_diff('day', max(dt), (SELECT max(dt) FROM tagged WHERE valid)) AS recency,
     count(yr) AS frequency, CAST(sum(amount) AS DOUBLE) AS revenue FROM tagged WHERE valid GROUP BY usr""",

@@ -44,6 +44,14 @@ def transactions_with_users(transactions: DataFrame, users: DataFrame, **limits)
     return join_skewed(transactions, users, "user", **limits)
 
 
+def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Inner join on every column name the two sides share."""
+    shared = [c for c in left.columns if c in right.columns]
+    if not shared:
+        raise ValueError("the tables share no column")
+    return left.join(right, shared)
+
+
 def with_segments(window_revenue: DataFrame, segments: DataFrame) -> DataFrame:
     """Window revenue beside the segment columns; both sides hold one row per user."""
     return window_revenue.join(segments, "user")

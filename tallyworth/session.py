@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -84,8 +85,22 @@ def measured(df: DataFrame) -> DataFrame:
     return held
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop path and its file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def written_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at `path`; it is built and written only if no complete one is there."""
+    marker, files = _files(spark, f"{path.rstrip('/')}/_SUCCESS")
+    if not files.exists(marker):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def clear_scratch(spark: SparkSession) -> bool:
     """Delete the intermediate tables this application wrote under the shared folder."""
     app = spark.sparkContext.applicationId
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark).rstrip('/')}/tallyworth/{app}")
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _files(spark, f"{scratch_root(spark).rstrip('/')}/tallyworth/{app}")
+    return files.delete(target, True)

@@ -98,6 +98,14 @@ def test_join_keeps_all_rows_of_hot_keys(spark, least_rows):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, facts.join(users, "user").collect()))
 
 
+def test_natural_join_needs_a_shared_column(spark):
+    left = spark.createDataFrame([(1, 2, 3), (1, 5, 4)], "a int, b int, c int")
+    right = spark.createDataFrame([(1, 2, 9)], "a int, b int, d int")
+    assert [tuple(r) for r in joins.natural_join(left, right).collect()] == [(1, 2, 3, 9)]
+    with pytest.raises(ValueError):
+        joins.natural_join(left, right.select("d"))
+
+
 def test_hot_join_refuses_a_dimension_with_copies(spark):
     facts = spark.range(100).select(F.lit(7).cast("bigint").alias("user"))
     with pytest.raises(ValueError):

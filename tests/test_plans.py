@@ -6,7 +6,7 @@ from tallyworth.checks import proxies
 from tallyworth.operators import metrics, models
 from tallyworth.plans import customer_segments as cs
 from tallyworth.plans import model_selection as ms
-from tallyworth.session import clear_scratch, materialise, scratch_root
+from tallyworth.session import clear_scratch, materialise, scratch_root, written_once
 from tallyworth.sources import tables
 
 
@@ -122,6 +122,18 @@ def test_scratch_is_the_folder_the_session_names(spark):
     assert scratch_root(spark).removeprefix("file:") in kept.inputFiles()[0] and kept.count() == 5
 
 
+def test_a_table_is_built_once(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert written_once(spark, f"{tmp_path}/once", build).count() == 3
+    assert built == [1]
+
+
 def test_zz_clear_scratch_removes_only_this_application(spark):
     kept = materialise(spark.range(5), "kept")
     assert kept.count() == 5 and clear_scratch(spark)
