@@ -117,8 +117,8 @@ _LTV = """usr AS "user", CAST(window_revenue AS DOUBLE) AS window_revenue, CAST(
 
 @query(f"SELECT {_LTV} FROM ltv", "ltv")
 def write_lifetime_value_table(spark, folder):
-    path = scratch_path(spark, "cltv")
-    name = "cltv_" + path.rsplit("-", 1)[1]
+    path = scratch_path(spark, "lifetime-value")
+    name = "lifetime_value_" + path.rsplit("-", 1)[1]
     published = _labelled(spark, folder).select(
         [F.col(f.name).alias(f.published.replace(" ", "_")) for f in schema.LIFETIME_VALUE]
     )

@@ -22,7 +22,7 @@ from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 from tallyworth.functions.buckets import key_hash
 from tallyworth.functions.means import exact_mean
-from tallyworth.session import hold
+from tallyworth.session import hold, measured
 
 MAX_ITER = 300
 TOLERANCE = 1e-4
@@ -286,9 +286,9 @@ def order_clusters(df: DataFrame, label: str, target: str, ascending: bool = Tru
     """
     means = df.filter(F.col(label).isNotNull()).groupBy(label).agg(exact_mean(df, target).alias("_mean"))
     mean = F.col("_mean").asc_nulls_last() if ascending else F.col("_mean").desc_nulls_last()
-    # One row per cluster: k rows, whatever the size of the table.
-    ranks = means.select(label, (F.row_number().over(Window.orderBy(mean, label)) - 1).alias("_rank"))
-    return df.join(F.broadcast(ranks), label, "left").drop(label).withColumnRenamed("_rank", label)
+    # One row per cluster: k rows, whatever the size of the table. The planner sees their measured size.
+    ranks = measured(means.select(label, (F.row_number().over(Window.orderBy(mean, label)) - 1).alias("_rank")))
+    return df.join(ranks, label, "left").drop(label).withColumnRenamed("_rank", label)
 
 
 def elbow_curve(df: DataFrame, axes: Sequence[str], most: int = 9, **limits) -> DataFrame:

@@ -11,8 +11,8 @@ METRICS = ("accuracy", "precision", "recall", "f1_score")
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
-    """Rows per (label, prediction); everything else is computed from these few cells."""
-    return df.groupBy(*by, F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")).agg(
+    """Rows per (label, prediction), where both are known; everything else is computed from these few cells."""
+    return df.dropna(subset=[label, prediction]).groupBy(*by, F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")).agg(
         F.count(F.lit(1)).alias("n")
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Protocol
 
@@ -18,7 +19,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworth.functions.segments import SEGMENTS
@@ -27,6 +28,8 @@ from tallyworth.session import scratch_root
 
 MEASURES = ("revenue", "recency", "frequency")
 CLUSTERS = ("recency_cluster", "frequency_cluster", "revenue_cluster", "overall_score")
+FLAGS = tuple(f"segment_{s}" for s in sorted(SEGMENTS))
+FEATURES = (*MEASURES, *CLUSTERS, *FLAGS)
 
 
 class Model(Protocol):
@@ -55,10 +58,15 @@ PLAIN = Boosting(5, 0.1, 100)
 
 
 def model_frame(labelled: DataFrame) -> DataFrame:
-    """User, label and features. The window revenue is left out: the label is made from it."""
+    """User, label and features of every customer. The window revenue is left out: the label is made from it."""
     numbers = (F.col(c).cast("double").alias(c) for c in (*MEASURES, *CLUSTERS))
     frame = labelled.select("user", F.col("ltv_cluster").cast("double").alias("label"), *numbers, "segment")
-    return one_hot(frame, "segment", SEGMENTS).na.drop()
+    return one_hot(frame, "segment", SEGMENTS)
+
+
+def trainable(frame: DataFrame) -> DataFrame:
+    """The rows that have a label and all features; a customer without a readable date, for one, has no recency."""
+    return frame.dropna(subset=["label", *FEATURES])
 
 
 def _preparation() -> list:
@@ -66,27 +74,22 @@ def _preparation() -> list:
 
     The scaler is part of the model, so that new customers are scaled as the training rows were.
     """
-    flags = [f"segment_{s}" for s in sorted(SEGMENTS)]
     return [
-        VectorAssembler(inputCols=list(MEASURES), outputCol="measures"),
+        VectorAssembler(inputCols=list(MEASURES), outputCol="measures", handleInvalid="keep"),
         StandardScaler(inputCol="measures", outputCol="scaled", withMean=True, withStd=True),
-        VectorAssembler(inputCols=["scaled", *CLUSTERS, *flags], outputCol="features"),
+        VectorAssembler(inputCols=["scaled", *CLUSTERS, *FLAGS], outputCol="features", handleInvalid="keep"),
     ]
 
 
-def _tidy(df: DataFrame) -> DataFrame:
-    return df.drop("measures", "scaled", "features", "rawPrediction")
-
-
 def _pipeline(classifier: type, **params) -> Trainer:
-    return lambda train: Pipeline(stages=[*_preparation(), classifier(**params)]).fit(train)
+    return lambda train: Pipeline(stages=[*_preparation(), classifier(**params)]).fit(trainable(train))
 
 
 def logistic(regularisation: float | None = None, max_iter: int = 100) -> Trainer:
     """Multinomial logistic regression; the default penalty is 1/n, that is C = 1 on the sum of losses."""
 
     def fit(train: DataFrame) -> Model:
-        penalty = regularisation if regularisation is not None else 1.0 / max(train.count(), 1)
+        penalty = regularisation if regularisation is not None else 1.0 / max(trainable(train).count(), 1)
         settings = {"family": "multinomial", "standardization": False, "regParam": penalty, "maxIter": max_iter}
         return _pipeline(LogisticRegression, **settings)(train)
 
@@ -137,8 +140,9 @@ def boosted(settings: Boosting = TUNED, classes: int = 3, parallelism: int = 3)
 
     def fit(train: DataFrame) -> Model:
         scratch_root(train.sparkSession)  # names the folder where long boosting runs cut their lineage
-        preparation = Pipeline(stages=_preparation()).fit(train)
-        prepared = preparation.transform(train).select("label", "features").persist()
+        rows = trainable(train)
+        preparation = Pipeline(stages=_preparation()).fit(rows)
+        prepared = preparation.transform(rows).select("label", "features").persist()
         share = settings.columns_share
 
         def fit_class(number: int) -> GBTClassificationModel:
@@ -165,12 +169,16 @@ def run_parallel(job: Callable, items: Sequence, parallelism: int) -> list:
     """Submit several Spark jobs at once, as MLlib's own tuning does; the work itself stays on the cluster."""
     if parallelism <= 1:
         return [job(item) for item in items]
+    in_session = inheritable_thread_target(SparkSession.getActiveSession())
     pool = ThreadPool(parallelism)
     try:
-        return pool.map(inheritable_thread_target(job), items, chunksize=1)
+        return pool.map(in_session(job), items, chunksize=1)
     finally:
         pool.close()
 
 
 def predict(model: Model, df: DataFrame) -> DataFrame:
-    return _tidy(model.transform(df))
+    """Every row with its predicted class; a row that lacks a feature has none."""
+    known = reduce(Column.__and__, (F.col(f"`{c}`").isNotNull() for c in FEATURES))
+    prediction = F.when(known, F.col("prediction")).alias("prediction")
+    return model.transform(df).select(*(f"`{c}`" for c in df.columns), prediction)

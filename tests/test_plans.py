@@ -65,12 +65,12 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
 
 def test_catalog_table(spark, labelled, tmp_path):
     published = labelled.select([F.col(f.name).alias(f.published) for f in schema.LIFETIME_VALUE])
-    tables.write_table(published.withColumnsRenamed({c: c.replace(" ", "_") for c in published.columns}), "cltv_test", f"{tmp_path}/t")
+    tables.write_table(published.withColumnsRenamed({c: c.replace(" ", "_") for c in published.columns}), "lifetime_value_test", f"{tmp_path}/t")
     fields = [f._replace(published=f.published.replace(" ", "_")) for f in schema.LIFETIME_VALUE]
-    back = tables.read_table(spark, "cltv_test", fields)
+    back = tables.read_table(spark, "lifetime_value_test", fields)
     assert set(map(tuple, back.collect())) == set(map(tuple, labelled.select(*back.columns).collect()))
     assert set(map(tuple, tables.read_parquet(spark, f"{tmp_path}/t", fields).collect())) == set(map(tuple, back.collect()))
-    spark.sql("DROP TABLE cltv_test")
+    spark.sql("DROP TABLE lifetime_value_test")
 
 
 def test_leak_is_left_out(frame):
@@ -91,6 +91,15 @@ def test_models_beat_guessing(frame, trainer):
     assert result["accuracy"] > most_common
 
 
+def test_customers_without_a_feature_are_kept_without_a_class(frame):
+    holes = frame.withColumn("recency", F.when(F.col("user") % 10 != 0, F.col("recency")))
+    for trainer in (models.logistic(max_iter=3), models.tree(3), models.boosted(models.Boosting(2, 0.3, 1))):
+        scored = ms.predict(trainer(holes), holes)
+        assert scored.count() == frame.count()
+        assert scored.filter(F.col("prediction").isNull() != F.col("recency").isNull()).isEmpty()
+        assert metrics.confusion(scored).agg(F.sum("n")).first()[0] == holes.dropna().count()
+
+
 def test_boosted_model_survives_storage(spark, frame, tmp_path):
     model = models.boosted(models.Boosting(3, 0.3, 2))(frame)
     ms.save_model(model, f"{tmp_path}/m")
