@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyworth.session import hold
+
 METRICS = ("accuracy", "precision", "recall", "f1_score")
 
 
@@ -52,7 +54,8 @@ def weighted_metrics(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def classification_report(cells: DataFrame) -> DataFrame:
     """One row per class, then accuracy, the plain and the support-weighted averages."""
-    classes = per_class(cells)
+    # A row per class, held because four parts of the report read it and the counts come from all the data.
+    classes = hold(per_class(cells))
     scores = METRICS[1:]
     rows = classes.select(F.col("class").cast("string").alias("class"), *scores, "support")
     total = F.sum("support").alias("support")
