@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyworth import schema
 from tallyworth.checks import proxies
-from tallyworth.operators import metrics, models
+from tallyworth.operators import metrics, models, splits, summaries
 from tallyworth.plans import customer_segments as cs
 from tallyworth.plans import model_selection as ms
 from tallyworth.session import clear_scratch, materialise, scratch_root, written_once
@@ -36,6 +36,16 @@ def test_one_user_with_a_third_of_all_rows(spark, folder):
     assert sum(r["frequency"] for r in out.values()) == raw.count()
 
 
+def test_results_survive_the_loss_of_held_tables(spark, folder):
+    rows = cs.segment_customers(proxies.transactions(spark, folder))
+    profile = summaries.describe_by_group(rows, "revenue_cluster", "revenue")
+    folds = splits.stratified_folds(rows, "segment", "user")
+    frames = (rows, profile, folds)
+    before = [set(map(tuple, f.collect())) for f in frames]
+    spark.catalog.clearCache()
+    assert [set(map(tuple, f.collect())) for f in frames] == before
+
+
 def test_thresholds_and_random_start(spark, folder):
     raw = proxies.transactions(spark, folder)
     strict = cs.segment_customers(raw, cs.Settings(low_up_to=15, mid_up_to=15))
