@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyworth.llm import queries_one
+from tallyworth.llm import queries_one, queries_three, queries_two
 
-QUERIES = {**queries_one.QUERIES}
-SQL = {**queries_one.SQL}
+QUERIES = {**queries_one.QUERIES, **queries_two.QUERIES, **queries_three.QUERIES}
+SQL = {**queries_one.SQL, **queries_two.SQL, **queries_three.SQL}
