@@ -1,30 +1,58 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
-Every stage is (name, function of (spark, docs, sf_dir)); it works on all that its predecessor kept.
+Every stage is (name, function of (spark, docs, sf_dir)); it works on all that its predecessor kept. All stages but
+the last return the columns of documents; the last one returns the pieces of the packed sequences.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyworth.llm import exact_dedup
+from tallyworth.llm import exact_dedup, jaccard, language, mixing, packing
 from tallyworth.llm.common import table, written
 
 
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose main language makes up most of the text; the others go."""
+    return language.known_language(docs, language.train(language.learning_rows(docs)))
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of texts that are equal but for white space."""
     return exact_dedup.exact_dedup(docs)
 
 
-STAGES = [("exact dedup", without_copies)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similarity 0.8 or more (shingles of five words) join."""
+    return jaccard.one_of_each(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources ask for."""
+    return mixing.mixed(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokenised pieces of all documents with their places in sequences."""
+    return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY))
+
+
+STAGES = [
+    ("language identification", known_languages),
+    ("exact dedup", without_copies),
+    ("n-gram Jaccard join", without_near_copies),
+    ("source mixing", mixed_sources),
+    ("best-fit packing", packed_sequences),
+]
 
-# Language models, similarity components and branch-and-bound have no SQL form.
+# Language models, similarity components and branch-and-bound have no SQL form; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for number, (_, stage) in enumerate(STAGES, 1):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-stage-{number}")
     return docs

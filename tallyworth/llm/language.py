@@ -132,7 +132,10 @@ def train(labelled: DataFrame, most_languages: int = MOST_LANGUAGES) -> Language
     return LanguageModel(names, table)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+ADDED = ("lang_pred", "score", "languages")
+
+
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str] = ADDED) -> DataFrame:
     """Every row of `docs` with lang_pred, score (its proportion) and languages (all chosen, the largest first).
 
     Only the text is read. Null texts and texts without a letter are UNKNOWN with score 0, and so is every text under an empty
@@ -140,7 +143,6 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES x BINS probabilities
-    added = ("lang_pred", "score", "languages")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
@@ -152,13 +154,13 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 first = next(iter(shares), UNKNOWN)
                 found.append((first, min(1.0, shares.get(first, 0.0)), ",".join(shares)))
             out = batch
-            for i, (name, kind) in enumerate(zip(added, (pa.string(), pa.float64(), pa.string()))):
+            for i, (name, kind) in enumerate(zip(names, (pa.string(), pa.float64(), pa.string()))):
                 out = out.append_column(name, pa.array([f[i] for f in found], type=kind))
             yield out
 
-    kept = docs.drop(*added)
+    kept = docs.drop(*names)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(judge, f"{fields}, lang_pred string, score double, languages string")
+    return kept.mapInArrow(judge, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` string")
 
 
 def remainder(column: str = "doc_id"):
@@ -173,7 +175,7 @@ def learning_rows(docs: DataFrame) -> DataFrame:
 
 def known_language(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:
     """The rows of `docs` whose main language is known and makes up at least `least_score` of the text."""
-    columns = [f"`{c}`" for c in docs.columns]
-    renamed = docs.select(F.col("text"), F.struct(*columns).alias("_row"))
-    judged = identify(renamed, model)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("_row.*")
+    names = ("_lang_pred", "_lang_score", "_languages")
+    judged = identify(docs, model, names)
+    kept = (F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least_score)
+    return judged.filter(kept).select(*(f"`{c}`" for c in docs.columns))

@@ -28,12 +28,13 @@ class Target:
 
     `entropy` is the share of the greatest possible entropy that the weights must reach; `repeats` is the number of passes
     over a source that may not be exceeded. The largest exponent in [0, 1] is taken that reaches the entropy; if a
-    source is then repeated too often, the exponent is raised until none is (or it is 1, the natural mix).
+    source is then repeated too often, the exponent is raised until none is (or it is 1, the natural mix). Without a
+    `budget` it is the smallest one that passes over every source once, so that no document is left out.
     """
 
     entropy: float = 0.97
     repeats: float = 4.0
-    budget: float = 1.0
+    budget: float | None = None
 
 
 def weights_at(exponent: float, shares: list[float]) -> list[float]:
@@ -57,6 +58,10 @@ def _bisect(holds) -> float:
     return low
 
 
+def budget_at(weights: list[float], shares: list[float], target: Target) -> float:
+    return target.budget if target.budget is not None else max(s / w for s, w in zip(shares, weights))
+
+
 def mixing_weights(tokens: dict[str, int], target: Target = Target()) -> dict[str, float]:
     """Weight per source with tokens; they sum to 1."""
     names = sorted(n for n, t in tokens.items() if t > 0)
@@ -68,7 +73,8 @@ def mixing_weights(tokens: dict[str, int], target: Target = Target()) -> dict[st
     exponent = _bisect(lambda a: entropy(weights_at(a, shares)) >= goal) if len(names) > 1 else 1.0
 
     def too_often(a: float) -> bool:
-        return max(target.budget * w / s for w, s in zip(weights_at(a, shares), shares)) > target.repeats
+        weights = weights_at(a, shares)
+        return max(w / s for w, s in zip(weights, shares)) * budget_at(weights, shares, target) > target.repeats
 
     if too_often(exponent):
         low, high = exponent, 1.0
@@ -79,6 +85,16 @@ def mixing_weights(tokens: dict[str, int], target: Target = Target()) -> dict[st
     return dict(zip(names, weights_at(exponent, shares)))
 
 
+def mixing_plan(tokens: dict[str, int], target: Target = Target()) -> list[tuple[str, float, int, int]]:
+    """Per source with tokens: name, weight, whole passes, and the tokens left for the last pass."""
+    weights = mixing_weights(tokens, target)
+    total = sum(tokens[n] for n in weights)
+    if not total:
+        return []
+    budget = total * budget_at(list(weights.values()), [tokens[n] / total for n in weights], target)
+    return [(name, weight, *divmod(int(budget * weight + 0.5), tokens[name])) for name, weight in weights.items()]
+
+
 def n_tokens(column: str = "text"):
     """Words of the text; null has none."""
     spaced = F.trim(F.regexp_replace(text_or_empty(column), f"{WHITE}+", " "))
@@ -89,7 +105,7 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 42) -> DataFrame
     """Every draw of a document: doc_id, source, tokens, weight, epoch, block, place, and _row, the row's number.
 
     Needs doc_id, source and text. A null source is a source of its own. Documents without tokens are not drawn. The
-    budget of a source is rounded down, and a pass stops before the first document of its last block that would exceed
+    budget of a source is rounded, and a pass stops before the first document of its last block that would exceed
     it. Order and choice depend on the id and the seed only; repeated rows are drawn each for itself. An empty table
     gives an empty result.
     """
@@ -110,10 +126,7 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 42) -> DataFrame
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     totals = {r["_source"]: r["n"] for r in found}
-    budget = int(target.budget * sum(totals.values()))
-    plan = [  # whole passes over a source, and the tokens left for the last one
-        (name, weight, *divmod(int(budget * weight), totals[name])) for name, weight in mixing_weights(totals, target).items()
-    ]
+    plan = mixing_plan(totals, target)
     plans = spark.createDataFrame(plan, "_source string, weight double, passes long, rest long")
 
     # At most BLOCKS rows of a source meet in a task, whatever the size of the source.

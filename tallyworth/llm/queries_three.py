@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyworth.llm import jaccard
+from tallyworth.llm import jaccard, repeats
 from tallyworth.llm.common import table
 
 
@@ -12,5 +12,9 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"), words=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op8_jaccard_join,)}
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, folder, "documents"), with_bytes=False)
+
+
+QUERIES = {f.__name__: f for f in (op8_jaccard_join, op10_repeats)}
 SQL: dict[str, str] = {}
