@@ -175,7 +175,8 @@ def learning_rows(docs: DataFrame) -> DataFrame:
 
 def known_language(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:
     """The rows of `docs` whose main language is known and makes up at least `least_score` of the text."""
-    names = ("_lang_pred", "_lang_score", "_languages")
+    free = "_" * (1 + max((len(c) for c in docs.columns), default=0))  # longer than any name of the table
+    names = (f"{free}pred", f"{free}score", f"{free}all")
     judged = identify(docs, model, names)
     kept = (F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least_score)
     return judged.filter(kept).select(*(f"`{c}`" for c in docs.columns))

@@ -101,16 +101,9 @@ def n_tokens(column: str = "text"):
     return F.when(spaced == "", 0).otherwise(F.size(F.split(spaced, " "))).cast("long")
 
 
-def mix(docs: DataFrame, target: Target = Target(), seed: int = 42) -> DataFrame:
-    """Every draw of a document: doc_id, source, tokens, weight, epoch, block, place, and _row, the row's number.
-
-    Needs doc_id, source and text. A null source is a source of its own. Documents without tokens are not drawn. The
-    budget of a source is rounded, and a pass stops before the first document of its last block that would exceed
-    it. Order and choice depend on the id and the seed only; repeated rows are drawn each for itself. An empty table
-    gives an empty result.
-    """
-    spark = docs.sparkSession
-    rows = written(
+def _numbered(docs: DataFrame, seed: int, carry: bool) -> DataFrame:
+    """The rows with tokens, dealt into blocks and numbered: written, so that the numbers are fixed facts."""
+    return written(
         docs.select(
             "doc_id",
             F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_source"),
@@ -118,9 +111,15 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 42) -> DataFrame
             F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(BLOCKS)).cast("int").alias("block"),
             F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("place"),
             F.monotonically_increasing_id().alias("_row"),
+            *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")] if carry else []),
         ).filter("tokens > 0"),
         "mixing-rows",
     )
+
+
+def _draws(numbered: DataFrame, target: Target) -> DataFrame:
+    spark = numbered.sparkSession
+    rows = numbered.select("doc_id", "_source", "tokens", "block", "place", "_row")
     blocks = written(rows.groupBy("_source", "block").agg(F.sum("tokens").alias("n")), "mixing-blocks")
     found = blocks.groupBy("_source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -155,7 +154,18 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 42) -> DataFrame
     )
 
 
+def mix(docs: DataFrame, target: Target = Target(), seed: int = 42) -> DataFrame:
+    """Every draw of a document: doc_id, source, tokens, weight, epoch, block, place.
+
+    Needs doc_id, source and text. A null source is a source of its own. Documents without tokens are not drawn. The
+    budget of a source is rounded to tokens, and a pass stops before the first document of its last block that would
+    exceed it. Order and choice depend on the id and the seed only; repeated rows are drawn each for itself. An empty
+    table gives an empty result.
+    """
+    return _draws(_numbered(docs, seed, False), target).drop("_row")
+
+
 def mixed(docs: DataFrame, target: Target = Target(), seed: int = 42) -> DataFrame:
     """The drawn documents with the columns of `docs`; a document drawn twice is there twice."""
-    numbered = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
-    return numbered.join(mix(docs, target, seed).select("_row"), "_row").select("_doc.*")
+    numbered = _numbered(docs, seed, True)
+    return numbered.select("_doc", "_row").join(_draws(numbered, target).select("_row"), "_row").select("_doc.*")
