@@ -1,14 +1,17 @@
 """Near duplicates by the Jaccard similarity of their word shingles, without losing a link.
 
 1. Every text becomes its set of shingle hashes. Equal sets are one class with one representative.
-2. Partition. The universe of hashes is cut into so many slices that two sets that link must agree in a whole slice
+2. The whole corpus as one group. A set that links shares many hashes with some other set, and a good part of them is
+   among its smallest hashes. So every set sends its smallest hashes, and only sets of which enough also stand among the
+   smallest of another set stay in question.
+3. Partition. The universe of hashes is cut into so many slices that two sets that link must agree in a whole slice
    (or in two thirds of one) of their size class. Sets that agree there form a group. Agreement in almost empty
    slices says little, so there the sets carry a bit map, every group keeps the union of its members' maps, and a set
    enters only groups whose union can hold enough of its shingles.
-3. The groups that touch become candidate components. Inside one, documents are put into small groups by their smallest hash; a
-   matrix of tokens by groups gives, for each document, a bound of its overlap with every group; only groups that can
-   reach the threshold are opened, and their members compared exactly.
-4. The links found make the components.
+4. The groups that touch become candidate components. Inside one, documents are put into small groups by their smallest
+   hash; a matrix of tokens by groups gives, for each document, a bound of its overlap with every group; only groups
+   that can reach the threshold are opened, and their members compared exactly.
+5. The links found make the components.
 
 A candidate component of more than OPEN hashes is opened in pairs of blocks, each pair in a task of its own.
 """
@@ -28,12 +31,122 @@ from tallyworth.llm.components import components
 from tallyworth.llm.shingles import chunks, mixed, raw_bytes, shingle_sets
 
 # Sizes within a class differ by this factor at most; a slice with at most so many hashes is weak.
-CLASS_RATIO, WEAK = 1.5, 2
-# Hashes of a candidate component that one task opens; documents of a group; signatures that a task hands on at once.
+CLASS_RATIO, WEAK = 1.5, 1
+# Hashes of a candidate component that one task opens; documents of a group; hashes that a task hands on at once.
 OPEN, GROUP, HANDED_ON = 4_000_000, 32, 500_000
-LEAST_MAP, MOST_MAP = 256, 4096
+LEAST_MAP, MOST_MAP = 256, 2048
 
-_SETS, _STRONG, _FEEBLE = 0, 1, 2
+_SETS, _HITS, _PREFIX, _STRONG, _FEEBLE = 0, 1, 2, 3, 4
+SET = np.dtype([("doc", "<i8"), ("known", "u1"), ("n", "<i8"), ("d1", "<u8"), ("d2", "<u8")])
+_BLOBS = "kind int, bucket int, width int, blob binary"
+
+
+def _blobs(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], ["kind", "bucket", "width", "blob"])
+
+
+def _edges(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 of every run of equal values."""
+    first = np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
+    return first, np.append(first[1:], len(sorted_values))
+
+
+def shared_ahead(size: int, num: int, den: int) -> int:
+    """Hashes that two linked sets, the smaller of this size, share at least among their smallest ones."""
+    return max(1, min((den - num) * size // den, -(-num * size // den)))
+
+
+def smallest_needed(size: int, num: int, den: int) -> int:
+    """How many of its smallest hashes a set has to send for that."""
+    return size - -(-num * size // den) + shared_ahead(size, num, den)
+
+
+def _smallest(words: int, num: int, den: int, buckets: int):
+    """Sets in short, and the smallest hashes of each, as packed arrays by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, docs, parts, held = set(), [], [], 0
+
+        def hand_on() -> list[tuple[int, int, int, bytes]]:
+            ids = np.array(docs, dtype=np.int64)
+            owner = np.repeat(np.arange(len(docs), dtype=np.uint32), [len(p) for p in parts])
+            print_ = np.concatenate(parts).astype(np.uint32)  # the low half of a hash: a chance match only asks for more work
+            bucket = (print_ % np.uint32(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            owner, print_, bucket = owner[order], print_[order], bucket[order]
+            rows = []
+            for a, b in zip(*_edges(bucket)):
+                used, place = np.unique(owner[a:b], return_inverse=True)
+                blob = ids[used].tobytes() + place.astype(np.uint32).tobytes() + print_[a:b].tobytes()
+                rows.append((_PREFIX, int(bucket[a]), len(used), blob))
+            return rows
+
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            raw, offsets = raw_bytes(batch.column(1))
+            for first, last in chunks(offsets):
+                short = np.zeros(last - first, dtype=SET)
+                found = shingle_sets(raw, offsets[first : last + 1], words)
+                for row, doc, tokens in zip(short, ids[first:last], found):
+                    d1 = mixed(tokens).sum(dtype=np.uint64)
+                    d2 = mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+                    row["doc"], row["known"] = doc or 0, doc is not None
+                    row["n"], row["d1"], row["d2"] = len(tokens), d1, d2
+                    key = (int(d1), int(d2))
+                    # Of equal sets in a task one is enough here; their class is found by the digest.
+                    if doc is not None and len(tokens) and key not in seen:
+                        seen.add(key)
+                        docs.append(doc)
+                        parts.append(tokens[: smallest_needed(len(tokens), num, den)])
+                        held += len(parts[-1])
+                rows = [(_SETS, first % buckets, 0, short.tobytes())]
+                if held > HANDED_ON:
+                    rows += hand_on()
+                    docs, parts, held = [], [], 0
+                yield _blobs(rows)
+        if docs:
+            yield _blobs(hand_on())
+
+    return run
+
+
+_FOUND = "kind int, doc_id long, n long, d1 long, d2 long"
+_FOUND_TYPES = [pa.int32()] + [pa.int64()] * 4
+
+
+def _found(kind: int, docs, n, d1=None, d2=None) -> pa.RecordBatch:
+    none = pa.nulls(len(docs), pa.int64())
+    columns = [pa.array(np.full(len(docs), kind, dtype=np.int32)), docs, pa.array(n), none if d1 is None else pa.array(d1), none if d2 is None else pa.array(d2)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets as rows; and, per document, how many of its hashes in this bucket another document has, too."""
+    owners, docs, prints, known = [], [], [], 0
+    for batch in batches:
+        for kind, width, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "width", "blob"))):
+            if kind == _SETS:
+                sets = np.frombuffer(blob, dtype=SET)
+                ids = pa.array(sets["doc"], mask=sets["known"] == 0)
+                yield _found(_SETS, ids, sets["n"], sets["d1"].view(np.int64), sets["d2"].view(np.int64))
+            else:
+                half = (len(blob) - 8 * width) // 2
+                docs.append(np.frombuffer(blob, dtype=np.int64, count=width))
+                owners.append(np.frombuffer(blob, dtype=np.uint32, offset=8 * width, count=half // 4).astype(np.int64) + known)
+                prints.append(np.frombuffer(blob, dtype=np.uint32, offset=8 * width + half))
+                known += width
+    if docs:
+        doc, owner, print_ = np.concatenate(docs), np.concatenate(owners), np.concatenate(prints)
+        order = np.argsort(print_, kind="stable")
+        owner, print_ = owner[order], print_[order]
+        first, last = _edges(print_)
+        ids = doc[owner]
+        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+        hits = np.bincount(owner[np.repeat(several, last - first)], minlength=len(doc))
+        some = hits > 0
+        yield _found(_HITS, pa.array(doc[some]), hits[some].astype(np.int64))
 
 
 @cache
@@ -71,7 +184,7 @@ def _classes(size: int, num: int, den: int) -> Iterator[int]:
 
 def _map_bits(size_class: int) -> int:
     bits = LEAST_MAP
-    while bits < 2 * _bounds()[size_class + 1] and bits < MOST_MAP:
+    while bits < _bounds()[size_class + 1] and bits < MOST_MAP:
         bits *= 2
     return bits
 
@@ -101,11 +214,6 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np
         yield size_class, mixed(sums.ravel() + place), held.ravel()
 
 
-_ROWS = "kind int, doc_id long, n long, d1 long, d2 long, bucket int, width int, blob binary"
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-_NAMES = [c.split()[0] for c in _ROWS.split(", ")]
-
-
 class _Outgoing:
     """Signatures of a task, handed on as packed arrays by bucket."""
 
@@ -126,7 +234,7 @@ class _Outgoing:
                 self.feeble.setdefault(len(bits), []).extend(s.tobytes() + tail for s in found[weak])
                 self.held += int(weak.sum()) * len(tail) // 16
 
-    def rows(self) -> list[tuple]:
+    def rows(self) -> list[tuple[int, int, int, bytes]]:
         out = []
         if self.strong:
             found = np.concatenate([s for s, _ in self.strong])
@@ -134,47 +242,31 @@ class _Outgoing:
             bucket = (found % self.buckets).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             found, docs, bucket = found[order], docs[order], bucket[order]
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, b in zip(edges, [*edges[1:], len(bucket)]):
-                out.append((_STRONG, None, None, None, None, int(bucket[a]), 0, found[a:b].tobytes() + docs[a:b].tobytes()))
+            if len(bucket):
+                out += [(_STRONG, int(bucket[a]), 0, found[a:b].tobytes() + docs[a:b].tobytes()) for a, b in zip(*_edges(bucket))]
         for width, items in self.feeble.items():
             by: dict[int, list[bytes]] = {}
             for item in items:
                 by.setdefault(int.from_bytes(item[:8], "little") % int(self.buckets), []).append(item)
-            out += [(_FEEBLE, None, None, None, None, b, width, b"".join(x)) for b, x in by.items()]
+            out += [(_FEEBLE, b, width, b"".join(x)) for b, x in by.items()]
         self.strong, self.feeble, self.held = [], {}, 0
         return out
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(_TYPES)
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, _TYPES)], _NAMES)
-
-
-def _signed(x: np.uint64) -> int:
-    return int(np.uint64(x).astype(np.int64))
+def _signed_sets(words: int, num: int, den: int, buckets: int):
+    """The signatures of every text."""
 
-
-def _sets_and_signatures(words: int, num: int, den: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, seen = _Outgoing(buckets), set()
+        out = _Outgoing(buckets)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             raw, offsets = raw_bytes(batch.column(1))
             for first, last in chunks(offsets):
-                rows = []
                 for doc, tokens in zip(ids[first:last], shingle_sets(raw, offsets[first : last + 1], words)):
-                    d1, d2 = mixed(tokens).sum(dtype=np.uint64), mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                    rows.append((_SETS, doc, len(tokens), _signed(d1), _signed(d2), None, None, None))
-                    key = (int(d1), int(d2))
-                    # Of equal sets in a task one is enough here; their class is found by the digest.
-                    if doc is not None and len(tokens) and key not in seen:
-                        seen.add(key)
-                        out.add(doc, tokens, num, den)
-                if out.held > HANDED_ON:
-                    rows += out.rows()
-                yield _batch(rows)
-        yield _batch(out.rows())
+                    out.add(doc, tokens, num, den)
+                    if out.held > HANDED_ON:
+                        yield _blobs(out.rows())
+        yield _blobs(out.rows())
 
     return run
 
@@ -183,9 +275,8 @@ def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest document of every key with each other document of that key."""
     order = np.argsort(keys, kind="stable")
     keys, docs = keys[order], docs[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    size = np.diff(np.append(first, len(keys)))
-    leader = np.repeat(np.minimum.reduceat(docs, first), size)
+    first, last = _edges(keys)
+    leader = np.repeat(np.minimum.reduceat(docs, first), last - first)
     other = leader != docs
     return leader[other], docs[other]
 
@@ -234,8 +325,7 @@ def _candidates(num: int, den: int):
             keys = np.ascontiguousarray(table[:, :8]).view(np.uint64).ravel()
             about = np.ascontiguousarray(table[:, 8:24]).view(np.int64)
             order = np.argsort(keys, kind="stable")
-            edges = np.flatnonzero(np.diff(keys[order], prepend=keys[order][:1] ^ np.uint64(1)))
-            for a, b in zip(edges, [*edges[1:], len(keys)]):
+            for a, b in zip(*_edges(keys[order])):
                 if b - a > 1:
                     rows = order[a:b]
                     groups = group_by_unions(table[rows, 24:], about[rows, 1], num, den)
@@ -332,16 +422,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = written(plain.mapInArrow(_sets_and_signatures(words, num, den, buckets), _ROWS), "shingle-sets")
+    sent = plain.mapInArrow(_smallest(words, num, den, buckets), _BLOBS).repartition(buckets, "bucket")
+    table = written(sent.mapInArrow(_repeated, _FOUND), "shingle-sets")
     sets = table.filter(f"kind = {_SETS}").select("doc_id", "n", "d1", "d2")
     filled = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    stands_for = written(filled.join(classes, ["n", "d1", "d2"]).select("doc_id", "rep", "n"), "set-classes")
-
-    blobs = table.filter(f"kind > {_SETS}").select("bucket", "kind", "width", "blob").repartition(buckets, "bucket")
-    pairs = written(blobs.mapInArrow(_candidates(num, den), "a long, b long").distinct(), "candidates")
-    rep = stands_for.select("doc_id", "rep").distinct()
-    pairs = pairs.join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    # Written first, so that the join is one that Spark splits where very many sets are equal.
+    classes = written(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "set-classes")
+    stands_for = written(filled.join(classes, ["n", "d1", "d2"]).select("doc_id", "rep", "n"), "stands-for")
+
+    hits = table.filter(f"kind = {_HITS}").groupBy("doc_id").agg(F.sum("n").alias("hits"))
+    partner = F.ceil(F.col("n") * num / den).cast("long")  # the size of the smallest set that can link
+    enough = F.greatest(F.lit(1), F.least(F.floor(partner * (den - num) / den), F.ceil(partner * num / den)))
+    asked = stands_for.join(hits, "doc_id").filter(F.col("hits") >= enough).select(F.col("rep").alias("doc_id")).distinct()
+    texts = written(plain.join(asked, "doc_id"), "texts-in-question")
+
+    signed = texts.mapInArrow(_signed_sets(words, num, den, buckets), _BLOBS).repartition(buckets, "bucket")
+    pairs = written(signed.mapInArrow(_candidates(num, den), "a long, b long").distinct(), "candidates")
     near = written(components(pairs), "candidate-components")
 
     members = near.join(stands_for.filter("doc_id = rep").select(F.col("rep").alias("node"), "n").distinct(), "node")
@@ -356,7 +452,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
         )
     )
     tasks = written(dealt.withColumn("block", block).select(F.col("node").alias("doc_id"), "component", F.explode(each).alias("_t")).select("doc_id", "component", "_t.*"), "openings")
-    opened = plain.join(tasks, "doc_id").repartition(buckets, "component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
+    opened = texts.join(tasks, "doc_id").repartition(buckets, "component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
     links = written(opened.mapInArrow(_open(words, num, den), "a long, b long"), "links-found")
     own = components(links)
     # A document that several rows of different texts share is one node: its classes join.
