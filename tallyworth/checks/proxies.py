@@ -18,15 +18,9 @@ def _digits(value: Column) -> Column:
     return F.lpad(value.cast("string"), 2, "0")
 
 
-def transactions(spark: SparkSession, folder: str, years: tuple[int, int] | None = None) -> DataFrame:
-    """Raw transactions as a file would hold them: money and time are text.
-
-    `years` restricts the scan itself, as a table laid out by year would.
-    """
+def transactions(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw transactions as a file would hold them: money and time are text."""
     orders = table(spark, folder, "orders")
-    if years:
-        first, after = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (years[0], years[1] + 1))
-        orders = orders.filter((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < after))
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
     price = F.col("o_totalprice").cast("decimal(18,2)")
     signed = F.when(key % 20 == 0, -price).otherwise(price)

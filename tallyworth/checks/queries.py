@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyworth import schema
@@ -33,7 +33,7 @@ from tallyworth.operators import (
 from tallyworth.plans import customer_features as cf
 from tallyworth.plans import customer_segments as cs
 from tallyworth.plans import model_selection as ms
-from tallyworth.session import hold, scratch_path
+from tallyworth.session import materialise, scratch_path
 from tallyworth.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,11 +41,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-# Few boosting rounds: the registered runs show that training works, not how well it can get.
-_SHORT_TUNED = models.Boosting(4, 1.0, 4, 0.6114907939145026, 0.6510163553874492, 18, 280790652)
-_SHORT_PLAIN = models.Boosting(4, 0.1, 4)
-
-
 def query(sql: str | None = None, *needed: str):
     """Register a query under its function's name."""
 
@@ -94,9 +89,12 @@ _RAW = """usr AS "user", yr AS year, mon AS month, dy AS day, substr(tm, 1, 5) A
 
 @query(f"SELECT {_RAW} FROM tx", "tx")
 def scan_transactions(spark, folder):
+    """Even users lie in files with one order of columns, odd ones in files with another."""
     path = scratch_path(spark, "transactions-csv")
-    tables.write_csv(proxies.transactions(spark, folder), path, schema.TRANSACTIONS)
-    return tables.read_csv(spark, path, schema.TRANSACTIONS)
+    rows = proxies.transactions(spark, folder)
+    tables.write_csv(rows.filter("user % 2 = 0"), f"{path}/even", schema.TRANSACTIONS)
+    tables.write_csv(rows.filter("user % 2 = 1"), f"{path}/odd", schema.TRANSACTIONS[::-1])
+    return tables.read_csv(spark, f"{path}/*", schema.TRANSACTIONS, mixed_headers=True)
 
 
 @query(
@@ -125,7 +123,16 @@ def write_lifetime_value_table(spark, folder):
     tables.write_table(published, name, path)
     plain = [f._replace(published=f.published.replace(" ", "_")) for f in schema.LIFETIME_VALUE]
     back = tables.read_table(spark, name, plain)
-    return back.withColumns({"revenue": _d("revenue"), "window_revenue": _d("window_revenue")})
+    found = materialise(back.withColumns({"revenue": _d("revenue"), "window_revenue": _d("window_revenue")}), "read-back")
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+def _by_year(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed transactions from a table laid out by year: a year range picks its folders."""
+    path = scratch_path(spark, "transactions-by-year")
+    tables.write_transactions(_clean(spark, folder), path)
+    return spark.read.parquet(path)
 
 
 @query(
@@ -134,9 +141,7 @@ def write_lifetime_value_table(spark, folder):
     "tx",
 )
 def scan_by_year(spark, folder):
-    path = scratch_path(spark, "transactions-by-year")
-    tables.write_transactions(_clean(spark, folder), path)
-    rows = cleaning.within_years(spark.read.parquet(path), START_YEAR, END_YEAR)
+    rows = cleaning.within_years(_by_year(spark, folder), START_YEAR, END_YEAR)
     return rows.groupBy("year").agg(F.count(F.lit(1)).alias("transactions"), F.sum("amount").cast("double").alias("amount"))
 
 
@@ -279,8 +284,7 @@ def rfm_valid_only(spark, folder):
     "tagged",
 )
 def timeframe_revenue(spark, folder):
-    rows = cleaning.clean_transactions(proxies.transactions(spark, folder, (START_YEAR, END_YEAR)))
-    return activity.timeframe_revenue(rows, START_YEAR, END_YEAR).withColumn("window_revenue", _d("window_revenue"))
+    return activity.timeframe_revenue(_by_year(spark, folder), START_YEAR, END_YEAR).withColumn("window_revenue", _d("window_revenue"))
 
 
 # ---- joins, cards, features ----
@@ -377,11 +381,32 @@ def kmeans_revenue(spark, folder):
     return _axis(spark, folder, "revenue", True)
 
 
-@query()
+def _fit_holds(rows: DataFrame, fit: clusters.Fit) -> DataFrame:
+    """Per user: whether the label is that of a nearest centre, and whether that centre is the mean of its rows."""
+    labelled = clusters.assign(rows.select("user", fit.axis), fit, "cluster").filter(F.col("cluster").isNotNull())
+    centres = F.array(*(F.lit(c / 10**fit.scale) for c in fit.centres))
+    value = F.col(fit.axis).cast("double")
+    own = F.abs(value - F.get(centres, F.col("cluster")))
+    nearest = own <= F.array_min(F.transform(centres, lambda c: F.abs(value - c))) + 1e-9
+    means = labelled.groupBy("cluster").agg(F.avg(value).alias("mean"))
+    spread = labelled.agg(F.stddev_pop(value)).scalar()
+    settled = F.abs(F.get(centres, F.col("cluster")) - F.col("mean")) <= 0.02 * spread
+    return labelled.join(means, "cluster").select("user", nearest.alias("nearest"), settled.alias("centre_is_mean"))
+
+
+_HOLDS = 'SELECT usr AS "user", TRUE AS nearest, TRUE AS centre_is_mean FROM rfm'
+
+
+@query(_HOLDS, "rfm")
 def kmeans_random_start(spark, folder):
     rows = cs.customer_base(proxies.transactions(spark, folder))
-    fit = clusters.fit_kmeans_random(rows, "revenue", 6)
-    return clusters.assign_ordered(rows, fit, "cluster").select("user", _d("revenue"), "cluster")
+    return _fit_holds(rows, clusters.fit_kmeans_random(rows, "revenue", 6))
+
+
+@query(_HOLDS, "rfm")
+def kmeans_quantile_start(spark, folder):
+    rows = cs.customer_base(proxies.transactions(spark, folder))
+    return _fit_holds(rows, clusters.fit_kmeans(rows, {"revenue": 6})["revenue"])
 
 
 @query(
@@ -451,14 +476,41 @@ def ltv_labelled(spark, folder):
     return rows.select(*names)
 
 
+@query(f"SELECT {_LTV} FROM ltv WHERE FALSE", "ltv")
+def ltv_empty_window(spark, folder):
+    """A window before the first transaction: no rows, but typed ones."""
+    names = [f.name for f in schema.LIFETIME_VALUE]
+    rows = cs.label_lifetime_value(proxies.transactions(spark, folder), 1900, 1901)
+    return rows.withColumns({"revenue": _d("revenue"), "window_revenue": _d("window_revenue")}).select(*names)
+
+
+_SCALED = ", ".join(
+    f"round((CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / stddev_pop(CAST({c} AS DOUBLE)) OVER (), 6) AS {c}"
+    for c in cs.SCALED
+)
+_FLAGS = ", ".join(f"CAST(segment = '{v}' AS INT) AS segment_{v.split('-')[0].lower()}" for v in SEGMENTS)
+_PREPROCESSED = f"""SELECT usr AS "user", ltv_cluster, recency_cluster, frequency_cluster, revenue_cluster, overall_score,
+    {_SCALED}, {_FLAGS} FROM ltv"""
+
+
+def _preprocessed(spark, folder) -> DataFrame:
+    rows = cs.preprocess(_labelled(spark, folder))
+    return rows.withColumnsRenamed({f"segment_{v}": f"segment_{v.split('-')[0].lower()}" for v in SEGMENTS})
+
+
+@query(_PREPROCESSED, "ltv")
+def preprocessed_customers(spark, folder):
+    rows = _preprocessed(spark, folder)
+    return rows.withColumns({c: _r(c, 6) for c in cs.SCALED}).drop("window_transactions")
+
+
 @query(
     """SELECT usr AS "user", CAST(window_revenue AS DOUBLE) AS window_revenue, overall_score, segment FROM scored
     WHERE window_transactions > 0""",
     "scored",
 )
 def revenue_with_segments(spark, folder):
-    rows = cleaning.clean_transactions(proxies.transactions(spark, folder, (START_YEAR, END_YEAR)))
-    window = activity.timeframe_revenue(rows, START_YEAR, END_YEAR)
+    window = activity.timeframe_revenue(_by_year(spark, folder), START_YEAR, END_YEAR)
     joined = joins.with_segments(window, _scored(spark, folder))
     return joined.select("user", _d("window_revenue"), "overall_score", "segment")
 
@@ -470,7 +522,7 @@ def ltv_from_segments(spark, folder):
     raw = proxies.transactions(spark, folder)
     tables.write_csv(cs.segment_customers(raw), path, schema.SEGMENTS)
     segments = tables.read_csv(spark, path, schema.SEGMENTS)
-    rows = cs.label_segmented(proxies.transactions(spark, folder, (START_YEAR, END_YEAR)), segments, START_YEAR, END_YEAR)
+    rows = cs.label_segmented(raw, segments, START_YEAR, END_YEAR)
     names = [f.name for f in schema.LIFETIME_VALUE]
     return rows.withColumns({"revenue": _d("revenue"), "window_revenue": _d("window_revenue")}).select(*names)
 
@@ -581,6 +633,30 @@ def target_correlation(spark, folder):
     return correlation.target_correlation(_features(spark, folder), "ltv_cluster", _CORRELATED).withColumn("r", _r("r", 8))
 
 
+_LABELLED = (*cs.SCALED, *models.CLUSTERS, "ltv_cluster", *(f"segment_{v.split('-')[0].lower()}" for v in SEGMENTS))
+
+
+def _labelled_pair(a: str, b: str) -> str:
+    r = f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
+    return f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN isnan({r}) THEN NULL ELSE round({r}, 6) END AS r FROM pre"
+
+
+_PRE = f"WITH pre AS MATERIALIZED (SELECT * EXCLUDE (window_revenue), CAST(window_revenue AS DOUBLE) AS window_revenue, {_FLAGS} FROM ltv)"
+
+
+@query(f"SELECT * FROM ({_PRE} " + " UNION ALL ".join(_labelled_pair(a, b) for a in _LABELLED for b in _LABELLED) + ")", "ltv")
+def labelled_correlation(spark, folder):
+    """Correlations of the preprocessed, labelled frame; scaling does not change them."""
+    return correlation.correlation_matrix(_preprocessed(spark, folder), _LABELLED).withColumn("r", _r("r", 6))
+
+
+@query(
+    f"SELECT a AS variable, r FROM ({_PRE} " + " UNION ALL ".join(_labelled_pair(a, "ltv_cluster") for a in _LABELLED) + ")", "ltv"
+)
+def labelled_target_correlation(spark, folder):
+    return correlation.target_correlation(_preprocessed(spark, folder), "ltv_cluster", _LABELLED).withColumn("r", _r("r", 6))
+
+
 _ANOVA = f"""
     SELECT variable, 'ANOVA' AS test_used, f AS statistic, used_rows, df_between, df_within,
         pow(1 + 2 * f / df_within, -df_within / 2.0) AS p_value FROM (
@@ -633,7 +709,7 @@ _BOTH = f"""SELECT variable, test_used, round(p_value, 8) AS p_value,
 
 @query(_BOTH, "features")
 def feature_tests(spark, folder):
-    return cf.tested_features(hold(_features(spark, folder))).withColumn("p_value", _r("p_value", 8))
+    return cf.tested_features(materialise(_features(spark, folder), "features")).withColumn("p_value", _r("p_value", 8))
 
 
 @query(
@@ -645,12 +721,25 @@ def feature_tests(spark, folder):
 )
 def select_features(spark, folder):
     """In long form, as which columns there are depends on the data."""
-    chosen = cf.selected_features(hold(_features(spark, folder)))
+    chosen = cf.selected_features(materialise(_features(spark, folder), "features"))
     names = [c for c in chosen.columns if c not in ("user", "ltv_cluster")]
     pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in names))
     return chosen.select("user", "ltv_cluster", F.inline(pairs))
 
 
+_CHOSEN = f"(SELECT variable FROM ({_BOTH}) WHERE significance = 'Significant' OR variable IN ({', '.join(repr(c) for c in cf.KEPT_CARDS)}) UNION ALL SELECT 'ltv_cluster')"
+
+
+@query(
+    f"SELECT a, b, r FROM ({' UNION ALL '.join(_pair(a, b) for a in _CORRELATED for b in _CORRELATED)}) WHERE a IN {_CHOSEN} AND b IN {_CHOSEN}",
+    "features",
+)
+def selected_correlation(spark, folder):
+    """Correlations of the label and the selected columns."""
+    chosen = cf.selected_features(materialise(_features(spark, folder), "features")).drop("user")
+    return correlation.correlation_matrix(chosen, chosen.columns).withColumn("r", _r("r", 8))
+
+
 # ---- splits, metrics, models ----
 
 _HASH = "CAST('0x' || substr(md5('42:' || CAST(usr AS VARCHAR)), 1, 8) AS BIGINT)"
@@ -698,13 +787,13 @@ def _weighted(metric: str) -> str:
 
 
 @query(
-    f"""SELECT (SELECT round(count(*) FILTER (y = p) / count(*), 10) FROM {_PREDICTED}) AS accuracy,
+    f"""SELECT 0 AS unscored_rows, (SELECT round(count(*) FILTER (y = p) / count(*), 10) FROM {_PREDICTED}) AS accuracy,
     {", ".join(_weighted(m) for m in metrics.METRICS[1:])} FROM {_PER_CLASS}""",
     "ltv",
 )
 def weighted_metrics(spark, folder):
     out = metrics.weighted_metrics(metrics.confusion(_shifted(spark, folder)))
-    return out.select(*(_r(m, 10) for m in metrics.METRICS))
+    return out.select(*(_r(m, 10) for m in metrics.METRICS), "unscored_rows")
 
 
 @query(
@@ -726,48 +815,127 @@ def _frame(spark, folder) -> DataFrame:
     return models.model_frame(_labelled(spark, folder))
 
 
-def _test_metrics(spark, folder, trainer: models.Trainer) -> DataFrame:
-    _, tested = ms.train_and_test(_frame(spark, folder), trainer)
-    return metrics.weighted_metrics(metrics.confusion(tested))
+# What SQL can state of a trained model: who is held out, that all are scored with known classes, and that the model
+# is right more often than always naming the most frequent class; a constant in its place fails that.
+_TRAINED = f"""SELECT usr AS "user", {_HASH} % 10000 < 500 AS held_out, TRUE AS known_class, TRUE AS beats_majority FROM ltv"""
+
+
+def _right_share(df: DataFrame) -> Column:
+    return df.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).scalar()
+
+
+def _majority_share(df: DataFrame) -> float:
+    return df.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0]
+
+
+def _trained(spark, folder, trainer: models.Trainer) -> DataFrame:
+    _, train, test = ms.train_and_test(_frame(spark, folder), trainer)
+    rows = train.withColumn("held_out", F.lit(False)).unionByName(test.withColumn("held_out", F.lit(True)))
+    return _checked(materialise(rows, "trained"), "user", "held_out")
 
 
-@query()
+def _checked(rows: DataFrame, *columns: str) -> DataFrame:
+    known = F.coalesce(F.col("prediction").isin(0.0, 1.0, 2.0), F.lit(False))
+    better = _right_share(rows) > F.lit(_majority_share(rows))
+    return rows.select(*columns, known.alias("known_class"), better.alias("beats_majority"))
+
+
+@query(_TRAINED, "ltv")
 def train_logistic(spark, folder):
-    return _test_metrics(spark, folder, models.logistic(max_iter=20))
+    return _trained(spark, folder, models.logistic())
 
 
-@query()
+@query(_TRAINED, "ltv")
 def train_tree(spark, folder):
-    return _test_metrics(spark, folder, models.tree())
+    return _trained(spark, folder, models.tree())
 
 
-@query()
+@query(_TRAINED, "ltv")
 def train_boosted(spark, folder):
-    return _test_metrics(spark, folder, models.boosted(_SHORT_TUNED))
+    return _trained(spark, folder, models.boosted(models.TUNED))
+
+
+@query(_TRAINED, "ltv")
+def train_boosted_plain(spark, folder):
+    return _trained(spark, folder, models.boosted(models.PLAIN))
+
+
+_SUPPORT = f"""SELECT part, CAST(ltv_cluster AS VARCHAR) AS class, count(*) AS support FROM (
+    SELECT CASE WHEN {_HASH} % 10000 < 500 THEN 'test' ELSE 'train' END AS part, ltv_cluster FROM ltv) GROUP BY part, ltv_cluster"""
+
+
+@query(f"SELECT part, class, support, TRUE AS in_range FROM ({_SUPPORT})", "ltv")
+def model_report(spark, folder):
+    """The class report of a model on the rows it was fitted on and on those held out."""
+    _, train, test = ms.train_and_test(_frame(spark, folder), models.logistic())
+    reports = []
+    for part, rows in (("train", train), ("test", test)):
+        report = metrics.classification_report(metrics.confusion(rows))
+        reports.append(report.filter("support > 0 AND class IN ('0', '1', '2')").withColumn("part", F.lit(part)))
+    inside = [F.col(m).between(0.0, 1.0) for m in metrics.METRICS[1:]]
+    return reduce(DataFrame.unionByName, reports).select("part", "class", "support", reduce(Column.__and__, inside).alias("in_range"))
+
 
+_REST = f"(SELECT usr, ltv_cluster AS label FROM ltv WHERE {_HASH} % 10000 >= 500)"
+_FOLDED = f"""(SELECT usr, label, (row_number() OVER (PARTITION BY label ORDER BY {_HASH} // 1048576, usr) - 1) % 5 AS fold FROM {_REST})"""
 
-@query()
+
+@query(f'SELECT usr AS "user", fold, TRUE AS known_class, TRUE AS beats_majority FROM {_FOLDED}', "ltv")
 def cv_metrics(spark, folder):
-    return ms.cross_validate(_frame(spark, folder), models.tree(5))
+    """Five folds of the tuned boosted model; every row is predicted by the model that did not see it."""
+    return _checked(ms.fold_predictions(_frame(spark, folder), models.boosted(models.TUNED), parallelism=1), "user", "fold")
 
 
-@query()
+@query(
+    f"""SELECT CAST(count(DISTINCT fold) AS BIGINT) AS folds, TRUE AS in_range, TRUE AS beats_majority,
+    CAST(0 AS BIGINT) AS unscored_rows FROM {_FOLDED}""",
+    "ltv",
+)
 def cv_means(spark, folder):
-    return metrics.mean_metrics(ms.cross_validate(_frame(spark, folder), models.logistic(max_iter=10)))
+    frame = materialise(_frame(spark, folder), "frame")
+    folds = materialise(ms.cross_validate(frame, models.logistic()), "fold-metrics")
+    means = metrics.mean_metrics(folds)
+    inside = [F.col(f"mean_{m}").between(0.0, 1.0) for m in metrics.METRICS]
+    return means.select(
+        folds.agg(F.count(F.lit(1))).scalar().alias("folds"),
+        reduce(Column.__and__, inside).alias("in_range"),
+        (F.col("mean_accuracy") > _majority_share(frame)).alias("beats_majority"),
+        folds.agg(F.sum("unscored_rows")).scalar().alias("unscored_rows"),
+    )
+
 
+_CANDIDATES = ", ".join(f"('{name}')" for name in ms.default_candidates())
 
-@query()
+
+@query(f"SELECT model, TRUE AS ranked, TRUE AS beats_majority, TRUE AS leader_is_first FROM (VALUES {_CANDIDATES}) t(model)")
 def model_leaderboard(spark, folder):
-    board, _, _ = ms.search_models(_frame(spark, folder), ms.default_candidates(_SHORT_PLAIN, _SHORT_TUNED), parallelism=4)
-    return board
+    """Ten candidates at their full settings: each once, in the order of their accuracy, and the leader's predictions."""
+    frame = materialise(_frame(spark, folder), "frame")
+    board, _, predicted = ms.search_models(frame, ms.default_candidates(), parallelism=4)
+    above = F.max("accuracy").over(Window.orderBy("rank").rowsBetween(1, Window.unboundedFollowing))  # ten rows
+    places = F.row_number().over(Window.orderBy("rank"))
+    leader = _right_share(materialise(predicted, "leader"))
+    return board.select(
+        "model",
+        ((F.col("rank") == places) & (F.coalesce(above, F.lit(0.0)) <= F.col("accuracy"))).alias("ranked"),
+        (F.col("accuracy") > _majority_share(frame)).alias("beats_majority"),
+        ((F.col("rank") > 1) | (F.abs(F.col("accuracy") - leader) < 1e-12)).alias("leader_is_first"),
+    )
 
 
-@query()
+@query('SELECT usr AS "user", TRUE AS known_class, TRUE AS as_before FROM ltv', "ltv")
 def batch_scores(spark, folder):
-    """Train, store the model, load it again and score every customer."""
-    frame = _frame(spark, folder)
-    model, _ = ms.train_and_test(frame, models.tree(10))
-    path, out = scratch_path(spark, "model"), scratch_path(spark, "scores")
-    ms.save_model(model, path)
-    ms.score_batch(ms.load_pipeline(path), frame, out)
-    return ms.read_scores(spark, out)
+    """Train a boosted and a plain model, store them, load them again and score every customer with each."""
+    frame = materialise(_frame(spark, folder), "frame")
+    trainers = {"tree": models.tree(10), "boosted": models.boosted(models.Boosting(3, 0.3, 5))}
+    found = frame.select("user")
+    for name, trainer in trainers.items():
+        model = trainer(frame)
+        path, out = scratch_path(spark, "model"), scratch_path(spark, "scores")
+        ms.save_model(model, path, spark)
+        ms.score_batch(ms.load_model(spark, path), frame, out)
+        before = models.predict(model, frame).select("user", F.col("prediction").cast("int").alias(f"{name}_before"))
+        found = found.join(before, "user").join(ms.read_scores(spark, out).withColumnRenamed("ltv_cluster", name), "user")
+    known = [F.coalesce(F.col(n).isin(0, 1, 2), F.lit(False)) for n in trainers]
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_before")) for n in trainers]
+    return found.select("user", reduce(Column.__and__, known).alias("known_class"), reduce(Column.__and__, same).alias("as_before"))

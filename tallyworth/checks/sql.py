@@ -7,7 +7,7 @@ values the text was made from.
 from __future__ import annotations
 
 from tallyworth.checks.proxies import END_YEAR, START_YEAR
-from tallyworth.operators.clusters import CUT_SEED, CUTS, MAX_ITER, TOLERANCE
+from tallyworth.operators.clusters import BINS, ELBOW_ITER, MAX_ITER, TOLERANCE
 
 _PRICE = "CAST(o_totalprice AS DECIMAL(18,2))"
 _AMOUNT = f"CAST(CASE WHEN o_orderkey % 20 = 0 THEN -{_PRICE} ELSE {_PRICE} END AS DECIMAL(18,2))"
@@ -99,7 +99,7 @@ _BASE = {
 }
 
 
-def _rounds(name: str, source: str, start: str, spread: str, tolerance: float) -> str:
+def _rounds(name: str, source: str, start: str, spread: str, tolerance: float, most: int) -> str:
     """Recursive k-means rounds over (axis, value, total, weight); a fit stops once its shift is small."""
     return f"""
         SELECT axis, k, 0 AS it, cs, FALSE AS settled FROM {start}
@@ -109,12 +109,12 @@ def _rounds(name: str, source: str, start: str, spread: str, tolerance: float) -
         FROM (
             SELECT s.axis, s.k, s.it, s.cs,
                 list(coalesce(CAST(c.total AS DOUBLE) / c.weight, s.cs[s.i + 1]) ORDER BY s.i) AS ncs
-            FROM (SELECT axis, k, it, cs, unnest(range(k)) AS i FROM {name} WHERE NOT settled AND it < {MAX_ITER}) s
+            FROM (SELECT axis, k, it, cs, unnest(range(k)) AS i FROM {name} WHERE NOT settled AND it < {most}) s
             LEFT JOIN (
                 SELECT axis, k, cl, sum(total) AS total, sum(weight) AS weight FROM (
                     SELECT b.axis, b.k, v.total, v.weight, len(list_filter(b.borders, lambda x: x < v.value)) AS cl
                     FROM {source} v JOIN (SELECT axis, k, {_borders('cs', 'k')} AS borders FROM {name}
-                        WHERE NOT settled AND it < {MAX_ITER}) b ON b.axis = v.axis
+                        WHERE NOT settled AND it < {most}) b ON b.axis = v.axis
                 ) GROUP BY axis, k, cl
             ) c ON c.axis = s.axis AND c.k = s.k AND c.cl = s.i
             GROUP BY s.axis, s.k, s.it, s.cs
@@ -125,29 +125,33 @@ def _borders(centres: str, k: str) -> str:
     return f"list_transform(range(1, {k}), lambda j: ({centres}[j] + {centres}[j + 1]) / 2)"
 
 
-def kmeans(prefix: str, values: str, wanted: list[tuple[str, int]]) -> dict[str, tuple[list[str], str]]:
-    """CTEs that fit each (axis, k) on `values` (axis, value, weight); the result is <prefix>_fit."""
+def kmeans(prefix: str, values: str, wanted: list[tuple[str, int]], most: int = MAX_ITER) -> dict[str, tuple[list[str], str]]:
+    """CTEs that fit each (axis, k) on `values` (axis, value, weight); the result is <prefix>_fit.
+
+    Bins end at the plain weighted quantiles j / BINS of the axis.
+    """
     p = prefix
     asked = ", ".join(f"('{axis}', {k})" for axis, k in wanted)
     return {
         f"{p}_cuts": (
             [values],
             f"""SELECT axis, list(CAST(value AS DOUBLE)) AS cuts FROM (
-            SELECT axis, value, row_number() OVER (PARTITION BY axis ORDER BY
-                CAST('0x' || substr(md5('{CUT_SEED}:' || CAST(value AS VARCHAR)), 1, 8) AS BIGINT), value) AS place
-            FROM {values}) WHERE place <= {CUTS} GROUP BY axis""",
+            SELECT axis, value, weight, sum(weight) OVER (PARTITION BY axis ORDER BY value) AS upto,
+                sum(weight) OVER (PARTITION BY axis) AS n FROM {values})
+            WHERE len(list_filter(range(1, {BINS}), lambda j: (j * n) // {BINS} >= upto - weight AND (j * n) // {BINS} < upto)) > 0
+            GROUP BY axis""",
         ),
         f"{p}_bins": (
             [values, f"{p}_cuts"],
             f"""SELECT axis, sum(value * weight) AS total, sum(weight) AS weight,
-            CAST(sum(value * weight) AS DOUBLE) / sum(weight) AS value,
-            sum(CAST(value AS DOUBLE) * value * weight) AS squares FROM {values} v JOIN {p}_cuts c USING (axis)
+            CAST(sum(value * weight) AS DOUBLE) / sum(weight) AS value FROM {values} v JOIN {p}_cuts c USING (axis)
             GROUP BY axis, len(list_filter(c.cuts, lambda x: x < v.value))""",
         ),
         f"{p}_spread": (
-            [f"{p}_bins"],
-            f"""SELECT axis, sum(squares) / sum(weight) - (CAST(sum(total) AS DOUBLE) / sum(weight)) ** 2 AS variance
-            FROM {p}_bins GROUP BY axis""",
+            [values],
+            f"""SELECT axis, sum(weight * (value - mean) ** 2) / sum(weight) AS variance FROM (
+            SELECT *, CAST(sum(value * weight) OVER (PARTITION BY axis) AS DOUBLE) / sum(weight) OVER (PARTITION BY axis) AS mean
+            FROM {values}) GROUP BY axis""",
         ),
         f"{p}_start": (
             [f"{p}_bins"],
@@ -159,13 +163,13 @@ def kmeans(prefix: str, values: str, wanted: list[tuple[str, int]]) -> dict[str,
         ),
         f"{p}_rough": (
             [f"{p}_bins", f"{p}_start", f"{p}_spread"],
-            _rounds(f"{p}_rough", f"{p}_bins", f"{p}_start", f"{p}_spread", 0.0),
+            _rounds(f"{p}_rough", f"{p}_bins", f"{p}_start", f"{p}_spread", 0.0, most),
         ),
         f"{p}_begin": ([f"{p}_rough"], f"SELECT axis, k, arg_max(cs, it) AS cs FROM {p}_rough GROUP BY axis, k"),
         f"{p}_points": ([values], f"SELECT axis, value, value * weight AS total, weight FROM {values}"),
         f"{p}_fine": (
             [f"{p}_points", f"{p}_begin", f"{p}_spread"],
-            _rounds(f"{p}_fine", f"{p}_points", f"{p}_begin", f"{p}_spread", TOLERANCE),
+            _rounds(f"{p}_fine", f"{p}_points", f"{p}_begin", f"{p}_spread", TOLERANCE, most),
         ),
         f"{p}_fit": (
             [f"{p}_fine"],
@@ -206,7 +210,7 @@ _BASE["ltv"] = (
     """SELECT s.*, l.up AS ltv_cluster FROM scored s JOIN lv_labels l ON l.value = CAST(s.window_revenue * 100 AS BIGINT)
     WHERE s.window_transactions > 0""",
 )
-_BASE |= kmeans("el", "rfm_values", [(a, k) for a in ("recency", "revenue") for k in range(1, 10)])
+_BASE |= kmeans("el", "rfm_values", [(a, k) for a in ("recency", "revenue") for k in range(1, 10)], ELBOW_ITER)
 _BASE |= kmeans("pu", "purchase_values", [("recency", 6), ("frequency", 6), ("revenue", 6)])
 _BASE["purchase_scored"] = _scored("purchase_rfm", "pu_labels")
 _BASE["features"] = (

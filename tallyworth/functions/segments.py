@@ -17,6 +17,4 @@ SEGMENTS = (HIGH_VALUE, LOW_VALUE, MID_VALUE)
 def value_segment(score: str | Column, low_up_to: int = LOW_UP_TO, mid_up_to: int = MID_UP_TO) -> Column:
     """Segment name of a score; a null score has no segment."""
     value = F.col(score) if isinstance(score, str) else score
-    ladder = [(value > mid_up_to, HIGH_VALUE), (value > low_up_to, MID_VALUE), (value.isNotNull(), LOW_VALUE)]
-    names = [F.when(test, F.lit(name)) for test, name in ladder]
-    return F.coalesce(*names)
+    return F.when(value > mid_up_to, HIGH_VALUE).when(value > low_up_to, MID_VALUE).when(value.isNotNull(), LOW_VALUE)

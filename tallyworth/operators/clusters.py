@@ -7,10 +7,10 @@ and centres do not depend on the order in which tasks finish.
 
 from __future__ import annotations
 
+import warnings
 from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
 from itertools import accumulate
 from math import inf
 
@@ -20,14 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
-from tallyworth.functions.buckets import key_hash
 from tallyworth.functions.means import exact_mean
-from tallyworth.session import hold, measured
+from tallyworth.session import hold, materialise
 
 MAX_ITER = 300
+ELBOW_ITER = 1000
 TOLERANCE = 1e-4
-CUTS = 1023
-CUT_SEED = 42
+BINS = 1024
 BLOCK = 32
 _ENDLESS = "double('infinity')"
 
@@ -129,18 +128,47 @@ def _advance(fit: Fit, sums: dict[int, tuple[float, int]], variance: float, tole
     return replace(fit, centres=moved, rounds=fit.rounds + 1, settled=shift <= tolerance * variance)
 
 
+def _in_buckets(counts: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """Every distinct value with the number of its axis's cuts below it, as `bin`."""
+    blocks = {axis: [values[i : i + BLOCK] for i in range(0, len(values), BLOCK)] for axis, values in cuts.items()}
+    ends = {axis: _array([block[-1] for block in parts]) for axis, parts in blocks.items()}
+    inner = {axis: f"array({', '.join(map(_array, [*parts, [inf]]))})" for axis, parts in blocks.items()}
+    # First the block of cuts, then the place in it: some sixty comparisons instead of a thousand.
+    block = f"size(filter({_by_axis(ends)}, c -> c < double(value)))"
+    place = f"{BLOCK} * block + size(filter(get({_by_axis(inner)}, block), c -> c < double(value)))"
+    return counts.withColumn("block", F.expr(block)).withColumn("bin", F.expr(place)).drop("block")
+
+
 def _cut_values(counts: DataFrame, axes: Sequence[str]) -> dict[str, list[float]]:
-    """At most 1,023 distinct values per axis, ascending, drawn by the smallest hash.
+    """The values at the ranks floor(j n / BINS) of all n rows of each axis, j = 1 .. BINS - 1, ascending, each once.
 
-    They only cut the axis into bins of similar size; the bins then count every row.
+    Approximate percentiles only deal the distinct values out to tasks. The running weights, and so the cuts, are
+    exact, whatever the dealing: the buckets' weights give each bucket's start, and each bucket counts on in order.
     """
-    drawn = [
-        counts.filter(F.col("axis") == axis).orderBy(key_hash("value", CUT_SEED), "value").limit(CUTS).select("axis", "value")
-        for axis in axes
-    ]
-    cuts: dict[str, list[float]] = {}
-    for row in reduce(DataFrame.unionByName, drawn).collect():
-        cuts.setdefault(row["axis"], []).append(float(row["value"]))
+    steps = F.array(*(F.lit(j / BINS) for j in range(1, BINS)))
+    near = counts.filter(F.col("axis").isin(list(axes))).groupBy("axis").agg(F.percentile_approx(F.col("value").cast("double"), steps).alias("cuts"))
+    dealt = {r["axis"]: sorted(set(r["cuts"])) for r in near.collect()}
+    if not dealt:
+        return {}
+    rows = _in_buckets(counts.filter(F.col("axis").isin(list(dealt))), dealt)
+    # At most BINS rows per axis.
+    sizes = rows.groupBy("axis", "bin").agg(F.sum("weight").alias("rows")).collect()
+    starts, totals = [], {}
+    for axis in dealt:
+        before = 0
+        for size in sorted((r for r in sizes if r["axis"] == axis), key=lambda r: r["bin"]):
+            starts.append((axis, size["bin"], before))
+            before += size["rows"]
+        totals[axis] = before
+    offsets = counts.sparkSession.createDataFrame([(*s, totals[s[0]]) for s in starts], "axis string, bin int, start long, n long")
+    running = F.sum("weight").over(Window.partitionBy("axis", "bin").orderBy("value"))
+    upto = rows.withColumn("upto", running).join(F.broadcast(offsets), ["axis", "bin"]).withColumn("upto", F.col("start") + F.col("upto"))
+    # Ranks floor(j n / BINS) below x: as many as there are j with j n / BINS < x.
+    below = f"least({BINS} * {{}} + n - 1, {BINS} * n) div n - 1"
+    holds = F.expr(f"({below.format('upto')}) > greatest({below.format('(upto - weight)')}, 0)")
+    cuts: dict[str, list[float]] = {axis: [] for axis in dealt}
+    for row in upto.filter(holds).select("axis", "value").collect():
+        cuts[row["axis"]].append(float(row["value"]))
     return {axis: sorted(values) for axis, values in cuts.items()}
 
 
@@ -166,21 +194,22 @@ class Summary:
 
 
 def _summaries(counts: DataFrame, cuts: dict[str, list[float]]) -> dict[str, Summary]:
-    """Weight, total and squares of each bin: at most 1,024 rows per axis, whatever the data's size."""
-    value, weight = F.col("value").cast("double"), F.col("weight")
-    blocks = {axis: [values[i : i + BLOCK] for i in range(0, len(values), BLOCK)] for axis, values in cuts.items()}
-    ends = {axis: _array([block[-1] for block in parts]) for axis, parts in blocks.items()}
-    inner = {axis: f"array({', '.join(map(_array, [*parts, [inf]]))})" for axis, parts in blocks.items()}
-    # First the block of cuts, then the place in it: some sixty comparisons instead of a thousand.
-    block = f"size(filter({_by_axis(ends)}, c -> c < double(value)))"
-    place = f"{BLOCK} * block + size(filter(get({_by_axis(inner)}, block), c -> c < double(value)))"
+    """Weight, total and spread of each bin: at most 1,024 rows per axis, whatever the data's size.
+
+    Squares are of the distance to the bin's own smallest value, so that values far from 0 keep their digits.
+    """
+    binned, value, weight = _in_buckets(counts, cuts), F.col("value"), F.col("weight")
+    lows = binned.groupBy("axis", "bin").agg(F.min("value").alias("low"))
+    distance = (value - F.col("low")).cast("double")
     rows = (
-        counts.withColumn("block", F.expr(block))
-        .groupBy("axis", F.expr(place).alias("bin"))
+        # One row per bin: the planner sees how few they are.
+        binned.join(lows, ["axis", "bin"])
+        .groupBy("axis", "bin", "low")
         .agg(
-            F.sum(F.col("value") * weight).alias("total"),
+            F.sum(value * weight).alias("total"),
             F.sum("weight").alias("weight"),
-            F.sum(value * value * weight).alias("squares"),
+            F.sum(distance * weight).alias("beyond"),
+            F.sum(distance * distance * weight).alias("squares"),
         )
         .collect()
     )
@@ -189,16 +218,18 @@ def _summaries(counts: DataFrame, cuts: dict[str, list[float]]) -> dict[str, Sum
         bins = sorted((r for r in rows if r["axis"] == axis), key=lambda r: r["bin"])
         weights = tuple(accumulate((r["weight"] for r in bins), initial=0))
         totals = tuple(accumulate((r["total"] for r in bins), initial=0))
+        means = tuple(float(r["total"]) / r["weight"] for r in bins)
         mean = float(totals[-1]) / weights[-1]
-        variance = sum(r["squares"] for r in bins) / weights[-1] - mean * mean
-        out[axis] = Summary(weights, totals, tuple(float(r["total"]) / r["weight"] for r in bins), variance)
+        within = sum(max(r["squares"] - r["beyond"] * r["beyond"] / r["weight"], 0.0) for r in bins)
+        between = sum(r["weight"] * (m - mean) ** 2 for r, m in zip(bins, means))
+        out[axis] = Summary(weights, totals, means, (within + between) / weights[-1])
     return out
 
 
-def _start(axis: str, k: int, scale: int, summary: Summary) -> Fit:
+def _start(axis: str, k: int, scale: int, summary: Summary, max_iter: int) -> Fit:
     """Rounds over the bins alone until nothing moves, to begin the exact rounds close to their end."""
     fit = Fit(axis, k, summary.start(k), scale)
-    while fit.rounds < MAX_ITER and not fit.settled:
+    while fit.rounds < max_iter and not fit.settled:
         fit = _advance(fit, summary.sums(fit.borders()), summary.variance, 0.0)
     return replace(fit, rounds=0, settled=False)
 
@@ -214,11 +245,11 @@ def fit_counts(
 
     Centres start at quantiles and first settle on a summary of some thousand bins, which fits in a few
     kilobytes; then come rounds over all distinct values. Rounds end for a fit once the squared shift of
-    its centres is at most `tolerance` times the variance.
+    its centres is at most `tolerance` times the variance; a fit that `max_iter` rounds do not settle warns.
     """
     cuts = _cut_values(counts, list(dict.fromkeys(axis for axis, _ in wanted)))
     summaries = _summaries(counts, cuts) if cuts else {}
-    fits = [_start(axis, k, scales[axis], summaries[axis]) for axis, k in wanted if axis in summaries]
+    fits = [_start(axis, k, scales[axis], summaries[axis], max_iter) for axis, k in wanted if axis in summaries]
     for _ in range(max_iter):
         moving = [n for n, fit in enumerate(fits) if not fit.settled]
         if not moving:
@@ -227,6 +258,9 @@ def fit_counts(
         for place, n in enumerate(moving):
             own = {cluster: pair for (p, cluster), pair in sums.items() if p == place}
             fits[n] = _advance(fits[n], own, summaries[fits[n].axis].variance, tolerance)
+    for fit in fits:
+        if not fit.settled:
+            warnings.warn(f"{fit.axis}, k={fit.k}: not settled after {fit.rounds} rounds", stacklevel=2)
     return _with_used(counts, fits)
 
 
@@ -243,9 +277,12 @@ def fit_kmeans(df: DataFrame, axes: dict[str, int], **limits) -> dict[str, Fit]:
     return {fit.axis: fit for fit in fits}
 
 
-def fit_kmeans_random(df: DataFrame, column: str, k: int, seed: int = 42, max_iter: int = MAX_ITER) -> Fit:
-    """MLlib's k-means|| start instead, weighted by distinct value; centres come back ascending."""
+def fit_kmeans_random(df: DataFrame, column: str, k: int, seed: int = 42, max_iter: int = MAX_ITER) -> Fit | None:
+    """MLlib's k-means|| start instead, weighted by distinct value; centres come back ascending. None without values."""
     counts, scales = axis_counts(df, [column])
+    if counts.isEmpty():
+        counts.unpersist()
+        return None
     rows = counts.select(F.col("value").cast("double").alias("value"), F.col("weight").cast("double").alias("weight"))
     points = VectorAssembler(inputCols=["value"], outputCol="point").transform(rows)
     model = KMeans(featuresCol="point", weightCol="weight", k=k, seed=seed, maxIter=max_iter).fit(points)
@@ -263,13 +300,15 @@ def assign(df: DataFrame, fit: Fit, label: str) -> DataFrame:
     return df.withColumn(label, F.expr(_cluster(units, fit.borders())))
 
 
-def assign_ordered(df: DataFrame, fit: Fit, label: str, ascending: bool = True) -> DataFrame:
-    """Add the cluster's rank by its mean of the fitted column.
+def assign_ordered(df: DataFrame, fit: Fit | None, label: str, ascending: bool = True) -> DataFrame:
+    """Add the cluster's rank by its mean of the fitted column; without a fit, as of no values, a null label.
 
     Clusters are neighbouring intervals, so their means ascend with their numbers and the rank is the
     place among the clusters in use. `order_clusters` gives the same for this column with an aggregation
     and a join; it is the general form, for any other target.
     """
+    if fit is None:
+        return df.withColumn(label, F.lit(None).cast("int"))
     rank = {cluster: place for place, cluster in enumerate(fit.used)}
     last = len(fit.used) - 1
     out = assign(df, fit, label)
@@ -287,17 +326,17 @@ def order_clusters(df: DataFrame, label: str, target: str, ascending: bool = Tru
     means = df.filter(F.col(label).isNotNull()).groupBy(label).agg(exact_mean(df, target).alias("_mean"))
     mean = F.col("_mean").asc_nulls_last() if ascending else F.col("_mean").desc_nulls_last()
     # One row per cluster: k rows, whatever the size of the table. The planner sees their measured size.
-    ranks = measured(means.select(label, (F.row_number().over(Window.orderBy(mean, label)) - 1).alias("_rank")))
+    ranks = materialise(means.select(label, (F.row_number().over(Window.orderBy(mean, label)) - 1).alias("_rank")), "ranks")
     return df.join(ranks, label, "left").drop(label).withColumnRenamed("_rank", label)
 
 
-def elbow_curve(df: DataFrame, axes: Sequence[str], most: int = 9, **limits) -> DataFrame:
+def elbow_curve(df: DataFrame, axes: Sequence[str], most: int = 9, max_iter: int = ELBOW_ITER, **limits) -> DataFrame:
     """Sum of squared distances to the nearest centre for k = 1..most, each axis on its own.
 
     All fits of all axes share their rounds, so the curve costs little more than its slowest fit.
     """
     counts, scales = axis_counts(df, axes)
-    fits = fit_counts(counts, [(a, k) for a in axes for k in range(1, most + 1)], scales, **limits)
+    fits = fit_counts(counts, [(a, k) for a in axes for k in range(1, most + 1)], scales, max_iter, **limits)
     arrays = " ".join(f"WHEN {n} THEN {_array(f.centres)}" for n, f in enumerate(fits))
     centres = F.expr(f"get(CASE fit {arrays} END, cluster)")
     names = df.sparkSession.createDataFrame(
@@ -306,6 +345,8 @@ def elbow_curve(df: DataFrame, axes: Sequence[str], most: int = 9, **limits) ->
     )
     distance = F.col("value").cast("double") - centres
     inertia = _per_cluster(counts, fits).groupBy("fit").agg(F.sum(distance * distance * F.col("weight")).alias("sum"))
+    inertia = materialise(inertia, "inertia")
+    counts.unpersist()
     return inertia.join(F.broadcast(names), "fit").select("axis", "k", (F.col("sum") / F.col("unit")).alias("inertia"))
 
 

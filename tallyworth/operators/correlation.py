@@ -2,59 +2,90 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+# Below this share of the sum of squares a spread is what rounding leaves of a constant.
+_ROUNDING = 1e-13
+# Tasks that add up the sums of the scan tasks before the last one does.
+_FAN_IN = 32
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
-def _values(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.select(F.array(*(F.col(f"`{c}`").cast("double") for c in names)).alias("values"))
+def _products(shift: np.ndarray):
+    """One matrix per task: products of presence, value and square of every column with those of every other."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 3 * len(shift)
+        total = np.zeros((size, size))
+        for batch in batches:
+            columns = [np.asarray(c.to_numpy(zero_copy_only=False), dtype=np.float64) for c in batch.columns]
+            x = np.stack(columns, axis=1) - shift if columns and batch.num_rows else np.zeros((0, len(shift)))
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            wide = np.concatenate((there.astype(np.float64), x, x * x), axis=1)
+            total += wide.T @ wide
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], ["sums"])
 
-def _name(names: Sequence[str], position: str) -> Column:
-    return F.get(F.array(*(F.lit(c) for c in names)), F.col(position))
+    return run
 
 
-def _correlation(x: str, y: str) -> Column:
-    """Null where one side is constant; corr() would raise a division by zero there, or, when the rounding
-    of merged partial means leaves a trace of variance, give some number."""
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
-    r = F.try_divide(F.regr_sxy(y, x), spread)
-    return F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for row in batch.column("sums").to_pylist():
+            total = np.array(row) if total is None else total + np.array(row)
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows (a, b, r) for all ordered pairs of columns, each over the rows where both are present; null
-    where one of them is constant.
+def correlations(df: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """Matrix of the correlations, each over the rows where both columns are present; nan where one is constant.
 
-    One pass: each row's pairs of column values are aggregated inside the scan task, and one row per pair
-    of columns and task is shuffled.
+    One pass: every task adds up its rows into one matrix of fixed size, and the matrices are added in a tree. Values
+    are taken from a value of their column, so that large ones keep their digits.
     """
+    numbers = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)))
+    some = numbers.agg(*(F.first(c, ignorenulls=True).alias(c) for c in numbers.columns)).first()
+    shift = np.array([0.0 if v is None else v for v in some])
+    sums = numbers.mapInArrow(_products(shift), "sums array<double>")
+    partial = sums.repartition(_FAN_IN).mapInArrow(_added, "sums array<double>")
+    row = partial.coalesce(1).mapInArrow(_added, "sums array<double>").first()
+    k = len(names)
+    wide = np.array(row["sums"]).reshape(3 * k, 3 * k) if row else np.zeros((3 * k, 3 * k))
+    n, x, xx, xy = wide[:k, :k], wide[k : 2 * k, :k], wide[2 * k :, :k], wide[k : 2 * k, k : 2 * k]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = xx - x * x / n  # of the row's column, where the column is present
+        spread = np.where(spread > _ROUNDING * xx, spread, np.nan)
+        r = (xy - x * x.T / n) / np.sqrt(spread * spread.T)
+    return np.clip(r, -1.0, 1.0)
+
+
+def _value(r: float) -> float | None:
+    return None if np.isnan(r) else float(r)
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows (a, b, r) for all ordered pairs of columns, each over the rows where both are present; null
+    where one of them is constant there."""
     names = list(columns if columns is not None else numeric_columns(df))
-    both = (
-        _values(df, names)
-        .select("values", F.posexplode("values").alias("i", "x"))
-        .select("i", "x", F.posexplode("values").alias("j", "y"))
-        .filter((F.col("j") >= F.col("i")) & F.col("x").isNotNull() & F.col("y").isNotNull())
-    )
-    half = both.groupBy("i", "j").agg(_correlation("x", "y").alias("r"))
-    sides = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
-    mirrored = half.select(F.explode(F.array_distinct(sides)).alias("side"), "r")
-    return mirrored.select("side.*", "r").select(_name(names, "i").alias("a"), _name(names, "j").alias("b"), "r")
+    found = correlations(df, names)
+    rows = [(a, b, _value(found[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Correlation of each column with one target, largest first."""
     names = list(columns if columns is not None else numeric_columns(df))
-    both = _values(df, names).select(
-        F.get("values", F.lit(names.index(target))).alias("x"), F.posexplode("values").alias("j", "y")
-    )
-    each = both.groupBy("j").agg(_correlation("x", "y").alias("r")).select(_name(names, "j").alias("variable"), "r")
+    found = correlations(df, names)[names.index(target)]
+    rows = [(name, _value(r)) for name, r in zip(names, found)]
+    each = df.sparkSession.createDataFrame(rows, "variable string, r double")
     return each.orderBy(F.col("r").desc_nulls_last(), "variable")

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_VALUES = 1000
-
 
 def standardise(df: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFrame:
     """(x - mean) / population deviation per column; a column without spread becomes 0.
@@ -29,15 +27,15 @@ def standardise(df: DataFrame, columns: Sequence[str], suffix: str = "") -> Data
     return df.withColumns(scaled)
 
 
-def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
+def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None, most_values: int = 1000) -> DataFrame:
     """Replace a column by one 0/1 column `<column>_<value>` per value, in sorted order.
 
-    Without `values` those present are looked up; more than 1,000 are refused, as they would be columns.
+    Without `values` those present are looked up; more than `most_values` are refused, as each becomes a column.
     """
     if values is None:
-        found = df.select(column).distinct().filter(F.col(column).isNotNull()).limit(MOST_VALUES + 1).collect()
-        if len(found) > MOST_VALUES:
-            raise ValueError(f"{column} has more than {MOST_VALUES} values")
+        found = df.select(column).distinct().filter(F.col(column).isNotNull()).limit(most_values + 1).collect()
+        if len(found) > most_values:
+            raise ValueError(f"{column} has more than {most_values} values")
         values = [r[0] for r in found]
     flags = {f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in sorted(values)}
     return df.withColumns(flags).drop(column)

@@ -5,43 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1e-4
-HOT_ROWS = 1_000_000
+def transactions_with_users(transactions: DataFrame, users: DataFrame) -> DataFrame:
+    """Every transaction with its user's attributes; a user that the table holds twice joins twice.
 
-
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least_rows: int = HOT_ROWS) -> list:
-    """Keys that hold more than `share` of all rows, and at least `least_rows`.
-
-    Reads the key column only and aggregates before shuffling. At most 1/share keys can qualify, so the
-    list is bounded whatever the table's size.
-    """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    hot = counts.filter((F.col("rows") >= least_rows) & (F.col("rows") > total * share))
-    return [row[key] for row in hot.select(key).collect()]
-
-
-def join_skewed(
-    facts: DataFrame, dimension: DataFrame, key: str, share: float = HOT_SHARE, least_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Inner join of many rows per key with a table that is unique by key.
-
-    Without hot keys this is a plain join. Rows of hot keys stay where they are and meet their dimension
-    rows, at most 1/share of them, by broadcast; shuffling them would put one key's rows into one task.
+    A plain join: Spark broadcasts the users if their measured size allows it, and else shuffles both sides and
+    splits the partitions of users with very many transactions.
     """
-    hot = hot_keys(facts, key, share, least_rows)
-    if not hot:
-        return facts.join(dimension, key)
-    hot_rows = dimension.filter(F.col(key).isin(hot))
-    if hot_rows.limit(len(hot) + 1).count() > len(hot):
-        raise ValueError(f"the dimension is not unique by {key}")
-    cold = facts.filter(~F.col(key).isin(hot)).join(dimension.filter(~F.col(key).isin(hot)), key)
-    return cold.unionByName(facts.filter(F.col(key).isin(hot)).join(F.broadcast(hot_rows), key))
-
-
-def transactions_with_users(transactions: DataFrame, users: DataFrame, **limits) -> DataFrame:
-    """Every transaction with its user's attributes."""
-    return join_skewed(transactions, users, "user", **limits)
+    return transactions.join(users, "user")
 
 
 def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:

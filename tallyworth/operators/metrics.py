@@ -7,16 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyworth.session import hold
+from tallyworth.session import materialise
 
 METRICS = ("accuracy", "precision", "recall", "f1_score")
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
-    """Rows per (label, prediction), where both are known; everything else is computed from these few cells."""
-    return df.dropna(subset=[label, prediction]).groupBy(*by, F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """Rows per (label, prediction), nulls included; everything else is computed from these few cells."""
+    classes = (F.col(c).cast("int").alias(n) for c, n in ((label, "label"), (prediction, "prediction")))
+    return df.groupBy(*by, *classes).agg(F.count(F.lit(1)).alias("n"))
+
+
+def unscored(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """How many rows lack a label or a prediction, and so count in no metric."""
+    known = F.col("label").isNotNull() & F.col("prediction").isNotNull()
+    return cells.groupBy(*by).agg(F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("unscored_rows"))
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -30,7 +35,8 @@ def per_class(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     as_label = F.struct(F.col("label").alias("class"), n.alias("present"), zero.alias("predicted"), hit.alias("hits"))
     as_prediction = F.struct(F.col("prediction").alias("class"), zero.alias("present"), n.alias("predicted"), zero.alias("hits"))
     counts = (
-        cells.select(*by, F.inline(F.array(as_label, as_prediction)))
+        cells.dropna(subset=["label", "prediction"])
+        .select(*by, F.inline(F.array(as_label, as_prediction)))
         .groupBy(*by, "class")
         .agg(F.sum("present").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hits").alias("hits"))
     )
@@ -45,17 +51,19 @@ def per_class(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def weighted_metrics(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy and support-weighted precision, recall and F1, one row per group."""
+    """Accuracy, support-weighted precision, recall and F1, and the rows that count in none, one row per group."""
     support = F.col("support")
     means = (_share(F.sum(F.col(m) * support), F.sum("support")).alias(m) for m in METRICS[1:])
-    classes = per_class(cells, by)
-    return classes.groupBy(*by).agg(_share(F.sum("hits"), F.sum("support")).alias("accuracy"), *means)
+    keys = [*by, "_all"]
+    cells = cells.withColumn("_all", F.lit(0))
+    found = per_class(cells, keys).groupBy(*keys).agg(_share(F.sum("hits"), F.sum("support")).alias("accuracy"), *means)
+    return unscored(cells, keys).join(found, keys, "left").select(*by, *METRICS, "unscored_rows")
 
 
 def classification_report(cells: DataFrame) -> DataFrame:
     """One row per class, then accuracy, the plain and the support-weighted averages."""
-    # A row per class, held because four parts of the report read it and the counts come from all the data.
-    classes = hold(per_class(cells))
+    # A row per class, written because four parts of the report read it and the counts come from all the data.
+    classes = materialise(per_class(cells), "classes")
     scores = METRICS[1:]
     rows = classes.select(F.col("class").cast("string").alias("class"), *scores, "support")
     total = F.sum("support").alias("support")

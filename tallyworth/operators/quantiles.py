@@ -7,79 +7,117 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworth.session import measured
+from tallyworth.session import materialise
 
 _ACCURACY = 10_000
 _MARGIN = 5 / _ACCURACY
-_SMALL = 20_000
+# Rows of a bracket above which it is narrowed by a further pass, and the parts into which that pass cuts it.
+MOST_ROWS, PARTS = 200_000, 1024
 
 
-def _position(total: Column, probability: Column) -> Column:
-    return (total - 1).cast("double") * probability
+def _within(df: DataFrame, bounds: DataFrame, groups: list[str]) -> DataFrame:
+    """Each value beside the brackets of its group."""
+    return df.join(bounds, groups).select(*groups, "_total", "_value", F.inline("_brackets"))
+
+
+def _ranks(probabilities: Sequence[float]) -> tuple[Column, Column, Column]:
+    """Position of a slot's quantile among the values, and the ranks on both sides of it."""
+    place = (F.col("_total") - 1).cast("double") * F.get(F.array(*(F.lit(p) for p in probabilities)), F.col("_slot"))
+    return place, F.floor(place), F.ceil(place)
+
+
+def _narrowed(df: DataFrame, bounds: DataFrame, groups: list[str], probabilities: Sequence[float]) -> DataFrame:
+    """Brackets that keep the ranks asked for but hold only the parts in which these lie."""
+    width = (F.col("_high") - F.col("_low")) / PARTS
+    part = F.least(F.lit(PARTS - 1), F.floor(F.try_divide(F.col("_value") - F.col("_low"), width)))
+    inside = (F.col("_value") >= F.col("_low")) & (F.col("_value") <= F.col("_high"))
+    keys = [*groups, "_total", "_slot", "_low", "_high"]
+    parts = (
+        _within(df, bounds, groups)
+        .filter(F.col("_value") <= F.col("_high"))
+        .groupBy(*keys, F.when(inside, F.coalesce(part, F.lit(0))).otherwise(-1).alias("_part"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_value").alias("_from"), F.max("_value").alias("_to"))
+    )
+    after = F.sum("_rows").over(Window.partitionBy(*groups, "_slot").orderBy("_part"))
+    _, lower, upper = _ranks(probabilities)
+    counted = parts.withColumn("_after", after)
+    wanted = (F.col("_part") >= 0) & (F.col("_after") > lower) & (F.col("_after") - F.col("_rows") <= upper)
+    kept = counted.filter(wanted).groupBy(*groups, "_total", "_slot").agg(F.min("_from").alias("_low"), F.max("_to").alias("_high"))
+    bracket = F.struct("_slot", "_low", "_high")
+    return kept.groupBy(*groups, "_total").agg(F.collect_list(bracket).alias("_brackets"))
 
 
 def quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float], *aggregates: Column
+    df: DataFrame,
+    groups: Sequence[str],
+    value: str,
+    probabilities: dict[str, float],
+    *aggregates: Column,
+    most_rows: int = MOST_ROWS,
 ) -> DataFrame:
     """Quantiles with linear interpolation between neighbours, one named column each, beside any further
     `aggregates`; one row per group.
 
-    A first pass takes the aggregates and, from approximate percentiles, a narrow bracket around each
-    quantile. A second pass counts, inside the scan tasks, the rows below each bracket as one number and the
-    rows within it by value. So what is shuffled and sorted is the brackets' distinct values, about a
-    thousandth of a group; groups of up to 20,000 rows take part whole. A bracket is five times as wide as the
-    error that the approximation may have, and a quantile outside its bracket stops the job.
+    A first pass takes the aggregates and, from approximate percentiles, a bracket around each quantile. Brackets of
+    more than `most_rows` rows are cut into parts and narrowed, pass by pass, until they hold fewer or one value only.
+    A last pass counts, inside the scan tasks, the rows below each bracket as one number and the rows within it by
+    value; the largest value below and the smallest above stand for the neighbouring ranks. So a task sorts at most
+    `most_rows` values, however large a group is. A quantile outside its bracket stops the job.
     """
     groups = list(groups)
     number = F.col(value).cast("double")
     asked = list(probabilities.values())
     edges = [edge for p in asked for edge in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
     near = F.percentile_approx(number, F.array(*(F.lit(e) for e in edges)), F.lit(_ACCURACY))
-    # One row per group. Held and measured, so the planner broadcasts it only if it is small.
-    first_pass = measured(
-        df.groupBy(*groups).agg(
-            *aggregates,
-            F.count(number).alias("_total"),
-            F.min(number).alias("_least"),
-            F.max(number).alias("_most"),
-            near.alias("_near"),
-        )
+    first_pass = materialise(
+        df.groupBy(*groups).agg(*aggregates, F.count(number).alias("_total"), near.alias("_near")), "quantile-brackets"
     )
-    small = F.col("_total") <= _SMALL
     brackets = [
-        F.struct(
-            F.lit(slot).alias("_slot"),
-            F.when(small, F.col("_least")).otherwise(F.get("_near", F.lit(2 * slot))).alias("_low"),
-            F.when(small, F.col("_most")).otherwise(F.get("_near", F.lit(2 * slot + 1))).alias("_high"),
-        )
+        F.struct(F.lit(slot).alias("_slot"), F.get("_near", F.lit(2 * slot)).alias("_low"), F.get("_near", F.lit(2 * slot + 1)).alias("_high"))
         for slot in range(len(asked))
     ]
+    values = df.select(*groups, number.alias("_value")).filter(F.col("_value").isNotNull())
     bounds = first_pass.select(*groups, "_total", F.array(*brackets).alias("_brackets"))
-    below_or_within = (
-        df.select(*groups, number.alias("_value"))
-        .filter(F.col("_value").isNotNull())
-        .join(bounds, groups)
-        .select(*groups, "_total", "_value", F.inline("_brackets"))
-        .filter(F.col("_value") <= F.col("_high"))
-        .groupBy(*groups, "_total", "_slot", F.when(F.col("_value") >= F.col("_low"), F.col("_value")).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
+    # A bracket holds about 2 x _MARGIN of its group; only brackets of groups beyond that are looked at again.
+    share = 2 * _MARGIN
+    largest = (first_pass.agg(F.max("_total")).first()[0] or 0) * share
+    while largest > most_rows:
+        bounds = materialise(_narrowed(values, bounds, groups, asked), "quantile-brackets")
+        inside = (F.col("_value") >= F.col("_low")) & (F.col("_value") <= F.col("_high")) & (F.col("_low") < F.col("_high"))
+        counts = _within(values, bounds, groups).filter(inside).groupBy(*groups, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
+        largest = counts.agg(F.max("_rows")).first()[0] or 0
+
+    within = (F.col("_value") >= F.col("_low")) & (F.col("_value") <= F.col("_high"))
+    side = F.when(F.col("_value") < F.col("_low"), -1).when(F.col("_value") > F.col("_high"), 1).otherwise(0)
+    counted = (
+        _within(values, bounds, groups)
+        .groupBy(*groups, "_total", "_slot", side.alias("_side"), F.when(within, F.col("_value")).alias("_key"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_value").alias("_least"), F.max("_value").alias("_most"))
     )
-    # The rows below a bracket are one row without a value, which comes first.
-    ascending = Window.partitionBy(*groups, "_slot").orderBy(F.col("_value").asc_nulls_first())
-    position = _position(F.col("_total"), F.get(F.array(*(F.lit(p) for p in asked)), F.col("_slot")))
-    ranked = below_or_within.withColumns({"_after": F.sum("_rows").over(ascending), "_place": position})
+    ascending = Window.partitionBy(*groups, "_slot").orderBy("_side", "_key")
+    ranked = counted.withColumn("_after", F.sum("_rows").over(ascending))
+    place, lower, upper = _ranks(asked)
+    before = F.col("_after") - F.col("_rows")
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_after") - F.col("_rows") <= rank) & (rank < F.col("_after")), F.col("_value")))
+        inside = (F.col("_side") == 0) & (before <= rank) & (rank < F.col("_after"))
+        last_below = (F.col("_side") == -1) & (rank == F.col("_after") - 1)
+        first_above = (F.col("_side") == 1) & (rank == before)
+        return F.max(F.when(inside | first_above, F.col("_least")).when(last_below, F.col("_most")))
 
-    place = F.col("_place")
-    found = ranked.groupBy(*groups, "_slot", "_place").agg(at(F.floor(place)).alias("_lower"), at(F.ceil(place)).alias("_upper"))
+    found = ranked.withColumns({"_place": place, "_down": lower, "_up": upper})
+    found = found.groupBy(*groups, "_slot", "_place").agg(at(F.col("_down")).alias("_lower"), at(F.col("_up")).alias("_upper"))
     outside = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
-    between = F.col("_lower") + (F.col("_upper") - F.col("_lower")) * (place - F.floor(place))
+    between = F.col("_lower") + (F.col("_upper") - F.col("_lower")) * (F.col("_place") - F.floor("_place"))
     exact = F.when(between.isNotNull(), between).otherwise(outside)
     wide = (
         found.withColumn("_exact", exact)
         .groupBy(*groups)
-        .agg(*(F.max(F.when(F.col("_slot") == slot, F.col("_exact"))).alias(name) for slot, name in enumerate(probabilities)))
+        .agg(
+            *(
+                F.when(F.count(F.lit(1)) == len(asked), F.max(F.when(F.col("_slot") == slot, F.col("_exact")))).otherwise(outside).alias(name)
+                for slot, name in enumerate(probabilities)
+            )
+        )
     )
-    return first_pass.drop("_total", "_least", "_most", "_near").join(wide, groups, "left")
+    return first_pass.drop("_total", "_near").join(wide, groups, "left")

@@ -23,7 +23,7 @@ def add_row_index(df: DataFrame, *order_by: str, name: str = "index", partitions
     placed = materialise(ordered.sortWithinPartitions(*order_by).withColumn("_place", place), "row-index")
     part = F.shiftright("_place", _POSITION_BITS).alias("_part")
     position = F.col("_place").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    # One row per range partition, so neither this window nor the broadcast grows with the table.
+    # One row per range partition: this window and the broadcast grow with the number of partitions only.
     sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_rows"))
     before = F.coalesce(
         F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)

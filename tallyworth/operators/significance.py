@@ -13,7 +13,7 @@ from tallyworth.functions.tails import (
     f_tail_any,
     f_tail_three_groups,
 )
-from tallyworth.session import hold
+from tallyworth.session import materialise
 
 SIGNIFICANCE_LEVEL = 0.05
 
@@ -93,12 +93,13 @@ def chi_square_tests(df: DataFrame, label: str, columns: Sequence[str], classes:
     are even and the probability has a closed form.
     """
     rows = F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in columns))
-    cells = hold(
+    cells = materialise(
         df.filter(F.col(label).isNotNull())
         .select(F.col(label).cast("string").alias("label"), F.inline(rows))
         .filter(F.col("value").isNotNull())
         .groupBy("variable", "value", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "contingency-cells",
     )
     by_value = cells.groupBy("variable", "value").agg(F.sum("n").alias("value_rows"))
     by_label = cells.groupBy("variable", "label").agg(F.sum("n").alias("label_rows"))

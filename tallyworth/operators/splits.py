@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworth.functions.buckets import HASH_RANGE, key_bucket, key_hash
-from tallyworth.session import measured
+from tallyworth.session import materialise
 
 _PARTS = 10_000
 _BINS = 4096
@@ -33,7 +33,8 @@ def stratified_folds(
     rows = df.withColumn("_bin", F.floor(key_hash(key, seed) / (HASH_RANGE // _BINS)))
     sizes = rows.groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(label).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = measured(sizes.select(label, "_bin", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")))
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
+    offsets = materialise(sizes.select(label, "_bin", before), "fold-offsets")
     place = F.row_number().over(Window.partitionBy(label, "_bin").orderBy(key)) - 1
     numbered = rows.withColumn("_place", place).join(offsets, [label, "_bin"])
     return numbered.withColumn(name, ((F.col("_before") + F.col("_place")) % folds).cast("int")).drop(

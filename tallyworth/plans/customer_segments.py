@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworth.functions.segments import LOW_UP_TO, MID_UP_TO
+from tallyworth.functions.segments import LOW_UP_TO, MID_UP_TO, SEGMENTS
 from tallyworth.operators.activity import last_day, timeframe_revenue, user_activity, with_recency
 from tallyworth.operators.clusters import (
     MAX_ITER,
@@ -18,6 +18,7 @@ from tallyworth.operators.clusters import (
     fit_kmeans_random,
 )
 from tallyworth.operators.cleaning import clean_transactions
+from tallyworth.operators.encoding import one_hot, standardise
 from tallyworth.operators.joins import with_segments
 from tallyworth.operators.scoring import overall_score, with_segment
 from tallyworth.session import materialise
@@ -26,6 +27,8 @@ from tallyworth.session import materialise
 AXES = {"recency": False, "frequency": True, "revenue": True}
 AXIS_CLUSTERS = 6
 VALUE_CLUSTERS = 3
+# The columns that are published standardised.
+SCALED = ("revenue", "recency", "frequency", "window_revenue")
 
 
 @dataclass(frozen=True)
@@ -55,15 +58,14 @@ def customer_base(raw: DataFrame, years: tuple[int, int] | None = None, valid_on
 
 def _fits(customers: DataFrame, wanted: dict[str, int], settings: Settings) -> dict[str, Fit]:
     if settings.random_start:
-        return {
-            axis: fit_kmeans_random(customers, axis, k, settings.seed, settings.max_iter) for axis, k in wanted.items()
-        }
+        fits = {a: fit_kmeans_random(customers, a, k, settings.seed, settings.max_iter) for a, k in wanted.items()}
+        return {axis: fit for axis, fit in fits.items() if fit}
     return fit_kmeans(customers, wanted, max_iter=settings.max_iter, tolerance=settings.tolerance)
 
 
 def _scored(customers: DataFrame, fits: dict[str, Fit], settings: Settings) -> DataFrame:
     for axis, larger_is_higher in AXES.items():
-        customers = assign_ordered(customers, fits[axis], f"{axis}_cluster", larger_is_higher)
+        customers = assign_ordered(customers, fits.get(axis), f"{axis}_cluster", larger_is_higher)
     return with_segment(overall_score(customers), settings.low_up_to, settings.mid_up_to)
 
 
@@ -93,7 +95,7 @@ def label_lifetime_value(
     wanted = {**dict.fromkeys(AXES, settings.clusters), "window_revenue": settings.value_clusters}
     fits = _fits(base, wanted, settings)
     in_window = base.filter(F.col("window_transactions") > 0).drop("window_transactions")
-    return assign_ordered(_scored(in_window, fits, settings), fits["window_revenue"], "ltv_cluster")
+    return assign_ordered(_scored(in_window, fits, settings), fits.get("window_revenue"), "ltv_cluster")
 
 
 def label_segmented(
@@ -102,5 +104,10 @@ def label_segmented(
     """The same from segments scored earlier: window revenue joined to them, then clustered."""
     window = timeframe_revenue(clean_transactions(raw), start_year, end_year)
     joined = materialise(with_segments(window, segments), "window-segments")
-    fit = _fits(joined, {"window_revenue": settings.value_clusters}, settings)["window_revenue"]
-    return assign_ordered(joined, fit, "ltv_cluster")
+    fits = _fits(joined, {"window_revenue": settings.value_clusters}, settings)
+    return assign_ordered(joined, fits.get("window_revenue"), "ltv_cluster")
+
+
+def preprocess(labelled: DataFrame) -> DataFrame:
+    """The published model input: measures standardised, the segment as 0/1 columns."""
+    return one_hot(standardise(labelled, SCALED), "segment", SEGMENTS)

@@ -25,44 +25,53 @@ from tallyworth.operators.models import (
     tree,
 )
 from tallyworth.operators.splits import holdout_split, stratified_folds
-from tallyworth.session import hold, materialise
+from tallyworth.session import materialise
 
-# Shares of the two splits, the number of folds and of candidate models.
+# Shares of the two splits and the number of folds.
 HELD_OUT = 0.05
 VALIDATION = 0.2
 FOLDS = 5
-MOST_MODELS = 10
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def cross_validate(
-    frame: DataFrame, trainer: Trainer, folds: int = FOLDS, seed: int = 42, parallelism: int = 2
+def fold_predictions(
+    frame: DataFrame, trainer: Trainer, folds: int = FOLDS, seed: int = 42, share: float = HELD_OUT, parallelism: int = 2
 ) -> DataFrame:
-    """Accuracy and weighted precision, recall and F1 of each stratified fold."""
-    held = hold(materialise(stratified_folds(frame, "label", "user", folds, seed), "folds"))
+    """Every row of every stratified fold with the prediction of the model fitted on the other folds.
 
-    def cells(fold: int) -> DataFrame:
-        model = trainer(held.filter(F.col("fold") != fold).drop("fold"))
-        return confusion(predict(model, held.filter(F.col("fold") == fold)), by=["fold"])
+    The held-out share is removed before the folds are made.
+    """
+    rest, _ = holdout_split(frame, "user", share, seed)
+    folded = materialise(stratified_folds(rest, "label", "user", folds, seed), "folds")
+
+    def tested(fold: int) -> DataFrame:
+        model = trainer(folded.filter(F.col("fold") != fold).drop("fold"))
+        return predict(model, folded.filter(F.col("fold") == fold))
+
+    return materialise(_union(run_parallel(frame.sparkSession, tested, range(folds), parallelism)), "fold-predictions")
 
-    return weighted_metrics(_union(run_parallel(cells, range(folds), parallelism)), ["fold"])
+
+def cross_validate(frame: DataFrame, trainer: Trainer, folds: int = FOLDS, seed: int = 42, parallelism: int = 2) -> DataFrame:
+    """Accuracy and weighted precision, recall and F1 of each stratified fold, with the rows that have no prediction."""
+    predicted = fold_predictions(frame, trainer, folds, seed, parallelism=parallelism)
+    return weighted_metrics(confusion(predicted, by=["fold"]), ["fold"])
 
 
 def train_and_test(
     frame: DataFrame, trainer: Trainer, share: float = HELD_OUT, seed: int = 42
-) -> tuple[Model, DataFrame]:
-    """Fit on all but a held-out share; the model and the held-out rows with their predictions."""
-    held = hold(materialise(frame, "training"))
-    train, test = holdout_split(held, "user", share, seed)
+) -> tuple[Model, DataFrame, DataFrame]:
+    """Fit on all but a held-out share; the model, and the training and the held-out rows with their predictions."""
+    rows = materialise(frame, "training")
+    train, test = holdout_split(rows, "user", share, seed)
     model = trainer(train)
-    return model, predict(model, test)
+    return model, predict(model, train), predict(model, test)
 
 
 def default_candidates(plain: Boosting = PLAIN, tuned: Boosting = TUNED) -> dict[str, Trainer]:
-    """Ten candidates from four families."""
+    """Ten candidates from four families; the search runs several at once, so each runs its classes in turn."""
     return {
         "logistic": logistic(),
         "logistic_light": logistic(1e-4),
@@ -72,8 +81,8 @@ def default_candidates(plain: Boosting = PLAIN, tuned: Boosting = TUNED) -> dict
         "tree_30": tree(30),
         "forest_20": forest(20, 8),
         "forest_50": forest(50, 10),
-        "boosted_plain": boosted(plain),
-        "boosted_tuned": boosted(tuned),
+        "boosted_plain": boosted(plain, parallelism=1),
+        "boosted_tuned": boosted(tuned, parallelism=1),
     }
 
 
@@ -90,7 +99,7 @@ def search_models(
     candidates: Mapping[str, Trainer],
     share: float = VALIDATION,
     seed: int = 42,
-    most_models: int = MOST_MODELS,
+    most_models: int = 10,
     parallelism: int = 2,
 ) -> tuple[DataFrame, Model, DataFrame]:
     """Fit the candidates on one split, rank them on the other.
@@ -99,10 +108,10 @@ def search_models(
     """
     if len(candidates) > most_models:
         raise ValueError(f"more than {most_models} candidates")
-    held = hold(materialise(frame, "search"))
-    train, valid = holdout_split(held, "user", share, seed)
+    train, valid = holdout_split(materialise(frame, "search"), "user", share, seed)
     names = list(candidates)
-    fitted = dict(zip(names, run_parallel(lambda name: candidates[name](train), names, parallelism)))
+    fits = run_parallel(frame.sparkSession, lambda name: candidates[name](train), names, parallelism)
+    fitted = dict(zip(names, fits))
     best_first = Window.orderBy(*(F.col(m).desc() for m in ("accuracy", "f1_score")), "model")
     # One row per candidate, so the unpartitioned rank is over at most ten rows.
     board = materialise(compare_models(fitted, valid).withColumn("rank", F.row_number().over(best_first)), "leaderboard")
@@ -110,15 +119,24 @@ def search_models(
     return board.select("rank", "model", *METRICS), leader, predict(leader, valid)
 
 
-def save_model(model: Model, path: str) -> None:
+def save_model(model: Model, path: str, spark: SparkSession) -> None:
+    """Store any model, with its kind and number of classes beside it."""
     if isinstance(model, BoostedModel):
-        model.save(path)
+        kind, classes = "boosted", len(model.classes)
+        model.save(f"{path}/model")
     else:
-        model.write().overwrite().save(path)
-
-
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+        kind, classes = "pipeline", 0
+        model.write().overwrite().save(f"{path}/model")
+    about = spark.createDataFrame([(kind, classes)], "kind string, classes int")
+    about.write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    """Any stored model."""
+    about = spark.read.schema("kind string, classes int").parquet(f"{path}/about").first()
+    if about["kind"] == "boosted":
+        return BoostedModel.load(f"{path}/model", about["classes"])
+    return PipelineModel.load(f"{path}/model")
 
 
 def score_batch(model: Model, frame: DataFrame, path: str) -> None:

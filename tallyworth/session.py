@@ -70,21 +70,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """Persist a table that several jobs read; callers unpersist it."""
+    """Persist a table for the rounds of one computation, which unpersists it at its end."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def measured(df: DataFrame) -> DataFrame:
-    """Persist a table and fill the cache, so that the planner knows its true size.
-
-    Joins against it carry no hint: Spark broadcasts it only if the measured size is below
-    spark.sql.autoBroadcastJoinThreshold and shuffles it otherwise.
-    """
-    held = hold(df)
-    held.count()
-    return held
-
-
 def _files(spark: SparkSession, path: str):
     """Hadoop path and its file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -92,7 +81,10 @@ def _files(spark: SparkSession, path: str):
 
 
 def written_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at `path`; it is built and written only if no complete one is there."""
+    """The table at `path`; it is built and written only if no complete one is there.
+
+    The caller names the input in the path: a table of the same path is taken for the same table.
+    """
     marker, files = _files(spark, f"{path.rstrip('/')}/_SUCCESS")
     if not files.exists(marker):
         build().write.mode("overwrite").parquet(path)

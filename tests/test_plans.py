@@ -6,6 +6,7 @@ from tallyworth.checks import proxies
 from tallyworth.operators import metrics, models, splits, summaries
 from tallyworth.plans import customer_segments as cs
 from tallyworth.plans import model_selection as ms
+from tallyworth.operators import cleaning
 from tallyworth.session import clear_scratch, materialise, scratch_root, written_once
 from tallyworth.sources import tables
 
@@ -107,13 +108,15 @@ def test_customers_without_a_feature_are_kept_without_a_class(frame):
         scored = ms.predict(trainer(holes), holes)
         assert scored.count() == frame.count()
         assert scored.filter(F.col("prediction").isNull() != F.col("recency").isNull()).isEmpty()
-        assert metrics.confusion(scored).agg(F.sum("n")).first()[0] == holes.dropna().count()
+        unscored = metrics.weighted_metrics(metrics.confusion(scored)).first()["unscored_rows"]
+        assert unscored == holes.count() - holes.dropna().count()
 
 
-def test_boosted_model_survives_storage(spark, frame, tmp_path):
-    model = models.boosted(models.Boosting(3, 0.3, 2))(frame)
-    ms.save_model(model, f"{tmp_path}/m")
-    ms.score_batch(models.BoostedModel.load(f"{tmp_path}/m"), frame, f"{tmp_path}/scores")
+@pytest.mark.parametrize("trainer", [models.boosted(models.Boosting(3, 0.3, 2)), models.boosted(models.Boosting(2, 0.3, 1), classes=2), models.tree(4)])
+def test_models_survive_storage(spark, frame, tmp_path, trainer):
+    model = trainer(frame)
+    ms.save_model(model, f"{tmp_path}/m", spark)
+    ms.score_batch(ms.load_model(spark, f"{tmp_path}/m"), frame, f"{tmp_path}/scores")
     direct = {(r["user"], int(r["prediction"])) for r in ms.predict(model, frame).collect()}
     assert set(map(tuple, ms.read_scores(spark, f"{tmp_path}/scores").collect())) == direct
 
@@ -133,6 +136,50 @@ def test_search_ranks_and_returns_the_leader(frame):
         ms.search_models(frame, {str(i): models.tree(1) for i in range(11)})
 
 
+def test_search_nests_boosted_candidates(frame):
+    small = models.Boosting(2, 0.5, 2)
+    candidates = {f"boosted_{i}": models.boosted(small, parallelism=3) for i in range(3)} | {"tree": models.tree(3)}
+    board, _, scored = ms.search_models(frame, candidates, parallelism=4)
+    assert {r["model"] for r in board.collect()} == set(candidates) and scored.filter("prediction IS NULL").isEmpty()
+
+
+def test_rates_that_the_library_does_not_allow_are_refused():
+    for rate in (0.0, 1.34, -1.0):
+        with pytest.raises(ValueError):
+            models.Boosting(3, rate, 2)
+
+
+def test_a_tree_is_fitted_on_a_bounded_sample(frame):
+    model = models.tree(3, most_rows=frame.count() // 2)(frame)
+    assert ms.predict(model, frame).count() == frame.count()
+
+
+def test_no_transactions_and_no_window(spark, folder):
+    raw = proxies.transactions(spark, folder)
+    nothing = cs.segment_customers(raw.limit(0))
+    assert nothing.collect() == [] and nothing.schema["recency_cluster"].dataType.simpleString() == "int"
+    assert cs.label_lifetime_value(raw, 1900, 1901).collect() == []
+    assert cs.segment_customers(raw.limit(0), cs.Settings(random_start=True)).collect() == []
+
+
+def test_folders_with_two_orders_of_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("User,Year,Month,Day,Time,Amount,Is Fraud?,Errors?\n1,2016,1,2,06:30,$1,No,\n")
+    (tmp_path / "b.csv").write_text("User,Month,Year,Day,Time,Amount,Errors?,Is Fraud?\n2,1,2016,2,06:30,$1,,Yes\n")
+    with pytest.raises(Exception, match="header|CSV"):
+        tables.read_csv(spark, str(tmp_path), schema.TRANSACTIONS).collect()
+    rows = tables.read_csv(spark, str(tmp_path), schema.TRANSACTIONS, mixed_headers=True).orderBy("user").collect()
+    assert [(r["year"], r["month"], r["is_fraud"]) for r in rows] == [(2016, 1, "No"), (2016, 1, "Yes")]
+
+
+def test_year_range_picks_folders(spark, folder, tmp_path):
+    path = f"{tmp_path}/by-year"
+    tables.write_transactions(cleaning.clean_transactions(proxies.transactions(spark, folder)), path)
+    picked = cleaning.within_years(spark.read.parquet(path), 1996, 1997)
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "(year" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert {r["year"] for r in picked.select("year").distinct().collect()} == {1996, 1997}
+
+
 def test_scratch_is_the_folder_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
