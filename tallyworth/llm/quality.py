@@ -23,7 +23,7 @@ FLOORS = {"symbols": 0.45, "dup_lines": 1.1, "repeats": 1.1, "word_length": 0.12
 VECTOR = tuple(FLOORS)
 # Share of a group on which the determinant is smallest, tail of the chi-square cut, steps at most, smallest group.
 KEPT_SHARE = 0.75
-TAIL = 1e-6
+TAIL = 1e-4
 STEPS = 8
 LEAST_GROUP = 50
 
