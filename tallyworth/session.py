@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,17 @@ def build_session(app_name: str = "tallyworth", **settings: str) -> SparkSession
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for the functions that run in Python there."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyworth_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='tallyworth-code-')}/tallyworth", "zip", package.parent, package.name)
+    context.addPyFile(archive)  # Spark's own file server hands it out
+    context._tallyworth_shipped = True
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
