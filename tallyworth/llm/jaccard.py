@@ -33,7 +33,9 @@ from tallyworth.llm.shingles import chunks, mixed, raw_bytes, shingle_sets
 # Sizes within a class differ by this factor at most; a slice with at most so many hashes is weak.
 CLASS_RATIO, WEAK = 1.5, 1
 # Hashes of a candidate component that one task opens; documents of a group; hashes that a task hands on at once.
-OPEN, GROUP, HANDED_ON = 4_000_000, 32, 500_000
+OPEN, GROUP, HANDED_ON = 1_000_000, 32, 500_000
+# Cells of a matrix of tokens by sets up to which it is held as numbers.
+CELLS = 6_000_000
 LEAST_MAP, MOST_MAP = 256, 2048
 
 _SETS, _HITS, _PREFIX, _STRONG, _FEEBLE = 0, 1, 2, 3, 4
@@ -337,8 +339,13 @@ def _candidates(num: int, den: int):
     return run
 
 
-def linked(sets: list[np.ndarray], num: int, den: int, group: int = GROUP) -> np.ndarray:
-    """A label per set; sets that a chain of links joins share one. Needs no pair outside the opened groups."""
+def linked(sets: list[np.ndarray], num: int, den: int, group: int = GROUP, cells: int = CELLS) -> np.ndarray:
+    """A label per set; sets that a chain of links joins share one.
+
+    Sets are put into groups of `group` by their smallest hash, and the matrix of tokens by groups bounds the overlap of
+    each set with the members of each group. Only groups that can reach the threshold are opened. The matrix is dense
+    where it has few cells, else a list of groups per token; the labels are the same.
+    """
     count = len(sets)
     labels = np.arange(count)
     if count < 2:
@@ -348,42 +355,81 @@ def linked(sets: list[np.ndarray], num: int, den: int, group: int = GROUP) -> np
     sets, sizes = [sets[i] for i in similar], sizes[similar]
     universe, token = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.concatenate(([0], np.cumsum(sizes)))
+    shared = np.bincount(token, minlength=len(universe)) > 1  # other hashes are in no overlap
+    columns = int(shared.sum())
+    matrix = _DenseMatrix if count * columns <= cells else _SparseMatrix
+    found = matrix(token, shared, sizes, ends, group)
+    order = np.lexsort((np.arange(count), sizes))
+    order = order[sizes[order] > 0]
     group_of = np.arange(count) // group
-    groups = int(group_of[-1]) + 1
-    # The matrix of tokens by groups, by token: the groups whose union holds it.
-    cell = np.unique(token.astype(np.int64) * groups + np.repeat(group_of, sizes))
-    holders = cell % groups
-    at = np.searchsorted(cell // groups, np.arange(len(universe) + 1))
-    mark = np.zeros(len(universe), dtype=np.int64)
-    first = np.arange(groups) * group
-    for q in np.lexsort((np.arange(count), sizes)):
-        own = token[ends[q] : ends[q + 1]]
-        if not len(own):
-            continue
-        if groups > 1:
-            starts, lengths = at[own], at[own + 1] - at[own]
-            index = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-            bound = np.bincount(holders[index], minlength=groups)
-        else:
-            bound = np.array([len(own)])
-        low, high = np.minimum.reduceat(labels, first), np.maximum.reduceat(labels, first)
-        done = (low == high) & (low == labels[q])
-        for g in np.flatnonzero((den * bound >= num * len(own)) & ~done):
-            a, b = g * group, min((g + 1) * group, count)
-            other = (labels[a:b] != labels[q]) & (sizes[a:b] >= len(own)) & (num * sizes[a:b] <= den * len(own))
-            if not other.any():
-                continue
-            mark[own] = 1
-            running = np.concatenate(([0], np.cumsum(mark[token[ends[a] : ends[b]]])))
-            both = running[ends[a + 1 : b + 1] - ends[a]] - running[ends[a:b] - ends[a]]
-            mark[own] = 0
-            for x in np.flatnonzero(other & (den * both >= num * (len(own) + sizes[a:b] - both))):
-                labels[labels == labels[a + x]] = labels[q]
+    for at in range(0, len(order), found.at_once):
+        queries = order[at : at + found.at_once]
+        opened = den * found.bounds(queries) >= num * sizes[queries, None]
+        inside = np.flatnonzero(opened.any(axis=0)[group_of])
+        both = found.overlaps(queries, inside)
+        for q, groups, own in zip(queries, opened, both):
+            other = groups[group_of[inside]] & (labels[inside] != labels[q]) & (sizes[inside] >= sizes[q])
+            hit = inside[other & (den * own >= num * (sizes[q] + sizes[inside] - own))]
+            if len(hit):
+                labels[np.isin(labels, labels[hit])] = labels[q]
     out = np.empty(count, dtype=labels.dtype)
     out[similar] = labels
     return out
 
 
+class _DenseMatrix:
+    """Tokens by groups, and tokens by sets, as numbers 0 and 1."""
+
+    at_once = 64
+
+    def __init__(self, token, shared, sizes, ends, group):
+        column = np.cumsum(shared) - 1
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        kept = shared[token]
+        self.sets = np.zeros((len(sizes), int(shared.sum())), dtype=np.float32)
+        self.sets[row[kept], column[token[kept]]] = 1
+        self.groups = np.maximum.reduceat(self.sets, np.arange(0, len(sizes), group), axis=0)
+
+    def bounds(self, queries):
+        return self.sets[queries] @ self.groups.T
+
+    def overlaps(self, queries, inside):
+        return self.sets[queries] @ (self.sets if len(inside) == len(self.sets) else self.sets[inside]).T
+
+
+class _SparseMatrix:
+    """The groups of every token, and the tokens of every set."""
+
+    at_once = 1
+
+    def __init__(self, token, shared, sizes, ends, group):
+        self.token, self.ends, self.sizes = token, ends, sizes
+        group_of = np.arange(len(sizes)) // group
+        self.count = int(group_of[-1]) + 1
+        cell = np.unique(token.astype(np.int64) * self.count + np.repeat(group_of, sizes))
+        self.holders = cell % self.count
+        self.at = np.searchsorted(cell // self.count, np.arange(len(shared) + 1))
+        self.mark = np.zeros(len(shared), dtype=np.int64)
+
+    def _own(self, q):
+        return self.token[self.ends[q] : self.ends[q + 1]]
+
+    def bounds(self, queries):
+        own = self._own(queries[0])
+        starts, lengths = self.at[own], self.at[own + 1] - self.at[own]
+        index = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+        return np.bincount(self.holders[index], minlength=self.count)[None, :]
+
+    def overlaps(self, queries, inside):
+        if not len(inside):
+            return np.zeros((1, 0), dtype=np.int64)
+        own, (a, b) = self._own(queries[0]), inside[[0, -1]]
+        self.mark[own] = 1
+        running = np.concatenate(([0], np.cumsum(self.mark[self.token[self.ends[a] : self.ends[b + 1]]])))
+        self.mark[own] = 0
+        return np.diff(running[self.ends[a : b + 2] - self.ends[a]])[None, inside - a]
+
+
 def _open(words: int, num: int, den: int):
     """Exact links inside each (component, block, block); rows arrive sorted by these."""
 

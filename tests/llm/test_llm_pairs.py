@@ -88,12 +88,14 @@ def test_components_on_edge_rows(spark):
     assert jaccard.near_duplicates(edges.empty(spark)).collect() == []
 
 
-@given(st.lists(st.sets(st.integers(0, 30), max_size=20), max_size=40), st.sampled_from([(90, 100), (4, 5), (1, 2)]), st.integers(1, 5))
-@settings(max_examples=200, deadline=None)
-def test_opened_groups_give_all_links(sets, ratio, group):
+@given(
+    st.lists(st.sets(st.integers(0, 30), max_size=20), max_size=40), st.sampled_from([(90, 100), (4, 5), (1, 2)]), st.integers(1, 5), st.sampled_from([0, 10**6])
+)
+@settings(max_examples=300, deadline=None)
+def test_opened_groups_give_all_links(sets, ratio, group, cells):
     num, den = ratio
     arrays = [np.array(sorted(s), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in sets]
-    labels = jaccard.linked([np.sort(a) for a in arrays], num, den, group)
+    labels = jaccard.linked([np.sort(a) for a in arrays], num, den, group, cells)
     parent = list(range(len(sets)))
 
     def root(x):
