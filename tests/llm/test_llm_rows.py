@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import edges
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tallyworth.llm import exact_dedup, pii, quality, queries_one, url_filter
 
 
@@ -155,6 +157,20 @@ def test_base_spans(spark):
     assert "secret" in kinds[5] and "secret" not in kinds[6]
 
 
+@given(st.text(alphabet="a1.@-+ %é", max_size=60))
+@settings(max_examples=500, deadline=None)
+def test_linear_matches_are_those_of_the_patterns(text):
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    address = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    assert list(pii.emails(text)) == [m.span() for m in email.finditer(text)]
+    assert list(pii.addresses(text)) == [m.span() for m in address.finditer(text)]
+
+
+def test_very_long_runs_take_linear_time():
+    for text in ("a" * 400_000 + " @", "1" * 400_000 + ".", "+1" + "(" * 400_000, "a@" * 100_000, "1." * 100_000, "-" * 400_000 + "1"):
+        pii.spans_of(text)
+
+
 def test_redaction_leaves_no_base_span(spark):
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(PRIVATE)], "doc_id long, text string, spans int")
     clean = pii.redacted(docs)
