@@ -33,7 +33,7 @@ from tallyworth.operators import (
 from tallyworth.plans import customer_features as cf
 from tallyworth.plans import customer_segments as cs
 from tallyworth.plans import model_selection as ms
-from tallyworth.session import materialise, scratch_path
+from tallyworth.session import materialise, scratch_path, written_once
 from tallyworth.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,6 +233,39 @@ def split_summary(spark, folder):
     return cleaning.split_summary(_clean(spark, folder)).withColumn("amount", _d("amount"))
 
 
+@query(
+    """SELECT count(*) AS transactions, CAST(sum(amount) AS DOUBLE) AS amount, CAST(1 AS BIGINT) AS builds
+    FROM tagged WHERE valid""",
+    "tagged",
+)
+def valid_written_once(spark, folder):
+    """The valid transactions, asked for twice and written once."""
+    path, builds = scratch_path(spark, "valid"), []
+
+    def build() -> DataFrame:
+        builds.append(path)
+        return cleaning.valid_transactions(_clean(spark, folder)).select("row_id", "amount")
+
+    for _ in range(2):
+        rows = written_once(spark, path, build)
+    total = F.sum("amount").cast("double").alias("amount")
+    return rows.agg(F.count(F.lit(1)).alias("transactions"), total, F.lit(len(builds)).cast("bigint").alias("builds"))
+
+
+@query(
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{f.name}', '{f.type}')" for f in schema.TRANSACTIONS if f.name != "errors")
+    + ") t(name, type)",
+)
+def transaction_schema(spark, folder):
+    """Names and types as read back from files without any type in them; only columns that hold a value are listed."""
+    path = scratch_path(spark, "transactions-csv")
+    tables.write_csv(proxies.transactions(spark, folder), path, schema.TRANSACTIONS)
+    rows = tables.read_csv(spark, path, schema.TRANSACTIONS).drop("errors")
+    kinds = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("type"), F.col(n).cast("string").alias("value")) for n, t in rows.dtypes))
+    return rows.select(F.inline(kinds)).filter("value IS NOT NULL").select("name", "type").distinct()
+
+
 # ---- per-user activity ----
 
 
