@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -108,6 +109,9 @@ CUT = _chi_square_cut(TAIL, HALF)
 CONSISTENCY = KEPT_SHARE / (1 - _chi_square_above(_chi_square_cut(1 - KEPT_SHARE, HALF), HALF + 1))
 
 GROUP = ("_lang", "_source")
+# Stands for the group of all rows. Groups (some 400 bytes each) up to which their parameters are broadcast; tasks that solve.
+_ALL = "\1"
+MOST_BROADCAST, _SOLVERS = 10_000, 8
 _PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))]
 _PARAMETERS = "_lang string, _source string, center array<double>, inverse array<double>, determinant double"
 
@@ -134,11 +138,18 @@ def _distance() -> Column:
     return sum(terms[1:], terms[0])
 
 
+def _with(rows: DataFrame, parameters: DataFrame, groups: int) -> DataFrame:
+    """Rows beside the parameters of their group. Up to MOST_BROADCAST counted groups are sent to all tasks, so that a
+    group with a third of all rows stays where it is; more of them meet in a join that Spark can split."""
+    return rows.join(F.broadcast(parameters) if groups <= MOST_BROADCAST else parameters, list(GROUP))
+
+
 def _fit(rows: DataFrame) -> DataFrame:
     """Parameters per group from the given rows: sums per group, combined before they are shuffled."""
     sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(VECTOR)]
     sums += [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}_{j}") for i, j in _PAIRS]
-    return rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *sums).mapInPandas(_solve, _PARAMETERS)
+    per_group = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *sums)
+    return per_group.coalesce(_SOLVERS).mapInPandas(_solve, _PARAMETERS)
 
 
 def minimum_covariance(rows: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -149,22 +160,21 @@ def minimum_covariance(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """
     medians = rows.groupBy(*GROUP).agg(*(F.percentile_approx(c, 0.5, 1000).alias(c) for c in VECTOR))
     inverse = [(1 / FLOORS[VECTOR[i]] ** 2 if i == j else 0.0) for i in range(len(VECTOR)) for j in range(len(VECTOR))]
-    now = medians.select(
-        *GROUP,
-        F.array(*VECTOR).alias("center"),
-        F.array(*(F.lit(x) for x in inverse)).alias("inverse"),
-        F.lit(float("inf")).alias("determinant"),
+    start = medians.select(
+        *GROUP, F.array(*VECTOR).alias("center"), F.array(*(F.lit(x) for x in inverse)).alias("inverse"), F.lit(0.0).alias("determinant")
     )
-    best = None
+    now = written(start, "covariance-start")
+    groups = now.count()
+    fits = []
     for _ in range(steps):
-        near = rows.join(now, list(GROUP)).withColumn("_d", _distance())
-        limit = near.groupBy(*GROUP).agg(F.percentile_approx("_d", KEPT_SHARE, 1000).alias("_limit"))
-        kept = near.join(limit, list(GROUP)).filter("_d <= _limit")
-        now = written(_fit(kept), "covariance")
-        both = now if best is None else best.unionByName(now)
-        # A handful of rows per group: the fits so far, of which one stays.
-        best = both.groupBy(*GROUP).agg(F.min_by(F.struct("center", "inverse", "determinant"), "determinant").alias("_b")).select(*GROUP, "_b.*")
-    return best
+        distances = _with(rows, now, groups).select(*GROUP, _distance().alias("_d"))
+        limits = distances.groupBy(*GROUP).agg(F.percentile_approx("_d", KEPT_SHARE, 1000).alias("_limit"))
+        limited = written(now.join(limits, list(GROUP)), "covariance-limits")
+        now = written(_fit(_with(rows, limited, groups).filter(_distance() <= F.col("_limit"))), "covariance")
+        fits.append(now)
+    # A handful of rows per group: the fits of all steps, of which one stays.
+    best = F.min_by(F.struct("center", "inverse"), "determinant").alias("_b")
+    return written(reduce(DataFrame.unionByName, fits).groupBy(*GROUP).agg(best).select(*GROUP, "_b.*"), "covariance-best")
 
 
 def quality_verdicts(docs: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -187,17 +197,13 @@ def quality_verdicts(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     )
     passed = rows.filter("NOT base_failed").select(*GROUP, *VECTOR)
     sizes = passed.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") >= LEAST_GROUP).select(*GROUP)
-    own = minimum_covariance(passed.join(large, list(GROUP), "left_semi"), steps)
-    pooled = minimum_covariance(passed.withColumns({c: F.lit("") for c in GROUP}), steps)
-    everywhere = pooled.select(F.col("center").alias("_c"), F.col("inverse").alias("_i")).first()
-    found = rows.join(own, list(GROUP), "left")
-    if everywhere is not None:
-        found = found.withColumns(
-            {
-                "center": F.coalesce("center", F.array(*(F.lit(x) for x in everywhere["_c"]))),
-                "inverse": F.coalesce("inverse", F.array(*(F.lit(x) for x in everywhere["_i"]))),
-            }
-        )
+    large = written(sizes.filter(F.col("_n") >= LEAST_GROUP).select(*GROUP), "quality-groups")
+    everything = passed.withColumns({c: F.lit(_ALL) for c in GROUP})
+    fitted = minimum_covariance(_with(passed, large, large.count()).unionByName(everything), steps)
+    own, pooled = fitted.filter(F.col("_lang") != _ALL), fitted.filter(F.col("_lang") == _ALL).first()
+    found = rows.join(F.broadcast(own) if own.count() <= MOST_BROADCAST else own, list(GROUP), "left")
+    if pooled is not None:
+        for name in ("center", "inverse"):
+            found = found.withColumn(name, F.coalesce(name, F.array(*(F.lit(x) for x in pooled[name]))))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)
     return found.withColumn("distance", _distance()).select("doc_id", *BASE, "base_failed", kept.alias("kept"), "distance")
