@@ -916,7 +916,7 @@ _FOLDED = f"""(SELECT usr, label, (row_number() OVER (PARTITION BY label ORDER B
 @query(f'SELECT usr AS "user", fold, TRUE AS known_class, TRUE AS beats_majority FROM {_FOLDED}', "ltv")
 def cv_metrics(spark, folder):
     """Five folds of the tuned boosted model; every row is predicted by the model that did not see it."""
-    return _checked(ms.fold_predictions(_frame(spark, folder), models.boosted(models.TUNED), parallelism=1), "user", "fold")
+    return _checked(ms.fold_predictions(_frame(spark, folder), models.boosted(models.TUNED, parallelism=1), parallelism=5), "user", "fold")
 
 
 @query(
