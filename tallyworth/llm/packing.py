@@ -1,9 +1,9 @@
 """Pack tokenised documents into sequences of a fixed length, into as few as can be.
 
 Pieces are counted by length, so that the packing problem that the driver solves has at most one entry per length,
-however many documents there are. Bin completion takes the largest length left, enumerates undominated fillings of
-the room beside it, and repeats the chosen filling as often as the counts allow. The search backtracks over fillings,
-prunes by the waste that the best solution so far allows, and starts from best fit. Documents then take their places
+however many documents there are. Bin completion takes the largest length left, enumerates the fillings of the room
+beside it that no piece left would fit into, and repeats the chosen filling as often as the counts allow, or less often.
+The search backtracks over fillings, prunes by the waste that the best solution so far allows, and starts from best fit. Documents then take their places
 by their rank among the pieces of their length.
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
@@ -30,7 +32,6 @@ VOCABULARY = "byte_bpe_50k.json"
 # Words whose ids a worker remembers; and the search steps after which the best packing so far is taken.
 REMEMBERED = 300_000
 MOST_STEPS = 20_000
-FILLINGS = 8
 
 # The pre-tokeniser of the vocabulary, for texts of ASCII and Latin letters; other texts go to the tokenizer whole.
 _PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\x7e\\xa1-\\u024f]")
@@ -112,74 +113,112 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def fillings(room: int, sizes: list[int], counts: dict[int, int], most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated ways to fill `room` from the sizes (descending), the least waste first.
+def fillings(room: int, counts: dict[int, int], slack: int, after: tuple[int, ...] | None = None) -> Iterator[tuple[int, ...]]:
+    """All ways to fill `room` up to a gap of at most `slack` from the counted sizes, the least gap first.
 
-    A filling is dominated if another one holds sizes into which its own sizes can be put; so a filling to which a
-    size still fits is never given, and of two with the same waste the one with fewer and larger sizes comes first.
-    Fillings of one, two and three sizes are tried in full, longer ones by best fit.
+    Sizes may repeat as often as they are counted, in fillings of any number of sizes. Equal gaps come with larger
+    sizes first. With `after`, a filling, only those that follow it come. The sums that the sizes from each one down
+    can make are held as bits, so that the search runs into no dead ends but those on the way to `after`.
     """
-    found: list[tuple[int, ...]] = []
-    usable = [s for s in sizes if s <= room]
-    if not usable:
-        return [()]
-    present = np.zeros(room + 1, dtype=bool)
-    present[usable] = True
-    # largest size that is there, at or below each room
-    below = np.maximum.accumulate(np.where(present, np.arange(room + 1), 0))
-    found.append((usable[0],))
-    for a in usable:
-        b = int(below[min(a, room - a)])
-        if b and (b != a or counts[a] > 1):
-            found.append((a, b))
-    if min(room - sum(f) for f in found):
-        step = usable[:: max(1, len(usable) // 64)]
-        for a in step:
-            for b in step:
-                c = int(below[min(b, room - a - b)]) if b <= a and a + b < room else 0
-                if c and len({a, b, c}) == 3:
-                    found.append((a, b, c))
-    # best fit down to the smallest size
-    left, rest, taken = room, dict(counts), []
-    while (size := next((s for s in usable if s <= left and rest[s]), 0)):
-        taken.append(size)
-        rest[size] -= 1
-        left -= size
-    found.append(tuple(taken))
-    smallest = usable[-1]
-
-    def maximal(filling: tuple[int, ...]) -> bool:
-        gap = room - sum(filling)
-        return not any(counts[s] > filling.count(s) for s in usable if s <= gap) if gap >= smallest else True
-
-    out: list[tuple[int, ...]] = []
-    for filling in sorted(set(found), key=lambda f: (room - sum(f), len(f), tuple(-s for s in f))):
-        if maximal(filling):
-            out.append(filling)
-            if len(out) == most:
-                break
-    return out
+    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
+    if after is None and room in counts and sizes and sizes[0] == room:
+        yield (room,)
+        after = (room,)
+    mask = (1 << room + 1) - 1
+    sums = [1] * (len(sizes) + 1)
+    for i in range(len(sizes) - 1, -1, -1):
+        reached, left, part = sums[i + 1], min(counts[sizes[i]], room // sizes[i]), 1
+        while left:
+            part = min(part, left)
+            reached |= reached << part * sizes[i] & mask
+            left, part = left - part, part * 2
+        sums[i] = reached
+
+    def exact(target: int, after: tuple[int, ...] | None) -> Iterator[tuple[int, ...]]:
+        """The fillings of just `target`, in falling order."""
+        held = Counter(after or ())
+        # so long as the choices are those of `after`, no more of a size may be taken than it holds
+        bound_to = 0 if after is None else next((i for i, s in enumerate(sizes) if any(x > s and not counts.get(x) for x in held)), len(sizes))
+        tight = after is not None
+        taken: list[tuple[int, int]] = []
+        i, rest = 0, target
+        while True:
+            while rest and i < len(sizes):
+                size = sizes[i]
+                tight = tight and i < bound_to
+                if size <= rest:
+                    most = min(counts[size], rest // size, held[size] if tight else rest)
+                    often = next((k for k in range(most, -1, -1) if sums[i + 1] >> rest - k * size & 1), -1)
+                    if often < 0:
+                        break
+                    if often:
+                        taken.append((i, often))
+                        rest -= often * size
+                    tight = tight and often == held[size]
+                elif held[size]:
+                    tight = False
+                i += 1
+            if not rest:
+                filling = tuple(sizes[k] for k, often in taken for _ in range(often))
+                if filling != after:
+                    yield filling
+            tight = False
+            while taken:
+                i, often = taken.pop()
+                rest += often * sizes[i]
+                fewer = next((k for k in range(often - 1, -1, -1) if sums[i + 1] >> rest - k * sizes[i] & 1), -1)
+                if fewer >= 0:
+                    if fewer:
+                        taken.append((i, fewer))
+                        rest -= fewer * sizes[i]
+                    i += 1
+                    break
+            else:
+                return
+
+    start = 0 if after is None else room - sum(after)
+    for gap in range(start, min(slack, room) + 1):
+        if sums[0] >> room - gap & 1:
+            yield from exact(room - gap, after if gap == start else None)
 
 
 def best_fit(counts: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing on counted lengths: (filling, times). The first incumbent."""
-    left = {s: n for s, n in counts.items() if n}
-    out = []
-    while left:
-        order = sorted(left, reverse=True)
-        room, filling, own = length, [], dict(left)
-        for size in order:
-            while size <= room and own[size]:
-                filling.append(size)
-                own[size] -= 1
-                room -= size
-        times = min(left[s] // filling.count(s) for s in set(filling))
-        out.append((tuple(filling), times))
-        for s in set(filling):
-            left[s] -= times * filling.count(s)
-            if not left[s]:
-                del left[s]
-    return out
+    """Best-fit decreasing on counted lengths: (filling, times). The first incumbent.
+
+    Each piece, from the largest down, goes to the fullest sequence that has room for it. Sequences that are filled
+    alike are counted together.
+    """
+    # by room left: the fillings that leave it, with how often
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    rooms: list[int] = []
+
+    def put(room: int, filling: tuple[int, ...], times: int) -> None:
+        if times:
+            if room not in open_:
+                open_[room] = []
+                insort(rooms, room)
+            open_[room].append((filling, times))
+
+    for size in sorted((s for s, n in counts.items() if n), reverse=True):
+        left = counts[size]
+        while left:
+            at = bisect_left(rooms, size)
+            if at == len(rooms):
+                room, filling, times = length, (), left
+            else:
+                room = rooms[at]
+                filling, times = open_[room].pop()
+                if not open_[room]:
+                    del open_[room]
+                    rooms.pop(at)
+            # the sequence just added to is the fullest one, until it has no room for this size
+            each = min(room // size, left)
+            used = min(times, left // each)
+            put(room - each * size, filling + (size,) * each, used)
+            if filling:
+                put(room, filling, times - used)
+            left -= used * each
+    return [entry for room in rooms for entry in open_[room]]
 
 
 def lower_bound(counts: dict[int, int], length: int = LENGTH) -> int:
@@ -199,8 +238,10 @@ def lower_bound(counts: dict[int, int], length: int = LENGTH) -> int:
 def pack_counts(counts: dict[int, int], length: int = LENGTH, steps: int = MOST_STEPS) -> list[tuple[tuple[int, ...], int]]:
     """Fillings with how often each is used; together they hold every counted length.
 
-    Depth-first over fillings of the largest length left. A branch ends when its waste exceeds what a better solution
-    than the incumbent allows. The search ends at the lower bound or after `steps` branches.
+    Depth-first over fillings of the largest length left, each as often as it can be and then less often. Fillings of
+    the same length follow each other in the order of `fillings`, so that no set of them is met twice. A branch ends
+    when its waste exceeds what a better solution than the incumbent allows, or when a piece left would fit its gap.
+    The search ends at the lower bound or after `steps` branches.
     """
     counts = {s: n for s, n in counts.items() if n}
     if not counts:
@@ -212,17 +253,15 @@ def pack_counts(counts: dict[int, int], length: int = LENGTH, steps: int = MOST_
     if fewest == least:
         return incumbent
     left, chosen, wasted, done = dict(counts), [], 0, 0
-    stack: list[list] = []
 
-    def options() -> list[tuple[tuple[int, ...], int]]:
-        sizes = sorted((s for s, n in left.items() if n), reverse=True)
-        largest = sizes[0]
-        beside = {**left, largest: left[largest] - 1}
-        out = []
-        for filling in fillings(length - largest, [s for s in sizes if beside[s]], beside):
-            whole = (largest, *filling)
-            out.append((whole, min(left[s] // whole.count(s) for s in set(whole))))
-        return out
+    def options(largest: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        beside = {s: n for s, n in left.items() if n}
+        beside[largest] -= 1
+        after = chosen[-1][0][1:] if chosen and chosen[-1][0][0] == largest else None
+        for filling in fillings(length - largest, beside, (fewest - 1) * length - total - wasted, after):
+            whole = Counter((largest, *filling))
+            for times in range(min(left[s] // k for s, k in whole.items()), 0, -1):
+                yield (largest, *filling), times
 
     def apply(filling: tuple[int, ...], times: int, sign: int) -> None:
         nonlocal wasted
@@ -230,26 +269,27 @@ def pack_counts(counts: dict[int, int], length: int = LENGTH, steps: int = MOST_
             left[s] -= sign * times
         wasted += sign * times * (length - sum(filling))
 
-    stack.append(options())
+    # per level: the fillings that are still to be tried
+    stack = [options(max(counts))]
     while stack and done < steps:
         done += 1
-        if not stack[-1]:
+        option = next(stack[-1], None)
+        if option is None:
             stack.pop()
             if chosen:
                 apply(*chosen.pop(), -1)
             continue
-        filling, times = stack[-1].pop(0)
+        filling, times = option
         apply(filling, times, 1)
-        chosen.append((filling, times))
-        allowed = (fewest - 1) * length - total
+        chosen.append(option)
         if not any(left.values()):
             used = sum(n for _, n in chosen)
             if used < fewest:
                 incumbent, fewest = list(chosen), used
                 if fewest == least:
                     break
-        elif wasted <= allowed:
-            stack.append(options())
+        elif wasted <= (fewest - 1) * length - total and min(s for s, n in left.items() if n) > length - sum(filling):
+            stack.append(options(max(s for s, n in left.items() if n)))
             continue
         apply(*chosen.pop(), -1)
     return incumbent

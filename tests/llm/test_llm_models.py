@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -138,6 +139,27 @@ def test_small_packings_are_the_smallest(items):
     assert sum(n for _, n in packing.pack_counts(Counter(items), 20)) == least_sequences(sorted(items, reverse=True), 20)
 
 
+def test_fillings_may_repeat_sizes():
+    assert sum(n for _, n in packing.pack_counts({300: 4, 212: 4})) == 2
+    assert sum(n for _, n in packing.pack_counts({300: 4_000, 212: 4_000})) == 2_000
+
+
+@given(st.dictionaries(st.integers(1, 12), st.integers(0, 3), max_size=5), st.integers(1, 14), st.integers(0, 14))
+@settings(max_examples=150, deadline=None)
+def test_all_fillings_are_listed(counts, room, slack):
+    sizes = sorted(counts, reverse=True)
+    every = [tuple(s for s, k in zip(sizes, ks) for _ in range(k)) for ks in itertools.product(*(range(counts[s] + 1) for s in sizes))]
+    want = sorted((f for f in every if 0 <= room - sum(f) <= slack), key=lambda f: (-sum(f), [-s for s in f]))
+    assert list(packing.fillings(room, counts, slack)) == want
+    for k, filling in enumerate(want):
+        assert list(packing.fillings(room, counts, slack, filling)) == want[k + 1 :]
+
+
+def test_best_fit_takes_the_fullest_sequence():
+    assert sorted(packing.best_fit({7: 1, 6: 1, 3: 1, 4: 1}, 10)) == [((6, 4), 1), ((7, 3), 1)]
+    assert sorted(packing.best_fit({6: 2, 5: 1, 4: 1, 2: 1}, 10)) == [((5,), 1), ((6, 2), 1), ((6, 4), 1)]
+
+
 def check_packed(rows, texts):
     tokenizer = Tokenizer.from_file(PATH)
     pieces, sequences = defaultdict(list), defaultdict(list)
