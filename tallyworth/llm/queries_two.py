@@ -29,7 +29,7 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     def page(name: str):
-        return F.regexp_extract(name, ":(-?[0-9]+)$", 1).cast("long")
+        return F.regexp_extract(name, "^urn:page:(-?[0-9]+)", 1).cast("long")
 
     read = warc.archived(table(spark, folder, "pages"))
     return read.select(

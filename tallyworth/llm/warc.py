@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworth.llm.common import written
@@ -25,7 +25,6 @@ LINE, END = b"\r\n", "\r\n\r\n"
 SEGMENT, CHUNK = 64 << 10, 16 << 10
 # Rows per archive file: a reading task holds one file at a time.
 FILE_ROWS = 2_000
-_RECORD_ID = "urn:page:%d"
 _DATE = b"2024-01-01T00:00:00Z"
 
 
@@ -60,14 +59,14 @@ def record(fields: list[tuple[bytes, bytes]], block: bytes) -> bytes:
     return VERSION + LINE + head + b"Content-Length: %d\r\n\r\n" % len(block) + block
 
 
-def records_of(page: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment: int = SEGMENT) -> list[bytes]:
-    """The records of a page: a revisit without a body, or a response in as many segments as it needs."""
-    name = (_RECORD_ID % page).encode()
+def records_of(name: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment: int = SEGMENT) -> list[bytes]:
+    """The records of a row by its name: a revisit without a body, or a response in as many segments as it needs."""
+    name = name.encode()
     target = re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m.group()[0], (url or "").encode("utf-8", "surrogatepass"))
     about = [(b"WARC-Target-URI", target)] if target else []
     about += [(b"WARC-Date", _DATE), (b"WARC-Payload-Digest", b"sha1:" + digest.encode())]
     if refers_to is not None:
-        refers = (b"WARC-Refers-To", b"<%b>" % (_RECORD_ID % refers_to).encode())
+        refers = (b"WARC-Refers-To", b"<%b>" % refers_to.encode())
         profile = (b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         first = [(b"WARC-Type", b"revisit"), (b"WARC-Record-ID", b"<%b>" % name), *about, refers, profile]
         return [record(first, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n")]
@@ -92,33 +91,59 @@ def records_of(page: int, url: str | None, payload: bytes, digest: str, refers_t
 
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, payload and refers_to: the largest page_id with the same payload, null for that page itself.
+    """name, url, payload and refers_to of every row: the names of its own record and of the one it refers to.
 
-    Payloads under `least` bytes never refer. A null page_id is never referred to. Equal payloads are counted before
-    they are shuffled, and the join back is one that Spark splits where a payload is very common.
+    A row refers to the largest page_id with the same payload, null for that page itself. Payloads under `least` bytes
+    never refer. The name is the page_id; where that is repeated, a digest of url and payload and, among rows that are
+    equal in all, a number follow. Equal payloads are counted before they are shuffled, and the join back is one that
+    Spark splits where a payload is very common. Rows equal in all are merged and dealt out again, so their numbers
+    need no order of the rows.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
     ).withColumn("_sum", F.concat(F.sha2("payload", 256), F.lit(":"), F.octet_length("payload")))
-    largest = rows.groupBy("_sum").agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_rows"))
-    shared = largest.filter(F.col("_rows") > 1).select("_sum", "_largest")
-    joined = rows.join(shared, "_sum", "left")
-    other = (F.col("_largest") != F.col("page_id")) & (F.octet_length("payload") >= least)
-    return joined.select("page_id", "url", "payload", F.when(other, F.col("_largest")).alias("refers_to"))
+    rows = rows.withColumn("_own", F.sha2(F.concat("_sum", F.coalesce(F.concat(F.lit(":"), "url"), F.lit(""))), 256))
+    kinds = written(rows.groupBy("_sum", "page_id", "_own").agg(F.count(F.lit(1)).alias("_rows")), "archive-kinds")
+    ids = kinds.groupBy("page_id").agg(F.sum("_rows").alias("_n")).filter(F.col("_n") > 1)
+    repeated = written(ids.select("page_id", F.lit(True).alias("_repeated")), "archive-repeated")
+    plain = F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))
+    base = F.when(F.col("_repeated"), F.concat(plain, F.lit(":"), "_own")).otherwise(plain)
+    named = kinds.join(repeated, "page_id", "left").select("_sum", "page_id", "_own", "_rows", "_repeated", base.alias("_base"))
+    # the record of the largest page_id with a payload, the first of those that are equal in all
+    first = F.when(F.col("_repeated"), F.concat("_base", F.lit(":1"))).otherwise(F.col("_base"))
+    largest = named.groupBy("_sum").agg(
+        F.max(F.struct("page_id", first.alias("name"))).alias("_largest"), F.sum("_rows").alias("_all")
+    )
+    shared = largest.filter(F.col("_all") > 1).select("_sum", F.col("_largest.page_id").alias("_id"), F.col("_largest.name").alias("_name"))
+    other = (F.col("_id") != F.col("page_id")) & (F.octet_length("payload") >= least)
+
+    def referring(some: DataFrame, name: Column) -> DataFrame:
+        return some.join(shared, "_sum", "left").select(name.alias("name"), "url", "payload", F.when(other, F.col("_name")).alias("refers_to"))
+
+    if repeated.isEmpty():
+        return referring(rows, plain)
+    # the payloads of rows with an id of their own are not touched by the rest
+    again = rows.join(repeated, "page_id")
+    merged = again.groupBy("_sum", "page_id", "_own").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.count(F.lit(1)).alias("_rows"))
+    dealt = merged.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).repartition("_own", "_k")
+    numbered = F.concat(plain, F.lit(":"), "_own", F.lit(":"), F.col("_k").cast("string"))
+    alone = rows.join(repeated, "page_id", "left_anti")
+    return referring(alone, plain).unionByName(referring(dealt, numbered))
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, file_rows: int = FILE_ROWS) -> None:
     """Write a record per row of `pages` (page_id, url, html) as compressed archives under `path`.
 
-    Null html is an empty payload, a null url leaves the target out. Rows of a repeated page_id are all written.
+    Null html is an empty payload, a null url leaves the target out. Rows of a repeated page_id are
+    all written, each under a name of its own. Rows without a page_id are left out, as the SQL of the query says.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page, url, payload, refers in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "refers_to"))):
+            for name, url, payload, refers in zip(*(batch.column(c) for c in ("name", "url", "payload", "refers_to"))):
                 body = payload.as_py()
-                out += records_of(page.as_py(), url.as_py(), body, digest_of(body), refers.as_py(), segment)
+                out += records_of(name.as_py(), url.as_py(), body, digest_of(body), refers.as_py(), segment)
             yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], ["record"])
 
     rows = with_revisits(pages.filter("page_id IS NOT NULL"), least)
@@ -252,7 +277,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     columns = ["name", "target", F.col("kind").alias("record_type"), "stated", "digest", "bytes", F.col("refers").alias("refers_to")]
     columns += ["payload"] if payloads else []
     responses = found.filter("kind = 'response'")
-    origins = responses.select(F.col("name").alias("refers"), "digest", "bytes", "payload").dropDuplicates(["refers"])
+    origins = responses.select(F.col("name").alias("refers"), "digest", "bytes", "payload")
     revisits = found.filter("kind = 'revisit'").drop("digest", "bytes", "payload").join(origins, "refers", "left")
     return responses.select(*columns).unionByName(revisits.select(*columns))
 

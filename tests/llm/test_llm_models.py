@@ -232,6 +232,25 @@ def test_pages_survive_their_archive(spark, tmp_path):
     assert bodies == {f"urn:page:{i}": (h or "").encode() for i, _, h in PAGES}
 
 
+def test_repeated_pages_have_records_of_their_own(spark, tmp_path):
+    long, other = "x" * 200_001, "y" * 150_000
+    pages = [(1, "u", long), (1, "u", long), (1, "u", long), (2, "u", "short"), (2, None, "short"), (2, "u", other), (2, "v", long), (0, "w", long)]
+    pages += [(0, "w", other), (-3, "u", "short"), (-3, "u", "short"), (9, "u", "alone")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5).write.parquet(str(tmp_path / "pages.parquet"))
+    last = {html: max(i for i, _, h in pages if h == html) for _, _, html in pages}
+    want = Counter()
+    for i, _, html in pages:
+        digest = base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+        want[(i, len(html), digest, *(("response", None) if last[html] == i else ("revisit", last[html])))] += 1
+    assert Counter(tuple(r) for r in queries_two.op9_warc(spark, str(tmp_path)).collect()) == want
+    path = str(tmp_path / "archives")
+    warc.write_archives(spark.read.parquet(str(tmp_path / "pages.parquet")), path, segment=1000)
+    found = warc.read_archives(spark, path).collect()
+    assert len({r["name"] for r in found}) == len(pages)
+    targets = Counter((r["name"].split(":")[2], r["target"], bytes(r["payload"]).decode()) for r in found)
+    assert targets == Counter((str(i), u, h) for i, u, h in pages)
+
+
 def test_pages_query(spark, folder):
     pages = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
     check_archived(queries_two.op9_warc(spark, folder).collect(), pages)
