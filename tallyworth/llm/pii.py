@@ -48,6 +48,39 @@ def _is_iban(match: str) -> bool:
     return 15 <= len(account) <= 34 and mod_97(account)
 
 
+# Characters of an account number by country.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_LENGTH = {country: n for n, countries in _LENGTHS.items() for country in countries.split()}
+_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+
+
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers, leftmost and apart: of the length of their country, else the longest run of words that fits.
+
+    A match may hold words that follow the number; these are left to the text, and so is all but the first character
+    of a match without a number, so that a number in it is still found.
+    """
+    at = 0
+    while match := _IBAN.search(text, at):
+        start, whole = match.span()
+        ends = [whole]
+        places = [i for i in range(start, whole) if text[i] != " "]
+        length = _LENGTH.get(text[start : start + 2])
+        if length is None:
+            ends += [i for i in range(whole - 1, start, -1) if text[i] == " "]
+        elif length <= len(places) and (places[length - 1] + 1 == whole or text[places[length - 1] + 1] == " "):
+            ends.insert(0, places[length - 1] + 1)
+        end = next((e for e in ends if _is_iban(text[start:e])), None)
+        if end is not None:
+            yield start, end
+        at = end or start + 1
+
+
 # The patterns of the base kinds, in parts: a run of characters, and what has to follow it.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -90,26 +123,38 @@ class Kind:
     hint: str
     check: Callable[[str], bool]
     score: float
-    near: re.Pattern | None = None
+    near: re.Pattern
+
+
+def _words(pattern: str) -> re.Pattern:
+    return re.compile(f"(?i){pattern}")
 
 
-# A proposed span counts from this score on; a word of its context within so many characters before it adds LIFT.
+# A proposed span counts from this score on. A word of its context that lies whole within so many characters before or
+# after it adds LIFT, up to 1. Only a secret needs such a word to count.
 LEAST_SCORE, LIFT, WINDOW = 0.5, 0.4, 40
 
 RULES = {
-    "email": Kind(emails, "@", lambda m: True, 0.9),
-    "ip": Kind(addresses, ".", _is_address, 0.6),
-    "card": Kind(by_pattern(_CARD), "", _is_card, 0.9),
-    "phone": Kind(by_pattern(_PHONE), "+", lambda m: 9 <= len(digits(m)) <= 15, 0.6),
-    "iban": Kind(by_pattern(re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")), "", _is_iban, 0.9),
+    "email": Kind(emails, "@", lambda m: True, 0.9, _words("e-?mail|mailto|contact|write to|address")),
+    "ip": Kind(addresses, ".", _is_address, 0.6, _words(r"\bip(?:v4)?\b|address|host|server|gateway|subnet|\bdns\b|\bping\b")),
+    "card": Kind(by_pattern(_CARD), "", _is_card, 0.9, _words(r"card|visa|master|amex|american express|credit|debit|\bcvv|\bcvc|expir")),
+    "phone": Kind(by_pattern(_PHONE), "+", lambda m: 9 <= len(digits(m)) <= 15, 0.6, _words(r"phone|mobile|\bcell|\btel\b|\bfax|\bcall|whatsapp")),
+    "iban": Kind(accounts, "", _is_iban, 0.9, _words(r"iban|account|\bbank|\bbic\b|swift|transfer")),
     "secret": Kind(
         by_pattern(re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_-]{24,}(?![A-Za-z0-9])")),
         "",
         lambda m: any(c.isdigit() for c in m) and any(c.isalpha() for c in m),
         0.2,
-        re.compile(r"(?i)(token|secret|password|passwd|api[_ -]?key|access[_ -]?key)\W{0,5}$"),
+        _words("token|secret|password|passwd|api[_ -]?key|access[_ -]?key"),
     ),
 }
+
+
+def has_context(text: str, start: int, end: int, near: re.Pattern) -> bool:
+    """Whether a word of the context lies within WINDOW before or after the span."""
+    return bool(near.search(text, max(0, start - WINDOW), start) or near.search(text, end, end + WINDOW))
+
+
 _HAS_DIGIT = re.compile("[0-9]")
 
 
@@ -125,8 +170,8 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
             if not kind.check(text[start:end]):
                 continue
             score = kind.score
-            if kind.near and kind.near.search(text, max(0, start - WINDOW), start):
-                score += LIFT
+            if has_context(text, start, end, kind.near):
+                score = min(1.0, score + LIFT)
             if score >= LEAST_SCORE:
                 found.append((name, start, end, score))
     return found
@@ -149,7 +194,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id and all spans of personal data of every row's whole text.
 
     Kinds are KINDS. Matches of one kind do not overlap and are the leftmost; one that fails its check is dropped
-    without another try. Null and empty texts have no spans; repeated rows are each searched; an empty table gives an
+    without another try, but for account numbers (see `accounts`). Null and empty texts have no spans; repeated rows are each searched; an empty table gives an
     empty result.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, f"doc_id long, spans {_SPANS}")

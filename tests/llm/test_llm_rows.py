@@ -157,6 +157,49 @@ def test_base_spans(spark):
     assert "secret" in kinds[5] and "secret" not in kinds[6]
 
 
+KEY = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+
+
+@pytest.mark.parametrize(
+    "text", ["password is: {}", "API token for prod: {}", "access_key_id={}", "{} is the secret", "{}\n(an api key)", "token" + " " * 35 + "{}"]
+)
+def test_secrets_with_words_anywhere_near(text):
+    text = text.format(KEY)
+    assert [(k, text[a:b]) for k, a, b, _ in pii.spans_of(text)] == [("secret", KEY)]
+
+
+def test_words_outside_the_window_do_not_count():
+    assert pii.spans_of("token" + " " * 36 + KEY) == [] == pii.spans_of(KEY + " " * 36 + "token")
+
+
+@pytest.mark.parametrize(
+    "kind, text",
+    [("email", "e-mail: {}|a@b.cd"), ("ip", "{} is the server|10.0.0.1"), ("card", "my visa is {}|4111111111111111"),
+     ("phone", "{} (mobile)|+1 (243) 555-5526"), ("iban", "account {}|GB82 WEST 1234 5698 7654 32")],
+)
+def test_every_kind_has_its_words(kind, text):
+    text, span = text.split("|")
+    alone = {k: score for k, *_, score in pii.spans_of(f"- {span} -")}
+    near = {k: score for k, *_, score in pii.spans_of(text.format(span))}
+    assert alone[kind] < near[kind] <= 1
+
+
+@pytest.mark.parametrize(
+    "text, accounts",
+    [
+        ("AT61 1904 3002 3457 3201 BIC RLNWATWW", ["AT61 1904 3002 3457 3201"]),
+        ("AT61 1904 3002 3457 3201 CODE 12", ["AT61 1904 3002 3457 3201"]),
+        ("ES91 2100 0418 4502 0005 1332 A 5", ["ES91 2100 0418 4502 0005 1332"]),
+        ("BE68 5390 0754 7034 EUR 10", ["BE68 5390 0754 7034"]),
+        ("AT61 1904 3002 3457 3201 DE89 3704 0044 0532 0130 00 OK", ["AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"]),
+        ("AB12 CDEF GHIJ GB82 WEST 1234 5698 7654 32", ["GB82 WEST 1234 5698 7654 32"]),
+        ("AT611904300234573201BIC", []),
+    ],
+)
+def test_accounts_end_where_their_country_says(text, accounts):
+    assert [text[a:b] for k, a, b, _ in pii.spans_of(text) if k == "iban"] == accounts
+
+
 @given(st.text(alphabet="a1.@-+ %é", max_size=60))
 @settings(max_examples=500, deadline=None)
 def test_linear_matches_are_those_of_the_patterns(text):
