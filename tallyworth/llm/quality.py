@@ -22,8 +22,10 @@ SYMBOLS = b"#*$%&|<>"
 # least standard deviation that each is given, so that a group of very even texts does not reject small deviations.
 FLOORS = {"symbols": 0.45, "dup_lines": 1.1, "repeats": 1.1, "word_length": 0.12, "upper": 0.45, "marks": 0.3}
 VECTOR = tuple(FLOORS)
-# Share of a group on which the determinant is smallest, tail of the chi-square cut, steps at most, smallest group.
-KEPT_SHARE = 0.75
+# Share of a group on which the determinant is smallest, tail beyond which rows have no weight in the final fit, tail of
+# the chi-square cut, steps at most, smallest group.
+KEPT_SHARE = 0.5
+WEIGHT_TAIL = 0.025
 TAIL = 1e-4
 STEPS = 8
 LEAST_GROUP = 50
@@ -105,18 +107,25 @@ def _chi_square_cut(tail: float, half: int) -> float:
 
 HALF = len(VECTOR) // 2
 CUT = _chi_square_cut(TAIL, HALF)
-# A covariance of the innermost share of a normal distribution is too small by this factor.
-CONSISTENCY = KEPT_SHARE / (1 - _chi_square_above(_chi_square_cut(1 - KEPT_SHARE, HALF), HALF + 1))
+WEIGHT_CUT = _chi_square_cut(WEIGHT_TAIL, HALF)
+
+
+def _consistency(share: float) -> float:
+    """A covariance of the innermost share of a normal distribution is too small by this factor."""
+    return share / (1 - _chi_square_above(_chi_square_cut(1 - share, HALF), HALF + 1))
+
+
+CONSISTENCY, WEIGHT_CONSISTENCY = _consistency(KEPT_SHARE), _consistency(1 - WEIGHT_TAIL)
 
 GROUP = ("_lang", "_source")
 # Stands for the group of all rows. Groups (some 400 bytes each) up to which their parameters are broadcast; tasks that solve.
 _ALL = "\1"
 MOST_BROADCAST, _SOLVERS = 10_000, 8
 _PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))]
-_PARAMETERS = "_lang string, _source string, center array<double>, inverse array<double>, determinant double"
+_PARAMETERS = "_lang string, _source string, _start int, center array<double>, inverse array<double>, determinant double"
 
 
-def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _solve(frames: Iterator[pd.DataFrame], consistency: float) -> Iterator[pd.DataFrame]:
     """Center, inverse covariance (with the floors) and log determinant of every group's sums."""
     floors = np.diag([FLOORS[c] ** 2 for c in VECTOR])
     for frame in frames:
@@ -127,9 +136,9 @@ def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cov = np.zeros((len(VECTOR),) * 2)
             for i, j in _PAIRS:
                 cov[i, j] = cov[j, i] = row[f"p{i}_{j}"] / n - center[i] * center[j]
-            full = np.maximum(CONSISTENCY, 1.0) * cov + floors
-            out.append((row["_lang"], row["_source"], center.tolist(), np.linalg.inv(full).ravel().tolist(), float(np.linalg.slogdet(full)[1])))
-        yield pd.DataFrame(out, columns=["_lang", "_source", "center", "inverse", "determinant"])
+            full = consistency * cov + floors
+            out.append((row["_lang"], row["_source"], row["_start"], center.tolist(), np.linalg.inv(full).ravel().tolist(), float(np.linalg.slogdet(full)[1])))
+        yield pd.DataFrame(out, columns=["_lang", "_source", "_start", "center", "inverse", "determinant"])
 
 
 def _distance() -> Column:
@@ -144,37 +153,54 @@ def _with(rows: DataFrame, parameters: DataFrame, groups: int) -> DataFrame:
     return rows.join(F.broadcast(parameters) if groups <= MOST_BROADCAST else parameters, list(GROUP))
 
 
-def _fit(rows: DataFrame) -> DataFrame:
-    """Parameters per group from the given rows: sums per group, combined before they are shuffled."""
+def _fit(rows: DataFrame, consistency: float) -> DataFrame:
+    """Parameters per group and start from the given rows: sums per group, combined before they are shuffled."""
     sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(VECTOR)]
     sums += [F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"p{i}_{j}") for i, j in _PAIRS]
-    per_group = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *sums)
-    return per_group.coalesce(_SOLVERS).mapInPandas(_solve, _PARAMETERS)
+    per_group = rows.groupBy(*GROUP, "_start").agg(F.count(F.lit(1)).alias("n"), *sums)
+    return per_group.coalesce(_SOLVERS).mapInPandas(lambda frames: _solve(frames, consistency), _PARAMETERS)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Parameters to start from, four per group: the medians with the floors as scale, and the medians, the lower and
+    the upper quartiles with the scale that the quartiles show."""
+    quartiles = rows.groupBy(*GROUP).agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in VECTOR))
+
+    def diagonal(variances: list[Column]) -> Column:
+        return F.array(*(1 / v if i == j else F.lit(0.0) for i, v in enumerate(variances) for j in range(len(VECTOR))))
+
+    floors = [F.lit(FLOORS[c] ** 2) for c in VECTOR]
+    # the quartiles of a normal distribution lie 1.349 standard deviations apart
+    spread = [f + F.pow((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(2.0)) for c, f in zip(VECTOR, floors)]
+    starts = [
+        F.struct(F.lit(n).alias("_start"), F.array(*(F.col(c)[at] for c in VECTOR)).alias("center"), diagonal(scale).alias("inverse"), F.lit(0.0).alias("determinant"))
+        for n, (at, scale) in enumerate([(1, floors), (1, spread), (0, spread), (2, spread)])
+    ]
+    return quartiles.select(*GROUP, F.inline(F.array(*starts)))
 
 
 def minimum_covariance(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """Center and inverse covariance per group by concentration steps over all rows.
 
-    The start is each group's medians with the floors as scale. A step keeps, in each group, the KEPT_SHARE of rows
-    that are nearest, and fits them anew, which never raises the determinant. The fit with the smallest one wins.
+    All starts go together. A step keeps, in each group and for each start, the KEPT_SHARE of rows that are nearest, and
+    fits them anew, which never raises the determinant. The fit with the smallest one wins: up to nearly half of a group
+    may be outliers. The rows within its WEIGHT_CUT, most of the others, are then fitted once more.
     """
-    medians = rows.groupBy(*GROUP).agg(*(F.percentile_approx(c, 0.5, 1000).alias(c) for c in VECTOR))
-    inverse = [(1 / FLOORS[VECTOR[i]] ** 2 if i == j else 0.0) for i in range(len(VECTOR)) for j in range(len(VECTOR))]
-    start = medians.select(
-        *GROUP, F.array(*VECTOR).alias("center"), F.array(*(F.lit(x) for x in inverse)).alias("inverse"), F.lit(0.0).alias("determinant")
-    )
-    now = written(start, "covariance-start")
+    now = written(_starts(rows), "covariance-start")
     groups = now.count()
+    by_start = [*GROUP, "_start"]
     fits = []
     for _ in range(steps):
-        distances = _with(rows, now, groups).select(*GROUP, _distance().alias("_d"))
-        limits = distances.groupBy(*GROUP).agg(F.percentile_approx("_d", KEPT_SHARE, 1000).alias("_limit"))
-        limited = written(now.join(limits, list(GROUP)), "covariance-limits")
-        now = written(_fit(_with(rows, limited, groups).filter(_distance() <= F.col("_limit"))), "covariance")
+        distances = _with(rows, now, groups).select(*by_start, _distance().alias("_d"))
+        limits = distances.groupBy(*by_start).agg(F.percentile_approx("_d", KEPT_SHARE, 1000).alias("_limit"))
+        limited = written(now.join(limits, by_start), "covariance-limits")
+        now = written(_fit(_with(rows, limited, groups).filter(_distance() <= F.col("_limit")), CONSISTENCY), "covariance")
         fits.append(now)
-    # A handful of rows per group: the fits of all steps, of which one stays.
-    best = F.min_by(F.struct("center", "inverse"), "determinant").alias("_b")
-    return written(reduce(DataFrame.unionByName, fits).groupBy(*GROUP).agg(best).select(*GROUP, "_b.*"), "covariance-best")
+    # A handful of rows per group: the fits of all steps and starts, of which one stays.
+    best = F.min_by(F.struct("_start", "center", "inverse"), F.struct("determinant", "_start")).alias("_b")
+    raw = written(reduce(DataFrame.unionByName, fits).groupBy(*GROUP).agg(best).select(*GROUP, "_b.*"), "covariance-raw")
+    weighted = _fit(_with(rows, raw, groups).filter(_distance() <= WEIGHT_CUT), WEIGHT_CONSISTENCY)
+    return written(weighted.select(*GROUP, "center", "inverse"), "covariance-best")
 
 
 def quality_verdicts(docs: DataFrame, steps: int = STEPS) -> DataFrame:

@@ -95,6 +95,28 @@ def test_concentration_steps_leave_outliers_out(spark):
     assert len(fit) == 1 and np.abs(fit[0]["center"]).max() < 0.3
 
 
+def test_a_third_of_a_group_may_be_junk(spark):
+    clean = [(i, edges.words(i, 80 + i % 300) + ".\n" + edges.words(i + 9999, 50), "en", "s") for i in range(400)]
+    junk = [(1000 + i, " ".join(w + "%%%" for w in edges.words(i, 100 + i)), "en", "s") for i in range(200)]
+    found = quality.quality_verdicts(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()
+    kept = {r["doc_id"] for r in found if r["kept"]}
+    assert not any(i >= 1000 for i in kept) and len(kept) >= 396
+
+
+@pytest.mark.parametrize("share, at", [(0.33, 30.0), (0.33, -30.0), (0.45, 300.0)])
+def test_the_fit_withstands_large_groups_of_outliers(spark, share, at):
+    import numpy as np
+
+    rng, far = np.random.default_rng(1), int(1000 * share)
+    rows = [("en", "a", *map(float, rng.normal(0, 1, 6))) for _ in range(1000 - far)]
+    rows += [("en", "a", *map(float, rng.normal(at, 1, 6))) for _ in range(far)]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in quality.GROUP) + ", " + ", ".join(f"{c} double" for c in quality.VECTOR))
+    fit = quality.minimum_covariance(table).collect()
+    assert len(fit) == 1 and np.abs(fit[0]["center"]).max() < 0.3
+    inverse = np.array(fit[0]["inverse"]).reshape(6, 6)
+    assert (np.full(6, at) @ inverse @ np.full(6, at)) > quality.CUT
+
+
 URLS = [
     (1, "http://Blog.Example.COM/en/1?x#y"), (2, "https://www.example.com/en/"), (3, "x://a.net/es/1"), (4, "x://a.net/es"),
     (5, None), (6, "no scheme"), (7, "http://"), (8, "http://com"), (9, "http://com/"), (10, "http://a.org/x://b.com/"),
