@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyworth.llm import conversations
+from tallyworth.llm import alignment, conversations
 from tallyworth.llm.common import table
 
 
@@ -72,5 +73,10 @@ LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN whole w
 """
 
 
-QUERIES = {f.__name__: f for f in (op11_conversation_repair,)}
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    first, second = public_tokenizers.path(alignment.FIRST), public_tokenizers.path(alignment.SECOND)
+    return alignment.alignment(table(spark, folder, "documents"), first, second)
+
+
+QUERIES = {f.__name__: f for f in (op11_conversation_repair, op12_token_alignment)}
 SQL = {"op11_conversation_repair": OP11_SQL}
