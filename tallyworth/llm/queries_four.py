@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyworth.llm import alignment, conversations
+from tallyworth.llm import alignment, conversations, licenses
 from tallyworth.llm.common import table
 
 
@@ -78,5 +78,45 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.alignment(table(spark, folder, "documents"), first, second)
 
 
-QUERIES = {f.__name__: f for f in (op11_conversation_repair, op12_token_alignment)}
-SQL = {"op11_conversation_repair": OP11_SQL}
+def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licences(table(spark, folder, "documents"))
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+_TEMPLATES = [(k, t.label, len(t.words), t.least, t.base, len(t.phrases)) for k, t in enumerate(licenses.TEMPLATES)]
+_NOTICE_WORDS = [(k, p, w) for k, t in enumerate(licenses.TEMPLATES) for p, w in enumerate(t.words)]
+_PHRASES = [(k, j, len(x)) for k, t in enumerate(licenses.TEMPLATES) for j, x in enumerate(t.phrases)]
+_PHRASE_WORDS = [(k, j, p, w) for k, t in enumerate(licenses.TEMPLATES) for j, x in enumerate(t.phrases) for p, w in enumerate(x)]
+
+OP13_SQL = rf"""
+WITH templates AS (SELECT * FROM (VALUES {_values(_TEMPLATES)}) x(k, label, size, least, base, phrases)),
+notice AS (SELECT * FROM (VALUES {_values(_NOTICE_WORDS)}) x(k, p, w)),
+phrase AS (SELECT * FROM (VALUES {_values(_PHRASES)}) x(k, j, size)),
+phrase_words AS (SELECT * FROM (VALUES {_values(_PHRASE_WORDS)}) x(k, j, p, w)),
+docs AS (
+    SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+held AS (SELECT n, i, w FROM (SELECT n, generate_subscripts(words, 1) - 1 AS i, unnest(words) AS w FROM docs) WHERE w IN (SELECT w FROM notice)),
+aligned AS (SELECT n, k, i - p AS place, count(*) AS hits FROM held JOIN notice USING (w) GROUP BY n, k, place),
+enough AS (SELECT a.*, label, size, base, phrases FROM aligned a JOIN templates USING (k) WHERE hits >= least),
+said AS (
+    SELECT n, k, j, i - p AS s, phrase.size FROM held JOIN phrase_words USING (w) JOIN phrase USING (k, j)
+    GROUP BY n, k, j, s, phrase.size HAVING count(*) = phrase.size),
+stands AS (
+    SELECT * FROM enough e WHERE phrases = (SELECT count(DISTINCT j) FROM said WHERE said.n = e.n AND said.k = e.k
+        AND s >= place AND s + said.size <= place + e.size)),
+judged AS (
+    SELECT n, count(*) FILTER (base) AS n_base, min(place) FILTER (base) AS first_word, max(place) FILTER (base) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+        max(hits::DOUBLE / size::DOUBLE) AS score FROM stands GROUP BY n)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+    coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM docs LEFT JOIN judged USING (n)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op11_conversation_repair, op12_token_alignment, op13_license_scan)}
+SQL = {"op11_conversation_repair": OP11_SQL, "op13_license_scan": OP13_SQL}

@@ -92,7 +92,7 @@ def random_rows(seed, conversations_, most):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_repairs_equal_exhaustive_search(spark, seed):
-    rows = random_rows(seed, 60, 6)
+    rows = random_rows(seed, 60, 5)
     df = spark.createDataFrame([(*r, 1, "a", 2, "z") for r in rows], SCHEMA).repartition(4)
     found = [tuple(r) for r in conversations.repaired(df).collect()]
     plain = [(c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in rows]
@@ -100,7 +100,7 @@ def test_repairs_equal_exhaustive_search(spark, seed):
 
 
 def test_damage_and_repair_of_given_conversations(spark):
-    rows = random_rows(7, 150, 5)
+    rows = random_rows(7, 150, 4)
     df = spark.createDataFrame([(*r, 1, "a", 2, "z") for r in rows], SCHEMA).repartition(3)
     found = [tuple(r) for r in conversations.damaged_and_repaired(df).collect()]
     assert Counter(found) == Counter(plain_repair(list(plain_damage(rows)), {r[0] for r in rows}))
