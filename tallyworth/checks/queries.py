@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyworth import schema
 from tallyworth.checks import proxies
 from tallyworth.checks.proxies import END_YEAR, START_YEAR
+from tallyworth.checks import sql as tables_of
 from tallyworth.checks.sql import build
 from tallyworth.functions import money
 from tallyworth.functions.segments import SEGMENTS
@@ -883,14 +884,30 @@ def train_tree(spark, folder):
     return _trained(spark, folder, models.tree())
 
 
-@query(_TRAINED, "ltv")
+_FEATURES = [*models.MEASURES, *models.CLUSTERS, *(f"CAST(segment = '{name}' AS INT)" for name in sorted(SEGMENTS))]
+_ALL = ", ".join(f"{name} AS x{i}" for i, name in enumerate(_FEATURES))
+_GROWN = [f"x{i}" for i in range(len(_FEATURES))]
+_PARTED = f"SELECT 0 AS m, usr, ltv_cluster AS label, {_HASH} % 10000 >= 500 AS learns, {_ALL} FROM ltv"
+tables_of.add({"bt_rows": (["ltv"], _PARTED), "bt_all": (["ltv"], f"SELECT 0 AS m, usr, ltv_cluster AS label, TRUE AS learns, {_ALL} FROM ltv")})
+for _name, _rows, _settings in (("tuned", "bt_rows", models.TUNED), ("plain", "bt_rows", models.PLAIN), ("tuned_all", "bt_all", models.TUNED)):
+    tables_of.add(tables_of.boosted(f"bt_{_name}", _rows, _settings, _GROWN))
+
+
+def _classes(spark, folder, trainer: models.Trainer) -> DataFrame:
+    _, train, test = ms.train_and_test(_frame(spark, folder), trainer)
+    rows = train.withColumn("held_out", F.lit(False)).unionByName(test.withColumn("held_out", F.lit(True)))
+    return rows.select("user", "held_out", F.col("prediction").cast("int").alias("class"))
+
+
+@query(f'SELECT usr AS "user", {_HASH} % 10000 < 500 AS held_out, prediction AS class FROM bt_tuned_classes', "bt_tuned_classes")
 def train_boosted(spark, folder):
-    return _trained(spark, folder, models.boosted(models.TUNED))
+    """The class that the tuned trees give every customer; the SQL grows the same trees."""
+    return _classes(spark, folder, models.boosted(models.TUNED))
 
 
-@query(_TRAINED, "ltv")
+@query(f'SELECT usr AS "user", {_HASH} % 10000 < 500 AS held_out, prediction AS class FROM bt_plain_classes', "bt_plain_classes")
 def train_boosted_plain(spark, folder):
-    return _trained(spark, folder, models.boosted(models.PLAIN))
+    return _classes(spark, folder, models.boosted(models.PLAIN))
 
 
 _SUPPORT = f"""SELECT part, CAST(ltv_cluster AS VARCHAR) AS class, count(*) AS support FROM (
@@ -913,26 +930,55 @@ _REST = f"(SELECT usr, ltv_cluster AS label FROM ltv WHERE {_HASH} % 10000 >= 50
 _FOLDED = f"""(SELECT usr, label, (row_number() OVER (PARTITION BY label ORDER BY {_HASH} // 1048576, usr) - 1) % 5 AS fold FROM {_REST})"""
 
 
-@query(f'SELECT usr AS "user", fold, TRUE AS known_class, TRUE AS beats_majority FROM {_FOLDED}', "ltv")
+tables_of.add(
+    {
+        "bt_folded": (["ltv"], f"SELECT usr, fold FROM {_FOLDED}"),
+        "bt_folds": (
+            ["ltv", "bt_folded"],
+            f"""SELECT m, usr, ltv_cluster AS label, fold <> m AS learns, {_ALL} FROM ltv JOIN bt_folded USING (usr),
+            (SELECT unnest(range(5)) AS m)""",
+        ),
+    }
+)
+tables_of.add(tables_of.boosted("bt_cv", "bt_folds", models.TUNED, _GROWN))
+tables_of.add(
+    {
+        "bt_unseen": (
+            ["bt_cv_classes", "bt_folds"],
+            "SELECT usr, m AS fold, label, prediction FROM bt_cv_classes JOIN bt_folds USING (m, usr) WHERE NOT learns",
+        ),
+        "bt_scored": (
+            ["bt_unseen"],
+            """SELECT fold, sum(hits) / sum(support) AS accuracy, sum(support * hits / greatest(predicted, 1)) / sum(support) AS precision,
+            sum(hits) / sum(support) AS recall, sum(support * 2 * hits / (predicted + support)) / sum(support) AS f1_score FROM (
+                SELECT fold, c, count(*) FILTER (label = c AND prediction = c)::DOUBLE AS hits, count(*) FILTER (label = c)::DOUBLE AS support,
+                    count(*) FILTER (prediction = c)::DOUBLE AS predicted
+                FROM bt_unseen, (SELECT unnest([0, 1, 2]) AS c) GROUP BY fold, c) WHERE support > 0 GROUP BY fold""",
+        ),
+    }
+)
+
+
+def _tuned_folds(spark, folder) -> DataFrame:
+    return ms.fold_predictions(_frame(spark, folder), models.boosted(models.TUNED))
+
+
+@query('SELECT usr AS "user", fold, prediction AS class FROM bt_unseen', "bt_unseen")
 def cv_metrics(spark, folder):
-    """Five folds of the tuned boosted model; every row is predicted by the model that did not see it."""
-    return _checked(ms.fold_predictions(_frame(spark, folder), models.boosted(models.TUNED, parallelism=1), parallelism=5), "user", "fold")
+    """Five folds of the tuned trees, grown together; every row's class by the model that did not see it."""
+    return _tuned_folds(spark, folder).select("user", "fold", F.col("prediction").cast("int").alias("class"))
 
 
 @query(
-    f"""SELECT CAST(count(DISTINCT fold) AS BIGINT) AS folds, TRUE AS in_range, TRUE AS beats_majority,
-    CAST(0 AS BIGINT) AS unscored_rows FROM {_FOLDED}""",
-    "ltv",
+    f"""SELECT count(*) AS folds, {', '.join(f'round(avg({m}), 10) AS mean_{m}' for m in metrics.METRICS)}, CAST(0 AS BIGINT) AS unscored_rows
+    FROM bt_scored""",
+    "bt_scored",
 )
 def cv_means(spark, folder):
-    frame = materialise(_frame(spark, folder), "frame")
-    folds = materialise(ms.cross_validate(frame, models.logistic()), "fold-metrics")
-    means = metrics.mean_metrics(folds)
-    inside = [F.col(f"mean_{m}").between(0.0, 1.0) for m in metrics.METRICS]
-    return means.select(
+    folds = materialise(metrics.weighted_metrics(metrics.confusion(_tuned_folds(spark, folder), by=["fold"]), ["fold"]), "fold-metrics")
+    return metrics.mean_metrics(folds).select(
         folds.agg(F.count(F.lit(1))).scalar().alias("folds"),
-        reduce(Column.__and__, inside).alias("in_range"),
-        (F.col("mean_accuracy") > _majority_share(frame)).alias("beats_majority"),
+        *(_r(f"mean_{m}", 10) for m in metrics.METRICS),
         folds.agg(F.sum("unscored_rows")).scalar().alias("unscored_rows"),
     )
 
@@ -956,11 +1002,11 @@ def model_leaderboard(spark, folder):
     )
 
 
-@query('SELECT usr AS "user", TRUE AS known_class, TRUE AS as_before FROM ltv', "ltv")
+@query('SELECT usr AS "user", prediction AS boosted, TRUE AS known_class, TRUE AS as_before FROM bt_tuned_all_classes', "bt_tuned_all_classes")
 def batch_scores(spark, folder):
-    """Train a boosted and a plain model, store them, load them again and score every customer with each."""
+    """Train the tuned trees and a full single tree, store them, load them and score every customer by their rules."""
     frame = materialise(_frame(spark, folder), "frame")
-    trainers = {"tree": models.tree(10), "boosted": models.boosted(models.Boosting(3, 0.3, 5))}
+    trainers = {"tree": models.tree(), "boosted": models.boosted(models.TUNED)}
     found = frame.select("user")
     for name, trainer in trainers.items():
         model = trainer(frame)
@@ -971,4 +1017,4 @@ def batch_scores(spark, folder):
         found = found.join(before, "user").join(ms.read_scores(spark, out).withColumnRenamed("ltv_cluster", name), "user")
     known = [F.coalesce(F.col(n).isin(0, 1, 2), F.lit(False)) for n in trainers]
     same = [F.col(n).eqNullSafe(F.col(f"{n}_before")) for n in trainers]
-    return found.select("user", reduce(Column.__and__, known).alias("known_class"), reduce(Column.__and__, same).alias("as_before"))
+    return found.select("user", "boosted", reduce(Column.__and__, known).alias("known_class"), reduce(Column.__and__, same).alias("as_before"))

@@ -7,6 +7,9 @@ values the text was made from.
 from __future__ import annotations
 
 from tallyworth.checks.proxies import END_YEAR, START_YEAR
+from tallyworth.functions.buckets import HASH_RANGE
+from tallyworth.operators import boosting
+from tallyworth.operators.boosting import Boosting
 from tallyworth.operators.clusters import BINS, ELBOW_ITER, MAX_ITER, TOLERANCE
 
 _PRICE = "CAST(o_totalprice AS DECIMAL(18,2))"
@@ -220,6 +223,105 @@ _BASE["features"] = (
 )
 
 
+_ROUNDS_OF: dict[str, str] = {}
+
+
+def boosted(prefix: str, rows: str, settings: Boosting, features: list[str]) -> dict[str, tuple[list[str], str]]:
+    """CTEs that grow boosted trees on `rows` (m, usr, label, learns, features); the result is <prefix>_classes.
+
+    One recursion step is one level of the trees of all models m and all three classes; it holds, for every user, the
+    scores at the start of the round, those after it, and the node of each tree (-1: a leaf was reached).
+    """
+    p, depth, scale, lam = prefix, settings.depth, float(boosting.SCALE), f"{float(settings.penalty)!r}::DOUBLE"
+    count = max(1, int(settings.columns_share * len(features)))
+    least, rate = f"{float(settings.least_weight)!r}::DOUBLE", f"{settings.rate!r}::DOUBLE"
+    values = " UNION ALL ".join(f"SELECT m, usr, learns, {i} AS i, CAST({name} AS DOUBLE) AS v FROM {rows}" for i, name in enumerate(features))
+    sample = f"CAST('0x' || substr(md5('{settings.seed}:' || r || ':' || usr), 1, 8) AS BIGINT) < {int(settings.rows_share * HASH_RANGE)}"
+
+    def leaf(g: str, h: str) -> str:
+        return f"-({g}) / ({h} + {lam}) * {rate}"
+
+    def placed(k: int) -> tuple[str, str]:
+        """The score of a class after this level, and its node."""
+        c = f"c{k}"
+        low = f"bins[{c}.i + 1] <= {c}.b"
+        value = f"CASE WHEN {c}.i IS NULL THEN {c}.value WHEN {low} THEN {c}.low ELSE {c}.high END"
+        ends = f"{c}.node IS NOT NULL AND ({c}.i IS NULL OR last)"
+        down = f"CASE WHEN {c}.i IS NULL THEN -1 ELSE 2 * n[{k + 1}] + CASE WHEN {low} THEN 1 ELSE 2 END END"
+        return f"CASE WHEN {ends} THEN s[{k + 1}] + {value} ELSE t[{k + 1}] END", f"CASE WHEN {c}.node IS NULL THEN -1 ELSE {down} END"
+
+    after = [placed(k) for k in range(3)]
+    joins = " ".join(f"LEFT JOIN nodes c{k} ON c{k}.m = w.m AND c{k}.k = {k} AND c{k}.node = w.n[{k + 1}]" for k in range(3))
+    _ROUNDS_OF[f"{p}_levels"] = "(m, usr, step, s, t, n)"
+    return {
+        f"{p}_values": ([rows], values),
+        f"{p}_borders": (
+            [f"{p}_values"],
+            f"""SELECT m, i, list(DISTINCT v) AS borders FROM (
+            SELECT m, i, v, row_number() OVER (PARTITION BY m, i ORDER BY v) AS place, count(*) OVER (PARTITION BY m, i) AS total
+            FROM {p}_values WHERE learns) JOIN (SELECT unnest(range(1, {boosting.BINS})) AS j)
+                ON place = (j * total + {boosting.BINS - 1}) // {boosting.BINS} GROUP BY m, i""",
+        ),
+        f"{p}_binned": (
+            [rows, f"{p}_borders"],
+            f"""SELECT m, usr, label, learns, bins FROM {rows} JOIN (
+            SELECT m, usr, list(len(list_filter(borders, lambda x: x < v)) ORDER BY i) AS bins
+            FROM {p}_values JOIN {p}_borders USING (m, i) GROUP BY m, usr) USING (m, usr)""",
+        ),
+        f"{p}_drawn": (
+            [],
+            f"""SELECT r, k, i FROM (
+            SELECT r, k, i, row_number() OVER (PARTITION BY r, k ORDER BY md5('{settings.seed}:' || r || ':' || k || ':' || i)) AS place
+            FROM (SELECT unnest(range({settings.rounds})) AS r), (SELECT unnest(range(3)) AS k), (SELECT unnest(range({len(features)})) AS i))
+            WHERE place <= {count}""",
+        ),
+        f"{p}_levels": (
+            [f"{p}_binned", f"{p}_drawn"],
+            f"""SELECT m, usr, 0, [0, 0, 0]::DOUBLE[], [0, 0, 0]::DOUBLE[], [0, 0, 0] FROM {p}_binned
+        UNION ALL
+        SELECT m, usr, step + 1, CASE WHEN last THEN t2 ELSE s END, t2, CASE WHEN last THEN [0, 0, 0] ELSE n2 END FROM (
+            WITH w AS (
+                SELECT l.*, b.label, b.learns, b.bins, step // {depth} AS r, step % {depth} + 1 = {depth} AS last
+                FROM {p}_levels l JOIN {p}_binned b ON b.m = l.m AND b.usr = l.usr WHERE step < {settings.rounds * depth}),
+            raised AS (SELECT m, label, bins, n, r, list_transform(s, lambda x: exp(x - list_max(s))) AS e FROM w WHERE learns AND {sample}),
+            shares AS (SELECT *, unnest([0, 1, 2]) AS k, 0.0::DOUBLE + e[1] + e[2] + e[3] AS total FROM raised),
+            slopes AS (
+                SELECT m, r, k, n[k + 1] AS node, bins,
+                    CAST(floor((e[k + 1] / total - CASE WHEN label = k THEN 1 ELSE 0 END::DOUBLE) * {scale!r}::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS g,
+                    CAST(floor(2 * (e[k + 1] / total) * (1 - e[k + 1] / total) * {scale!r}::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS h
+                FROM shares WHERE n[k + 1] >= 0),
+            cells AS (
+                SELECT m, s.k, node, i, bins[i + 1] AS b, sum(g) AS g, sum(h) AS h, count(*) AS c
+                FROM slopes s JOIN {p}_drawn d ON d.r = s.r AND d.k = s.k GROUP BY m, s.k, node, i, bins[i + 1]),
+            upto AS (
+                SELECT m, k, node, i, b, CAST(sum(g) OVER up AS DOUBLE) / {scale!r}::DOUBLE AS gl, CAST(sum(h) OVER up AS DOUBLE) / {scale!r}::DOUBLE AS hl,
+                    sum(c) OVER up AS cl, CAST(sum(g) OVER whole AS DOUBLE) / {scale!r}::DOUBLE AS g,
+                    CAST(sum(h) OVER whole AS DOUBLE) / {scale!r}::DOUBLE AS h, sum(c) OVER whole AS c
+                FROM cells WINDOW up AS (PARTITION BY m, k, node, i ORDER BY b), whole AS (PARTITION BY m, k, node, i)),
+            gains AS (
+                SELECT *, gl * gl / (hl + {lam}) + (g - gl) * (g - gl) / ((h - hl) + {lam}) - g * g / (h + {lam}) AS gain FROM upto),
+            chosen AS (
+                SELECT m, k, node, i, b, gl, hl, row_number() OVER (PARTITION BY m, k, node ORDER BY gain DESC, i, b) AS place FROM gains
+                WHERE cl < c AND hl >= {least} AND h - hl >= {least} AND gain > {boosting.LEAST_GAIN!r}::DOUBLE),
+            sums AS (SELECT m, k, node, any_value(g) AS g, any_value(h) AS h FROM upto GROUP BY m, k, node),
+            nodes AS (
+                SELECT x.m, x.k, x.node, y.i, y.b, {leaf('g', 'h')} AS value, {leaf('gl', 'hl')} AS low, {leaf('g - gl', '(h - hl)')} AS high
+                FROM sums x LEFT JOIN chosen y ON y.m = x.m AND y.k = x.k AND y.node = x.node AND place = 1)
+            SELECT w.m, w.usr, w.step, w.s, w.last, [{', '.join(a for a, _ in after)}] AS t2, [{', '.join(b for _, b in after)}] AS n2
+            FROM w {joins})""",
+        ),
+        f"{p}_classes": (
+            [f"{p}_levels"],
+            f"SELECT m, usr, list_position(s, list_max(s)) - 1 AS prediction FROM {p}_levels WHERE step = {settings.rounds * depth}",
+        ),
+    }
+
+
+def add(tables: dict[str, tuple[list[str], str]]) -> None:
+    """Make further table expressions known to `build`."""
+    _BASE.update(tables)
+
+
 def build(select: str, *needed: str) -> str:
     """The query with every table expression it needs, in order of dependence."""
     order: list[str] = []
@@ -235,7 +337,8 @@ def build(select: str, *needed: str) -> str:
         visit(name)
     columns = "(axis, k, it, cs, settled)"
     parts = [
-        f"{name}{columns} AS ({_BASE[name][1]})" if "UNION ALL\n        SELECT m.axis" in _BASE[name][1]
+        f"{name}{_ROUNDS_OF[name]} AS ({_BASE[name][1]})" if name in _ROUNDS_OF
+        else f"{name}{columns} AS ({_BASE[name][1]})" if "UNION ALL\n        SELECT m.axis" in _BASE[name][1]
         else f"{name} AS MATERIALIZED ({_BASE[name][1]})"
         for name in order
     ]

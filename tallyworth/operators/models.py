@@ -1,31 +1,29 @@
-"""Classifiers of the lifetime-value label, on MLlib."""
+"""Classifiers of the lifetime-value label: boosted trees of this library, and MLlib's."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from multiprocessing.pool import ThreadPool
 from typing import Protocol
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassificationModel,
-    GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworth.functions.buckets import key_bucket
 from tallyworth.functions.segments import SEGMENTS
+from tallyworth.operators import boosting, rules
+from tallyworth.operators.boosting import Boosting
 from tallyworth.operators.encoding import one_hot
-from tallyworth.session import scratch_root
+from tallyworth.operators.rules import Rules
 
 MEASURES = ("revenue", "recency", "frequency")
 CLUSTERS = ("recency_cluster", "frequency_cluster", "revenue_cluster", "overall_score")
@@ -40,26 +38,8 @@ class Model(Protocol):
 Trainer = Callable[[DataFrame], Model]
 
 
-@dataclass(frozen=True)
-class Boosting:
-    """Settings of a boosted-tree classifier; the rate must lie in (0, 1], as MLlib asks."""
-
-    depth: int
-    rate: float
-    rounds: int
-    rows_share: float = 1.0
-    columns_share: float | None = None
-    least_rows: int = 1
-    seed: int = 42
-
-    def __post_init__(self):
-        if not 0 < self.rate <= 1:
-            raise ValueError(f"the rate {self.rate} is not in (0, 1]")
-
-
-# A tuned set and a plain set of boosting settings. The tuned rate was 1.34, found for another library;
-# MLlib allows 1 at most, so the set is stated with 1.
-TUNED = Boosting(6, 1.0, 56, 0.6114907939145026, 0.6510163553874492, 18, 280790652)
+# A tuned set and a plain set of boosting settings.
+TUNED = Boosting(6, 1.3405182654493213, 56, 0.6114907939145026, 0.6510163553874492, 18, 280790652)
 PLAIN = Boosting(5, 0.1, 100)
 
 # Rows on which a deep tree is fitted at most: its nodes live on the driver, and there may be one for each row.
@@ -126,65 +106,73 @@ def forest(trees: int = 50, depth: int = 10, seed: int = 42) -> Trainer:
 
 
 class BoostedModel:
-    """One boosted model per class; the class with the highest score wins, the lowest number on a tie.
-
-    The scores are compared inside the JVM, where MLlib's OneVsRest would call a Python function per row.
-    """
+    """Boosted trees by round and class; the class with the highest score wins, the lowest number on a tie."""
 
-    def __init__(self, preparation: PipelineModel, classes: list[GBTClassificationModel]):
-        self.preparation = preparation
+    def __init__(self, trees: list[list[list[dict]]], classes: int):
+        self.trees = trees
         self.classes = classes
 
+    @cached_property
+    def rules(self) -> Rules:
+        return rules.of_boosted(self.trees, FEATURES, self.classes)
+
     def transform(self, df: DataFrame) -> DataFrame:
-        columns = df.columns
-        out = self.preparation.transform(df)
-        for i, model in enumerate(self.classes):
-            scorer = model.copy().setRawPredictionCol("rawPrediction").setPredictionCol("").setProbabilityCol("")
-            out = scorer.transform(out).withColumn(f"_score{i}", vector_to_array("rawPrediction")[1]).drop("rawPrediction")
-        scores = F.array(*(f"_score{i}" for i in range(len(self.classes))))
-        best = (F.array_position(scores, F.array_max(scores)) - 1).cast("double")
-        return out.select(*columns, best.alias("prediction"))
-
-    def save(self, path: str) -> None:
-        self.preparation.write().overwrite().save(f"{path}/preparation")
-        for i, model in enumerate(self.classes):
-            model.write().overwrite().save(f"{path}/class-{i}")
+        return df.withColumn("prediction", self.rules.prediction())
+
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        """The trees as a table: round, class, node, feature, threshold (at most: low), low, high, value."""
+        rows = [(r, k, *(n[c] for c in _NODE)) for r, own in enumerate(self.trees) for k, tree in enumerate(own) for n in tree]
+        return spark.createDataFrame(rows, "round int, class int, node int, feature string, threshold double, low int, high int, value double")
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        self.nodes(spark).write.mode("overwrite").parquet(path)
 
     @staticmethod
-    def load(path: str, classes: int) -> BoostedModel:
-        models = [GBTClassificationModel.load(f"{path}/class-{i}") for i in range(classes)]
-        return BoostedModel(PipelineModel.load(f"{path}/preparation"), models)
+    def load(path: str, classes: int, spark: SparkSession) -> BoostedModel:
+        trees: list[list[list[dict]]] = []
+        for r in spark.read.parquet(path).toArrow().sort_by([("round", "ascending"), ("class", "ascending")]).to_pylist():
+            while len(trees) <= r["round"]:
+                trees.append([[] for _ in range(classes)])
+            trees[r["round"]][r["class"]].append({c: r[c] for c in _NODE})
+        for own in trees:
+            for k, tree in enumerate(own):
+                own[k] = _from_root(tree)
+        return BoostedModel(trees, classes)
 
 
-def boosted(settings: Boosting = TUNED, classes: int = 3, parallelism: int = 3) -> Trainer:
-    """Boosted trees, one model per class against the rest."""
+_NODE = ("node", "feature", "threshold", "low", "high", "value")
 
-    def fit(train: DataFrame) -> Model:
-        scratch_root(train.sparkSession)  # names the folder where long boosting runs cut their lineage
-        rows = trainable(train)
-        preparation = Pipeline(stages=_preparation()).fit(rows)
-        prepared = preparation.transform(rows).select("label", "features").persist()
-        share = settings.columns_share
-
-        def fit_class(number: int) -> GBTClassificationModel:
-            booster = GBTClassifier(
-                labelCol="is_class",
-                maxDepth=settings.depth,
-                stepSize=settings.rate,
-                maxIter=settings.rounds,
-                subsamplingRate=settings.rows_share,
-                featureSubsetStrategy="all" if share is None else str(share),
-                minInstancesPerNode=settings.least_rows,
-                seed=settings.seed,
-            )
-            return booster.fit(prepared.withColumn("is_class", (F.col("label") == number).cast("double")))
-
-        try:
-            return BoostedModel(preparation, run_parallel(train.sparkSession, fit_class, range(classes), parallelism))
-        finally:
-            prepared.unpersist()
 
-    return fit
+def _from_root(nodes: list[dict]) -> list[dict]:
+    """The nodes in the order of their numbers: in heap order a child stands after its parent."""
+    return sorted(nodes, key=lambda n: n["node"])
+
+
+class BoostedTrainer:
+    """Fits boosted trees on a frame, or one model for each fold in the same passes."""
+
+    def __init__(self, settings: Boosting = TUNED, classes: int = 3):
+        self.settings, self.classes = settings, classes
+
+    def __call__(self, train: DataFrame) -> BoostedModel:
+        rows = trainable(train).withColumn("model", F.lit(0))
+        return BoostedModel(boosting.fit(rows, FEATURES, self.classes, self.settings)[0], self.classes)
+
+    def folds(self, folded: DataFrame, folds: int) -> list[BoostedModel]:
+        """The model of every fold, fitted on the rows of all others."""
+        others = F.array_remove(F.array(*(F.lit(i) for i in range(folds))), F.col("fold"))
+        rows = trainable(folded).withColumn("model", F.explode(others))
+        return [BoostedModel(trees, self.classes) for trees in boosting.fit(rows, FEATURES, self.classes, self.settings, folds)]
+
+
+def boosted(settings: Boosting = TUNED, classes: int = 3) -> BoostedTrainer:
+    """Boosted trees of all classes, grown together."""
+    return BoostedTrainer(settings, classes)
+
+
+def rules_of(model: Model) -> Rules:
+    """A fitted model as rules: `prediction()` scores a row as a column expression, `table(spark)` is for publication."""
+    return model.rules if isinstance(model, BoostedModel) else rules.of_pipeline(model)
 
 
 def run_parallel(session: SparkSession, job: Callable, items: Sequence, parallelism: int) -> list:

@@ -76,10 +76,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: a lost executor costs a re-read of this table, not a new scan of the
     transactions. Parquet rather than a checkpoint, so that later steps still prune columns.
     """
+    return written_at(df, label)[0]
+
+
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As `materialise`, with the path, for a caller that drops the table once it is used up."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> bool:
+    """Delete an intermediate table that nothing reads any more."""
+    target, files = _files(spark, path)
+    return files.delete(target, True)
 
 
 def hold(df: DataFrame) -> DataFrame:
