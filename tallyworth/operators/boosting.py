@@ -30,6 +30,8 @@ LEAST_GAIN = 1e-6
 WRITTEN_ROUNDS = 4
 # Of percentile_approx, for the borders of the bins: exact up to so many rows, and off by so small a share beyond.
 _ACCURACY = 100_000
+# Rows that a task takes at least in a pass over few rows.
+TASK_ROWS = 6_000
 _LEAF, _OPEN = -1, -2
 
 
@@ -193,6 +195,8 @@ def fit(rows: DataFrame, features: Sequence[str], classes: int, settings: Boosti
     own = [f"size(filter(get(get({edges}, model), {i}), border -> border < CAST(`{name}` AS DOUBLE)))" for i, name in enumerate(features)]
     start = rows.selectExpr("model", "user", "CAST(label AS INT) AS label", f"array({', '.join(own)}) AS bins", f"array_repeat(0D, {classes}) AS scores")
     state, path = written_at(start, "boosting-rows")
+    # Every pass is short: few rows go into few tasks, and into one without a shuffle.
+    tasks = max(1, state.count() // TASK_ROWS)
     every: list[list[list[Tree]]] = [[] for _ in range(models)]
     recent: list[list[list[Tree]]] = [[[] for _ in range(classes)] for _ in range(models)]
     for round_ in range(settings.rounds):
@@ -200,7 +204,7 @@ def fit(rows: DataFrame, features: Sequence[str], classes: int, settings: Boosti
         chosen = [drawn_columns(settings, round_, k, len(features)) for k in range(classes)]
         drawn = [[i in own for i in range(len(features))] for own in chosen]
         sample = key_hash("user", f"{settings.seed}:{round_}") < int(settings.rows_share * HASH_RANGE)
-        gradients = hold(_gradients(state, recent, sample, settings.depth))
+        gradients = hold(_gradients(state.coalesce(tasks), recent, sample, settings.depth))
         for level in range(settings.depth):
             if not any(_OPEN in t.features for m in trees for t in m):
                 break

@@ -171,6 +171,30 @@ def test_quantiles_by_brute_force(spark, kind):
     assert set(near.columns) == set(next(iter(out.values())))
 
 
+@pytest.mark.parametrize(
+    "values",
+    [
+        [1.0] * 3000 + [2.0] * 3000,
+        [7.0] * 5000,
+        [i / 1000 for i in range(3000)] + [1e9 + i for i in range(3000)],
+        [2.0**-i for i in range(900)] * 7,
+        [0.0] * 2999 + [1.0] * 3001 + [-1e300, 1e300],
+    ],
+    ids=["two heavy", "one", "two far clusters", "ever smaller", "heavy middle"],
+)
+def test_quantile_passes_end(spark, monkeypatch, values):
+    passes = []
+    plain = quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *a: passes.append(1) or plain(*a))
+    frame = spark.createDataFrame([("a", v) for v in values] + [(None, v) for v in values[::2]], "g string, v double").repartition(5)
+    asked = {"low": 0.25, "middle": 0.5, "high": 0.9}
+    found = {r["g"]: r for r in quantiles.quantiles(frame, ["g"], "v", asked, most_rows=5).collect()}
+    assert len(passes) <= 4
+    for group, own in (("a", values), (None, values[::2])):
+        for name, p in asked.items():
+            assert found[group][name] == pytest.approx(_quantile(sorted(own), p), rel=1e-12)
+
+
 @pytest.mark.parametrize("kind", ["spread", "copies"])
 @pytest.mark.parametrize("most_rows", [200_000, 40, 3])
 def test_quantiles_do_not_depend_on_the_rows_a_task_may_sort(spark, kind, most_rows):
