@@ -2,66 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from tallyworth.session import materialise
+
 # Below this share of the sum of squares a spread is what rounding leaves of a constant.
 _ROUNDING = 1e-13
-# Tasks that add up the sums of the scan tasks before the last one does.
-_FAN_IN = 32
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
-def _products(shift: np.ndarray):
-    """One matrix per task: products of presence, value and square of every column with those of every other."""
+def _sums(x: DataFrame, full: Sequence[bool]) -> dict[str, float]:
+    """All sums that the correlations need, by what they are the sum of, in one aggregation inside the JVM.
+
+    `xi` is a column, `xi*xj` a product, and `xi|j` is column i over the rows where j is present. A column without nulls
+    takes part in no sum of its own for that, so a table without nulls needs one sum a column, square and pair.
+    """
+    wanted: dict[str, str] = {}
+    for i in range(len(full)):
+        for j in range(len(full)):
+            wanted[_sum_of(i, j, full)] = f"sum({_over(f'x{i}', i, j, full)})"
+            wanted[_square_of(i, j, full)] = f"sum({_over(f'x{i} * x{i}', i, j, full)})"
+            if i <= j:
+                wanted[f"x{i}*x{j}"] = f"sum(x{i} * x{j})"
+                wanted[_rows_of(i, j, full)] = f"CAST(count(CASE WHEN x{i} IS NOT NULL AND x{j} IS NOT NULL THEN 1 END) AS DOUBLE)"
+    names = list(wanted)
+    row = x.selectExpr(*(f"{wanted[name]} AS s{k}" for k, name in enumerate(names))).first()
+    return {name: 0.0 if v is None else v for name, v in zip(names, row)}
+
+
+def _over(value: str, i: int, j: int, full: Sequence[bool]) -> str:
+    return value if full[j] or i == j else f"CASE WHEN x{j} IS NOT NULL THEN {value} END"
+
+
+def _sum_of(i: int, j: int, full: Sequence[bool]) -> str:
+    return f"x{i}" if full[j] or i == j else f"x{i}|{j}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 3 * len(shift)
-        total = np.zeros((size, size))
-        for batch in batches:
-            columns = [np.asarray(c.to_numpy(zero_copy_only=False), dtype=np.float64) for c in batch.columns]
-            x = np.stack(columns, axis=1) - shift if columns and batch.num_rows else np.zeros((0, len(shift)))
-            there = ~np.isnan(x)
-            x = np.where(there, x, 0.0)
-            wide = np.concatenate((there.astype(np.float64), x, x * x), axis=1)
-            total += wide.T @ wide
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], ["sums"])
 
-    return run
+def _square_of(i: int, j: int, full: Sequence[bool]) -> str:
+    return f"x{i}*x{i}" if full[j] or i == j else f"x{i}*x{i}|{j}"
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        for row in batch.column("sums").to_pylist():
-            total = np.array(row) if total is None else total + np.array(row)
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
+def _rows_of(i: int, j: int, full: Sequence[bool]) -> str:
+    """Rows where both are present; one count for all pairs that only miss the rows of one column, or none."""
+    partial = sorted({k for k in (i, j) if not full[k]})
+    return "rows" + "".join(f"&{k}" for k in partial)
 
 
 def correlations(df: DataFrame, names: Sequence[str]) -> np.ndarray:
     """Matrix of the correlations, each over the rows where both columns are present; nan where one is constant.
 
-    One pass: every task adds up its rows into one matrix of fixed size, and the matrices are added in a tree. Values
-    are taken from a value of their column, so that large ones keep their digits.
+    The columns are written once, as doubles (nan counts as null). A first pass over them finds a value of each column,
+    from which all others are taken, so that large ones keep their digits, and which columns have nulls; a second one
+    adds up all sums. Both are plain aggregations: each task sends one row of sums.
     """
-    numbers = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)))
-    some = numbers.agg(*(F.first(c, ignorenulls=True).alias(c) for c in numbers.columns)).first()
-    shift = np.array([0.0 if v is None else v for v in some])
-    sums = numbers.mapInArrow(_products(shift), "sums array<double>")
-    partial = sums.repartition(_FAN_IN).mapInArrow(_added, "sums array<double>")
-    row = partial.coalesce(1).mapInArrow(_added, "sums array<double>").first()
     k = len(names)
-    wide = np.array(row["sums"]).reshape(3 * k, 3 * k) if row else np.zeros((3 * k, 3 * k))
-    n, x, xx, xy = wide[:k, :k], wide[k : 2 * k, :k], wide[2 * k :, :k], wide[k : 2 * k, k : 2 * k]
+    if not k:
+        return np.zeros((0, 0))
+    plain = (F.col(f"`{c}`").cast("double") for c in names)
+    numbers = materialise(df.select(*(F.when(~F.isnan(c), c).alias(f"c{i}") for i, c in enumerate(plain))), "correlation-columns")
+    about = numbers.agg(F.count("*"), *(F.count(c) for c in numbers.columns), *(F.first(c, ignorenulls=True) for c in numbers.columns)).first()
+    full = [n == about[0] for n in about[1 : k + 1]]
+    shifted = numbers.select(*((F.col(c) - F.lit(0.0 if v is None else v)).alias(f"x{i}") for i, (c, v) in enumerate(zip(numbers.columns, about[k + 1 :]))))
+    found = _sums(shifted, full)
+
+    def matrix(name) -> np.ndarray:
+        return np.array([[found[name(i, j, full)] for j in range(k)] for i in range(k)])
+
+    n, x, xx = matrix(_rows_of), matrix(_sum_of), matrix(_square_of)
+    xy = np.array([[found[f"x{min(i, j)}*x{max(i, j)}"] for j in range(k)] for i in range(k)])
     with np.errstate(divide="ignore", invalid="ignore"):
         spread = xx - x * x / n  # of the row's column, where the column is present
         spread = np.where(spread > _ROUNDING * xx, spread, np.nan)

@@ -243,6 +243,15 @@ def test_correlation(spark):
     assert target[0] == ("a", pytest.approx(1)) and target[-1] == ("c", None)
 
 
+def test_correlation_sums_inside_the_jvm(spark):
+    frame = spark.range(50).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id * id AS DOUBLE) AS b", "IF(id % 7 = 0, NULL, CAST(id % 5 AS DOUBLE)) AS c", "IF(id = 3, CAST('NaN' AS DOUBLE), CAST(id AS DOUBLE)) AS d")
+    x = frame.selectExpr("a AS x0", "b AS x1", "c AS x2")
+    sums = correlation._sums(x, [True, True, False])
+    assert len([n for n in sums if n.startswith("rows")]) == 2 and sums["rows&2"] == 42 and sums["x0|2"] == sum(i for i in range(50) if i % 7)
+    found = {(r["a"], r["b"]): r["r"] for r in correlation.correlation_matrix(frame).collect()}
+    assert found["a", "d"] == pytest.approx(1.0) and found["b", "a"] == found["a", "b"]
+
+
 def test_correlation_of_large_and_of_empty_columns(spark):
     rows = [(1e15 + i, float(i % 7), 1e15, None) for i in range(100)]
     frame = spark.createDataFrame(rows, "a double, b double, c double, d double")
