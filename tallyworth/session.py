@@ -5,7 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -83,10 +84,26 @@ def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As `materialise`, with the path, for a caller that drops the table once it is used up."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    for paths in _recorders:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the intermediate tables written inside, for a job that drops them once its result is stored."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [held for held in _recorders if held is not paths]
+
+
 def discard(spark: SparkSession, path: str) -> bool:
     """Delete an intermediate table that nothing reads any more."""
     target, files = _files(spark, path)
