@@ -75,6 +75,10 @@ def exact_duplicates(
     carried = ["row"] if carry else []
 
     ranged = keyed.withColumn("_range", _range_of(F.col("_key"), splitters)).drop("_key")
+    if carry:
+        # The row holds its text already: the normalised one is made again behind the exchange.
+        again = F.coalesce(F.col("row").getField(text_column), F.lit(""))
+        ranged = ranged.drop("_norm").repartition("_range").withColumn("_norm", F.regexp_replace(again, f"{WHITE}+", ""))
     best_first = [F.col("_size").desc(), F.col("_id").asc_nulls_last(), F.col("_row")]
     in_order = Window.partitionBy("_range").orderBy("_content", "_norm", *best_first)
     starts = ~F.col("_norm").eqNullSafe(F.lag("_norm").over(in_order)) | (F.row_number().over(in_order) == 1)

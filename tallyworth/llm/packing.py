@@ -9,6 +9,7 @@ by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -17,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ LENGTH = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 # Words whose ids a worker remembers; and the search steps after which the best packing so far is taken.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 MOST_STEPS = 20_000
 
 # The pre-tokeniser of the vocabulary, for texts of ASCII and Latin letters; other texts go to the tokenizer whole.
@@ -48,25 +50,31 @@ def _bytes_of_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@cache
+def _whole(path: str):
+    """The tokenizer itself, for the few texts that the merges of single words do not cover."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @cache
 def _tokenizer(path: str):
-    """The tokenizer, the same merges for single words, the words seen so far and the special tokens."""
+    """The tokenizer's merges for single words, the words seen so far and the special tokens."""
     import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
-    special = {t.content for t in whole.get_added_tokens_decoder().values()}
+    about = json.loads(Path(path).read_text(encoding="utf-8"))
+    special = {t["content"] for t in about["added_tokens"] if t["special"]}
     stand_ins = _bytes_of_characters()
-    ranks = {bytes(stand_ins[c] for c in word): i for word, i in whole.get_vocab(with_added_tokens=False).items() if word not in special}
-    merges = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    return whole, merges, {}, special
+    ranks = {bytes(stand_ins[c] for c in word): i for word, i in about["model"]["vocab"].items() if word not in special}
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), {}, special
 
 
 def token_bytes(text: str, path: str) -> bytes:
     """The ids of a text as little-endian 32-bit numbers, without the closing id."""
-    whole, merges, known, special = _tokenizer(path)
+    merges, known, special = _tokenizer(path)
     if _PLAIN.search(text) or any(s in text for s in special):
-        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(_whole(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     words = _WORD.findall(text)
     try:
         return b"".join([known[w] for w in words])
