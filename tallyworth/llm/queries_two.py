@@ -29,7 +29,7 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     def page(name: str):
-        return F.regexp_extract(name, "^urn:page:(-?[0-9]+)", 1).cast("long")
+        return F.regexp_extract(name, "^urn:page:(-?[0-9]+)", 1).try_cast("long")
 
     read = warc.archived(table(spark, folder, "pages"))
     return read.select(
@@ -43,13 +43,13 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 _DIGITS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
 OP9_SQL = f"""
-WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages WHERE page_id IS NOT NULL),
+WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 sums AS (SELECT page_id, octet_length(body) AS size, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM bodies)
 SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
     array_to_string(list_transform(range(32), lambda i: substr({_DIGITS},
         CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT) + 1, 1)), '') AS payload_digest,
-    CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
-    CASE WHEN page_id <> last THEN last END AS refers_to
+    CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM sums
 """
 

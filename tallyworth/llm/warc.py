@@ -25,6 +25,8 @@ LINE, END = b"\r\n", "\r\n\r\n"
 SEGMENT, CHUNK = 64 << 10, 16 << 10
 # Rows per archive file: a reading task holds one file at a time.
 FILE_ROWS = 2_000
+# Compressed bytes that are unpacked at a time.
+_FED = 1 << 18
 _DATE = b"2024-01-01T00:00:00Z"
 
 
@@ -94,28 +96,33 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """name, url, payload and refers_to of every row: the names of its own record and of the one it refers to.
 
     A row refers to the largest page_id with the same payload, null for that page itself. Payloads under `least` bytes
-    never refer. The name is the page_id; where that is repeated, a digest of url and payload and, among rows that are
+    never refer. A null page_id is the smallest; a payload that only such rows have refers to none. The name is the page_id
+    (`none` without one); where that is repeated, a digest of url and payload and, among rows that are
     equal in all, a number follow. Equal payloads are counted before they are shuffled, and the join back is one that
     Spark splits where a payload is very common. Rows equal in all are merged and dealt out again, so their numbers
     need no order of the rows.
     """
+    page = F.col("page_id").cast("long")
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
+        page.alias("page_id"),
+        F.coalesce(page.cast("string"), F.lit("none")).alias("_page"),
+        "url",
+        F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("_sum", F.concat(F.sha2("payload", 256), F.lit(":"), F.octet_length("payload")))
     rows = rows.withColumn("_own", F.sha2(F.concat("_sum", F.coalesce(F.concat(F.lit(":"), "url"), F.lit(""))), 256))
-    kinds = written(rows.groupBy("_sum", "page_id", "_own").agg(F.count(F.lit(1)).alias("_rows")), "archive-kinds")
-    ids = kinds.groupBy("page_id").agg(F.sum("_rows").alias("_n")).filter(F.col("_n") > 1)
-    repeated = written(ids.select("page_id", F.lit(True).alias("_repeated")), "archive-repeated")
-    plain = F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))
+    kinds = written(rows.groupBy("_sum", "_page", "page_id", "_own").agg(F.count(F.lit(1)).alias("_rows")), "archive-kinds")
+    ids = kinds.groupBy("_page").agg(F.sum("_rows").alias("_n")).filter(F.col("_n") > 1)
+    repeated = written(ids.select("_page", F.lit(True).alias("_repeated")), "archive-repeated")
+    plain = F.concat(F.lit("urn:page:"), F.col("_page"))
     base = F.when(F.col("_repeated"), F.concat(plain, F.lit(":"), "_own")).otherwise(plain)
-    named = kinds.join(repeated, "page_id", "left").select("_sum", "page_id", "_own", "_rows", "_repeated", base.alias("_base"))
+    named = kinds.join(repeated, "_page", "left").select("_sum", "page_id", "_own", "_rows", "_repeated", base.alias("_base"))
     # the record of the largest page_id with a payload, the first of those that are equal in all
     first = F.when(F.col("_repeated"), F.concat("_base", F.lit(":1"))).otherwise(F.col("_base"))
     largest = named.groupBy("_sum").agg(
         F.max(F.struct("page_id", first.alias("name"))).alias("_largest"), F.sum("_rows").alias("_all")
     )
     shared = largest.filter(F.col("_all") > 1).select("_sum", F.col("_largest.page_id").alias("_id"), F.col("_largest.name").alias("_name"))
-    other = (F.col("_id") != F.col("page_id")) & (F.octet_length("payload") >= least)
+    other = F.col("_id").isNotNull() & ~F.col("_id").eqNullSafe(F.col("page_id")) & (F.octet_length("payload") >= least)
 
     def referring(some: DataFrame, name: Column) -> DataFrame:
         return some.join(shared, "_sum", "left").select(name.alias("name"), "url", "payload", F.when(other, F.col("_name")).alias("refers_to"))
@@ -123,11 +130,11 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     if repeated.isEmpty():
         return referring(rows, plain)
     # the payloads of rows with an id of their own are not touched by the rest
-    again = rows.join(repeated, "page_id")
-    merged = again.groupBy("_sum", "page_id", "_own").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.count(F.lit(1)).alias("_rows"))
+    again = rows.join(repeated, "_page")
+    merged = again.groupBy("_sum", "_page", "page_id", "_own").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.count(F.lit(1)).alias("_rows"))
     dealt = merged.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_rows"))).repartition("_own", "_k")
     numbered = F.concat(plain, F.lit(":"), "_own", F.lit(":"), F.col("_k").cast("string"))
-    alone = rows.join(repeated, "page_id", "left_anti")
+    alone = rows.join(repeated, "_page", "left_anti")
     return referring(alone, plain).unionByName(referring(dealt, numbered))
 
 
@@ -135,7 +142,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
     """Write a record per row of `pages` (page_id, url, html) as compressed archives under `path`.
 
     Null html is an empty payload, a null url leaves the target out. Rows of a repeated page_id are
-    all written, each under a name of its own. Rows without a page_id are left out, as the SQL of the query says.
+    all written, each under a name of its own, and so are rows without a page_id.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +153,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
                 out += records_of(name.as_py(), url.as_py(), body, digest_of(body), refers.as_py(), segment)
             yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], ["record"])
 
-    rows = with_revisits(pages.filter("page_id IS NOT NULL"), least)
+    rows = with_revisits(pages, least)
     records = rows.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value"))
     # Spark's text sink writes the bytes as they are, with the end of a record as its line separator.
     writer = records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_rows)
@@ -156,22 +163,63 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
+def unpacked(content: bytes) -> Iterator[bytes]:
+    """The bytes of an archive in stretches, from all its gzip members one after the other; plain bytes as they are."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    member = None
+    for at in range(0, len(content), _FED):
+        data = content[at : at + _FED]
+        while data:
+            if member is None:
+                data = data.lstrip(b"\0")  # padding between or after members
+                if not data:
+                    break
+                member = zlib.decompressobj(31)
+            yield member.decompress(data)
+            data = member.unused_data
+            member = None if member.eof else member
+    if member is not None:
+        raise ValueError("the archive ends within a gzip member")
+
+
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of every record; raises ValueError on a broken archive."""
-    data = zlib.decompress(content, wbits=47) if content[:2] == b"\x1f\x8b" else content
-    at = 0
-    while at < len(data):
+    """Headers (names in lower case) and block of every record; raises ValueError on a broken archive.
+
+    A compressed archive may hold one gzip member, one for each record, or any other number. Of what is unpacked, no more
+    is held than the record at hand and one stretch.
+    """
+    stretches, data, at = unpacked(content), bytearray(), 0
+
+    def more() -> bool:
+        stretch = next(stretches, None)
+        data.extend(stretch or b"")
+        return stretch is not None
+
+    while True:
+        while len(data) - at < 5 and more():
+            pass
+        if len(data) == at:
+            return
         if not data.startswith(b"WARC/", at):
             raise ValueError("a record does not start where the last one ended")
-        head_end = data.index(b"\r\n\r\n", at)
+        while (head_end := data.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                raise ValueError("a record has no end of its headers")
         start = data.index(LINE, at) + 2
-        headers = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _HEADER.findall(data, start, head_end + 2)}
+        headers = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _HEADER.findall(bytes(data[start : head_end + 2]))}
         begin = head_end + 4
         end = begin + int(headers["content-length"])
+        while len(data) < end + 4 and more():
+            pass
         if data[end : end + 4] != b"\r\n\r\n":
             raise ValueError("a record is shorter than it says")
-        yield headers, data[begin:end]
+        yield headers, bytes(data[begin:end])
         at = end + 4
+        if at > _FED:
+            del data[:at]
+            at = 0
 
 
 _PARTS = (

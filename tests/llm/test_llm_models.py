@@ -1,6 +1,7 @@
 """Operators that learn, mix, pack and archive, beside plain Python."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import math
@@ -225,11 +226,36 @@ def check_archived(rows, pages):
 def test_pages_survive_their_archive(spark, tmp_path):
     pages = spark.createDataFrame([(*p, "k", 1) for p in PAGES] + [(None, "u", "z", "k", 1)], "page_id long, url string, html string, payload string, name int")
     pages.write.parquet(str(tmp_path / "pages.parquet"))
-    check_archived(queries_two.op9_warc(spark, str(tmp_path)).collect(), [(i, h) for i, _, h in PAGES])
+    check_archived([r for r in queries_two.op9_warc(spark, str(tmp_path)).collect() if r["page_id"] is not None], [(i, h) for i, _, h in PAGES])
     path = str(tmp_path / "archives")
     warc.write_archives(pages, path, segment=1000, file_rows=3)
     bodies = {r["name"]: bytes(r["payload"]) for r in warc.read_archives(spark, path).collect()}
-    assert bodies == {f"urn:page:{i}": (h or "").encode() for i, _, h in PAGES}
+    assert bodies == {f"urn:page:{i}": (h or "").encode() for i, _, h in PAGES} | {"urn:page:none": b"z"}
+
+
+def test_rows_without_a_page_id_are_archived(spark, tmp_path):
+    rows = [(None, "u", "same"), (None, "v", "same"), (3, "u", "same"), (None, "u", "own"), (None, "u", "own"), (None, None, None), (4, "u", "x" * 100_000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    found = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in queries_two.op9_warc(spark, str(tmp_path)).collect())
+    want = [(None, 4, "revisit", 3)] * 2 + [(3, 4, "response", None)] + [(None, 3, "response", None)] * 2
+    assert found == Counter([*want, (None, 0, "response", None), (4, 100_000, "response", None)])
+
+
+def test_archives_of_many_members(spark, tmp_path):
+    bodies = [b"first", b"x" * 3_000_000, b"", bytes(range(256)) * 3000]
+    records = [warc.records_of(f"urn:page:{i}", "u", b, warc.digest_of(b), None, 1 << 16) for i, b in enumerate(bodies)]
+    flat = [r + b"\r\n\r\n" for own in records for r in own]
+    members = b"".join(gzip.compress(r) for r in flat)
+    whole = [b for _, b in warc.parse_archive(b"".join(flat))]
+    assert len(whole) == len(flat) and [b for _, b in warc.parse_archive(members)] == whole
+    assert [b for _, b in warc.parse_archive(gzip.compress(b"".join(flat)))] == whole
+    assert [b for _, b in warc.parse_archive(members + b"\0" * 20)] == whole
+    for broken in (members[:-9], members[: len(members) // 2]):
+        with pytest.raises(ValueError):
+            list(warc.parse_archive(broken))
+    (tmp_path / "part-0.gz").write_bytes(members)
+    found = {r["name"]: bytes(r["payload"]) for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert found == {f"urn:page:{i}": b for i, b in enumerate(bodies)}
 
 
 def test_repeated_pages_have_records_of_their_own(spark, tmp_path):
