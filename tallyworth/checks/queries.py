@@ -33,9 +33,11 @@ from tallyworth.operators import (
 )
 from tallyworth.plans import customer_features as cf
 from tallyworth.plans import customer_segments as cs
+from tallyworth.plans import incremental as inc
 from tallyworth.plans import model_selection as ms
 from tallyworth.session import materialise, scratch_path, written_once
 from tallyworth.sources import tables
+from tallyworth.sources.stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -510,6 +512,56 @@ def ltv_labelled(spark, folder):
     return rows.select(*names)
 
 
+def _parts(spark, folder) -> list[DataFrame]:
+    """The transactions in three uneven parts, as they might come in one after the other."""
+    raw = proxies.transactions(spark, folder)
+    part = F.when(F.col("row_id") % 10 < 6, 0).when(F.col("row_id") % 10 < 9, 1).otherwise(2)
+    return [raw.where(part == i) for i in range(3)]
+
+
+def _state(spark, folder) -> DataFrame:
+    """The state of the first part, with the others folded in one by one; each state is a written table."""
+    first, *others = (inc.customer_state(part, START_YEAR, END_YEAR) for part in _parts(spark, folder))
+    return reduce(lambda state, newer: materialise(inc.folded(state, newer), "customer-state"), others, materialise(first, "customer-state"))
+
+
+@query(
+    """SELECT usr AS "user", recency, frequency, CAST(revenue AS DOUBLE) AS revenue, CAST(window_revenue AS DOUBLE) AS window_revenue,
+    window_transactions FROM rfm""",
+    "rfm",
+)
+def rfm_from_state(spark, folder):
+    """The totals of all transactions, from a state into which they were folded part by part."""
+    found = inc.customers_of(_state(spark, folder))
+    return found.select("user", "recency", "frequency", _d("revenue"), _d("window_revenue"), "window_transactions")
+
+
+@query(f"SELECT {_LTV} FROM ltv", "ltv")
+def ltv_from_state(spark, folder):
+    """The labels of a full run, from the folded state."""
+    labelled, _ = inc.label_state(_state(spark, folder))
+    return labelled.withColumns({"revenue": _d("revenue"), "window_revenue": _d("window_revenue")}).select(*[f.name for f in schema.LIFETIME_VALUE])
+
+
+@query(
+    """SELECT usr AS "user", count(*) AS transactions, CAST(sum(amount) AS DOUBLE) AS amount, CAST(2 AS BIGINT) AS builds
+    FROM tagged WHERE valid GROUP BY usr""",
+    "tagged",
+)
+def totals_stored(spark, folder):
+    """Totals per user, stored, asked for again, and once more after files were added to their input: two builds."""
+    source, path, builds = scratch_path(spark, "source"), scratch_path(spark, "stored"), []
+    *early, late = _parts(spark, folder)
+    for parts in (early, [], [late], []):
+        for part in parts:
+            part.write.mode("append").parquet(source)
+        valid = cleaning.valid_transactions(cleaning.clean_transactions(spark.read.parquet(source)))
+        totals = valid.groupBy("user").agg(F.count("*").alias("transactions"), F.sum("amount").alias("amount"))
+        rows, built = stored(totals, path)
+        builds.append(built)
+    return rows.select("user", "transactions", _d("amount"), F.lit(sum(builds)).cast("bigint").alias("builds"))
+
+
 @query(f"SELECT {_LTV} FROM ltv WHERE FALSE", "ltv")
 def ltv_empty_window(spark, folder):
     """A window before the first transaction: no rows, but typed ones."""

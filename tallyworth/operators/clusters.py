@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import warnings
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from itertools import accumulate
 from math import inf
@@ -234,22 +234,37 @@ def _start(axis: str, k: int, scale: int, summary: Summary, max_iter: int) -> Fi
     return replace(fit, rounds=0, settled=False)
 
 
+def _again(fit: Fit | None, k: int, scale: int) -> Fit | None:
+    """The centres of an earlier fit as a start, in the units of now; none if it had another number of clusters."""
+    if fit is None or fit.k != k:
+        return None
+    unit = 10.0 ** (scale - fit.scale)
+    return replace(fit, centres=tuple(c * unit for c in fit.centres), scale=scale, rounds=0, settled=False)
+
+
 def fit_counts(
     counts: DataFrame,
     wanted: Sequence[tuple[str, int]],
     scales: dict[str, int],
     max_iter: int = MAX_ITER,
     tolerance: float = TOLERANCE,
+    begin: Mapping[str, Fit] | None = None,
 ) -> list[Fit]:
     """Fit each (axis, k) on a table from `axis_counts`; an axis without values has no fit.
 
+    An axis with a fit of as many clusters in `begin` starts from its centres, all others as follows.
+
     Centres start at quantiles and first settle on a summary of some thousand bins, which fits in a few
     kilobytes; then come rounds over all distinct values. Rounds end for a fit once the squared shift of
     its centres is at most `tolerance` times the variance; a fit that `max_iter` rounds do not settle warns.
     """
     cuts = _cut_values(counts, list(dict.fromkeys(axis for axis, _ in wanted)))
     summaries = _summaries(counts, cuts) if cuts else {}
-    fits = [_start(axis, k, scales[axis], summaries[axis], max_iter) for axis, k in wanted if axis in summaries]
+    fits = [
+        _again((begin or {}).get(axis), k, scales[axis]) or _start(axis, k, scales[axis], summaries[axis], max_iter)
+        for axis, k in wanted
+        if axis in summaries
+    ]
     for _ in range(max_iter):
         moving = [n for n, fit in enumerate(fits) if not fit.settled]
         if not moving:

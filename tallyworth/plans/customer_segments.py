@@ -93,7 +93,11 @@ def label_lifetime_value(
     """
     base = customer_base(raw, (start_year, end_year), settings.valid_only)
     wanted = {**dict.fromkeys(AXES, settings.clusters), "window_revenue": settings.value_clusters}
-    fits = _fits(base, wanted, settings)
+    return label_customers(base, _fits(base, wanted, settings), settings)
+
+
+def label_customers(base: DataFrame, fits: dict[str, Fit], settings: Settings = DEFAULTS) -> DataFrame:
+    """The customers of `base` with transactions in the window, scored and labelled by fits of all four columns."""
     in_window = base.filter(F.col("window_transactions") > 0).drop("window_transactions")
     return assign_ordered(_scored(in_window, fits, settings), fits.get("window_revenue"), "ltv_cluster")
 
