@@ -8,6 +8,7 @@ crosses a splitter is stitched from the first and last run of every range.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,16 +40,25 @@ def _range_of(key: Column, splitters: list[str]) -> Column:
     )
 
 
-def _splitters(keyed: DataFrame, ranges: int) -> list[str]:
-    """Evenly spaced keys of a sample of at most about ranges x SAMPLES_PER_RANGE rows."""
-    rows = keyed.count()
+def _splitters(source: DataFrame, keyed: Callable[[DataFrame], DataFrame], ranges: int) -> list[str]:
+    """Evenly spaced keys of a sample of at most about ranges x SAMPLES_PER_RANGE rows; only sampled rows are normalised."""
+    rows = source.count()
     if rows <= ranges:
         return []
     share = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
-    sample = sorted(r[0] for r in keyed.sample(share, seed=7).select("_key").collect())
+    sample = sorted(r[0] for r in keyed(source.sample(share, seed=7)).select("_key").collect())
     return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
 
+def _keyed(source: DataFrame) -> DataFrame:
+    """The rows with their normalised text, its digest and the sort key."""
+    source = source.withColumn("_norm", normalised("_text")).withColumn("_size", F.length(text_or_empty("_text"))).drop("_text")
+    named = source.withColumn("text_sha256", F.sha2("_norm", 256)).withColumn(
+        "_content", F.concat(F.substring("_norm", 1, HEAD), F.lit("\0"), "text_sha256")
+    )
+    return named.withColumn("_key", F.concat("_content", F.lit("\0"), F.lpad(F.col("_row").cast("string"), 20, "0")))
+
+
 def exact_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: bool = False, ranges: int | None = None
 ) -> DataFrame:
@@ -65,13 +75,8 @@ def exact_duplicates(
         F.col(f"`{text_column}`").alias("_text"),
         *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []),
     ).withColumn("_row", F.monotonically_increasing_id())
-    source = source.withColumn("_norm", normalised("_text")).withColumn("_size", F.length(text_or_empty("_text"))).drop("_text")
-    keyed = source.withColumn("text_sha256", F.sha2("_norm", 256)).withColumn(
-        "_content", F.concat(F.substring("_norm", 1, HEAD), F.lit("\0"), "text_sha256")
-    )
-    row_key = F.concat("_content", F.lit("\0"), F.lpad(F.col("_row").cast("string"), 20, "0"))
-    keyed = keyed.withColumn("_key", row_key)
-    splitters = _splitters(keyed, ranges)
+    splitters = _splitters(source, _keyed, ranges)
+    keyed = _keyed(source)
     carried = ["row"] if carry else []
 
     ranged = keyed.withColumn("_range", _range_of(F.col("_key"), splitters)).drop("_key")
