@@ -2,7 +2,8 @@
 
 Source shares of tokens are raised to an exponent, which is bisected until the weights have a target entropy or no
 source is repeated too often. The weights times a token budget are then filled from block permutations: every source
-is dealt into blocks in a random but fixed order; whole passes repeat all blocks, the last pass stops at the budget.
+is dealt into blocks in a random but fixed order, anew in every pass; whole passes go through all blocks, the last pass stops
+at the budget.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworth.llm.common import WHITE, text_or_empty, written
@@ -101,15 +102,23 @@ def n_tokens(column: str = "text"):
     return F.when(spaced == "", 0).otherwise(F.size(F.split(spaced, " "))).cast("long")
 
 
-def _numbered(docs: DataFrame, seed: int, carry: bool) -> DataFrame:
-    """The rows with tokens, dealt into blocks and numbered: written, so that the numbers are fixed facts."""
+def _block(seed: int, epoch: Column) -> Column:
+    """The block of a document in a pass: every pass deals the documents anew."""
+    return F.pmod(F.xxhash64(F.lit(seed), epoch.cast("long"), F.col("doc_id")), F.lit(BLOCKS)).cast("int")
+
+
+def _spot(seed: int, epoch: Column) -> Column:
+    """The place of a document within its block in a pass."""
+    return F.xxhash64(F.lit(seed + 1), epoch.cast("long"), F.col("doc_id"))
+
+
+def _numbered(docs: DataFrame, carry: bool) -> DataFrame:
+    """The rows with tokens, numbered: written, so that the numbers are fixed facts."""
     return written(
         docs.select(
             "doc_id",
-            F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("_source"),
+            F.col("source").cast("string").alias("source"),
             n_tokens().alias("tokens"),
-            F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(BLOCKS)).cast("int").alias("block"),
-            F.xxhash64(F.lit(seed + 1), F.col("doc_id")).alias("place"),
             F.monotonically_increasing_id().alias("_row"),
             *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")] if carry else []),
         ).filter("tokens > 0"),
@@ -117,41 +126,36 @@ def _numbered(docs: DataFrame, seed: int, carry: bool) -> DataFrame:
     )
 
 
-def _draws(numbered: DataFrame, target: Target) -> DataFrame:
+def _draws(numbered: DataFrame, target: Target, seed: int) -> DataFrame:
     spark = numbered.sparkSession
-    rows = numbered.select("doc_id", "_source", "tokens", "block", "place", "_row")
-    blocks = written(rows.groupBy("_source", "block").agg(F.sum("tokens").alias("n")), "mixing-blocks")
-    found = blocks.groupBy("_source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
+    rows = numbered.select("doc_id", "source", "tokens", "_row")
+    found = rows.groupBy("source").agg(F.sum("tokens").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    totals = {r["_source"]: r["n"] for r in found}
-    plan = mixing_plan(totals, target)
-    plans = spark.createDataFrame(plan, "_source string, weight double, passes long, rest long")
+    totals = {(r["source"] is None, r["source"] or ""): r["n"] for r in found}
+    plan = [(None if key[0] else key[1], *rest) for key, *rest in mixing_plan(totals, target)]
+    plans = F.broadcast(spark.createDataFrame(plan, "_source string, weight double, passes long, rest long"))  # at most MOST_SOURCES rows
+    planned = rows.join(plans, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # Whole passes take every document; only the last one is cut, in the order that it has.
+    last_pass = planned.withColumn("block", _block(seed, F.col("passes"))).withColumn("place", _spot(seed, F.col("passes")))
+    blocks = written(last_pass.groupBy("source", "block", "rest").agg(F.sum("tokens").alias("n")), "mixing-blocks")
 
     # At most BLOCKS rows of a source meet in a task, whatever the size of the source.
-    earlier = Window.partitionBy("_source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("rest") - F.coalesce(F.sum("n").over(earlier), F.lit(0))
-    cuts = written(
-        blocks.join(plans, "_source").select("_source", "block", "weight", "passes", "n", room.alias("_room")), "mixing-cuts"
-    )
+    cuts = written(blocks.select("source", "block", "n", room.alias("_room")), "mixing-cuts")
+    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))
     # Only the block in which the budget of a source ends is looked at row by row.
-    edge = rows.join(cuts.filter("_room > 0 AND _room < n").select("_source", "block", "_room"), ["_source", "block"])
-    running = F.sum("tokens").over(Window.partitionBy("_source", "block").orderBy("place", "doc_id", "_row"))
+    edge = last_pass.alias("a").join(cuts.filter("_room > 0 AND _room < n").alias("b"), same).select("a.*", "_room")
+    running = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("place", "doc_id", "_row"))
     last = edge.withColumn("_sum", running).filter("_sum <= _room").select("_row", F.lit(1).alias("_last"))
     extra = F.when(F.col("_room") >= F.col("n"), 1).otherwise(F.coalesce("_last", F.lit(0)))
     times = (F.col("passes") + extra).cast("int")
     # The cuts have a row per block, so they may be large: Spark picks the joins by measured sizes.
-    drawn = rows.join(cuts, ["_source", "block"]).join(last, "_row", "left").withColumn("_times", times).filter("_times > 0")
-    return drawn.select(
-        "doc_id",
-        F.when(F.col("_source") != "\0", F.col("_source")).alias("source"),
-        "tokens",
-        "weight",
-        F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch"),
-        "block",
-        "place",
-        "_row",
-    )
+    cut = last_pass.alias("a").join(cuts.alias("b"), same).select("a.*", "n", "_room")
+    drawn = cut.join(last, "_row", "left").withColumn("_times", times).filter("_times > 0")
+    each = drawn.select("doc_id", "source", "tokens", "weight", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("epoch"), "_row")
+    return each.select("doc_id", "source", "tokens", "weight", "epoch", _block(seed, F.col("epoch")).alias("block"), _spot(seed, F.col("epoch")).alias("place"), "_row")
 
 
 def mix(docs: DataFrame, target: Target = Target(), seed: int = 42) -> DataFrame:
@@ -159,13 +163,13 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 42) -> DataFrame
 
     Needs doc_id, source and text. A null source is a source of its own. Documents without tokens are not drawn. The
     budget of a source is rounded to tokens, and a pass stops before the first document of its last block that would
-    exceed it. Order and choice depend on the id and the seed only; repeated rows are drawn each for itself. An empty
+    exceed it. Order and choice depend on id, pass and seed only; repeated rows are drawn each for itself. An empty
     table gives an empty result.
     """
-    return _draws(_numbered(docs, seed, False), target).drop("_row")
+    return _draws(_numbered(docs, False), target, seed).drop("_row")
 
 
 def mixed(docs: DataFrame, target: Target = Target(), seed: int = 42) -> DataFrame:
     """The drawn documents with the columns of `docs`; a document drawn twice is there twice."""
-    numbered = _numbered(docs, seed, True)
-    return numbered.select("_doc", "_row").join(_draws(numbered, target).select("_row"), "_row").select("_doc.*")
+    numbered = _numbered(docs, True)
+    return numbered.select("_doc", "_row").join(_draws(numbered, target, seed).select("_row"), "_row").select("_doc.*")

@@ -92,6 +92,27 @@ def test_draws_fill_the_budget(spark, folder, budget):
         assert all(times[d] for d, (_, n) in count.items() if n)
 
 
+def test_every_pass_has_an_order_of_its_own_and_the_last_is_cut_in_its_order(spark):
+    rows = [(i, "big", "w " * 50) for i in range(300)] + [(1000 + i, None, f"one two three {'x ' * (i % 5)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    tokens = {i: len(t.split()) for i, _, t in rows}
+    target = mixing.Target(entropy=0.99, repeats=50.0)
+    totals = {"big": sum(tokens[i] for i, s, _ in rows if s), "": sum(tokens[i] for i, s, _ in rows if not s)}
+    drawn = mixing.mix(docs, target).collect()
+    for name, _, passes, rest in mixing.mixing_plan(totals, target):
+        own = [r for r in drawn if (r["source"] or "") == name]
+        ids = [i for i, s, _ in rows if (s or "") == name]
+        orders = [[r["doc_id"] for r in sorted((r for r in own if r["epoch"] == e), key=lambda r: (r["block"], r["place"]))] for e in range(passes + 1)]
+        assert all(sorted(order) == ids for order in orders[:passes])
+        assert passes < 2 or len(set(map(tuple, orders[:passes]))) == passes
+        assert sum(tokens[i] for i in orders[passes]) <= rest
+        missing = set(ids) - set(orders[passes])
+        assert not missing or sum(tokens[i] for i in orders[passes]) + max(tokens[i] for i in missing) * 1.0 > rest - max(tokens[i] for i in ids)
+    assert Counter((r["doc_id"], r["epoch"], r["block"], r["place"]) for r in drawn) == Counter(
+        (r["doc_id"], r["epoch"], r["block"], r["place"]) for r in mixing.mix(docs.repartition(1), target).collect()
+    )
+
+
 def test_mixing_on_edge_rows(spark):
     docs = edges.documents(spark)
     drawn = mixing.mixed(docs)
