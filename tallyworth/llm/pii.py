@@ -117,42 +117,100 @@ def by_pattern(pattern: re.Pattern) -> Callable[[str], Iterator[tuple[int, int]]
 
 @dataclass(frozen=True)
 class Kind:
-    """What proposes spans, a character without which there are none, the check, and how context moves the score."""
+    """What proposes spans, a character without which there are none, the check, and the contexts that move the score."""
 
     propose: Callable[[str], Iterator[tuple[int, int]]]
     hint: str
     check: Callable[[str], bool]
     score: float
     near: re.Pattern
+    against: re.Pattern
 
 
-def _words(pattern: str) -> re.Pattern:
-    return re.compile(f"(?i){pattern}")
+_LETTER = "A-Za-z\u00c0-\u024f"
+
+
+def whole_words(*lists: str) -> re.Pattern:
+    """Any of the words of the lists (separated by `|`, a space also as `_` or `-` or nothing), whole and in any case.
+
+    A word may also start with a capital inside a name such as accessToken.
+    """
+    words = [w.strip() for own in lists for w in own.split("|")]
+    plain = "|".join(re.escape(w).replace("\\ ", "[ _-]?") for w in sorted(words, key=len, reverse=True))
+    inner = "|".join(w.capitalize() for w in words if w.isascii() and w.isalpha())
+    return re.compile(f"(?<![{_LETTER}])(?i:{plain})(?![{_LETTER}])|(?<=[a-z])(?:{inner})(?![a-z])")
 
 
 # A proposed span counts from this score on. A word of its context that lies whole within so many characters before or
-# after it adds LIFT, up to 1. Only a secret needs such a word to count.
+# after it adds LIFT, up to 1; without one, a word that speaks against it takes as much away. Base spans count whatever
+# their score; a secret counts only with a word for it, and an account number unless it scores too low.
 LEAST_SCORE, LIFT, WINDOW = 0.5, 0.4, 40
 
+# Words of the context of each kind, in English, German, French and Spanish, and words against it.
+CONTEXT = {
+    "email": (
+        ("email|e mail|mailto|mail|contact|write to|address", "kontakt|schreiben an|adresse", "courriel|contacter|\u00e9crire \u00e0", "correo|contacto|direcci\u00f3n"),
+        "example|sample|noreply",
+    ),
+    "ip": (("ip|ipv4|address|host|server|gateway|subnet|dns|ping", "adresse|rechner", "adresse|serveur|h\u00f4te", "direcci\u00f3n|servidor"), "version|release|section|v|chapter|build"),
+    "card": (
+        ("card|visa|master|mastercard|amex|american express|credit|debit|cvv|cvc|expires|expiry", "karte|kreditkarte|g\u00fcltig bis", "carte|cr\u00e9dit|expire", "tarjeta|cr\u00e9dito|caduca"),
+        "order|isbn|serial|tracking|invoice",
+    ),
+    "phone": (("phone|mobile|cell|tel|fax|call|whatsapp", "telefon|handy|anruf|mobil", "t\u00e9l\u00e9phone|portable|appeler", "tel\u00e9fono|m\u00f3vil|llamar"), "order|serial|isbn|tracking"),
+    "iban": (("iban|account|bank|bic|swift|transfer", "konto|\u00fcberweisung", "compte|banque|virement", "cuenta|banco|transferencia"), "serial|tracking|order"),
+    "secret": (
+        (
+            "token|tokens|secret|secrets|password|passwords|passwd|pwd|api key|access key|private key|credential|credentials|bearer",
+            "passwort|kennwort|geheimnis|schl\u00fcssel|zugangsschl\u00fcssel",
+            "mot de passe|jeton|cl\u00e9|secret",
+            "contrase\u00f1a|clave|secreto|ficha",
+        ),
+        "commit|checksum|revision|sha1|sha256|md5|digest",
+    ),
+}
+
+
+def _near(kind: str) -> tuple[re.Pattern, re.Pattern]:
+    words, against = CONTEXT[kind]
+    return whole_words(*words), whole_words(against)
+
+
 RULES = {
-    "email": Kind(emails, "@", lambda m: True, 0.9, _words("e-?mail|mailto|contact|write to|address")),
-    "ip": Kind(addresses, ".", _is_address, 0.6, _words(r"\bip(?:v4)?\b|address|host|server|gateway|subnet|\bdns\b|\bping\b")),
-    "card": Kind(by_pattern(_CARD), "", _is_card, 0.9, _words(r"card|visa|master|amex|american express|credit|debit|\bcvv|\bcvc|expir")),
-    "phone": Kind(by_pattern(_PHONE), "+", lambda m: 9 <= len(digits(m)) <= 15, 0.6, _words(r"phone|mobile|\bcell|\btel\b|\bfax|\bcall|whatsapp")),
-    "iban": Kind(accounts, "", _is_iban, 0.9, _words(r"iban|account|\bbank|\bbic\b|swift|transfer")),
+    "email": Kind(emails, "@", lambda m: True, 0.9, *_near("email")),
+    "ip": Kind(addresses, ".", _is_address, 0.6, *_near("ip")),
+    "card": Kind(by_pattern(_CARD), "", _is_card, 0.9, *_near("card")),
+    "phone": Kind(by_pattern(_PHONE), "+", lambda m: 9 <= len(digits(m)) <= 15, 0.6, *_near("phone")),
+    "iban": Kind(accounts, "", _is_iban, 0.8, *_near("iban")),
     "secret": Kind(
         by_pattern(re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_-]{24,}(?![A-Za-z0-9])")),
         "",
         lambda m: any(c.isdigit() for c in m) and any(c.isalpha() for c in m),
         0.2,
-        _words("token|secret|password|passwd|api[_ -]?key|access[_ -]?key"),
+        *_near("secret"),
     ),
 }
 
 
 def has_context(text: str, start: int, end: int, near: re.Pattern) -> bool:
-    """Whether a word of the context lies within WINDOW before or after the span."""
-    return bool(near.search(text, max(0, start - WINDOW), start) or near.search(text, end, end + WINDOW))
+    """Whether a word of the context lies whole within WINDOW before or after the span."""
+    before, after = max(0, start - WINDOW), min(len(text), end + WINDOW)
+    if before and text[before - 1].isalpha():  # a word that starts before the window does not lie in it
+        while before < start and text[before].isalpha():
+            before += 1
+    if after < len(text) and text[after].isalpha():
+        while after > end and text[after - 1].isalpha():
+            after -= 1
+    return bool(near.search(text[before:start]) or near.search(text[end:after]))
+
+
+def scored(text: str, kind: Kind, start: int, end: int) -> float:
+    """The score of a checked span: the words for it count before the words against it."""
+    if has_context(text, start, end, kind.near):
+        return min(1.0, kind.score + LIFT)
+    if has_context(text, start, end, kind.against):
+        return max(0.0, kind.score - LIFT)
+    return kind.score
 
 
 _HAS_DIGIT = re.compile("[0-9]")
@@ -169,10 +227,8 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
         for start, end in kind.propose(text):
             if not kind.check(text[start:end]):
                 continue
-            score = kind.score
-            if has_context(text, start, end, kind.near):
-                score = min(1.0, score + LIFT)
-            if score >= LEAST_SCORE:
+            score = scored(text, kind, start, end)
+            if name in BASE_KINDS or score >= LEAST_SCORE:
                 found.append((name, start, end, score))
     return found
 

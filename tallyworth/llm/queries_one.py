@@ -46,6 +46,11 @@ def _strength_sql(units: str) -> str:
             sum(bad::DOUBLE * bad / n) AS bb FROM {units} WHERE n > 0)))"""
 
 
+def _last(labels: int) -> str:
+    """The last labels of a host in SQL; all listed suffixes have two."""
+    return f"array_to_string(list_slice(string_split(name, '.'), -{labels}, -1), '.')"
+
+
 OP5_SQL = rf"""
 WITH rest AS (
     SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -53,9 +58,14 @@ split AS (
     SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+bare AS (
+    SELECT host, regexp_replace(host, '{url_filter.LEFT_OUT}', '', 'g') AS name, count(bad) AS n, coalesce(sum(bad), 0) AS bad
+    FROM split LEFT JOIN known USING (page_id) GROUP BY host),
 hosts AS (
-    SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix,
-        count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM split LEFT JOIN known USING (page_id) GROUP BY host),
+    SELECT host, n, bad, CASE WHEN numeric THEN name WHEN listed THEN {_last(3)} ELSE {_last(2)} END AS domain,
+        CASE WHEN numeric THEN '' WHEN listed THEN {_last(2)} ELSE {_last(1)} END AS suffix
+    FROM (SELECT *, regexp_matches(name, '{url_filter.NUMERIC}') AS numeric,
+        {_last(2)} IN ({", ".join(f"'{s}'" for s in url_filter.SUFFIXES)}) AS listed FROM bare)),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix),
 ms AS (SELECT * FROM {_strength_sql("suffixes")}), md AS (SELECT * FROM {_strength_sql("domains")}),
@@ -89,7 +99,8 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [number(kind) for kind in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_quality_rules, op5_url_filter, op6_personal_data)}

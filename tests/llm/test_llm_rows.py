@@ -8,6 +8,7 @@ import edges
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tallyworth.llm import exact_dedup, pii, quality, queries_one, url_filter
 
 
@@ -253,3 +254,71 @@ def test_personal_data_query(spark, folder):
         assert row["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert row["n_email"] == sum(s[0] == "email" for s in spans)
         assert row["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans)
+
+
+SECRET = "a1B2" * 10
+
+
+@pytest.mark.parametrize(
+    "text, counts",
+    [
+        ("token: {}", True),
+        ("tokenizer {}", False),
+        ("Passwort: {}", True),
+        ("contraseña: {}", True),
+        ("la clé est {}", True),
+        ("accessToken={}", True),
+        ("access_key_id={}", True),
+        ("commit {}", False),
+        ("token of commit {}", True),
+        ("{} is the API key", True),
+        ("{}", False),
+        ("tok en {}", False),
+        ("token " + "x" * 45 + " {}", False),
+    ],
+)
+def test_context_words_are_whole_and_in_four_languages(text, counts):
+    spans = pii.spans_of(text.format(SECRET))
+    assert [s[0] for s in spans] == (["secret"] if counts else [])
+
+
+def test_context_moves_the_score_of_every_kind():
+    near = {"email": "kontakt a.b@c.de", "ip": "serveur 10.0.0.1", "card": "Kreditkarte 4111111111111111", "phone": "teléfono +49 30 1234567"}
+    against = {"email": "example a.b@c.de", "ip": "version 10.0.0.1", "card": "order 4111111111111111", "phone": "serial +49 30 1234567"}
+    for kind, base in pii.RULES.items():
+        if kind not in near:
+            continue
+        high, low = ({s[0]: s[3] for s in pii.spans_of(text)}[kind] for text in (near[kind], against[kind]))
+        assert high == min(1.0, base.score + pii.LIFT) and low == pytest.approx(base.score - pii.LIFT)
+    iban = "DE89370400440532013000"
+    assert [s[0] for s in pii.spans_of(f"Konto {iban}")] == ["iban"] and pii.spans_of(f"serial {iban}") == []
+
+
+@pytest.mark.parametrize(
+    "host, domain, suffix",
+    [
+        ("www.a.example.com", "example.com", "com"),
+        ("shop.owner.co.uk", "owner.co.uk", "co.uk"),
+        ("co.uk", "co.uk", "co.uk"),
+        ("me.github.io", "me.github.io", "github.io"),
+        ("user:word@x.org:8080", "x.org", "org"),
+        ("a.b.com.", "b.com", "com"),
+        ("10.0.0.1:80", "10.0.0.1", ""),
+        ("[::1]", "[::1]", ""),
+        ("localhost", "localhost", "localhost"),
+        ("", "", ""),
+    ],
+)
+def test_levels_of_a_host(spark, host, domain, suffix):
+    found = spark.createDataFrame([(host,)], "host string").select(*url_filter.levels(F.col("host"))).first()
+    assert tuple(found) == (domain, suffix)
+
+
+def test_owners_under_one_suffix_do_not_share_a_domain(spark):
+    rows = [(i, f"http://bad{i % 4}.github.io/x") for i in range(200)] + [(900, "http://small.github.io/x"), (901, "http://fine.example.org/y")]
+    outcomes = [(i, 1) for i in range(200)] + [(900, 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labelled = spark.createDataFrame(outcomes, "page_id long, bad int")
+    apart = {r["host"]: r["bad_rate"] for r in url_filter.judge_urls(pages, labelled).collect()}
+    together = {r["host"]: r["bad_rate"] for r in url_filter.judge_urls(pages, labelled, suffixes=()).collect()}
+    assert apart["small.github.io"] < together["small.github.io"] and apart["bad1.github.io"] > 0.9
