@@ -361,17 +361,28 @@ def linked(sets: list[np.ndarray], num: int, den: int, group: int = GROUP, cells
     found = matrix(token, shared, sizes, ends, group)
     order = np.lexsort((np.arange(count), sizes))
     order = order[sizes[order] > 0]
-    group_of = np.arange(count) // group
+    group_of, firsts = np.arange(count) // group, np.arange(0, count, group)
+    lowest, highest = np.minimum.reduceat(labels, firsts), np.maximum.reduceat(labels, firsts)
     for at in range(0, len(order), found.at_once):
         queries = order[at : at + found.at_once]
-        opened = den * found.bounds(queries) >= num * sizes[queries, None]
+        # A group that is joined to the set as a whole has nothing to tell, whatever it holds.
+        joined = (lowest == labels[queries, None]) & (highest == labels[queries, None])
+        if joined.all():
+            continue
+        opened = ~joined & (den * found.bounds(queries) >= num * sizes[queries, None])
+        if not opened.any():
+            continue
         inside = np.flatnonzero(opened.any(axis=0)[group_of])
         both = found.overlaps(queries, inside)
+        changed = False
         for q, groups, own in zip(queries, opened, both):
             other = groups[group_of[inside]] & (labels[inside] != labels[q]) & (sizes[inside] >= sizes[q])
             hit = inside[other & (den * own >= num * (sizes[q] + sizes[inside] - own))]
             if len(hit):
                 labels[np.isin(labels, labels[hit])] = labels[q]
+                changed = True
+        if changed:
+            lowest, highest = np.minimum.reduceat(labels, firsts), np.maximum.reduceat(labels, firsts)
     out = np.empty(count, dtype=labels.dtype)
     out[similar] = labels
     return out
