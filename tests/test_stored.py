@@ -10,6 +10,7 @@ from tallyworth.plans import customer_segments as cs
 from tallyworth.plans import incremental as inc
 from tallyworth.plans import model_selection as ms
 from tallyworth.session import materialise
+from tallyworth.sources import inferred
 from tallyworth.sources.stored import fingerprint, stored
 
 
@@ -52,6 +53,33 @@ def test_fingerprints_tell_wide_plans_apart(spark):
     assert fingerprint(wide) == fingerprint(again) != fingerprint(other)
 
 
+def test_types_are_the_narrowest_that_all_values_have(spark, tmp_path):
+    columns = {
+        "small": ["1", "-7", ""],
+        "large": ["1", "30000000000", "2"],
+        "real": ["1", "2.5", "1e3"],
+        "flag": ["true", "FALSE", "true"],
+        "day": ["2024-01-31", "", "1999-12-01"],
+        "moment": ["2024-01-31", "2024-01-31 10:20", "2024-01-31T10:20:30.5"],
+        "clock": ["06:30", "23:59", "00:00"],
+        "zeros": ["007", "12", "3"],
+        "no day": ["2024-02-30", "2024-01-01", "2024-01-02"],
+        "mixed": ["1", "true", "x"],
+        "empty": ["", "", ""],
+    }
+    lines = [",".join(columns), *(",".join(row) for row in zip(*columns.values())), "1,2", ",".join("x" * 20), "1,2"]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    texts = inferred.read_texts(spark, str(tmp_path))
+    found = {f.name: f.type for f in inferred.inferred(texts)}
+    assert list(found.values()) == ["int", "bigint", "double", "boolean", "date", "timestamp", *["string"] * 5] and list(found) == list(columns)
+    assert {(r["line"], r["times"]) for r in inferred.broken_lines(texts).collect()} == {("1,2", 2), (",".join("x" * 20), 1)}
+    rows = inferred.typed(texts, inferred.inferred(texts))
+    assert rows.count() == 3 and rows.agg(F.sum("large")).first()[0] == 30000000003
+    (tmp_path / "b.csv").write_text("other,header\n1,2\n")
+    with pytest.raises(Exception, match="header|CSV"):
+        inferred.read_texts(spark, str(tmp_path)).collect()
+
+
 def test_state_in_any_order_of_parts(spark, folder):
     raw = proxies.transactions(spark, folder)
     whole = sorted(map(tuple, inc.customer_state(raw, 1996, 2000).collect()))
