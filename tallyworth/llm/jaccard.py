@@ -339,20 +339,20 @@ def _candidates(num: int, den: int):
     return run
 
 
-def linked(sets: list[np.ndarray], num: int, den: int, group: int = GROUP, cells: int = CELLS) -> np.ndarray:
-    """A label per set; sets that a chain of links joins share one.
+def linked(sets: list[np.ndarray], num: int, den: int, group: int = GROUP, cells: int = CELLS, known: np.ndarray | None = None) -> np.ndarray:
+    """A label per set; sets that a chain of links joins share one. `known` gives sets that are joined already one number.
 
     Sets are put into groups of `group` by their smallest hash, and the matrix of tokens by groups bounds the overlap of
     each set with the members of each group. Only groups that can reach the threshold are opened. The matrix is dense
     where it has few cells, else a list of groups per token; the labels are the same.
     """
     count = len(sets)
-    labels = np.arange(count)
+    labels = np.arange(count) if known is None else np.unique(known, return_inverse=True)[1]
     if count < 2:
         return labels
     sizes = np.array([len(s) for s in sets])
     similar = np.lexsort((sizes, [int(s[0]) if len(s) else 0 for s in sets]))  # near copies mostly share the smallest hash
-    sets, sizes = [sets[i] for i in similar], sizes[similar]
+    sets, sizes, labels = [sets[i] for i in similar], sizes[similar], labels[similar]
     universe, token = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.concatenate(([0], np.cumsum(sizes)))
     shared = np.bincount(token, minlength=len(universe)) > 1  # other hashes are in no overlap
@@ -442,33 +442,76 @@ class _SparseMatrix:
 
 
 def _open(words: int, num: int, den: int):
-    """Exact links inside each (component, block, block); rows arrive sorted by these."""
+    """Exact links inside each (component, block, block); rows arrive sorted by these. Rows of one class are joined already."""
 
-    def close(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = _stars(linked(sets, num, den), np.array(ids, dtype=np.int64))
+    def close(ids: list[int], sets: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
+        pairs = _stars(linked(sets, num, den, known=np.array(classes)), np.array(ids, dtype=np.int64))
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
+        now, ids, sets, classes = None, [], [], []
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j"))))
-            docs = batch.column("doc_id").to_pylist()
+            docs, own = batch.column("doc_id").to_pylist(), batch.column("class").to_pylist()
             raw, offsets = raw_bytes(batch.column("text"))
             for first, last in chunks(offsets):
                 found = shingle_sets(raw, offsets[first : last + 1], words)
-                for key, doc, tokens in zip(keys[first:last], docs[first:last], found):
+                for key, doc, joined, tokens in zip(keys[first:last], docs[first:last], own[first:last], found):
                     if key != now:
                         if len(ids) > 1:
-                            yield close(ids, sets)
-                        now, ids, sets = key, [], []
+                            yield close(ids, sets, classes)
+                        now, ids, sets, classes = key, [], [], []
                     ids.append(doc)
                     sets.append(tokens)
+                    classes.append(joined)
         if len(ids) > 1:
-            yield close(ids, sets)
+            yield close(ids, sets, classes)
 
     return run
 
 
+def _in_blocks(members: DataFrame, open_hashes: int) -> DataFrame:
+    """The members (node, component, n) with the blocks of their component, none of which should exceed `open_hashes`."""
+    sums = members.groupBy("component").agg(F.sum("n").alias("hashes"))
+    dealt = members.join(sums, "component").withColumn("blocks", F.ceil(F.col("hashes") / open_hashes).cast("int")).drop("hashes")
+    return dealt.withColumn("block", F.pmod(F.xxhash64("node", "blocks"), F.col("blocks")).cast("int"))
+
+
+def _verified(texts: DataFrame, members: DataFrame, words: int, num: int, den: int, open_hashes: int, buckets: int) -> DataFrame:
+    """All links (as stars of what they join) between members of one candidate component.
+
+    Every block of a component is opened by itself, then one member of each class that this found. Only where a component
+    of several blocks is not one class by then, its blocks meet in pairs, and only sets of different classes are compared.
+    """
+
+    def opened(tasks: DataFrame) -> DataFrame:
+        dealt = texts.join(tasks, "doc_id").repartition(buckets, "component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
+        return written(dealt.mapInArrow(_open(words, num, den), "a long, b long"), "links-found")
+
+    alone = [F.col("node").alias("doc_id"), "component", F.col("block").alias("i"), F.col("block").alias("j"), F.col("node").alias("class")]
+    dealt = written(_in_blocks(members, open_hashes), "openings")
+    links = opened(dealt.select(*alone))
+    large = dealt.filter("blocks > 1").select("node", "component", "n", "blocks", "block")
+    if large.isEmpty():
+        return links
+
+    def classed(found: DataFrame) -> DataFrame:
+        own = found.join(large.select(F.col("node").alias("a")), "a", "left_semi")
+        joined = components(own).withColumnRenamed("component", "class")
+        return written(large.join(joined, "node", "left").withColumn("class", F.coalesce("class", "node")), "classes")
+
+    first_of_each = classed(links).filter(F.col("node") == F.col("class")).select("node", "component", "n")
+    links = links.unionByName(opened(_in_blocks(first_of_each, open_hashes).select(*alone)))
+    left = classed(links)
+    several = left.groupBy("component").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("component")
+    others = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: other != F.col("block")),
+        lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")),
+    )
+    pairs = left.join(several, "component").select(F.col("node").alias("doc_id"), "component", F.explode(others).alias("_t"), "class")
+    return links.unionByName(opened(pairs.select("doc_id", "component", "_t.*", "class")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, open_hashes: int = OPEN) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text).
 
@@ -498,19 +541,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     near = written(components(pairs), "candidate-components")
 
     members = near.join(stands_for.filter("doc_id = rep").select(F.col("rep").alias("node"), "n").distinct(), "node")
-    sums = members.groupBy("component").agg(F.sum("n").alias("hashes"))
-    blocks = F.ceil(F.col("hashes") / open_hashes).cast("int")
-    dealt = members.join(sums, "component").select("node", "component", blocks.alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    each = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: other != F.col("block")),
-            lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")),
-        )
-    )
-    tasks = written(dealt.withColumn("block", block).select(F.col("node").alias("doc_id"), "component", F.explode(each).alias("_t")).select("doc_id", "component", "_t.*"), "openings")
-    opened = texts.join(tasks, "doc_id").repartition(buckets, "component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
-    links = written(opened.mapInArrow(_open(words, num, den), "a long, b long"), "links-found")
+    links = _verified(texts, members, words, num, den, open_hashes, buckets)
     own = components(links)
     # A document that several rows of different texts share is one node: its classes join.
     shared = stands_for.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
