@@ -37,6 +37,7 @@ from tallyworth.plans import incremental as inc
 from tallyworth.plans import model_selection as ms
 from tallyworth.session import materialise, scratch_path, written_once
 from tallyworth.sources import inferred, tables
+from tallyworth.sources.bucketed import write_bucketed
 from tallyworth.sources.stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -402,6 +403,20 @@ def customer_features(spark, folder):
     return _features(spark, folder).withColumn("revenue", _d("revenue"))
 
 
+@query(f"SELECT {_FEATURES} FROM features", "features")
+def customer_features_bucketed(spark, folder):
+    """The same from tables in buckets by user: customers, users and cards join without an exchange."""
+    parts = {"customers": (_labelled(spark, folder), "user"), "users": (proxies.indexed_users(spark, folder), "index"), "cards": (proxies.cards(spark, folder), "user")}
+    path, names = scratch_path(spark, "bucketed"), []
+    for part, (rows, key) in parts.items():
+        names.append(f"{part}_{path.rsplit('-', 1)[1]}")
+        write_bucketed(rows, names[-1], key, 8, f"{path}/{part}")
+    found = materialise(cf.customer_features(*map(spark.table, names)), "bucketed-features")
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+    return found.withColumn("revenue", _d("revenue"))
+
+
 @query(
     """SELECT l.usr AS "user", l.segment, l.ltv_cluster, u.yearly_income, u.total_debt
     FROM ltv l JOIN usr_rows u ON u.idx = l.usr""",

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from tallyworth.checks import proxies
 from tallyworth.checks import queries as registered
 from tallyworth.operators import boosting, models
+from tallyworth.plans import customer_features as cf
 from tallyworth.plans import customer_segments as cs
 from tallyworth.plans import incremental as inc
 from tallyworth.plans import model_selection as ms
 from tallyworth.session import materialise
 from tallyworth.sources import inferred
+from tallyworth.sources.bucketed import exchanges, write_bucketed
 from tallyworth.sources.stored import fingerprint, stored
 
 
@@ -53,6 +55,25 @@ def test_fingerprints_tell_wide_plans_apart(spark):
     assert fingerprint(wide) == fingerprint(again) != fingerprint(other)
 
 
+def test_tables_in_buckets_join_without_an_exchange(spark, folder, tmp_path):
+    customers = materialise(cs.label_lifetime_value(proxies.transactions(spark, folder), 1996, 2000), "customers")
+    plain = {"customers": customers, "users": proxies.indexed_users(spark, folder), "cards": proxies.cards(spark, folder)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, rows in plain.items():
+            write_bucketed(rows, f"in_buckets_{name}", "index" if name == "users" else "user", 4, str(tmp_path / name))
+            assert len(list((tmp_path / name).glob("part-*.parquet"))) <= 4
+        found = cf.customer_features(*(spark.table(f"in_buckets_{name}") for name in plain))
+        usual = cf.customer_features(*plain.values())
+        assert exchanges(found) == 0 and exchanges(usual) > 0
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, usual.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in plain:
+            spark.sql(f"DROP TABLE IF EXISTS in_buckets_{name}")
+
+
 def test_types_are_the_narrowest_that_all_values_have(spark, tmp_path):
     columns = {
         "small": ["1", "-7", ""],
