@@ -86,7 +86,7 @@ def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = scratch_path(spark, label)
     for paths in _recorders:
         paths.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # written and read once or twice: small files count more than speed
     return spark.read.schema(df.schema).parquet(path), path
 
 
