@@ -1,9 +1,9 @@
 """Boosted trees for several classes at once, grown level by level from histograms.
 
 Every round fits one tree a class to the gradients of the softmax loss, by gains of second order. The rows are held in
-bins, and one aggregation a level sums the gradients by (model, class, node, feature, bin) for all open nodes, all
-classes and all models (the folds of a cross-validation) together. Only these sums, of a size that hangs on the trees
-and bins and not on the rows, come to the driver, which picks the splits.
+bins, in blocks of numpy arrays that stay on the executors, and one pass a level sums the gradients by (model, class,
+node, feature, bin) for all open nodes, all classes and all models (the folds of a cross-validation) together. A shuffle
+brings the sums of a model and class together, and the task that has them picks the splits; only these come to the driver.
 
 Gradients are rounded to whole multiples of 2^-24 before they are summed. Sums of whole numbers do not depend on their
 order, so neither partitioning nor a lost executor changes a model.
@@ -12,26 +12,28 @@ order, so neither partitioning nor a lost executor changes a model.
 from __future__ import annotations
 
 import hashlib
-import json
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tallyworth.functions.buckets import HASH_RANGE, key_hash
-from tallyworth.session import discard, hold, written_at
+from tallyworth.functions.buckets import HASH_RANGE
+from tallyworth.session import discard, written_at
 
 BINS = 256
 SCALE = 1 << 24
 # The least gain of a split, and the rounds after which the scores of all rows are written anew.
 LEAST_GAIN = 1e-6
-WRITTEN_ROUNDS = 4
+WRITTEN_ROUNDS = 8
 # Of percentile_approx, for the borders of the bins: exact up to so many rows, and off by so small a share beyond.
 _ACCURACY = 100_000
-# Rows that a task takes at least in a pass over few rows.
-TASK_ROWS = 6_000
+# Rows that a task takes in a pass, and those of a block at most.
+TASK_ROWS, BLOCK_ROWS = 100_000, 50_000
 _LEAF, _OPEN = -1, -2
 
 
@@ -66,32 +68,6 @@ class Tree:
         size = (1 << (self.depth + 1)) - 1
         self.features, self.borders, self.values = [_OPEN, *[_LEAF] * (size - 1)], [0] * size, [0.0] * size
 
-    def literal(self) -> dict:
-        return {"f": self.features, "c": self.borders, "v": self.values}
-
-
-_TREE = "struct<f:array<int>,c:array<int>,v:array<double>>"
-
-
-def _constant(value: list | dict, kind: str) -> str:
-    """SQL of a nested value: the optimiser folds the parsing away, and generated code does not hold the value."""
-    return f"from_json('{json.dumps(value)}', '{kind}')"
-
-
-def _node(tree: str, depth: int) -> str:
-    """SQL of the node of a `tree` where a row of `bins` ends up."""
-    asked = f"get({tree}.f, n)"
-    step = f"if({asked} < 0, n, n * 2 + if(get(bins, {asked}) <= get({tree}.c, n), 1, 2))"
-    return f"aggregate(sequence(1, {depth}), 0, (n, i) -> {step})"
-
-
-def _raised(trees: list[list[list[Tree]]], depth: int) -> str:
-    """SQL of the scores after the trees of every model and class, added in order."""
-    if not trees[0][0]:
-        return "scores"
-    own = _constant([[[t.literal() for t in c] for c in m] for m in trees], f"array<array<array<{_TREE}>>>")
-    return f"transform(scores, (s, k) -> aggregate(get(get({own}, model), k), s, (total, tree) -> total + get(tree.v, {_node('tree', depth)})))"
-
 
 def drawn_columns(settings: Boosting, round_: int, class_: int, columns: int) -> list[int]:
     """The features that one tree may ask: the first of them in the order of a hash."""
@@ -107,20 +83,16 @@ def bin_borders(rows: DataFrame, features: Sequence[str], models: int) -> list[l
     return [[sorted(set(found[m][f"q{i}"])) if m in found else [] for i in range(len(features))] for m in range(models)]
 
 
-def splits(cells: dict[str, np.ndarray], settings: Boosting) -> dict[tuple[int, int, int], tuple]:
-    """For every open node (model, class, node): feature, border, sums of it and of its left side; feature -1: none.
+def splits(node: np.ndarray, feature: np.ndarray, bin_: np.ndarray, sums: np.ndarray, settings: Boosting) -> dict[int, tuple]:
+    """For every open node of a tree: feature, border, sums of it and of its left side; feature -1: none.
 
-    Cells are the sums (g, h, rows) of one bin of one feature of one node. Of equal gains the first feature and the
-    lowest border win.
+    Cells, in the order of node, feature and bin, hold the sums (g, h, rows) of one bin of one feature of one node. Of
+    equal gains the first feature and the lowest border win.
     """
-    order = np.lexsort([cells[k] for k in ("bin", "feature", "node", "class", "model")])
-    model, class_, node, feature, bin_, g, h, rows = (cells[k][order] for k in ("model", "class", "node", "feature", "bin", "g", "h", "rows"))
-    if not len(order):
-        return {}
-    nodes = np.stack([model, class_, node])
-    new_node = np.append(True, (nodes[:, 1:] != nodes[:, :-1]).any(axis=0))
+    g, h, rows = sums
+    new_node = np.append(True, node[1:] != node[:-1])
     starts = np.flatnonzero(new_node | np.append(True, feature[1:] != feature[:-1]))
-    sizes = np.diff(np.append(starts, len(order)))
+    sizes = np.diff(np.append(starts, len(node)))
 
     def both(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sum up to each cell of its node and feature, and the whole."""
@@ -136,11 +108,11 @@ def splits(cells: dict[str, np.ndarray], settings: Boosting) -> dict[tuple[int,
     fits = (nl < n_all) & (b >= settings.least_weight) & (f >= settings.least_weight) & (gain > LEAST_GAIN)
     gain = np.where(fits, gain, -1.0)
     found = {}
-    edges = np.append(np.flatnonzero(new_node), len(order))
+    edges = np.append(np.flatnonzero(new_node), len(node))
     for lo, hi in zip(edges, edges[1:]):
         i = lo + int(np.argmax(gain[lo:hi]))
         asked = int(feature[i]) if fits[i] else -1
-        found[int(model[i]), int(class_[i]), int(node[i])] = (asked, int(bin_[i]), c[i], d[i], a[i], b[i])
+        found[int(node[i])] = (asked, int(bin_[i]), c[i], d[i], a[i], b[i])
     return found
 
 
@@ -159,27 +131,182 @@ def _grown(tree: Tree, node: int, level: int, found: tuple, settings: Boosting)
         tree.values[child] = value(x, y)
 
 
-def _gradients(state: DataFrame, trees: list[list[list[Tree]]], sample: Column, depth: int) -> DataFrame:
-    """model, bins and the rounded first and second derivatives of every class, of the rows drawn for a round."""
-    raised = state.where(sample).selectExpr("model", "label", "bins", f"{_raised(trees, depth)} AS scores")
-    held = raised.selectExpr("model", "label", "bins", "transform(scores, s -> exp(s - array_max(scores))) AS e")
-    shares = held.selectExpr("model", "label", "bins", "e", "aggregate(e, 0D, (t, x) -> t + x) AS total")
-    g = f"transform(e, (x, k) -> floor((x / total - if(label = k, 1D, 0D)) * {SCALE} + 0.5D)) AS g"
-    h = f"transform(e, x -> floor(2 * (x / total) * (1 - x / total) * {SCALE} + 0.5D)) AS h"
-    return shares.selectExpr("model", "bins", g, h)
+@dataclass
+class Block:
+    """Some rows as arrays, one entry or column a row: model, label, bins by feature, bits of the rounds that draw it, scores by class."""
+
+    model: np.ndarray
+    label: np.ndarray
+    bins: np.ndarray
+    drawn: np.ndarray
+    scores: np.ndarray
 
 
-def _level_cells(gradients: DataFrame, trees: list[list[Tree]], drawn: list[list[bool]], depth: int) -> dict[str, np.ndarray]:
-    """One pass: the sums of gradients by model, class, open node, feature and bin."""
-    growing = _constant([[t.literal() for t in m] for m in trees], f"array<array<{_TREE}>>")
-    placed = f"transform(get({growing}, model), (tree, k) -> struct(k AS class, {_node('tree', depth)} AS node))"
-    by_class = gradients.selectExpr("model", "bins", "g", "h", f"explode({placed}) AS c")
-    is_open = f"get(get(get({growing}, model), c.class).f, c.node) = {_OPEN}"
-    open_ = by_class.where(is_open).selectExpr("model", "c.class", "c.node", "get(g, c.class) AS g", "get(h, c.class) AS h", "posexplode(bins) AS (feature, bin)")
-    allowed = open_.where(f"get(get({_constant(drawn, 'array<array<boolean>>')}, class), feature)")
-    sums = allowed.groupBy("model", "class", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("rows"))
-    found = sums.toArrow()
-    return {name: found.column(name).to_numpy().astype(np.int64) for name in found.column_names}
+@dataclass
+class Forest:
+    """The trees of one round as arrays by model, class and node."""
+
+    features: np.ndarray
+    borders: np.ndarray
+    values: np.ndarray
+
+    @staticmethod
+    def of(trees: list[list[Tree]]) -> Forest:
+        def gathered(name: str, kind: type) -> np.ndarray:
+            return np.array([[getattr(t, name) for t in own] for own in trees], kind)
+
+        return Forest(gathered("features", np.int16), gathered("borders", np.int16), gathered("values", np.float64))
+
+    def places(self, class_: int, model: np.ndarray, bins: np.ndarray, levels: int) -> np.ndarray:
+        """The node of a class's tree that each row reaches by at most so many levels."""
+        size = self.features.shape[2]
+        features, borders = (np.ascontiguousarray(x[:, class_]).ravel() for x in (self.features, self.borders))
+        root = model.astype(np.int64) * size
+        cells, rows = np.ascontiguousarray(bins).ravel(), np.arange(len(model))
+        at = np.zeros(len(model), np.int64)
+        for _ in range(levels):
+            here = root + at
+            asked = features[here]
+            bin_ = cells[np.maximum(asked, 0).astype(np.int64) * len(model) + rows]
+            at = np.where(asked < 0, at, 2 * at + 1 + (bin_ > borders[here]))
+        return at
+
+
+def _drawn(users: pd.Series, settings: Boosting) -> np.ndarray:
+    """Packed bits of every round, by row: whether `key_hash` of the user and the round is within the share."""
+    least = int(settings.rows_share * HASH_RANGE)
+    if least >= HASH_RANGE:
+        return np.zeros((0, len(users)), np.uint8)
+    codes, names = pd.factorize(users)
+    own = [name.encode() for name in names]
+    bits = np.zeros((settings.rounds, len(own)), bool)
+    for round_ in range(settings.rounds):
+        seed = f"{settings.seed}:{round_}:".encode()
+        heads = b"".join(hashlib.md5(seed + name).digest()[:4] for name in own)
+        bits[round_] = np.frombuffer(heads, ">u4") < least
+    return np.packbits(bits, axis=0)[:, codes]
+
+
+_BLOCK = "rows int, model binary, label binary, bins binary, drawn binary"
+
+
+def _packed(parts: Iterable[pd.DataFrame], borders: list[list[np.ndarray]], settings: Boosting) -> Iterator[pd.DataFrame]:
+    """Blocks of binned rows; a part has model, user (text), label and then the features."""
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        model = rows["model"].to_numpy(np.int16)
+        bins = np.zeros((rows.shape[1] - 3, len(rows)), np.uint8)
+        for m in np.unique(model):
+            own = model == m
+            for i in range(len(bins)):
+                bins[i, own] = np.searchsorted(borders[m][i], rows.iloc[:, 3 + i].to_numpy(np.float64)[own])
+        arrays = (model, rows["label"].to_numpy(np.int8), bins, _drawn(rows["user"], settings))
+        return pd.DataFrame([(len(rows), *(a.tobytes() for a in arrays))], columns=["rows", "model", "label", "bins", "drawn"])
+
+    held: list[pd.DataFrame] = []
+    for part in parts:
+        held.append(part)
+        if sum(map(len, held)) >= BLOCK_ROWS:
+            yield block(pd.concat(held, ignore_index=True))
+            held = []
+    if any(map(len, held)):
+        yield block(pd.concat(held, ignore_index=True))
+
+
+def _unpacked(row: Row, classes: int) -> Block:
+    model, label = np.frombuffer(row["model"], np.int16), np.frombuffer(row["label"], np.int8)
+    bins, drawn = (np.frombuffer(row[c], np.uint8).reshape(-1, row["rows"]) for c in ("bins", "drawn"))
+    return Block(model, label, bins, drawn, np.zeros((classes, row["rows"])))
+
+
+def _raised(block: Block, forest: Forest, depth: int) -> Block:
+    """The block with the trees of one more round added to its scores."""
+    scores = block.scores.copy()
+    for k in range(len(scores)):
+        scores[k] += forest.values[block.model, k, forest.places(k, block.model, block.bins, depth)]
+    return Block(block.model, block.label, block.bins, block.drawn, scores)
+
+
+def _slopes(block: Block, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Model, bins and the rounded first and second derivatives by class, of the rows drawn for a round."""
+    model, label, bins, scores = block.model, block.label, block.bins, block.scores
+    if len(block.drawn):
+        own = np.flatnonzero(block.drawn[round_ // 8] & (128 >> round_ % 8))
+        model, label, bins, scores = model[own], label[own], bins[:, own], scores[:, own]
+    e = np.exp(scores - scores.max(axis=0))
+    share = e / sum(e)
+    g = np.floor((share - (np.arange(len(scores))[:, None] == label)) * SCALE + 0.5)
+    h = np.floor(2 * share * (1 - share) * SCALE + 0.5)
+    return model, bins, g, h
+
+
+def _sums(blocks: Iterable[Block], forest: Forest, drawn: list[list[int]], round_: int, level: int) -> Iterator[tuple[int, tuple]]:
+    """By model and class: the sums (g, h, rows) of each (open node of the level, drawn feature, bin) that has rows, beside its number."""
+    models, classes, _ = forest.features.shape
+    first, nodes = (1 << level) - 1, 1 << level
+    open_ = forest.features[:, :, first : first + nodes] == _OPEN
+    places = [np.where(open_[:, k], np.cumsum(open_[:, k]).reshape(models, nodes) - 1, -1) for k in range(classes)]
+    sums = [np.zeros((3, np.count_nonzero(open_[:, k]), len(drawn[k]), BINS)) for k in range(classes)]
+    for block in blocks:
+        model, bins, *slopes = _slopes(block, round_)
+        for k, total in enumerate(sums):
+            if not total.size:
+                continue
+            node = forest.places(k, model, bins, level) - first  # below 0: of a leaf above this level
+            place = np.where(node < 0, -1, places[k][model, np.maximum(node, 0)])
+            own = np.flatnonzero(place >= 0)
+            start, weights = place[own] * BINS, [x[k, own] for x in slopes]
+            for i, feature in enumerate(drawn[k]):
+                cell = start + bins[feature, own]
+                for summed, x in zip(total, (*weights, None)):
+                    summed[:, i] += np.bincount(cell, x, len(summed) * BINS).reshape(-1, BINS)
+    for k, total in enumerate(sums):
+        size = len(drawn[k]) * BINS
+        for m in range(models):
+            own = total[:, places[k][m][open_[m, k]]].reshape(3, -1)
+            cells = np.flatnonzero(own[2])
+            if len(cells):
+                numbers = np.flatnonzero(open_[m, k])[cells // size] * size + cells % size
+                yield m * classes + k, (numbers, own[:, cells].astype(np.int64))
+
+
+def _splits(parts: Iterable[tuple[int, tuple]], drawn: list[list[int]], settings: Boosting, level: int) -> Iterator[tuple]:
+    """Of each open node of a model and class: (model, class, node) and its split, from the sums of all tasks."""
+    totals: dict[int, np.ndarray] = {}
+    for key, (cells, sums) in parts:
+        size = (1 << level) * len(drawn[key % len(drawn)]) * BINS
+        totals.setdefault(key, np.zeros((3, size), np.int64))[:, cells] += sums
+    for key, total in totals.items():
+        model, class_ = divmod(key, len(drawn))
+        cells = np.flatnonzero(total[2])
+        place, bin_ = np.divmod(cells, BINS)
+        node, i = np.divmod(place, len(drawn[class_]))
+        found = splits(node + (1 << level) - 1, np.array(drawn[class_])[i], bin_, total[:, cells], settings)
+        yield from (((model, class_, node), split) for node, split in found.items())
+
+
+def _level(state: RDD, trees: list[list[Tree]], drawn: list[list[int]], settings: Boosting, round_: int, level: int) -> list[tuple]:
+    """One pass over the rows: the splits of all open nodes of a level."""
+    sums = state.mapPartitions(partial(_sums, forest=Forest.of(trees), drawn=drawn, round_=round_, level=level))
+    tasks = min(state.getNumPartitions(), len(trees) * len(drawn))
+    if tasks > 1:
+        sums = sums.partitionBy(tasks)
+    return sums.mapPartitions(partial(_splits, drawn=drawn, settings=settings, level=level)).collect()
+
+
+def _binned(rows: DataFrame, features: Sequence[str], borders: list[list[list[float]]], settings: Boosting) -> tuple[DataFrame, str]:
+    """The rows as a written table of blocks, in as many parts as a pass takes tasks, and its path. Rows without a user are never drawn."""
+    tasks = max(1, -(-rows.count() // TASK_ROWS))
+    numbers = (F.col(f"`{name}`").cast("double").alias(f"x{i}") for i, name in enumerate(features))
+    plain = rows.where("user IS NOT NULL").select("model", F.col("user").cast("string").alias("user"), F.col("label").cast("int").alias("label"), *numbers)
+    edges = [[np.array(x, np.float64) for x in own] for own in borders]
+    blocks = plain.repartition(tasks, "user").mapInPandas(partial(_packed, borders=edges, settings=settings), _BLOCK)
+    state, path = written_at(blocks, "boosting-rows")
+    return state.coalesce(tasks), path
+
+
+def _held(state: RDD) -> RDD:
+    return state.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit(rows: DataFrame, features: Sequence[str], classes: int, settings: Boosting, models: int = 1) -> list[list[list[dict]]]:
@@ -191,36 +318,33 @@ def fit(rows: DataFrame, features: Sequence[str], classes: int, settings: Boosti
     """
     spark = rows.sparkSession
     borders = bin_borders(rows, features, models)
-    edges = _constant(borders, "array<array<array<double>>>")
-    own = [f"size(filter(get(get({edges}, model), {i}), border -> border < CAST(`{name}` AS DOUBLE)))" for i, name in enumerate(features)]
-    start = rows.selectExpr("model", "user", "CAST(label AS INT) AS label", f"array({', '.join(own)}) AS bins", f"array_repeat(0D, {classes}) AS scores")
-    state, path = written_at(start, "boosting-rows")
-    # Every pass is short: few rows go into few tasks, and into one without a shuffle.
-    tasks = max(1, state.count() // TASK_ROWS)
+    binned, path = _binned(rows, features, borders, settings)
+    state = _held(binned.rdd.map(partial(_unpacked, classes=classes)))
+    before = None
     every: list[list[list[Tree]]] = [[] for _ in range(models)]
-    recent: list[list[list[Tree]]] = [[[] for _ in range(classes)] for _ in range(models)]
     for round_ in range(settings.rounds):
         trees = [[Tree(settings.depth) for _ in range(classes)] for _ in range(models)]
-        chosen = [drawn_columns(settings, round_, k, len(features)) for k in range(classes)]
-        drawn = [[i in own for i in range(len(features))] for own in chosen]
-        sample = key_hash("user", f"{settings.seed}:{round_}") < int(settings.rows_share * HASH_RANGE)
-        gradients = hold(_gradients(state.coalesce(tasks), recent, sample, settings.depth))
+        drawn = [drawn_columns(settings, round_, k, len(features)) for k in range(classes)]
         for level in range(settings.depth):
             if not any(_OPEN in t.features for m in trees for t in m):
                 break
-            found = splits(_level_cells(gradients, trees, drawn, settings.depth), settings)
-            for (model, class_, node), split in found.items():
+            for (model, class_, node), split in _level(state, trees, drawn, settings, round_, level):
                 _grown(trees[model][class_], node, level, split, settings)
-        gradients.unpersist()
+            if before is not None:  # the first pass of a round has held its scores
+                before.unpersist()
+                before = None
+                if state.isCheckpointed():
+                    discard(spark, path)
+                    path = state.getCheckpointFile()
         for m, own_trees in enumerate(trees):
             every[m].append(own_trees)
-            for k, tree in enumerate(own_trees):
+            for tree in own_trees:
                 tree.features = [max(f, _LEAF) for f in tree.features]
-                recent[m][k].append(tree)
-        if (round_ + 1) % WRITTEN_ROUNDS == 0 and round_ + 1 < settings.rounds:
-            state, newer = written_at(state.selectExpr("model", "user", "label", "bins", f"{_raised(recent, settings.depth)} AS scores"), "boosting-rows")
-            discard(spark, path)
-            path, recent = newer, [[[] for _ in range(classes)] for _ in range(models)]
+        if round_ + 1 < settings.rounds:
+            before, state = state, _held(state.map(partial(_raised, forest=Forest.of(trees), depth=settings.depth)))
+            if (round_ + 1) % WRITTEN_ROUNDS == 0:
+                state.checkpoint()
+    state.unpersist()
     discard(spark, path)
     return [[[_nodes(t, borders[m], features) for t in own] for own in rounds] for m, rounds in enumerate(every)]
 
@@ -238,3 +362,59 @@ def _nodes(tree: Tree, borders: list[list[float]], features: Sequence[str]) -> l
             reached |= {2 * n + 1, 2 * n + 2}
             out.append({"node": n, "feature": features[asked], "threshold": borders[asked][tree.borders[n]], "low": 2 * n + 1, "high": 2 * n + 2, "value": 0.0})
     return out
+
+
+@dataclass
+class Walk:
+    """The nodes of a tree as arrays; a leaf leads to itself."""
+
+    features: np.ndarray
+    thresholds: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    values: np.ndarray
+    steps: int
+
+    @staticmethod
+    def of(nodes: list[dict], features: Sequence[str]) -> Walk:
+        place = {n["node"]: i for i, n in enumerate(nodes)}
+        leaf = [n["feature"] is None for n in nodes]
+        steps = [0] * len(nodes)
+        for i, n in enumerate(nodes):  # a child stands after its parent
+            if not leaf[i]:
+                steps[place[n["low"]]] = steps[place[n["high"]]] = steps[i] + 1
+        return Walk(
+            np.array([0 if end else features.index(n["feature"]) for end, n in zip(leaf, nodes)]),
+            np.array([0.0 if end else n["threshold"] for end, n in zip(leaf, nodes)], np.float64),
+            np.array([i if end else place[n["low"]] for i, (end, n) in enumerate(zip(leaf, nodes))]),
+            np.array([i if end else place[n["high"]] for i, (end, n) in enumerate(zip(leaf, nodes))]),
+            np.array([n["value"] for n in nodes], np.float64),
+            max(steps),
+        )
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """The value of the leaf that each row ends up in; `x` is by feature and row."""
+        at, rows = np.zeros(x.shape[1], np.int64), np.arange(x.shape[1])
+        for _ in range(self.steps):
+            at = np.where(x[self.features[at], rows] <= self.thresholds[at], self.low[at], self.high[at])
+        return self.values[at]
+
+
+def prediction(trees: list[list[list[dict]]], features: Sequence[str], classes: int) -> Column:
+    """The class with the highest score, the lowest of equals, as a double; null where a feature is null.
+
+    Scores are added in the order of the rounds, so the class is the one that the rules of the same trees give.
+    """
+    walks = [[Walk.of(tree, features) for tree in own] for own in trees]
+
+    def best(*columns: pd.Series) -> pd.Series:
+        x = np.array([c.to_numpy(np.float64) for c in columns])
+        scores = np.zeros((classes, x.shape[1]))
+        for own in walks:
+            for k, walk in enumerate(own):
+                scores[k] += walk.scores(x)
+        return pd.Series(scores.argmax(axis=0).astype(np.float64))
+
+    numbers = [F.col(f"`{name}`").cast("double") for name in features]
+    known = reduce(Column.__and__, (x.isNotNull() for x in numbers))
+    return F.when(known, F.pandas_udf(best, "double")(*numbers))

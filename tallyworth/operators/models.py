@@ -117,7 +117,7 @@ class BoostedModel:
         return rules.of_boosted(self.trees, FEATURES, self.classes)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("prediction", self.rules.prediction())
+        return df.withColumn("prediction", boosting.prediction(self.trees, FEATURES, self.classes))
 
     def nodes(self, spark: SparkSession) -> DataFrame:
         """The trees as a table: round, class, node, feature, threshold (at most: low), low, high, value."""

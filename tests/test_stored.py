@@ -1,10 +1,13 @@
 """Stored tables that notice changes, the folded state, and rules beside the models they come from."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tallyworth.checks import proxies
 from tallyworth.checks import queries as registered
+from tallyworth.functions.buckets import HASH_RANGE, key_hash
 from tallyworth.operators import boosting, models
 from tallyworth.plans import customer_features as cf
 from tallyworth.plans import customer_segments as cs
@@ -216,3 +219,38 @@ def test_trees_do_not_depend_on_partitions_and_empty_models_are_roots(spark, fra
     many = boosting.fit(rows.repartition(7, "revenue"), models.FEATURES, 3, settings, 2)
     assert one == many
     assert all(len(tree) == 1 and tree[0]["value"] == 0.0 for round_ in one[0] for tree in round_)
+
+
+def test_few_rows_take_one_task_and_only_splits_reach_the_driver(spark, frame, monkeypatch):
+    """A pass over few rows has no shuffle, and one row a node comes back, not one a bin."""
+    passes = []
+    one_level = boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda state, *a: passes.append((state.getNumPartitions(), one_level(state, *a))) or passes[-1][1])
+    rows = models.trainable(frame).withColumn("model", F.lit(0))
+    settings = boosting.Boosting(3, 0.4, 10, 0.7, 0.5, 2)
+    (few,) = boosting.fit(rows, models.FEATURES, 3, settings)
+    assert {tasks for tasks, _ in passes} == {1}
+    assert all(len(found) <= 3 << 2 for _, found in passes)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 40)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 15)
+    passes.clear()
+    (many,) = boosting.fit(rows, models.FEATURES, 3, settings)
+    assert {tasks for tasks, _ in passes} == {-(-rows.count() // 40)}
+    assert few == many
+
+
+def test_draws_equal_the_hash_of_the_key(spark):
+    users = spark.range(500).selectExpr("id AS user")
+    settings = boosting.Boosting(2, 0.1, 11, rows_share=0.3)
+    found = np.unpackbits(boosting._drawn(pd.Series([str(i) for i in range(500)]), settings), axis=0)
+    for round_ in (0, 7, 8, 10):
+        expected = users.orderBy("user").select(key_hash("user", f"42:{round_}") < int(0.3 * HASH_RANGE)).collect()
+        assert found[round_].astype(bool).tolist() == [r[0] for r in expected]
+
+
+def test_boosted_predictions_equal_the_rules(spark, frame):
+    model = models.boosted(boosting.Boosting(4, 1.34, 6, 0.6, 0.65, 2))(frame)
+    gaps = frame.withColumn("recency", F.when(F.col("user") % 5 > 0, F.col("recency")))
+    both = gaps.select(boosting.prediction(model.trees, models.FEATURES, 3).alias("a"), model.rules.prediction().alias("b")).collect()
+    assert [r["a"] for r in both] == [r["b"] for r in both]
+    assert {None, 0.0, 1.0} <= {r["a"] for r in both}
