@@ -4,6 +4,8 @@ Every round fits one tree a class to the gradients of the softmax loss, by gains
 bins, in blocks of numpy arrays that stay on the executors, and one pass a level sums the gradients by (model, class,
 node, feature, bin) for all open nodes, all classes and all models (the folds of a cross-validation) together. A shuffle
 brings the sums of a model and class together, and the task that has them picks the splits; only these come to the driver.
+Where no model has more rows than one task takes, the rows of a model lie in one task, which needs no other's sums: then a
+round is one pass.
 
 Gradients are rounded to whole multiples of 2^-24 before they are summed. Sums of whole numbers do not depend on their
 order, so neither partitioning nor a lost executor changes a model.
@@ -32,7 +34,7 @@ LEAST_GAIN = 1e-6
 WRITTEN_ROUNDS = 8
 # Of percentile_approx, for the borders of the bins: exact up to so many rows, and off by so small a share beyond.
 _ACCURACY = 100_000
-# Rows that a task takes in a pass, and those of a block at most.
+# Rows that a task takes in a pass, and those of a block.
 TASK_ROWS, BLOCK_ROWS = 100_000, 50_000
 _LEAF, _OPEN = -1, -2
 
@@ -190,10 +192,10 @@ def _drawn(users: pd.Series, settings: Boosting) -> np.ndarray:
 _BLOCK = "rows int, model binary, label binary, bins binary, drawn binary"
 
 
-def _packed(parts: Iterable[pd.DataFrame], borders: list[list[np.ndarray]], settings: Boosting) -> Iterator[pd.DataFrame]:
-    """Blocks of binned rows; a part has model, user (text), label and then the features."""
+def _packed(parts: Iterable[pd.DataFrame], borders: list[list[np.ndarray]], settings: Boosting, by_model: bool) -> Iterator[pd.DataFrame]:
+    """Blocks of binned rows, if asked for of one model each; a part has model, user (text), label and then the features."""
 
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
+    def block(rows: pd.DataFrame) -> tuple:
         model = rows["model"].to_numpy(np.int16)
         bins = np.zeros((rows.shape[1] - 3, len(rows)), np.uint8)
         for m in np.unique(model):
@@ -201,16 +203,21 @@ def _packed(parts: Iterable[pd.DataFrame], borders: list[list[np.ndarray]], sett
             for i in range(len(bins)):
                 bins[i, own] = np.searchsorted(borders[m][i], rows.iloc[:, 3 + i].to_numpy(np.float64)[own])
         arrays = (model, rows["label"].to_numpy(np.int8), bins, _drawn(rows["user"], settings))
-        return pd.DataFrame([(len(rows), *(a.tobytes() for a in arrays))], columns=["rows", "model", "label", "bins", "drawn"])
+        return (len(rows), *(a.tobytes() for a in arrays))
+
+    def blocks(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True)
+        own = [x for _, x in rows.groupby("model")] if by_model else [rows]
+        return pd.DataFrame([block(x) for x in own], columns=["rows", "model", "label", "bins", "drawn"])
 
     held: list[pd.DataFrame] = []
     for part in parts:
         held.append(part)
         if sum(map(len, held)) >= BLOCK_ROWS:
-            yield block(pd.concat(held, ignore_index=True))
+            yield blocks(held)
             held = []
     if any(map(len, held)):
-        yield block(pd.concat(held, ignore_index=True))
+        yield blocks(held)
 
 
 def _unpacked(row: Row, classes: int) -> Block:
@@ -294,15 +301,33 @@ def _level(state: RDD, trees: list[list[Tree]], drawn: list[list[int]], settings
     return sums.mapPartitions(partial(_splits, drawn=drawn, settings=settings, level=level)).collect()
 
 
-def _binned(rows: DataFrame, features: Sequence[str], borders: list[list[list[float]]], settings: Boosting) -> tuple[DataFrame, str]:
-    """The rows as a written table of blocks, in as many parts as a pass takes tasks, and its path. Rows without a user are never drawn."""
-    tasks = max(1, -(-rows.count() // TASK_ROWS))
+def _round(blocks: Iterable[Block], models: int, drawn: list[list[int]], settings: Boosting, round_: int) -> Iterator[tuple[int, list[Tree]]]:
+    """The trees of a round, by model, of the models whose rows are all in these blocks."""
+    own = list(blocks)
+    trees = _seedlings(models, len(drawn), settings)
+    for level in range(settings.depth):
+        sums = _sums(own, Forest.of(trees), drawn, round_, level)
+        for (model, class_, node), split in _splits(sums, drawn, settings, level):
+            _grown(trees[model][class_], node, level, split, settings)
+    for model in {int(m) for block in own for m in block.model[:1]}:
+        yield model, trees[model]
+
+
+def _binned(rows: DataFrame, features: Sequence[str], borders: list[list[list[float]]], settings: Boosting) -> tuple[DataFrame, str, bool]:
+    """The rows as a written table of blocks, in as many parts as a pass takes tasks, its path, and whether blocks are of one model each,
+    none of which has more rows than a task takes. Rows without a user are never drawn."""
+    counts = [r["count"] for r in rows.groupBy("model").count().collect()]
+    alone, tasks = max(counts, default=0) <= TASK_ROWS, max(1, -(-sum(counts) // TASK_ROWS))
     numbers = (F.col(f"`{name}`").cast("double").alias(f"x{i}") for i, name in enumerate(features))
     plain = rows.where("user IS NOT NULL").select("model", F.col("user").cast("string").alias("user"), F.col("label").cast("int").alias("label"), *numbers)
     edges = [[np.array(x, np.float64) for x in own] for own in borders]
-    blocks = plain.repartition(tasks, "user").mapInPandas(partial(_packed, borders=edges, settings=settings), _BLOCK)
-    state, path = written_at(blocks, "boosting-rows")
-    return state.coalesce(tasks), path
+    pack = partial(_packed, borders=edges, settings=settings, by_model=alone)
+    state, path = written_at(plain.repartition(tasks, "user").mapInPandas(pack, _BLOCK), "boosting-rows")
+    return state.coalesce(tasks), path, alone
+
+
+def _seedlings(models: int, classes: int, settings: Boosting) -> list[list[Tree]]:
+    return [[Tree(settings.depth) for _ in range(classes)] for _ in range(models)]
 
 
 def _held(state: RDD) -> RDD:
@@ -318,24 +343,30 @@ def fit(rows: DataFrame, features: Sequence[str], classes: int, settings: Boosti
     """
     spark = rows.sparkSession
     borders = bin_borders(rows, features, models)
-    binned, path = _binned(rows, features, borders, settings)
-    state = _held(binned.rdd.map(partial(_unpacked, classes=classes)))
-    before = None
+    binned, path, alone = _binned(rows, features, borders, settings)
+    blocks = binned.rdd.map(partial(_unpacked, classes=classes))
+    if alone and models > 1:  # all blocks of a model into the task of its number
+        blocks = blocks.map(lambda block: (int(block.model[0]), block)).partitionBy(models, int).values()
+    state, before = _held(blocks), None
     every: list[list[list[Tree]]] = [[] for _ in range(models)]
     for round_ in range(settings.rounds):
-        trees = [[Tree(settings.depth) for _ in range(classes)] for _ in range(models)]
+        trees = _seedlings(models, classes, settings)
         drawn = [drawn_columns(settings, round_, k, len(features)) for k in range(classes)]
-        for level in range(settings.depth):
+        if alone:
+            grow = partial(_round, models=models, drawn=drawn, settings=settings, round_=round_)
+            for model, own_trees in state.mapPartitions(grow).collect():
+                trees[model] = own_trees
+        for level in range(0 if alone else settings.depth):
             if not any(_OPEN in t.features for m in trees for t in m):
                 break
             for (model, class_, node), split in _level(state, trees, drawn, settings, round_, level):
                 _grown(trees[model][class_], node, level, split, settings)
-            if before is not None:  # the first pass of a round has held its scores
-                before.unpersist()
-                before = None
-                if state.isCheckpointed():
-                    discard(spark, path)
-                    path = state.getCheckpointFile()
+        if before is not None:  # the first pass of a round has held its scores
+            before.unpersist()
+            before = None
+            if state.isCheckpointed():
+                discard(spark, path)
+                path = state.getCheckpointFile()
         for m, own_trees in enumerate(trees):
             every[m].append(own_trees)
             for tree in own_trees:

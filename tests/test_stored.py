@@ -1,5 +1,7 @@
 """Stored tables that notice changes, the folded state, and rules beside the models they come from."""
 
+import uuid
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -221,22 +223,30 @@ def test_trees_do_not_depend_on_partitions_and_empty_models_are_roots(spark, fra
     assert all(len(tree) == 1 and tree[0]["value"] == 0.0 for round_ in one[0] for tree in round_)
 
 
-def test_few_rows_take_one_task_and_only_splits_reach_the_driver(spark, frame, monkeypatch):
-    """A pass over few rows has no shuffle, and one row a node comes back, not one a bin."""
-    passes = []
-    one_level = boosting._level
-    monkeypatch.setattr(boosting, "_level", lambda state, *a: passes.append((state.getNumPartitions(), one_level(state, *a))) or passes[-1][1])
-    rows = models.trainable(frame).withColumn("model", F.lit(0))
-    settings = boosting.Boosting(3, 0.4, 10, 0.7, 0.5, 2)
-    (few,) = boosting.fit(rows, models.FEATURES, 3, settings)
-    assert {tasks for tasks, _ in passes} == {1}
-    assert all(len(found) <= 3 << 2 for _, found in passes)
+def jobs(spark, work):
+    """What `work` returns, and how many jobs it takes."""
+    context, group = spark.sparkContext, uuid.uuid4().hex
+    context.setJobGroup(group, "counted")
+    try:
+        return work(), len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("folds", [1, 4])
+def test_a_round_of_few_rows_is_one_job_and_equals_passes_by_level(spark, frame, monkeypatch, folds):
+    own = F.array(*(F.lit(i) for i in range(folds)))
+    rows = materialise(models.trainable(frame).withColumn("model", F.explode(own)).where((F.col("user") % 4 != F.col("model")) | (folds == 1)), "rows")
+    settings = boosting.Boosting(4, 0.4, 18, 0.7, 0.5, 2)
+    few, taken = jobs(spark, lambda: boosting.fit(rows, models.FEATURES, 3, settings, folds))
+    assert taken < 2 * settings.rounds
     monkeypatch.setattr(boosting, "TASK_ROWS", 40)
     monkeypatch.setattr(boosting, "BLOCK_ROWS", 15)
-    passes.clear()
-    (many,) = boosting.fit(rows, models.FEATURES, 3, settings)
-    assert {tasks for tasks, _ in passes} == {-(-rows.count() // 40)}
-    assert few == many
+    passes, one_level = [], boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda state, *a: passes.append((state.getNumPartitions(), one_level(state, *a))) or passes[-1][1])
+    assert boosting.fit(rows, models.FEATURES, 3, settings, folds) == few
+    assert all(1 < tasks <= -(-rows.count() // 40) for tasks, _ in passes)
+    assert all(len(found) <= folds * 3 << 3 for _, found in passes)  # one row a node comes back, not one a bin
 
 
 def test_draws_equal_the_hash_of_the_key(spark):
