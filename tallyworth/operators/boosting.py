@@ -4,8 +4,8 @@ Every round fits one tree a class to the gradients of the softmax loss, by gains
 bins, in blocks of numpy arrays that stay on the executors, and one pass a level sums the gradients by (model, class,
 node, feature, bin) for all open nodes, all classes and all models (the folds of a cross-validation) together. A shuffle
 brings the sums of a model and class together, and the task that has them picks the splits; only these come to the driver.
-Where no model has more rows than one task takes, the rows of a model lie in one task, which needs no other's sums: then a
-round is one pass.
+Where no model has more rows than one task takes, the rows of a model lie in one task, which needs no other's sums: then all
+rounds are one pass.
 
 Gradients are rounded to whole multiples of 2^-24 before they are summed. Sums of whole numbers do not depend on their
 order, so neither partitioning nor a lost executor changes a model.
@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import RDD, StorageLevel
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworth.functions.buckets import HASH_RANGE
@@ -34,8 +34,8 @@ LEAST_GAIN = 1e-6
 WRITTEN_ROUNDS = 8
 # Of percentile_approx, for the borders of the bins: exact up to so many rows, and off by so small a share beyond.
 _ACCURACY = 100_000
-# Rows that a task takes in a pass, and those of a block.
-TASK_ROWS, BLOCK_ROWS = 100_000, 50_000
+# Rows that a task takes in a pass, those of a block, and those that are worth a task of their own while blocks are made.
+TASK_ROWS, BLOCK_ROWS, PACKED_ROWS = 100_000, 50_000, 10_000
 _LEAF, _OPEN = -1, -2
 
 
@@ -77,6 +77,10 @@ def drawn_columns(settings: Boosting, round_: int, class_: int, columns: int) ->
     return sorted(order[: max(1, int(settings.columns_share * columns))])
 
 
+def _draw(settings: Boosting, round_: int, classes: int, columns: int) -> list[list[int]]:
+    return [drawn_columns(settings, round_, k, columns) for k in range(classes)]
+
+
 def bin_borders(rows: DataFrame, features: Sequence[str], models: int) -> list[list[list[float]]]:
     """The borders of the bins of each model and feature: its quantiles in steps of 1/256, ascending, each once."""
     at = F.array(*(F.lit(i / BINS) for i in range(1, BINS)))
@@ -195,20 +199,21 @@ _BLOCK = "rows int, model binary, label binary, bins binary, drawn binary"
 def _packed(parts: Iterable[pd.DataFrame], borders: list[list[np.ndarray]], settings: Boosting, by_model: bool) -> Iterator[pd.DataFrame]:
     """Blocks of binned rows, if asked for of one model each; a part has model, user (text), label and then the features."""
 
-    def block(rows: pd.DataFrame) -> tuple:
+    def block(rows: pd.DataFrame, drawn: np.ndarray) -> tuple:
         model = rows["model"].to_numpy(np.int16)
         bins = np.zeros((rows.shape[1] - 3, len(rows)), np.uint8)
         for m in np.unique(model):
             own = model == m
             for i in range(len(bins)):
                 bins[i, own] = np.searchsorted(borders[m][i], rows.iloc[:, 3 + i].to_numpy(np.float64)[own])
-        arrays = (model, rows["label"].to_numpy(np.int8), bins, _drawn(rows["user"], settings))
+        arrays = (model, rows["label"].to_numpy(np.int8), bins, drawn)
         return (len(rows), *(a.tobytes() for a in arrays))
 
     def blocks(held: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(held, ignore_index=True)
-        own = [x for _, x in rows.groupby("model")] if by_model else [rows]
-        return pd.DataFrame([block(x) for x in own], columns=["rows", "model", "label", "bins", "drawn"])
+        drawn = _drawn(rows["user"], settings)  # of all models at once, as they learn from the same users
+        own = rows.groupby("model").indices.values() if by_model else [np.arange(len(rows))]
+        return pd.DataFrame([block(rows.iloc[x], drawn[:, x]) for x in own], columns=["rows", "model", "label", "bins", "drawn"])
 
     held: list[pd.DataFrame] = []
     for part in parts:
@@ -235,16 +240,16 @@ def _raised(block: Block, forest: Forest, depth: int) -> Block:
 
 
 def _slopes(block: Block, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Model, bins and the rounded first and second derivatives by class, of the rows drawn for a round."""
-    model, label, bins, scores = block.model, block.label, block.bins, block.scores
+    """The rows drawn for a round, their bins and their rounded first and second derivatives by class."""
+    own, label, bins, scores = np.arange(len(block.label)), block.label, block.bins, block.scores
     if len(block.drawn):
         own = np.flatnonzero(block.drawn[round_ // 8] & (128 >> round_ % 8))
-        model, label, bins, scores = model[own], label[own], bins[:, own], scores[:, own]
+        label, bins, scores = label[own], bins[:, own], scores[:, own]
     e = np.exp(scores - scores.max(axis=0))
     share = e / sum(e)
     g = np.floor((share - (np.arange(len(scores))[:, None] == label)) * SCALE + 0.5)
     h = np.floor(2 * share * (1 - share) * SCALE + 0.5)
-    return model, bins, g, h
+    return own, bins, g, h
 
 
 def _sums(blocks: Iterable[Block], forest: Forest, drawn: list[list[int]], round_: int, level: int) -> Iterator[tuple[int, tuple]]:
@@ -255,7 +260,8 @@ def _sums(blocks: Iterable[Block], forest: Forest, drawn: list[list[int]], round
     places = [np.where(open_[:, k], np.cumsum(open_[:, k]).reshape(models, nodes) - 1, -1) for k in range(classes)]
     sums = [np.zeros((3, np.count_nonzero(open_[:, k]), len(drawn[k]), BINS)) for k in range(classes)]
     for block in blocks:
-        model, bins, *slopes = _slopes(block, round_)
+        rows, bins, *slopes = _slopes(block, round_)
+        model = block.model[rows]
         for k, total in enumerate(sums):
             if not total.size:
                 continue
@@ -285,13 +291,18 @@ def _splits(parts: Iterable[tuple[int, tuple]], drawn: list[list[int]], settings
         totals.setdefault(key, np.zeros((3, size), np.int64))[:, cells] += sums
     for key, total in totals.items():
         model, class_ = divmod(key, len(drawn))
-        cells = np.flatnonzero(total[2])
-        place, bin_ = np.divmod(cells, BINS)
-        node, i = np.divmod(place, len(drawn[class_]))
-        found = splits(node + (1 << level) - 1, np.array(drawn[class_])[i], bin_, total[:, cells], settings)
+        found = _picked(total, np.arange(1 << level) + (1 << level) - 1, drawn[class_], settings)
         yield from (((model, class_, node), split) for node, split in found.items())
 
 
+def _picked(total: np.ndarray, nodes: np.ndarray, columns: list[int], settings: Boosting) -> dict[int, tuple]:
+    """The splits of the nodes, from their sums (g, h, rows) by node, drawn feature and bin, one cell beside the other."""
+    cells = np.flatnonzero(total[2])
+    place, bin_ = np.divmod(cells, BINS)
+    at, i = np.divmod(place, len(columns))
+    return splits(nodes[at], np.array(columns)[i], bin_, total[:, cells], settings)
+
+
 def _level(state: RDD, trees: list[list[Tree]], drawn: list[list[int]], settings: Boosting, round_: int, level: int) -> list[tuple]:
     """One pass over the rows: the splits of all open nodes of a level."""
     sums = state.mapPartitions(partial(_sums, forest=Forest.of(trees), drawn=drawn, round_=round_, level=level))
@@ -301,16 +312,72 @@ def _level(state: RDD, trees: list[list[Tree]], drawn: list[list[int]], settings
     return sums.mapPartitions(partial(_splits, drawn=drawn, settings=settings, level=level)).collect()
 
 
-def _round(blocks: Iterable[Block], models: int, drawn: list[list[int]], settings: Boosting, round_: int) -> Iterator[tuple[int, list[Tree]]]:
-    """The trees of a round, by model, of the models whose rows are all in these blocks."""
+def _one_block(blocks: Sequence[Block]) -> Block:
+    """The rows of several blocks as one."""
+    return Block(*(np.concatenate([getattr(block, f.name) for block in blocks], axis=-1) for f in fields(Block)))
+
+
+def _whole(blocks: Iterable[Block], settings: Boosting) -> Iterator[tuple[int, list[list[Tree]]]]:
+    """The number of the model whose rows are all in these blocks, and its trees by round and class."""
     own = list(blocks)
-    trees = _seedlings(models, len(drawn), settings)
+    if not own:
+        return
+    block, rounds = _one_block(own), []
+    for round_ in range(settings.rounds):
+        drawn = _draw(settings, round_, len(block.scores), len(block.bins))
+        rows, bins, g, h = _slopes(block, round_)
+        trees = []
+        for k, columns in enumerate(drawn):
+            tree, leaves = _whole_tree(block.bins, rows, bins, (g[k], h[k]), columns, settings)
+            block.scores[k] += np.array(tree.values)[leaves]
+            trees.append(tree)
+        rounds.append(trees)
+    yield int(own[0].model[0]), rounds
+
+
+def _whole_tree(every: np.ndarray, rows: np.ndarray, bins: np.ndarray, slopes: tuple, columns: list[int], settings: Boosting) -> tuple[Tree, np.ndarray]:
+    """A tree grown from the drawn rows, with their bins and slopes, and the leaf of every row.
+
+    Of the two sides of a split only the one of fewer rows is summed: the other's sums are what is left of the node's, to
+    the last digit, as all are sums of whole numbers.
+    """
+    tree, at = Tree(settings.depth), np.zeros(every.shape[1], np.int64)
+    cells, places = np.ascontiguousarray(every).ravel(), np.arange(every.shape[1])
+    sums = _cell_sums(np.zeros(len(rows), np.int64), 1, bins, slopes, columns)
     for level in range(settings.depth):
-        sums = _sums(own, Forest.of(trees), drawn, round_, level)
-        for (model, class_, node), split in _splits(sums, drawn, settings, level):
-            _grown(trees[model][class_], node, level, split, settings)
-    for model in {int(m) for block in own for m in block.model[:1]}:
-        yield model, trees[model]
+        first = (1 << level) - 1
+        nodes = np.flatnonzero(np.array(tree.features[first : 2 * first + 1]) == _OPEN) + first
+        for node, split in _picked(sums.reshape(3, -1).astype(np.int64), nodes, columns, settings).items():
+            _grown(tree, node, level, split, settings)
+        features, borders = np.array(tree.features), np.array(tree.borders)
+        asked = features[at]
+        at = np.where(asked < 0, at, 2 * at + 1 + (cells[np.maximum(asked, 0) * len(at) + places] > borders[at]))
+        parents = np.flatnonzero(features[nodes] >= 0)  # their places among the nodes
+        if level + 1 == settings.depth or not len(parents):
+            break
+        low = np.full(len(features), -1)
+        low[2 * nodes[parents] + 1] = 2 * np.arange(len(parents))
+        low[2 * nodes[parents] + 2] = 2 * np.arange(len(parents)) + 1
+        side = low[at[rows]]  # 2 a parent's place, and 1 for the high side; below 0: in a leaf
+        sizes = np.bincount(side[side >= 0], minlength=2 * len(parents))
+        fewer = 2 * np.arange(len(parents)) + (sizes[1::2] < sizes[::2])
+        summed = np.flatnonzero((side >= 0) & (side == fewer[side >> 1]))
+        part = _cell_sums(side[summed] >> 1, len(parents), bins[:, summed], [x[summed] for x in slopes], columns)
+        rest = sums[:, parents] - part
+        sums = np.empty((3, 2 * len(parents), *part.shape[2:]))
+        sums[:, fewer], sums[:, fewer ^ 1] = part, rest
+    _closed([tree])
+    return tree, at
+
+
+def _cell_sums(place: np.ndarray, places: int, bins: np.ndarray, slopes: Sequence[np.ndarray], columns: list[int]) -> np.ndarray:
+    """The sums (g, h, rows) by place, drawn feature and bin."""
+    total, start = np.zeros((3, places, len(columns), BINS)), place * BINS
+    for i, feature in enumerate(columns):
+        cell = start + bins[feature]
+        for summed, x in zip(total, (*slopes, None)):
+            summed[:, i] = np.bincount(cell, x, places * BINS).reshape(-1, BINS)
+    return total
 
 
 def _binned(rows: DataFrame, features: Sequence[str], borders: list[list[list[float]]], settings: Boosting) -> tuple[DataFrame, str, bool]:
@@ -318,11 +385,12 @@ def _binned(rows: DataFrame, features: Sequence[str], borders: list[list[list[fl
     none of which has more rows than a task takes. Rows without a user are never drawn."""
     counts = [r["count"] for r in rows.groupBy("model").count().collect()]
     alone, tasks = max(counts, default=0) <= TASK_ROWS, max(1, -(-sum(counts) // TASK_ROWS))
+    packing = max(tasks, min(rows.sparkSession.sparkContext.defaultParallelism, sum(counts) // PACKED_ROWS))
     numbers = (F.col(f"`{name}`").cast("double").alias(f"x{i}") for i, name in enumerate(features))
     plain = rows.where("user IS NOT NULL").select("model", F.col("user").cast("string").alias("user"), F.col("label").cast("int").alias("label"), *numbers)
     edges = [[np.array(x, np.float64) for x in own] for own in borders]
     pack = partial(_packed, borders=edges, settings=settings, by_model=alone)
-    state, path = written_at(plain.repartition(tasks, "user").mapInPandas(pack, _BLOCK), "boosting-rows")
+    state, path = written_at(plain.repartition(packing, "user").mapInPandas(pack, _BLOCK), "boosting-rows")
     return state.coalesce(tasks), path, alone
 
 
@@ -330,6 +398,12 @@ def _seedlings(models: int, classes: int, settings: Boosting) -> list[list[Tree]
     return [[Tree(settings.depth) for _ in range(classes)] for _ in range(models)]
 
 
+def _closed(trees: list[Tree]) -> None:
+    """Nodes left open become leaves."""
+    for tree in trees:
+        tree.features = [max(f, _LEAF) for f in tree.features]
+
+
 def _held(state: RDD) -> RDD:
     return state.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -345,18 +419,32 @@ def fit(rows: DataFrame, features: Sequence[str], classes: int, settings: Boosti
     borders = bin_borders(rows, features, models)
     binned, path, alone = _binned(rows, features, borders, settings)
     blocks = binned.rdd.map(partial(_unpacked, classes=classes))
-    if alone and models > 1:  # all blocks of a model into the task of its number
-        blocks = blocks.map(lambda block: (int(block.model[0]), block)).partitionBy(models, int).values()
+    if alone:
+        if models > 1:  # all blocks of a model into the task of its number
+            blocks = blocks.map(lambda block: (int(block.model[0]), block)).partitionBy(models, int).values()
+        found = dict(blocks.mapPartitions(partial(_whole, settings=settings)).collect())
+        discard(spark, path)
+        every = [found.get(m) or _rootlings(classes, settings) for m in range(models)]
+    else:
+        every = _by_level(blocks, path, models, classes, len(features), settings, spark)
+    return [[[_nodes(t, borders[m], features) for t in own] for own in rounds] for m, rounds in enumerate(every)]
+
+
+def _rootlings(classes: int, settings: Boosting) -> list[list[Tree]]:
+    """The trees of a model without rows."""
+    rounds = [_seedlings(1, classes, settings)[0] for _ in range(settings.rounds)]
+    for own in rounds:
+        _closed(own)
+    return rounds
+
+
+def _by_level(blocks: RDD, path: str, models: int, classes: int, columns: int, settings: Boosting, spark: SparkSession) -> list[list[list[Tree]]]:
+    """The trees by model, round and class, a pass a level; the table of the blocks, at `path`, is dropped."""
     state, before = _held(blocks), None
     every: list[list[list[Tree]]] = [[] for _ in range(models)]
     for round_ in range(settings.rounds):
-        trees = _seedlings(models, classes, settings)
-        drawn = [drawn_columns(settings, round_, k, len(features)) for k in range(classes)]
-        if alone:
-            grow = partial(_round, models=models, drawn=drawn, settings=settings, round_=round_)
-            for model, own_trees in state.mapPartitions(grow).collect():
-                trees[model] = own_trees
-        for level in range(0 if alone else settings.depth):
+        trees, drawn = _seedlings(models, classes, settings), _draw(settings, round_, classes, columns)
+        for level in range(settings.depth):
             if not any(_OPEN in t.features for m in trees for t in m):
                 break
             for (model, class_, node), split in _level(state, trees, drawn, settings, round_, level):
@@ -368,16 +456,15 @@ def fit(rows: DataFrame, features: Sequence[str], classes: int, settings: Boosti
                 discard(spark, path)
                 path = state.getCheckpointFile()
         for m, own_trees in enumerate(trees):
+            _closed(own_trees)
             every[m].append(own_trees)
-            for tree in own_trees:
-                tree.features = [max(f, _LEAF) for f in tree.features]
         if round_ + 1 < settings.rounds:
             before, state = state, _held(state.map(partial(_raised, forest=Forest.of(trees), depth=settings.depth)))
             if (round_ + 1) % WRITTEN_ROUNDS == 0:
                 state.checkpoint()
     state.unpersist()
     discard(spark, path)
-    return [[[_nodes(t, borders[m], features) for t in own] for own in rounds] for m, rounds in enumerate(every)]
+    return every
 
 
 def _nodes(tree: Tree, borders: list[list[float]], features: Sequence[str]) -> list[dict]:

@@ -249,6 +249,27 @@ def test_a_round_of_few_rows_is_one_job_and_equals_passes_by_level(spark, frame,
     assert all(len(found) <= folds * 3 << 3 for _, found in passes)  # one row a node comes back, not one a bin
 
 
+@pytest.mark.parametrize("folds", [1, 3])
+def test_more_rounds_of_few_rows_take_no_more_jobs(spark, frame, folds):
+    own = F.array(*(F.lit(i) for i in range(folds)))
+    rows = materialise(models.trainable(frame).withColumn("model", F.explode(own)), "rows")
+    taken = [jobs(spark, lambda n=n: boosting.fit(rows, models.FEATURES, 3, boosting.Boosting(3, 0.4, n, 0.7), folds))[1] for n in (1, 12)]
+    assert taken[0] == taken[1]
+
+
+def test_a_user_is_hashed_once_for_all_models(monkeypatch):
+    settings, hashed, one = boosting.Boosting(2, 0.1, 2, rows_share=0.5), [], boosting._drawn
+    monkeypatch.setattr(boosting, "_drawn", lambda users, s: hashed.append(users.nunique()) or one(users, s))
+    rows = pd.DataFrame({"model": [0, 1, 2] * 40, "user": [str(i // 3) for i in range(120)], "label": 0, "x0": np.arange(120.0)})
+    borders = [[np.array([30.0, 60.0])]] * 3
+    (packed,) = boosting._packed([rows], borders, settings, True)
+    assert hashed == [40] and packed["rows"].tolist() == [40, 40, 40]
+    for i, block in packed.iterrows():
+        own = rows[rows["model"] == i]
+        assert block["drawn"] == one(own["user"], settings).tobytes()
+        assert block["bins"] == np.searchsorted(borders[i][0], own["x0"]).astype(np.uint8).tobytes()
+
+
 def test_draws_equal_the_hash_of_the_key(spark):
     users = spark.range(500).selectExpr("id AS user")
     settings = boosting.Boosting(2, 0.1, 11, rows_share=0.3)
