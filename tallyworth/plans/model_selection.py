@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyworth.operators.boosting import Boosting
 from tallyworth.operators.metrics import METRICS, confusion, weighted_metrics
 from tallyworth.operators.models import (
+    FEATURES,
     PLAIN,
     TUNED,
     BoostedModel,
@@ -92,11 +93,14 @@ def default_candidates(plain: Boosting = PLAIN, tuned: Boosting = TUNED) -> dict
 
 
 def compare_models(models: Mapping[str, Model], test: DataFrame) -> DataFrame:
-    """The four metrics of each model on the same rows."""
-    cells = [
-        confusion(predict(model, test).withColumn("model", F.lit(name)), by=["model"]) for name, model in models.items()
-    ]
-    return weighted_metrics(_union(cells), ["model"])
+    """The four metrics of each model on the same rows, which are read once and scored by all models in one pass."""
+    scored = test.select("label", *(f"`{c}`" for c in FEATURES))
+    for i, model in enumerate(models.values()):
+        scored = predict(model, scored).withColumnRenamed("prediction", f"_by_{i}")
+    found = (F.struct(F.lit(name).alias("model"), F.col(f"_by_{i}").alias("prediction")) for i, name in enumerate(models))
+    rows = scored.select("label", F.inline(F.array(*found)))
+    # A few cells a model, written as the metrics read them twice.
+    return weighted_metrics(materialise(confusion(rows, by=["model"]), "cells"), ["model"])
 
 
 def search_models(

@@ -136,6 +136,20 @@ def test_search_ranks_and_returns_the_leader(frame):
         ms.search_models(frame, {str(i): models.tree(1) for i in range(11)})
 
 
+def test_candidates_are_compared_in_one_pass(frame, monkeypatch):
+    test = materialise(frame.withColumn("recency", F.when(F.col("user") % 10 != 0, F.col("recency"))), "holes")
+    fitted = {"tree": models.tree(3)(frame), "boosted": models.boosted(models.Boosting(2, 0.3, 1))(frame), "stump": models.tree(1)(frame)}
+    written, one = [], ms.materialise
+    monkeypatch.setattr(ms, "materialise", lambda df, label: written.append(df) or one(df, label))
+    found = {r["model"]: r for r in ms.compare_models(fitted, test).collect()}
+    (cells,) = written
+    assert cells._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert set(found) == set(fitted)
+    for name, model in fitted.items():
+        alone = metrics.weighted_metrics(metrics.confusion(ms.predict(model, test))).first()
+        assert all(found[name][m] == pytest.approx(alone[m]) for m in (*metrics.METRICS, "unscored_rows"))
+
+
 def test_search_nests_boosted_candidates(frame):
     small = models.Boosting(2, 0.5, 2)
     candidates = {f"boosted_{i}": models.boosted(small) for i in range(3)} | {"tree": models.tree(3)}
