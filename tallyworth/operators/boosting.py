@@ -5,7 +5,7 @@ bins, in blocks of numpy arrays that stay on the executors, and one pass a level
 node, feature, bin) for all open nodes, all classes and all models (the folds of a cross-validation) together. A shuffle
 brings the sums of a model and class together, and the task that has them picks the splits; only these come to the driver.
 Where no model has more rows than one task takes, the rows of a model lie in one task, which needs no other's sums: then all
-rounds are one pass.
+rounds are one pass. Several models that keep the cores busy by themselves may have more rows each, up to a fixed number.
 
 Gradients are rounded to whole multiples of 2^-24 before they are summed. Sums of whole numbers do not depend on their
 order, so neither partitioning nor a lost executor changes a model.
@@ -36,6 +36,8 @@ WRITTEN_ROUNDS = 8
 _ACCURACY = 100_000
 # Rows that a task takes in a pass, those of a block, and those that are worth a task of their own while blocks are made.
 TASK_ROWS, BLOCK_ROWS, PACKED_ROWS = 100_000, 50_000, 10_000
+# Rows of a model that one task takes at most where several models keep more than half of the cores busy.
+MODEL_ROWS = 1_000_000
 _LEAF, _OPEN = -1, -2
 
 
@@ -381,11 +383,12 @@ def _cell_sums(place: np.ndarray, places: int, bins: np.ndarray, slopes: Sequenc
 
 
 def _binned(rows: DataFrame, features: Sequence[str], borders: list[list[list[float]]], settings: Boosting) -> tuple[DataFrame, str, bool]:
-    """The rows as a written table of blocks, in as many parts as a pass takes tasks, its path, and whether blocks are of one model each,
-    none of which has more rows than a task takes. Rows without a user are never drawn."""
+    """The rows as a written table of blocks, in at most as many parts as a pass takes tasks, its path, and whether blocks are of one
+    model each, none of which has more rows than a task takes. Rows without a user are never drawn."""
     counts = [r["count"] for r in rows.groupBy("model").count().collect()]
-    alone, tasks = max(counts, default=0) <= TASK_ROWS, max(1, -(-sum(counts) // TASK_ROWS))
-    packing = max(tasks, min(rows.sparkSession.sparkContext.defaultParallelism, sum(counts) // PACKED_ROWS))
+    most, tasks, cores = max(counts, default=0), max(1, -(-sum(counts) // TASK_ROWS)), rows.sparkSession.sparkContext.defaultParallelism
+    alone = most <= TASK_ROWS or most <= MODEL_ROWS and len(counts) > 1 and 2 * len(counts) > cores
+    packing = max(tasks, min(cores, sum(counts) // PACKED_ROWS))
     numbers = (F.col(f"`{name}`").cast("double").alias(f"x{i}") for i, name in enumerate(features))
     plain = rows.where("user IS NOT NULL").select("model", F.col("user").cast("string").alias("user"), F.col("label").cast("int").alias("label"), *numbers)
     edges = [[np.array(x, np.float64) for x in own] for own in borders]

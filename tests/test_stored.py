@@ -257,6 +257,19 @@ def test_more_rounds_of_few_rows_take_no_more_jobs(spark, frame, folds):
     assert taken[0] == taken[1]
 
 
+def test_several_larger_models_keep_a_task_each_up_to_a_bound(spark, frame, monkeypatch):
+    folds = spark.sparkContext.defaultParallelism
+    rows = models.trainable(frame).withColumn("model", F.explode(F.array(*(F.lit(i) for i in range(folds)))))
+    rows = materialise(rows.where((F.col("user") % folds != F.col("model"))), "rows")
+    monkeypatch.setattr(boosting, "TASK_ROWS", 40)
+    passes, one_level, found = [], boosting._level, []
+    monkeypatch.setattr(boosting, "_level", lambda *a: passes.append(1) or one_level(*a))
+    for bound in (1_000, 50):  # the second is less than a model has
+        monkeypatch.setattr(boosting, "MODEL_ROWS", bound)
+        found.append((boosting.fit(rows, models.FEATURES, 3, boosting.Boosting(3, 0.4, 3, 0.7), folds), len(passes)))
+    assert found[0][0] == found[1][0] and found[0][1] == 0 < found[1][1]
+
+
 def test_a_user_is_hashed_once_for_all_models(monkeypatch):
     settings, hashed, one = boosting.Boosting(2, 0.1, 2, rows_share=0.5), [], boosting._drawn
     monkeypatch.setattr(boosting, "_drawn", lambda users, s: hashed.append(users.nunique()) or one(users, s))
