@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import cached_property, reduce
 from multiprocessing.pool import ThreadPool
@@ -14,7 +15,8 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +44,13 @@ Trainer = Callable[[DataFrame], Model]
 TUNED = Boosting(6, 1.3405182654493213, 56, 0.6114907939145026, 0.6510163553874492, 18, 280790652)
 PLAIN = Boosting(5, 0.1, 100)
 
-# Rows on which a deep tree is fitted at most: its nodes live on the driver, and there may be one for each row.
-TREE_ROWS = 1_000_000
+# Thresholds of a tree: quantiles of each measure in steps of 1/TREE_BINS, MLlib's own number. As many values of three measures and
+# a few clusters bound the nodes, which live on the driver, whatever the rows are.
+TREE_BINS = 32
+# Of percentile_approx: exact up to so many rows, and off by so small a share beyond.
+_ACCURACY = 100_000
+# Up to the square of this number MLlib looks at all rows for its thresholds; a larger one overflows there.
+_MOST_BINS = 46_340
 _PARTS = 1 << 20
 
 
@@ -76,6 +83,36 @@ def _pipeline(classifier: type, **params) -> Trainer:
     return lambda train: Pipeline(stages=[*_preparation(), classifier(**params)]).fit(trainable(train))
 
 
+def _splits(rows: DataFrame) -> list[list[float]]:
+    """Of each measure, where the bins begin: just above its quantiles, so that a bin ends with the quantile itself."""
+    at = F.array(*(F.lit(i / TREE_BINS) for i in range(1, TREE_BINS)))
+    found = rows.agg(*(F.percentile_approx(F.col(m).cast("double"), at, F.lit(_ACCURACY)).alias(m) for m in MEASURES)).first()
+    return [[-math.inf, *sorted({math.nextafter(x, math.inf) for x in found[m] or [0.0]}), math.inf] for m in MEASURES]
+
+
+def _binned_pipeline(classifier: type, **params) -> Trainer:
+    """As `_pipeline`, for trees: the measures come in bins, and thresholds are taken from all rows.
+
+    MLlib looks for thresholds in a sample of maxBins squared rows, 10,000 at least. With few values a column and maxBins as
+    high as the root of the rows it looks at all of them, and has as many bins as there are values.
+    """
+
+    def fit(train: DataFrame) -> Model:
+        rows = trainable(train)
+        count = rows.count()
+        if count > _MOST_BINS**2:
+            raise ValueError(f"trees are fitted on at most {_MOST_BINS**2} rows, not on {count}")
+        binned = [f"binned_{m}" for m in MEASURES]
+        bins = Bucketizer(splitsArray=_splits(rows), inputCols=list(MEASURES), outputCols=binned, handleInvalid="keep")
+        together = VectorAssembler(inputCols=binned, outputCol="bins", handleInvalid="keep")
+        numbers = ElementwiseProduct(inputCol="bins", outputCol="numbers", scalingVec=Vectors.dense([1.0] * len(binned)))  # bins in order, no longer mere names
+        gathered = VectorAssembler(inputCols=["numbers", *CLUSTERS, *FLAGS], outputCol="features", handleInvalid="keep")
+        most = max(TREE_BINS, math.isqrt(max(count - 1, 0)) + 1)
+        return Pipeline(stages=[bins, together, numbers, gathered, classifier(maxBins=most, **params)]).fit(rows)
+
+    return fit
+
+
 def _bounded(train: DataFrame, most_rows: int) -> DataFrame:
     """All rows, or a sample by the user's hash of about `most_rows` where there are more."""
     rows = train.count()
@@ -95,10 +132,10 @@ def logistic(regularisation: float | None = None, max_iter: int = 100) -> Traine
     return fit
 
 
-def tree(depth: int = 30, seed: int = 42, most_rows: int = TREE_ROWS) -> Trainer:
-    """A single tree, fitted on at most `most_rows` rows."""
-    fit = _pipeline(DecisionTreeClassifier, impurity="gini", maxDepth=depth, seed=seed)
-    return lambda train: fit(_bounded(train, most_rows))
+def tree(depth: int = 30, seed: int = 42, most_rows: int | None = None) -> Trainer:
+    """A single tree, fitted on all rows, or on at most `most_rows` for a caller that asks for a sample."""
+    fit = _binned_pipeline(DecisionTreeClassifier, impurity="gini", maxDepth=depth, seed=seed)
+    return fit if most_rows is None else lambda train: fit(_bounded(train, most_rows))
 
 
 def forest(trees: int = 50, depth: int = 10, seed: int = 42) -> Trainer:

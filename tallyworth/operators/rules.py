@@ -9,11 +9,13 @@ can score from the table alone.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,9 +118,13 @@ def of_boosted(trees: Sequence[Sequence[Sequence[dict]]], features: Sequence[str
 
 
 def of_pipeline(model: PipelineModel) -> Rules:
-    """Rules of a fitted pipeline of assembler, scaler, assembler and a linear or tree classifier."""
-    measured, scaler, gathered, classifier = model.stages
-    inputs = [(name, float(m), 1.0 / float(s) if s else 0.0) for name, m, s in zip(measured.getInputCols(), scaler.mean, scaler.std)]
+    """Rules of a fitted pipeline: measures, scaled or in bins, an assembler and a linear or tree classifier."""
+    first, *_, gathered, classifier = model.stages
+    if isinstance(first, Bucketizer):
+        splits, inputs = first.getSplitsArray(), [(name, 0.0, 1.0) for name in first.getInputCols()]
+    else:
+        splits, scaler = [], model.stages[1]
+        inputs = [(name, float(m), 1.0 / float(s) if s else 0.0) for name, m, s in zip(first.getInputCols(), scaler.mean, scaler.std)]
     inputs += [(name, 0.0, 1.0) for name in gathered.getInputCols()[1:]]
     classes = classifier.numClasses
     if isinstance(classifier, LogisticRegressionModel):
@@ -137,6 +143,8 @@ def of_pipeline(model: PipelineModel) -> Rules:
         values = tuple(v / total if total else 0.0 for v in r["impurityStats"]) if leaf else ()
         asked = -1 if leaf else r["split"]["featureIndex"]
         threshold = 0.0 if leaf else r["split"]["leftCategoriesOrThreshold"][0]
+        if 0 <= asked < len(splits):  # up to the bin of this number: up to the last value before the next one begins
+            threshold = math.nextafter(splits[asked][math.floor(threshold) + 1], -math.inf)
         by_tree.setdefault(r["treeID"], {})[r["id"]] = Node(asked, threshold, max(0, r["leftChild"]), max(0, r["rightChild"]), values)
     discard(spark, path)
     return Rules(classes, tuple(inputs), tuple(tuple(own[i] for i in range(len(own))) for _, own in sorted(by_tree.items())))

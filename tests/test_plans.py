@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,30 @@ def test_a_tree_is_fitted_on_a_bounded_sample(frame):
     assert ms.predict(model, frame).count() == frame.count()
 
 
+def _one_of_its_kind(spark, rows):
+    """Rows of class 0 with a constant measure, but for one of class 1, which alone has another score and revenue."""
+    alone = F.col("id") == rows // 3
+    numbers = [F.lit(1.0).alias(c) for c in models.FEATURES if c not in ("revenue", "overall_score")]
+    return spark.range(rows).select(
+        F.col("id").alias("user"), alone.cast("double").alias("label"), (F.col("id") % 7 + F.when(alone, 50).otherwise(0)).cast("double").alias("revenue"),
+        alone.cast("double").alias("overall_score"), *numbers,
+    )
+
+
+def test_a_tree_learns_from_every_row(spark):
+    rows = materialise(_one_of_its_kind(spark, 1_100_000), "one-of-its-kind")
+    scored = ms.predict(models.tree(2)(rows), rows)
+    assert scored.filter("label <> prediction").isEmpty()
+
+
+def test_bins_end_with_a_quantile_of_all_rows(spark, frame):
+    rows = models.trainable(frame)
+    for measure, found in zip(models.MEASURES, models._splits(rows)):
+        values = sorted(r[0] for r in rows.select(F.col(f"`{measure}`").cast("double")).collect())
+        quantiles = {values[max(0, math.ceil(i * len(values) / models.TREE_BINS) - 1)] for i in range(1, models.TREE_BINS)}
+        assert found == [-math.inf, *sorted(math.nextafter(x, math.inf) for x in quantiles), math.inf]
+
+
 def test_no_transactions_and_no_window(spark, folder):
     raw = proxies.transactions(spark, folder)
     nothing = cs.segment_customers(raw.limit(0))
