@@ -139,7 +139,8 @@ def tree(depth: int = 30, seed: int = 42, most_rows: int | None = None) -> Train
 
 
 def forest(trees: int = 50, depth: int = 10, seed: int = 42) -> Trainer:
-    return _pipeline(RandomForestClassifier, numTrees=trees, maxDepth=depth, seed=seed)
+    """A random forest on all rows: each tree draws them anew, with repeats; thresholds are those of all rows."""
+    return _binned_pipeline(RandomForestClassifier, numTrees=trees, maxDepth=depth, seed=seed)
 
 
 class BoostedModel:

@@ -171,9 +171,9 @@ def test_a_tree_is_fitted_on_a_bounded_sample(frame):
     assert ms.predict(model, frame).count() == frame.count()
 
 
-def _one_of_its_kind(spark, rows):
-    """Rows of class 0 with a constant measure, but for one of class 1, which alone has another score and revenue."""
-    alone = F.col("id") == rows // 3
+def _few_of_their_kind(spark, rows, few):
+    """Rows of class 0 with constant features, but for a few of class 1, which alone have another score and revenue."""
+    alone = F.col("id") < few
     numbers = [F.lit(1.0).alias(c) for c in models.FEATURES if c not in ("revenue", "overall_score")]
     return spark.range(rows).select(
         F.col("id").alias("user"), alone.cast("double").alias("label"), (F.col("id") % 7 + F.when(alone, 50).otherwise(0)).cast("double").alias("revenue"),
@@ -182,11 +182,19 @@ def _one_of_its_kind(spark, rows):
 
 
 def test_a_tree_learns_from_every_row(spark):
-    rows = materialise(_one_of_its_kind(spark, 1_100_000), "one-of-its-kind")
+    rows = materialise(_few_of_their_kind(spark, 1_100_000, 1), "one-of-its-kind")
     scored = ms.predict(models.tree(2)(rows), rows)
     assert scored.filter("label <> prediction").isEmpty()
 
 
+def test_candidates_of_trees_take_thresholds_from_every_row(spark):
+    rows = materialise(_few_of_their_kind(spark, 1_100_000, 5), "few-of-their-kind")
+    trainers = {"forest": models.forest(10, 3), "tree_5": ms.default_candidates()["tree_5"]}
+    for trainer in trainers.values():
+        asked = {(node.feature, node.threshold) for tree in models.rules_of(trainer(rows)).trees for node in tree if node.feature >= 0}
+        assert asked & {(models.FEATURES.index("overall_score"), 0.5), (models.FEATURES.index("revenue"), 6.0)}
+
+
 def test_bins_end_with_a_quantile_of_all_rows(spark, frame):
     rows = models.trainable(frame)
     for measure, found in zip(models.MEASURES, models._splits(rows)):
