@@ -12,7 +12,7 @@
 4. The covered ranges of each document are merged and cut out.
 
 An anchor in more than HOT different contexts (the border of a passage in very many texts) is split by its windows, so
-that its suffixes spread over all tasks.
+that its suffixes spread over all tasks; such windows travel, like contexts, as two hashes.
 """
 
 from __future__ import annotations
@@ -138,8 +138,26 @@ def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
+def with_equals(contexts: np.ndarray, length: int) -> np.ndarray:
+    """The contexts but for those of which every window has a hash of its own: a window without its equal needs no rank."""
+    text, windows = contexts["text"], contexts["text"].shape[1] - length + 1
+    up, down = powers(text.shape[1])
+    sums = np.zeros((len(contexts), text.shape[1] + 1), dtype=np.uint64)
+    np.cumsum(_VALUES[0][text] * up, axis=1, out=sums[:, 1:])
+    inside = np.arange(windows) <= contexts["span"][:, None]
+    owner = np.nonzero(inside)[0]
+    hashes = mixed(((sums[:, length:] - sums[:, :windows]) * down[:windows])[inside])
+    order = np.argsort(hashes)
+    equal = hashes[order][1:] == hashes[order][:-1]
+    several = np.zeros(len(contexts), dtype=bool)
+    several[owner[order[1:][equal]]] = several[owner[order[:-1][equal]]] = True
+    return contexts[several]
+
+
 def covered_windows(contexts: np.ndarray, length: int) -> np.ndarray:
     """Ranges of the windows of the contexts whose longest previous factor reaches `length`."""
+    if len(contexts) > 1:
+        contexts = with_equals(contexts, length)
     if len(contexts) < 2:
         return np.zeros(0, dtype=CUT)
     size = contexts["text"].shape[1]
@@ -253,7 +271,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read_contexts(length: int, buckets: int):
-    """The contexts that are asked for, with their bytes; hot ones window by window."""
+    """The contexts that are asked for, with their bytes; hot ones window by window, as hashes."""
     kind = context_type(length)
     room = 2 * length - GRAM
 
@@ -267,13 +285,9 @@ def _read_contexts(length: int, buckets: int):
                 rows += _dealt(_CONTEXTS, all_, all_["key"], buckets)
             if windows:
                 # Copies of a window within the task are settled here.
-                all_ = np.concatenate(windows)
-                all_ = all_[np.lexsort((all_["at"], all_["doc"]))]
-                _, first = np.unique(np.ascontiguousarray(all_["text"]).view(f"V{room}").ravel(), return_index=True)
-                later = np.ones(len(all_), dtype=bool)
-                later[first] = False
-                cuts = merged(cuts_of(all_[later], length))
-                rows += _dealt(_CONTEXTS, all_[first], all_["key"][first], buckets) + _dealt(_CUTS, cuts, cuts["doc"], buckets)
+                firsts, cuts = split_copies(np.concatenate(windows), length)
+                cuts = merged(cuts)
+                rows += _dealt(_ANCHORS, firsts, firsts["key"], buckets) + _dealt(_CUTS, cuts, cuts["doc"], buckets)
             return _batch(rows)
 
         for batch in batches:
@@ -282,29 +296,20 @@ def _read_contexts(length: int, buckets: int):
                 text = np.concatenate((raw[offsets[i] : offsets[i + 1]], np.zeros(room, dtype=np.uint8)))
                 asks = np.frombuffer(blob, dtype=ASK)
                 asks = asks[asks["at"].astype(np.int64) + asks["span"] + length <= offsets[i + 1] - offsets[i]]
-                for hot in (0, 1):
-                    own = asks[asks["hot"] == hot]
+                own, hot = asks[asks["hot"] == 0], asks[asks["hot"] == 1]
+                if len(own):
                     at, span = own["at"].astype(np.int64), own["span"].astype(np.int64)
-                    if hot:
-                        each = np.repeat(np.arange(len(own)), span + 1)
-                        at = at[each] + np.arange(len(each)) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)
-                        span = np.zeros(len(at), dtype=np.int64)
-                    if not len(at):
-                        continue
                     out = np.zeros(len(at), dtype=kind)
                     inside = np.arange(room)
                     content = text[at[:, None] + inside]
                     content[inside >= (span + length)[:, None]] = 0
-                    out["doc"], out["at"], out["span"], out["text"] = doc, at, span, content
-                    if hot:
-                        weights = powers(room)[0]
-                        out["key"] = mixed((_VALUES[1][content] * weights).sum(axis=1, dtype=np.uint64))
-                        windows.append(out)
-                    else:
-                        out["key"] = own["key"]
-                        plain.append(out)
-                    size += len(out)
-                if size > HANDED_ON // 8:
+                    out["doc"], out["at"], out["span"], out["text"], out["key"] = doc, at, span, content, own["key"]
+                    plain.append(out)
+                    size += out.nbytes
+                if len(hot):
+                    windows.append(_windows(text, doc, hot, length))
+                    size += windows[-1].nbytes
+                if size > HANDED_ON // 8 * kind.itemsize:
                     yield hand_on()
                     plain, windows, size = [], [], 0
         if size:
@@ -313,10 +318,25 @@ def _read_contexts(length: int, buckets: int):
     return run
 
 
+def _windows(text: np.ndarray, doc: int, asks: np.ndarray, length: int) -> np.ndarray:
+    """Every window of the contexts of a text as one of no span, known by two hashes of its bytes."""
+    count = asks["span"].astype(np.int64) + 1
+    at = np.repeat(asks["at"].astype(np.int64), count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    first, last = int(at.min()), int(at.max()) + length
+    up, down = powers(last - first)
+    out = np.zeros(len(at), dtype=ANCHOR)
+    for name, values in zip(("key", "same"), _VALUES):
+        sums = np.zeros(last - first + 1, dtype=np.uint64)
+        np.cumsum(values[text[first:last]] * up, out=sums[1:])
+        out[name] = mixed((sums[at + length - first] - sums[at - first]) * down[at - first])
+    out["doc"], out["at"] = doc, at
+    return out
+
+
 def _sort_suffixes(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _gathered(batches, {_CONTEXTS: context_type(length), _CUTS: CUT})
-        cuts = [found[_CUTS]]
+        found = _gathered(batches, {_CONTEXTS: context_type(length), _ANCHORS: ANCHOR, _CUTS: CUT})
+        cuts = [found[_CUTS], split_copies(found[_ANCHORS], length)[1]]
         contexts = found[_CONTEXTS]
         order = np.argsort(contexts["key"], kind="stable")
         keys = contexts["key"][order]

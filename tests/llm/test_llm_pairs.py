@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import edges
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,6 +186,28 @@ def test_repeats_of_planted_passages(spark, length, hot):
     assert got_left(docs, length, hot) == expected_left(rows, length)
 
 
+def test_windows_of_hot_contexts_travel_as_hashes():
+    texts = [edges.words(i, 9) * 3 + edges.words(9, 60)[:300] for i in range(4)]
+    asks = np.array([(i, 7, at, 60, 1) for i in range(4) for at in (0, 70)], dtype=repeats.ASK)
+    columns = [pa.array(range(4)), pa.array([t.encode() for t in texts]), pa.array([asks[asks["doc"] == i].tobytes() for i in range(4)])]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "asks"])
+    (out,) = repeats._read_contexts(100, 3)(iter([batch]))
+    sent = [np.frombuffer(b, repeats.ANCHOR) for k, b in zip(out.column("kind").to_pylist(), out.column("blob").to_pylist()) if k == repeats._ANCHORS]
+    found = np.concatenate(sent)
+    windows = {(int(a["doc"]), int(a["at"]) + i) for a in asks for i in range(61)}
+    assert len(set(zip(found["key"].tolist(), found["same"].tolist()))) == len({texts[d].encode()[at : at + 100] for d, at in windows}) == len(found)
+    assert repeats._CONTEXTS not in out.column("kind").to_pylist()
+
+
+def test_only_contexts_with_an_equal_window_are_ranked():
+    rng = np.random.default_rng(5)
+    contexts = np.zeros(50, dtype=repeats.context_type(100))
+    contexts["text"], contexts["span"], contexts["doc"] = rng.integers(1, 255, contexts["text"].shape), 30, np.arange(50)
+    contexts["text"][7, 5:115] = contexts["text"][33, 20:130]
+    assert repeats.with_equals(contexts, 100)["doc"].tolist() == [7, 33]
+    assert set(map(tuple, repeats.covered_windows(contexts, 100).tolist())) == {(33, 20, 130)}
+
+
 def test_repeats_on_edge_rows(spark):
     docs = edges.documents(spark)
     rows = [(i, t) for i, t, _, _ in edges.texts() if i is not None]
