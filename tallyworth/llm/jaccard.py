@@ -6,8 +6,7 @@
    smallest of another set stay in question.
 3. Partition. The universe of hashes is cut into so many slices that two sets that link must agree in a whole slice
    (or in two thirds of one) of their size class. Sets that agree there form a group. Agreement in almost empty
-   slices says little, so there the sets carry a bit map, every group keeps the union of its members' maps, and a set
-   enters only groups whose union can hold enough of its shingles.
+   slices says little, so there the sets carry a bit map, and two of them stay together only if their maps allow a link.
 4. The groups that touch become candidate components. Inside one, documents are put into small groups by their smallest
    hash; a matrix of tokens by groups gives, for each document, a bound of its overlap with every group; only groups
    that can reach the threshold are opened, and their members compared exactly.
@@ -36,7 +35,8 @@ CLASS_RATIO, WEAK = 1.5, 1
 OPEN, GROUP, HANDED_ON = 1_000_000, 32, 500_000
 # Cells of a matrix of tokens by sets up to which it is held as numbers.
 CELLS = 6_000_000
-LEAST_MAP, MOST_MAP = 256, 2048
+# Bits of a map: two for three hashes tell sets apart that have nothing in common.
+LEAST_MAP, MOST_MAP = 256, 16384
 
 _SETS, _HITS, _PREFIX, _STRONG, _FEEBLE = 0, 1, 2, 3, 4
 SET = np.dtype([("doc", "<i8"), ("known", "u1"), ("n", "<i8"), ("d1", "<u8"), ("d2", "<u8")])
@@ -186,7 +186,7 @@ def _classes(size: int, num: int, den: int) -> Iterator[int]:
 
 def _map_bits(size_class: int) -> int:
     bits = LEAST_MAP
-    while bits < _bounds()[size_class + 1] and bits < MOST_MAP:
+    while 3 * bits < 2 * _bounds()[size_class + 1] and bits < MOST_MAP:
         bits *= 2
     return bits
 
@@ -283,28 +283,37 @@ def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return leader[other], docs[other]
 
 
-def group_by_unions(maps: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A group number per set: sets that could link share one.
+def group_by_maps(maps: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A group number per set: sets that a chain of pairs joins, each of which could link, share one.
 
-    Every group keeps the union of its members' maps. A set misses at least as many hashes from a group as its map has
-    bits outside the union; it enters all groups, now one, from which it does not miss too many.
+    Of two sets that link, each misses so few hashes from the other as their sizes allow; it misses at least as many as
+    its map has bits outside the other's. A set is compared with those that no group has yet.
     """
-    unions = np.zeros_like(maps)
-    group = np.arange(len(maps))
-    alive: list[int] = []
-    for i, (own, size) in enumerate(zip(maps, sizes)):
-        fits = []
-        if alive:
-            missed = np.bitwise_count(own & ~unions[alive]).sum(axis=1, dtype=np.int64)
-            fits = [alive[j] for j in np.flatnonzero(den * missed <= (den - num) * size)]
-        home = fits[0] if fits else i
-        unions[home] |= own
-        group[i] = home
-        for other in fits[1:]:
-            unions[home] |= unions[other]
-            group[group == other] = home
-        alive = [a for a in alive if a not in fits[1:]] + ([] if fits else [i])
-    return group
+    order = np.argsort(sizes, kind="stable")
+    words, sizes = np.ascontiguousarray(maps[order]).view(np.uint64), sizes[order]
+    group = np.arange(len(words))
+    left = group.copy()
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        home = reached[0]
+        while reached and len(left):
+            i = reached.pop()
+            # Ascending sizes: those of which neither is too large for the other.
+            a = int(np.searchsorted(den * sizes[left], num * sizes[i], "left"))
+            b = int(np.searchsorted(num * sizes[left], den * sizes[i], "right"))
+            near = left[a:b]
+            missed = np.bitwise_count(words[i] & ~words[near]).sum(axis=1, dtype=np.int64)
+            fits = (num + den) * missed <= den * sizes[i] - num * sizes[near]
+            near = near[fits]
+            missed = np.bitwise_count(words[near] & ~words[i]).sum(axis=1, dtype=np.int64)
+            near = near[(num + den) * missed <= den * sizes[near] - num * sizes[i]]
+            if len(near):
+                group[near] = home
+                reached += near.tolist()
+                left = left[group[left] != home]
+    out = np.empty_like(group)
+    out[order] = group
+    return out
 
 
 def _candidates(num: int, den: int):
@@ -330,7 +339,7 @@ def _candidates(num: int, den: int):
             for a, b in zip(*_edges(keys[order])):
                 if b - a > 1:
                     rows = order[a:b]
-                    groups = group_by_unions(table[rows, 24:], about[rows, 1], num, den)
+                    groups = group_by_maps(table[rows, 24:], about[rows, 1], num, den)
                     found.append(_stars(groups, about[rows, 0]))
         if found:
             pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], axis=1), axis=0)

@@ -169,6 +169,53 @@ def got_left(docs, *settings_):
     return {r["doc_id"]: (*tuple(r)[1:5], bytes(r["kept"])) for r in repeats.without_repeats(docs, *settings_).collect()}
 
 
+def candidates_of(sets, num=4, den=5):
+    out = jaccard._Outgoing(1)
+    for doc, tokens in enumerate(sets):
+        out.add(doc, tokens, num, den)
+    batches = jaccard._candidates(num, den)(iter([jaccard._blobs(out.rows())]))
+    return [pair for batch in batches for pair in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+
+
+def test_sets_without_a_shared_hash_are_no_candidates():
+    rng = np.random.default_rng(12)
+    for size in (60, 300, 3000, 6000):
+        sets = [np.unique(rng.integers(0, 1 << 64, size + i % 7, dtype=np.uint64)) for i in range(1500 if size <= 300 else 150)]
+        assert len(candidates_of(sets)) <= len(sets) // 50
+
+
+@pytest.mark.parametrize("num,den", [(4, 5), (1, 2), (9, 10)])
+def test_sets_that_link_are_candidates(num, den):
+    rng = np.random.default_rng(num)
+    sets, linked = [], []
+    for size in [*range(1, 60), 150, 700, 2500, 6500]:
+        own = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        for share in (0.0, 0.02, 0.05, 0.1, 0.2):
+            other = own.copy()
+            gone = rng.permutation(size)[: int(share * size)]
+            other[gone] = rng.integers(0, 1 << 64, len(gone), dtype=np.uint64)
+            sets.append(np.unique(other if share < 0.1 else other[: max(1, int(0.95 * size))]))
+    for i, a in enumerate(sets):
+        for j in range(i - i % 5, i):
+            both = len(np.intersect1d(a, sets[j]))
+            if den * both >= num * (len(a) + len(sets[j]) - both) and len(a) + len(sets[j]) > 2 * both:
+                linked.append((i, j))
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in candidates_of(sets, num, den):
+        parent[root(a)] = root(b)
+    assert len(linked) > 50 and all(root(a) == root(b) for a, b in linked)
+    # The groups of maps alone keep them, too, whatever the slices say.
+    maps = np.array([jaccard.bit_map(tokens, 256) for tokens in sets])
+    group = jaccard.group_by_maps(maps, np.array([len(tokens) for tokens in sets]), num, den)
+    assert all(group[a] == group[b] for a, b in linked)
+
+
 def test_repeats_of_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     expected = expected_left([(r["doc_id"], r["text"]) for r in docs.collect()], 100)
